@@ -153,7 +153,7 @@ WITH base AS (
 ), leaves AS (
   SELECT domain, lang, source, sum(n)::HUGEINT AS there,
          (CASE WHEN least({weight["domain"]}, {weight["lang"]}, {weight["source"]}) > 0 THEN sum(n) * {m.max_epochs} ELSE 0 END)::HUGEINT AS cap
-  FROM base GROUP BY ALL
+  FROM base GROUP BY domain, lang, source
 )"""
     above = f"least((SELECT sum(there) * {m.percent} // 100 FROM leaves), (SELECT sum(cap) FROM leaves))::HUGEINT"
     for i, level in enumerate(LEVELS):
