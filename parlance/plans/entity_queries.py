@@ -75,15 +75,17 @@ def range_shift_asof(spark, sf_dir):
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text) WHERE length(benchmark.text) > 0")
 def phrase_dictionary(spark, sf_dir):
-    """Documents that hold a dictionary's phrase verbatim. A phrase is filed under its first five words; a document's five-word
-    runs fetch the phrases to look for, so no document meets all of them."""
+    """Documents that hold a dictionary's phrase verbatim. A phrase is filed under its second to fourth word; a document's runs of
+    three words fetch the phrases to look for, so no document meets all of them."""
     cut = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    from pyspark.sql import Window as W
+
     key = F.array_join(F.slice(cut(F.col("phrase")), 2, 3), " ")
     long = items.withColumn("key", key).where(F.size(cut(F.col("phrase"))) >= 5)
-    w = cut(F.col("text"))
-    starts = F.when(F.size(w) >= 3, F.sequence(F.lit(1), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, 3), " ")))).alias("key"))
+    by = W.partitionBy("doc_id").orderBy("pos")
+    words = docs.select("doc_id", F.posexplode(cut(F.col("text"))).alias("pos", "w"))
+    grams = words.select("doc_id", F.concat_ws(" ", "w", F.lead("w", 1).over(by), F.lead("w", 2).over(by)).alias("key"))
     near = grams.join(long, "key").select("doc_id", "item_id", "phrase").distinct()
     found = near.join(docs, "doc_id").where(F.contains("text", "phrase")).select("doc_id", "item_id")
     short = items.where((F.size(cut(F.col("phrase"))) < 5) & (F.length("phrase") > 0))
