@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.plans import entity_queries, lexicon_queries, parser_queries, registry, text_queries, variation_queries  # noqa: F401
+from parlance.plans import dataset_queries, entity_queries, feature_queries, lexicon_queries, parser_queries, registry, text_queries, variation_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
