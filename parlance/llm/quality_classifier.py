@@ -42,7 +42,8 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, flo
     corpus. The latent classes are good documents and, since junk comes in kinds, one kind of bad ones for each
     labeller, anchored by that labeller's bad votes; a document's votes are independent given its class only.
     EM estimates how often each labeller votes b, g or abstains in each class, so overlapping and erring labellers
-    get the weight that their agreement with the others earns. Returned rates: (class, labeller, vote), good first.
+    get the weight that their agreement with the others earns. The prior of the good class, which grows with the corpus, says
+    that thresholds were set so that good documents rarely pass them. Returned rates: (class, labeller, vote), good first.
     """
     keys = list(patterns)
     weight = np.array([patterns[k] for k in keys], float)
@@ -50,7 +51,7 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, flo
     vote = np.array([["bg-".index(c) for c in key] for key in keys], int).reshape(len(keys), k)
     onehot = np.eye(3)[vote]
     prior = np.full((k + 1, k, 3), [1.0, 4.0, 1.0])
-    prior[0] = [0.1, 50.0, 5.0]
+    prior[0] = [0.1, 50.0 + 5 * weight.sum(), 5.0]
     prior[np.arange(1, k + 1), np.arange(k)] = [20.0, 1.0, 1.0]
     alarms = onehot[:, :, 0]
     own = np.concatenate([(alarms.sum(1, keepdims=True) == 0), alarms], axis=1)
@@ -117,7 +118,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at] @ value, -50, 50)))) if len(at) else 0.0
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int = 60, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by full-batch Adagrad; both classes weigh the same."""
     weights, bias = np.zeros(1 << BITS), 0.0
     if not rows or not len(good):
