@@ -1,0 +1,242 @@
+"""Operators that read one text at a time, held against plain versions."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from parlance.llm import packing, quality_classifier, quality_rules, secrets, textstats, token_counts
+
+from .conftest import prose
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(VOCABULARY)
+odd_text = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'sab<|>0　\x1c\x85")), max_size=60)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(odd_text, max_size=4))
+def test_token_counts_equal_the_library(texts):
+    texts = [*texts, "x<|endoftext|><|endoftext|>", "aaaa aaa", "՘a ՘"]
+    assert token_counts.merger(VOCABULARY).count(texts) == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(odd_text)
+def test_ids_equal_the_library(text):
+    assert packing.encoder(VOCABULARY)(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_white_space_goes_through_the_library():
+    text = " " * 1_500_000
+    assert len(packing.encoder(VOCABULARY)(text)) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts_of_hard_rows(spark, hard):
+    got = token_counts.token_counts(hard).collect()
+    assert len(got) == hard.count()
+    by = {r["doc_id"]: r for r in got}
+    assert (by[4]["n_tokens"], by[4]["n_bytes"], by[4]["over_limit"]) == (0, 0, False)
+    assert by[5]["over_limit"] and by[8]["n_bytes"] == len("Zürich 　 naïve x <|endoftext|> 🙂".encode())
+    assert token_counts.token_counts(hard.limit(0)).count() == 0
+
+
+def plain_stats(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab é\n\t#|　\x1c\x0b"), max_size=60))
+def test_stats_equal_plain_ones(text):
+    assert textstats.counts(text.encode())[:5] == plain_stats(text)
+
+
+def test_rules_are_learned_and_applied(spark, hard):
+    rng = np.random.default_rng(0)
+    x = {"a": rng.random(600), "b": rng.random(600)}
+    bad = (x["a"] > 0.7) & (x["b"] < 0.5)
+    rules = quality_rules.learn(x, bad)
+    said = np.any([quality_rules.covers(r, x) for r in rules], axis=0)
+    assert (said == bad).mean() > 0.97
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x["a"], x["b"])], "a double, b double")
+    got = [r[0] is not None for r in rows.select(quality_rules.expression(rules)).collect()]
+    assert got == said.tolist()
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
+    judged, _ = quality_rules.judge(hard, labels)
+    by = {r["doc_id"]: r for r in judged.collect()}
+    assert judged.count() == hard.count() and by[4]["base_failed"] and not by[4]["kept"] and by[1]["kept"]
+    assert quality_rules.judge(hard.limit(0), labels.limit(0))[0].count() == 0
+
+
+def test_rules_find_junk_that_the_base_lets_pass(spark):
+    clean = [(i, prose(i, 200)) for i in range(120)]
+    junk = [(1000 + i, " ".join(w + "###" for w in prose(5000 + i, 200).split())) for i in range(60)]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in clean[:80]] + [(i, 0) for i, _ in junk[:40]], "doc_id long, quality int")
+    judged, rules = quality_rules.judge(docs, labels)
+    assert rules
+    kept = {r["doc_id"] for r in judged.where("kept").collect()}
+    assert kept == {i for i, _ in clean}
+
+
+def test_classifier_agrees_with_held_out_truth(spark):
+    clean = [(i, prose(i, 150)) for i in range(300)]
+    kinds = [lambda w: w + "***", lambda w: w.upper() + "!!", lambda w: w + " |"]
+    junk = [(1000 + i, " ".join(map(kinds[i % 3], prose(9000 + i, 150).split()))) for i in range(60)]
+    junk += [(2000 + i, (prose(i, 1) + " ") * 150) for i in range(30)]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string")
+    scorer, votes = quality_classifier.fit(docs)
+    assert votes.count() == docs.count()
+    kept = {r["doc_id"] for r in quality_classifier.score_documents(docs, scorer).where("kept").collect()}
+    truth = {i for i, _ in clean}
+    assert len(kept ^ truth) <= 0.02 * docs.count()
+    assert {r["doc_id"] for r in quality_classifier.keep_good(docs, scorer).collect()} == kept
+
+
+def test_classifier_on_hard_rows(spark, hard):
+    scorer, _ = quality_classifier.fit(hard)
+    got = quality_classifier.score_documents(hard, scorer).collect()
+    assert len(got) == hard.count() and all(not r["kept"] for r in got if r["doc_id"] in (3, 4, 6))
+    assert quality_classifier.keep_good(hard, scorer).columns == hard.columns
+    empty, _ = quality_classifier.fit(hard.limit(0))
+    assert quality_classifier.score_documents(hard.limit(0), empty).count() == 0
+
+
+def test_em_weighs_labellers():
+    good, bad = "g" * len(quality_classifier.LABELLERS), "b" + "g" * (len(quality_classifier.LABELLERS) - 1)
+    posterior, _ = quality_classifier.estimate({good: 900, bad: 100})
+    assert posterior[good] < 0.05 < 0.9 < posterior[bad]
+    assert quality_classifier.estimate({})[0] == {}
+
+
+SECRET = "Aq9Zx7Lm2Vt5Rk8Wp3Yd6"
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("password=hunter22", ["assign"]), ("PassWord : 'abc'", []), ("api-key", []), ("apiKey\": \"abcdef\"", ["assign"]), ("toKen=abcdef", ["assign"]), ("AKIA" + "Z9" * 8, ["access", "random"]), ("AKIA12", []),
+        ("d41d8cd98f00b204e9800998ecf8427e", ["hex"]), ("see " + SECRET + ".", ["random"]), ("550e8400-e29b-41d4-a716-446655440000", []), ("some_long_identifier_name_x1", []), ("", []), ("a" * 200_000, ["hex"]), ("-" * 50_000 + "9", []),
+    ],
+)
+def test_secret_kinds(text, kinds):
+    found = secrets.scanner(None, 2.0)(text)
+    assert [k for k, _, _ in found] == kinds
+    assert all(0 <= a < b <= len(text) for _, a, b in found)
+
+
+def test_secrets_of_hard_rows_and_redaction(spark, hard):
+    assert secrets.scan_secrets(hard).count() == hard.count() and secrets.scan_secrets(hard.limit(0)).count() == 0
+    text = "é 🙂 password=abcdef123456 end"
+    docs = spark.createDataFrame([(1, text, 99), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
+    found = {r["doc_id"]: r["secrets"] for r in secrets.scan_secrets(docs).collect()}
+    a, b = found[1][0]["start"], found[1][0]["end"]
+    assert text[a:b] == "password=abcdef123456" and found[2] == [] and found[3] == []
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact_secrets(docs).collect()}
+    assert got == {1: ("é 🙂 [SECRET] end", len("é 🙂 [SECRET] end")), 2: ("clean", 5), 3: (None, None)}
+
+
+def check_packing(rows, docs, capacity=1024):
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    for doc, text in docs.items():
+        ids = np.append(packing.encoder(VOCABULARY)(text or ""), np.uint32(2)).astype("<u4")
+        at = 0
+        for k, p in enumerate(sorted(by_doc[doc], key=lambda r: r["piece"])):
+            assert (p["piece"], p["start"]) == (k, at) and (k == 0 or p["length"] == capacity)
+            assert p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+            at += p["length"]
+        assert at == len(ids)
+    for held in by_sequence.values():
+        at = 0
+        for p in sorted(held, key=lambda r: r["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= capacity
+    return len(by_sequence)
+
+
+def test_packing_is_whole_gapless_and_tight(spark):
+    docs = {i: prose(i, 5 + i * 37 % 400) for i in range(150)} | {500: "", 501: None, 502: prose(7, 3000)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = packing.pack(df).collect()
+    least = -(-sum(r["length"] for r in rows) // 1024)
+    assert check_packing(rows, docs) <= least + 2
+    held = packing.pack(df, with_ids=True).collect()
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in held)
+
+
+def test_packing_hard_rows(spark, hard):
+    rows = packing.pack(hard).collect()
+    assert sum(r["doc_id"] == 1 for r in rows) == 2 and packing.pack(hard.limit(0)).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(3, 40), st.dictionaries(st.integers(1, 40), st.integers(1, 5), max_size=8))
+def test_plan_places_every_item(capacity, counts):
+    counts = {k: v for k, v in counts.items() if k <= capacity}
+    left = dict(counts)
+    for n, own in packing.plan_sequences(counts, capacity):
+        assert n > 0 and sum(own) <= capacity
+        for x in own:
+            left[x] -= n
+    assert not any(left.values())
+
+
+def exact_bins(items, capacity):
+    """Fewest bins by exhaustive search."""
+    best = len(items)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= items[i]}.values():
+            put(i + 1, [r - items[i] * (j == k) for j, r in enumerate(rooms)])
+        put(i + 1, [*rooms, capacity - items[i]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
+def test_fixed_sets_lose_no_optimum(items):
+    items.sort(reverse=True)
+    left = np.zeros(13, np.int64)
+    for x in items:
+        left[x] += 1
+    left[items[0]] -= 1
+    beside = packing._dominating(left, items[0], 12)
+    if beside is not None:
+        rest = list(items)
+        for x in (items[0], *beside):
+            rest.remove(x)
+        assert 1 + (exact_bins(rest, 12) if rest else 0) == exact_bins(items, 12)
+
+
+def test_digests_of_the_query_follow_the_spans(spark, tmp_path):
+    from parlance.llm import catalogue
+
+    text = f"password=abcdef12 {SECRET} AKIA{'Z9' * 8}"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = catalogue.op9_secret_scans(spark, str(tmp_path)).first()
+    base = [x for x in row["spans"].split(",") if not x.startswith("random")]
+    assert row["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and row["n_assign"] == row["n_access"] == 1
+    assert catalogue.op9_secret_scans(spark, str(tmp_path)).where(F.col("spans").contains("random")).count() == 1
