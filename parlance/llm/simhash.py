@@ -180,7 +180,12 @@ def near_duplicates(docs: DataFrame, budget: int = 2, n: int = 3, id_col: str =
 
 def keep_one(docs: DataFrame, budget: int = 2, n: int = 3) -> DataFrame:
     """The rows, with all their columns, of one document of each near-duplicate group: the one with the smallest
-    doc_id. Of repeated rows of that id one stays; a group whose ids are all null keeps one row."""
-    names = docs.columns
-    found = near_duplicates(docs, budget, n).where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, same(docs["doc_id"], found["__kept"]), "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    doc_id. Of repeated rows of that id one stays. Rows without id stay only if their whole group has none, and then one of them all.
+
+    Ids are joined by plain equality, so that the rows are dealt once, by doc_id, for the join and for the repeated rows.
+    """
+    kept, _ = materialize(near_duplicates(docs, budget, n).where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    out = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    if kept.where(F.col("__kept").isNull()).head(1):
+        out = out.unionByName(docs.where(docs["doc_id"].isNull()).limit(1))
+    return out
