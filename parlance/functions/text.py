@@ -27,25 +27,37 @@ def tokenize_light(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per token: keys, i (from 0), value and its half-open range s, e in code points.
+def placed_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Tokens as `tokens` gives them, with pos (the order of all pieces) and gap (what stands between a token and the next, empty for
+    nothing). Partitioned by the keys and sorted by keys and pos, so that windows in this order need neither shuffle nor sort.
 
-    The text is cut into tokens and gaps, exploded, and a running sum of lengths gives the offsets, so
-    a long text costs its length only. Rows are identified by the keys; a null text has no tokens.
+    Texts are shuffled before they are cut: a text is smaller than its tokens, and cutting is spread over all tasks.
     """
-    pieces = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({PIECE})"), F.lit(1))).alias("pos", "value"))
+    dealt = df.select(*keys, text).repartition(*keys)
+    pieces = dealt.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({PIECE})"), F.lit(1))).alias("pos", "value"))
     by = W.partitionBy(*keys).orderBy("pos")
-    ends = pieces.withColumn("e", F.sum(F.length("value")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    words = ends.where(F.col("value").rlike(r"^[\p{L}\p{N}_$%!?&]"))
-    return words.select(
+    ends = pieces.withColumn("e", F.sum(F.length("value")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("next", F.lead("value").over(by))
+    is_token = lambda c: c.rlike(r"^[\p{L}\p{N}_$%!?&]")
+    return ends.where(is_token(F.col("value"))).select(
         *keys,
+        "pos",
         (F.row_number().over(by) - 1).cast("long").alias("i"),
         "value",
         (F.col("e") - F.length("value")).cast("long").alias("s"),
         F.col("e").cast("long").alias("e"),
+        F.when(F.col("next").isNull() | is_token(F.col("next")), "").otherwise(F.col("next")).alias("gap"),
     )
 
 
+def tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row per token: keys, i (from 0), value and its half-open range s, e in code points.
+
+    The text is cut into tokens and gaps, exploded, and a running sum of lengths gives the offsets, so
+    a long text costs its length only. Rows are identified by the keys; a null text has no tokens.
+    """
+    return placed_tokens(df, keys, text).select(*keys, "i", "value", "s", "e")
+
+
 def shape(token: Column) -> Column:
     """xxx, XXX, Xxx or xX by the case of the letters."""
     return (
@@ -91,17 +103,15 @@ def is_upper(token: Column) -> Column:
 
 def ngrams(token_array: Column, longest: int) -> Column:
     """All contiguous n-grams of up to `longest` tokens as structs (i, n, ngram)."""
-    n = F.size(token_array)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), n - i)),
-                lambda k: F.struct(i.alias("i"), k.alias("n"), F.array_join(F.slice(token_array, i + 1, k), " ").alias("ngram")),
-            ),
-        )
-    )
+
+    def grams(held: Column) -> Column:
+        n = F.size(held)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        own = lambda i, k: F.struct(i.alias("i"), k.alias("n"), F.array_join(F.slice(held, i + 1, k), " ").alias("ngram"))
+        return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: own(i, k))))
+
+    # Bound as a lambda's variable, the tokens are computed once and not for every n-gram.
+    return F.transform(F.array(token_array), grams)[0]
 
 
 def regex_escape(text: Column) -> Column:

@@ -29,27 +29,24 @@ def builtin_matches(texts: DataFrame, keys: list[str], kinds: tuple[str, ...] =
     numbers with a unit of temperature or time, ISO dates and clock times. Each kind is matched for itself, so kinds overlap;
     `keep_longest` removes that. Case does not matter and offsets are those of the original text.
     """
-    toks = text.tokens(texts.select(*keys, "text"), keys).join(texts.select(*keys, "text"), keys)
-    by = W.partitionBy(*keys).orderBy("i")
-    for k in (1, 2, 3, 4):
-        for c in ("value", "s", "e"):
-            toks = toks.withColumn(f"{c}{k}", F.lead(c, k).over(by))
-    toks = toks.withColumns({"back_value": F.lag("value").over(by), "back_e": F.lag("e").over(by), "back2_value": F.lag("value", 2).over(by), "back2_e": F.lag("e", 2).over(by)})
+    by = W.partitionBy(*keys).orderBy("pos")
+    toks = text.placed_tokens(texts, keys)
+    after = {f"{c}{k}": F.lead(c, k).over(by) for k in (1, 2, 3) for c in ("value", "s", "e", "gap")}
+    toks = toks.select("*", *[c.alias(n) for n, c in after.items()], *[F.lag(c).over(by).alias(f"back_{c}") for c in ("value", "e", "gap")])
     digits = lambda c: F.col(c).rlike("^[0-9]+$")
-    between = lambda e, c: F.substring(F.col("text"), F.col(e).cast("int") + 1, F.lit(1)) == c
-    fraction = digits("value1") & (F.col("s1") == F.col("e") + 1) & between("e", ".")
-    inside = digits("back_value") & (F.col("back_e") + 1 == F.col("s")) & between("back_e", ".")
+    fraction = digits("value1") & (F.col("gap") == ".")
+    inside = digits("back_value") & (F.col("back_gap") == ".")
     num = digits("value") & ~F.coalesce(inside, F.lit(False))
     end = F.when(fraction, F.col("e1")).otherwise(F.col("e"))
     skip = lambda c, k: F.when(fraction, F.col(f"{c}{k + 1}")).otherwise(F.col(f"{c}{k}"))
-    toks = toks.withColumns({"num": num, "num_e": end, "after": F.lower(skip("value", 1)), "after_s": skip("s", 1), "after_e": skip("e", 1), "later": F.lower(skip("value", 2)), "later_e": skip("e", 2)})
-    raw = lambda s, e: F.substring(F.col("text"), s.cast("int") + 1, (e - s).cast("int"))
-    number = raw(F.col("s"), F.col("num_e")).cast("double")
+    whole = F.when(fraction, F.concat_ws(".", "value", "value1")).otherwise(F.col("value"))
+    toks = toks.withColumns({"num": num, "num_e": end, "whole": whole, "after": F.lower(skip("value", 1)), "after_s": skip("s", 1), "after_e": skip("e", 1), "later": F.lower(skip("value", 2)), "later_e": skip("e", 2)})
+    number = F.when(F.col("num"), F.col("whole")).cast("double")
     unit = F.regexp_replace("after", "s$", "")
     degrees = F.col("num") & F.col("after").isin("degree", "degrees")
     scale = F.col("later").isin("celsius", "fahrenheit")
-    iso = F.col("value").rlike("^[0-9]{4}$") & F.col("value1").rlike("^[0-9]{2}$") & F.col("value2").rlike("^[0-9]{2}$") & (F.col("s1") == F.col("e") + 1) & (F.col("s2") == F.col("e1") + 1) & between("e", "-") & between("e1", "-")
-    clock = F.col("value").rlike("^([01]?[0-9]|2[0-3])$") & F.col("value1").rlike("^[0-5][0-9]$") & (F.col("s1") == F.col("e") + 1) & between("e", ":")
+    iso = F.col("value").rlike("^[0-9]{4}$") & F.col("value1").rlike("^[0-9]{2}$") & F.col("value2").rlike("^[0-9]{2}$") & (F.col("gap") == "-") & (F.col("gap1") == "-")
+    clock = F.col("value").rlike("^([01]?[0-9]|2[0-3])$") & F.col("value1").rlike("^[0-5][0-9]$") & (F.col("gap") == ":")
     money = F.col("back_value").isin(*CURRENCIES) & (F.col("back_e") == F.col("s"))
     none = F.lit(None)
     found = {
@@ -67,8 +64,14 @@ def builtin_matches(texts: DataFrame, keys: list[str], kinds: tuple[str, ...] =
         for kind, (test, s, e, n, u) in found.items()
         if kind in kinds
     ]
-    out = toks.select(*keys, "text", F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("m")).select(*keys, "text", "m.*")
-    return out.select(*keys, "kind", "s", "e", raw(F.col("s"), F.col("e")).alias("value"), "number", "unit")
+    out = toks.select(*keys, F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("m")).select(*keys, "m.*")
+    return _with_value(out, texts, keys).select(*keys, "kind", "s", "e", "value", "number", "unit")
+
+
+def _with_value(ranges: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranges with the part of the text they cover. The texts are dealt as for their tokens, so that one shuffle serves both."""
+    value = F.substring(F.col("text"), F.col("s").cast("int") + 1, (F.col("e") - F.col("s")).cast("int"))
+    return ranges.join(texts.select(*keys, "text").repartition(*keys), keys).withColumn("value", value).drop("text")
 
 
 def gazetteer(values: DataFrame) -> DataFrame:
@@ -81,17 +84,13 @@ def gazetteer(values: DataFrame) -> DataFrame:
 
 def gazetteer_matches(texts: DataFrame, keys: list[str], entries: DataFrame, longest: int = 4) -> DataFrame:
     """keys, kind, s, e, value, resolved of every n-gram (up to `longest` tokens) that is an entry. texts: keys, text."""
-    toks = text.tokens(texts.select(*keys, "text"), keys).withColumn("norm", text.normalize(F.col("value")))
-    by = W.partitionBy(*keys).orderBy("i")
-    grams = []
-    for n in range(1, longest + 1):
-        frame = by.rowsBetween(W.currentRow, n - 1)
-        held = F.collect_list("norm").over(frame)
-        grams.append(F.when(F.size(held) == n, F.struct(F.array_join(held, " ").alias("norm"), F.last("e").over(frame).alias("e"))))
-    cut = toks.select(*keys, "s", F.array_compact(F.array(*grams)).alias("grams")).select(*keys, "s", F.explode("grams").alias("g")).select(*keys, "s", "g.e", "g.norm")
-    hit = cut.join(entries, "norm").join(texts.select(*keys, "text"), keys)
-    value = F.substring(F.col("text"), F.col("s").cast("int") + 1, (F.col("e") - F.col("s")).cast("int"))
-    return hit.select(*keys, "kind", "s", "e", value.alias("value"), "resolved")
+    by = W.partitionBy(*keys).orderBy("pos")
+    toks = text.placed_tokens(texts, keys).withColumn("norm", text.normalize(F.col("value")))
+    ahead = lambda c, k: F.lead(c, k).over(by) if k else F.col(c)
+    toks = toks.select(*keys, "s", *[ahead(c, k).alias(f"{c}{k}") for k in range(longest) for c in ("norm", "e")])
+    grams = [F.when(F.col(f"e{k}").isNotNull(), F.struct(F.concat_ws(" ", *[f"norm{j}" for j in range(k + 1)]).alias("norm"), F.col(f"e{k}").alias("e"))) for k in range(longest)]
+    cut = toks.select(*keys, "s", F.explode(F.array_compact(F.array(*grams))).alias("g")).select(*keys, "s", "g.e", "g.norm")
+    return _with_value(cut.join(entries, "norm"), texts, keys).select(*keys, "kind", "s", "e", "value", "resolved")
 
 
 def partial_matches(texts: DataFrame, keys: list[str], entries: DataFrame, strictness: float) -> DataFrame:

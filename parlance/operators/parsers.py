@@ -40,10 +40,11 @@ def lookup_parse(rewritten: DataFrame, ranges: DataFrame, lookup: DataFrame, key
 
     rewritten: keys, rewritten; ranges: keys, n, kind, s, e, value. The number of replaced ranges must be that of the key's slots.
     """
-    counted = rewritten.join(ranges.groupBy(*keys).agg(F.count("*").alias("found")), keys, "left")
-    hit = counted.withColumn("key", lookup_key(F.col("rewritten"))).join(lookup, "key").where(F.coalesce("found", F.lit(0)) == F.col("n_slots"))
-    named = hit.select(*keys, "intent", F.posexplode_outer("slot_names").alias("n", "slot_name")).withColumn("n", F.col("n").cast("long"))
-    return named.join(ranges, [*keys, "n"], "left").select(*keys, "intent", "n", "slot_name", "kind", "s", "e", "value")
+    listed = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "kind", "s", "e", "value"))).alias("found"))
+    keyed = rewritten.join(listed, keys, "left").withColumn("key", lookup_key(F.col("rewritten")))
+    hit = keyed.join(lookup, "key").where(F.coalesce(F.size("found"), F.lit(0)) == F.col("n_slots"))
+    slots = F.transform("found", lambda r, i: F.struct(r["n"].alias("n"), F.get("slot_names", i).alias("slot_name"), r["kind"].alias("kind"), r["s"].alias("s"), r["e"].alias("e"), r["value"].alias("value")))
+    return hit.select(*keys, "intent", F.explode_outer(slots).alias("slot")).select(*keys, "intent", "slot.*")
 
 
 def subsets(texts: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
