@@ -59,11 +59,15 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.gazetteer(dictionary(spark, sf_dir))
 
 
+def found(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """id, kind, s, e, value, resolved of all builtin and dictionary matches in texts (id, text)."""
+    builtin = entities.builtin_matches(texts, ["id"]).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
+    return builtin.unionByName(entities.gazetteer_matches(texts, ["id"], known, 3))
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, kind, s, e, value, resolved of all builtin and dictionary matches."""
-    gen = utterances(spark, sf_dir)
-    builtin = entities.builtin_matches(gen, ["id"]).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
-    return builtin.unionByName(entities.gazetteer_matches(gen, ["id"], entries(spark, sf_dir), 3))
+    """The matches in all generated utterances."""
+    return found(utterances(spark, sf_dir), entries(spark, sf_dir))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
