@@ -118,19 +118,32 @@ def replace_with_placeholders(texts: DataFrame, matches: DataFrame, keys: list[s
 
     matches do not overlap. Offsets after the rewrite are running sums of length differences.
     """
+    ranged = _ranged(matches, keys)
+    return _rewritten(texts, ranged, keys).drop("found"), ranged.select(*keys, "n", "kind", "s", "e", "value", "new_s", "new_e")
+
+
+def rewrite(texts: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rewritten, found (array of n, kind, s, e, value; null for none): both results in one row, from one reading of the matches."""
+    return _rewritten(texts, _ranged(matches, keys), keys)
+
+
+def _ranged(matches: DataFrame, keys: list[str]) -> DataFrame:
     mark = text.placeholder(F.col("kind"))
     by = W.partitionBy(*keys).orderBy("s")
     before = by.rowsBetween(W.unboundedPreceding, -1)
     grown = F.length("mark") - (F.col("e") - F.col("s"))
     ranged = matches.withColumn("mark", mark).withColumn("shift", F.coalesce(F.sum(grown).over(before), F.lit(0)))
     ranged = ranged.withColumn("new_s", (F.col("s") + F.col("shift")).cast("long")).withColumn("new_e", (F.col("s") + F.col("shift") + F.length("mark")).cast("long"))
-    ranged = ranged.withColumn("n", (F.row_number().over(by) - 1).cast("long")).withColumn("from", F.coalesce(F.lag("e").over(by), F.lit(0)))
-    parts = ranged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "from", "s", "mark"))).alias("parts"), F.max("e").alias("last"))
+    return ranged.withColumn("n", (F.row_number().over(by) - 1).cast("long")).withColumn("from", F.coalesce(F.lag("e").over(by), F.lit(0)))
+
+
+def _rewritten(texts: DataFrame, ranged: DataFrame, keys: list[str]) -> DataFrame:
+    parts = ranged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "from", "s", "e", "mark", "kind", "value"))).alias("parts"), F.max("e").alias("last"))
     joined = texts.select(*keys, "text").join(parts, keys, "left")
     cut = F.transform("parts", lambda p: F.concat(F.substr(F.col("text"), (p["from"] + 1).cast("int"), (p["s"] - p["from"]).cast("int")), p["mark"]))
     tail = F.substr(F.col("text"), (F.coalesce("last", F.lit(0)) + 1).cast("int"))
-    rewritten = joined.select(*keys, F.concat(F.coalesce(F.array_join(cut, ""), F.lit("")), tail).alias("rewritten"))
-    return rewritten, ranged.select(*keys, "n", "kind", "s", "e", "value", "new_s", "new_e")
+    found = F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in ("n", "kind", "s", "e", "value")]))
+    return joined.select(*keys, F.concat(F.coalesce(F.array_join(cut, ""), F.lit("")), tail).alias("rewritten"), found.alias("found"))
 
 
 def covering(tokens: DataFrame, matches: DataFrame, keys: list[str], scheme: str = "BIO") -> DataFrame:

@@ -35,13 +35,16 @@ def build_lookup(trained: DataFrame, slots: DataFrame) -> DataFrame:
     return alone.where("n = 1").select("key", "intent", "slot_names", F.size("slot_names").cast("long").alias("n_slots"))
 
 
-def lookup_parse(rewritten: DataFrame, ranges: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+def lookup_parse(rewritten: DataFrame, ranges: DataFrame | None, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """keys, intent, n, slot_name, kind, s, e, value: a row for each slot (one with nulls where an intent has none).
 
-    rewritten: keys, rewritten; ranges: keys, n, kind, s, e, value. The number of replaced ranges must be that of the key's slots.
+    rewritten: keys, rewritten; ranges: keys, n, kind, s, e, value, or None if rewritten has them in
+    its column found. The number of replaced ranges must be that of the key's slots.
     """
-    listed = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "kind", "s", "e", "value"))).alias("found"))
-    keyed = rewritten.join(listed, keys, "left").withColumn("key", lookup_key(F.col("rewritten")))
+    if ranges is not None:
+        listed = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "kind", "s", "e", "value"))).alias("found"))
+        rewritten = rewritten.join(listed, keys, "left")
+    keyed = rewritten.withColumn("key", lookup_key(F.col("rewritten")))
     hit = keyed.join(lookup, "key").where(F.coalesce(F.size("found"), F.lit(0)) == F.col("n_slots"))
     slots = F.transform("found", lambda r, i: F.struct(r["n"].alias("n"), F.get("slot_names", i).alias("slot_name"), r["kind"].alias("kind"), r["s"].alias("s"), r["e"].alias("e"), r["value"].alias("value")))
     return hit.select(*keys, "intent", F.explode_outer(slots).alias("slot")).select(*keys, "intent", "slot.*")

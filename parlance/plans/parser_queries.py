@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import parsers
+from parlance.operators import entities, parsers
 from parlance.plans import gen
 from parlance.plans.registry import query
 from parlance.session import table
@@ -38,8 +38,8 @@ def lookup(spark, sf_dir):
 
 
 def parsed(spark, sf_dir):
-    rewritten, ranges = gen.rewritten(spark, sf_dir)
-    return parsers.lookup_parse(rewritten, ranges.select("id", "n", "kind", "s", "e", "value"), lookup(spark, sf_dir), ["id"])
+    rewritten = entities.rewrite(gen.utterances(spark, sf_dir), gen.kept(spark, sf_dir), ["id"])
+    return parsers.lookup_parse(rewritten, None, lookup(spark, sf_dir), ["id"])
 
 
 @query(f"WITH {LOOKUP} SELECT key, intent, slot_names, n_slots FROM lookup")
@@ -66,8 +66,6 @@ def lookup_powerset(spark, sf_dir):
     """Each subset of the entities found is tried; of an intent's hits the one with fewest slots stays."""
     from pyspark.sql import Window as W
 
-    from parlance.operators import entities
-
     texts, matches = parsers.subsets(gen.utterances(spark, sf_dir), gen.kept(spark, sf_dir))
     rewritten, ranges = entities.replace_with_placeholders(texts, matches, ["id", "mask"])
     hit = parsers.lookup_parse(rewritten, ranges.select("id", "mask", "n", "kind", "s", "e", "value"), lookup(spark, sf_dir), ["id", "mask"])
