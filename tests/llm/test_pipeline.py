@@ -1,5 +1,6 @@
 """The pipeline against a plain version of its stages."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -10,6 +11,32 @@ from .test_group_operators import components, plain_print
 from .test_text_operators import check_packing
 
 
+def jaccard(a, b, n=5):
+    a, b = ({tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_catches_copies_with_some_words_changed(spark):
+    """Copies at similarities from 0.8 to 0.95, a crowd of near copies of one text, and texts that only share a part."""
+    rng, texts = random.Random(7), {}
+    for i in range(80):
+        texts[i] = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(900)) for _ in range(300))
+    copies = {}
+    for i in range(60):
+        words, low = texts[i].split(), (0.8, 0.85, 0.9, 0.95)[i % 4]
+        while jaccard(" ".join(words), texts[i]) > low:
+            last, words = words, list(words)
+            words[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
+        copies[1000 + i] = " ".join(last)
+        assert jaccard(copies[1000 + i], texts[i]) >= 0.8
+    crowd = {2000 + i: " ".join([*texts[70].split()[:-1], f"end{i}"]) for i in range(400)}
+    half = {3000 + i: " ".join([*texts[i].split()[:150], *texts[i + 5].split()[150:]]) for i in range(60, 65)}
+    rows = [(i, t, "en", "s", len(t)) for i, t in (texts | copies | crowd | half).items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(texts) | set(half)
+
+
 def test_pipeline(spark, tmp_path):
     clean = {i: prose(i, 60 + i % 90) for i in range(200)}
     copies = {300 + i: clean[i] for i in range(20)}
