@@ -181,16 +181,15 @@ def near_duplicates(docs: DataFrame, budget: int = 2, n: int = 3, id_col: str =
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, n: int = 5) -> DataFrame:
     """The rows, with all their columns, of one document of each group of near-duplicates: the one with the smallest
-    doc_id. Of repeated rows of that id one stays. Rows without id stay only if their whole group has none, and then one of them all.
+    doc_id (null last), of several texts with that id the one with the smallest hash. Of equal rows, by id and text, one stays.
+    So each group keeps one row, whether its ids are null, shared with other groups or neither.
 
     Near-duplicates are texts whose sets of n-word shingles have at least that Jaccard similarity, directly or over others. Fingerprints
     can't find those: at 0.8 they differ in about ten of 64 bits, and an index for so many has no bits left that must agree.
 
-    Ids are joined by plain equality, so that the rows are dealt once, by doc_id, for the join and for the repeated rows.
+    Rows are dealt once, by two hashes of id and text, for the join and for the equal rows.
     """
-    least = shingles.classes(docs, similarity, n).groupBy("root").agg(F.min("doc_id").alias("__kept"))
-    kept, _ = materialize(least.select("__kept").distinct(), "kept")
-    out = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    if kept.where(F.col("__kept").isNull()).head(1):
-        out = out.unionByName(docs.where(docs["doc_id"].isNull()).limit(1))
-    return out
+    keys = ["__row0", "__row1"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("x")
+    kept, _ = materialize(shingles.classes(docs, similarity, n).groupBy("root").agg(first).select(*[f"x.{k}" for k in keys]), "kept")
+    return docs.select("*", *shingles.row_keys(docs)).join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -93,6 +93,17 @@ def test_near_duplicates_of_hard_rows(spark, hard):
     assert simhash.near_duplicates(hard.limit(0)).count() == 0 and simhash.keep_one(hard.limit(0)).count() == 0
 
 
+def test_each_group_keeps_one_row_whatever_its_ids(spark):
+    """Different texts without id, two texts that share an id, and a text without id that copies one with an id."""
+    texts = [prose(i, 60) for i in range(40, 47)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (1, texts[2]), (2, texts[3]), (2, texts[4]), (2, texts[4]), (3, texts[5]), (3, texts[5] + " and"), (None, None), (None, "")]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    of_3, empty = [t for i, t in got if i == 3], [t for i, t in got if i is None and not t]
+    assert len(of_3) == 1 and of_3[0] in (texts[5], texts[5] + " and") and len(empty) == 1
+    rest = [(i, t) for i, t in got if i != 3 and (i is not None or t)]
+    assert sorted(rest, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3]), (2, texts[4])], key=repr)
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
