@@ -138,7 +138,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 for p, q in strip_links(x[one], None if first == second else x[two], threshold):
                     p, q = one[p], two[q]
                     degree[at] += np.bincount(p, copies[at][q], len(at)).astype(np.int64) + np.bincount(q, copies[at][p], len(at)).astype(np.int64)
-                    root = root[local_roots(len(at), root[p], root[q])]
+                    root = local_roots(len(at), root[p], root[q])[root]
                 linked = np.flatnonzero(root != np.arange(len(at)))
                 edges.append((at[linked], at[root[linked]]))
             some = np.flatnonzero(degree)

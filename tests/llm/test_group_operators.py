@@ -125,6 +125,20 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+def test_chains_over_several_tiles_stay_connected(spark):
+    """Clusters of which only neighbours are linked, over more vectors than a tile holds, so a strip pair gives many batches of links."""
+    rng = np.random.default_rng(8)
+    planes = np.linalg.qr(rng.normal(size=(400, 16, 2)))[0]
+    steps = np.arange(12) * 0.4
+    x = np.einsum("kdp,ps->ksd", planes, np.stack([np.cos(steps), np.sin(steps)])).reshape(-1, 16)
+    x = x[rng.permutation(len(x))]
+    assert len(x) > 4 * embedding_dedup.TILE
+    near = np.argwhere(np.triu(x @ x.T >= 0.9, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.embedding_links(df, 0.9).collect()}
+    assert [got[i] for i in range(len(x))] == components(len(x), near.tolist())
+
+
 def test_quantised_bounds_hold():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 24))
