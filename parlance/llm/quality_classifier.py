@@ -42,17 +42,18 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, flo
     corpus. The latent classes are good documents and, since junk comes in kinds, one kind of bad ones for each
     labeller, anchored by that labeller's bad votes; a document's votes are independent given its class only.
     EM estimates how often each labeller votes b, g or abstains in each class, so overlapping and erring labellers
-    get the weight that their agreement with the others earns. The prior of the good class, which grows with the corpus, says
-    that thresholds were set so that good documents rarely pass them. Returned rates: (class, labeller, vote), good first.
+    get the weight that their agreement with the others earns. The priors are a few documents, whatever the corpus holds, so both
+    classes' rates come from the data. Votes alone can't tell a labeller that errs by itself from a kind of junk that only
+    it sees: such documents start as junk and stay so, with less weight the more often it happens. Returned rates: (class, labeller, vote), good first.
     """
     keys = list(patterns)
     weight = np.array([patterns[k] for k in keys], float)
     k = len(LABELLERS)
     vote = np.array([["bg-".index(c) for c in key] for key in keys], int).reshape(len(keys), k)
     onehot = np.eye(3)[vote]
-    prior = np.full((k + 1, k, 3), [1.0, 4.0, 1.0])
-    prior[0] = [0.1, 50.0 + 5 * weight.sum(), 5.0]
-    prior[np.arange(1, k + 1), np.arange(k)] = [20.0, 1.0, 1.0]
+    prior = np.full((k + 1, k, 3), [0.1, 2.0, 0.1])
+    prior[0] = [0.1, 5.0, 0.5]
+    prior[np.arange(1, k + 1), np.arange(k)] = [20.0, 0.1, 0.1]
     alarms = onehot[:, :, 0]
     own = np.concatenate([(alarms.sum(1, keepdims=True) == 0), alarms], axis=1)
     own = own / own.sum(1, keepdims=True)

@@ -120,6 +120,19 @@ def test_em_weighs_labellers():
     assert quality_classifier.estimate({})[0] == {}
 
 
+@pytest.mark.parametrize("n", [1_000, 100_000])
+def test_em_learns_the_rates_of_good_documents(n):
+    """The table labeller fires on a fifth and abstains on a tenth of otherwise clean documents; two kinds of junk are seen by two labellers each."""
+    at = list(quality_classifier.LABELLERS).index("tables")
+    votes = lambda x: "g" * at + x + "g" * (len(quality_classifier.LABELLERS) - at - 1)
+    counts = {votes("g"): n * 66 // 100, votes("b"): n * 19 // 100, votes("-"): n * 95 // 1000, "bggggbg": n * 2 // 100, "gbbgggg": n * 35 // 1000}
+    posterior, rates = quality_classifier.estimate(counts)
+    assert posterior[votes("g")] < 0.05 and posterior[votes("-")] < 0.05 and min(posterior["bggggbg"], posterior["gbbgggg"]) > 0.99
+    assert 0.1 < rates[0, at, 2] < 0.15
+    weight = np.log(rates[np.arange(1, 8), np.arange(7), 0] / rates[0, :, 0])
+    assert all(weight[at] < weight[k] - 2 for k in (1, 2))
+
+
 SECRET = "Aq9Zx7Lm2Vt5Rk8Wp3Yd6"
 
 
