@@ -16,17 +16,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs that may be a random string: of these characters, at least so many.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Known shapes that are no secrets: digests by their length in hex digits, and identifiers.
+#: Known shapes that are no secrets: digests by their length in hex digits, and others.
 DIGESTS = frozenset({32, 40, 56, 64, 96, 128})
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
     r"|sha(?:1|224|256|384|512)-[A-Za-z0-9+/]+=*"  # subresource digest
     r"|[0-9+/_=-]+"  # numbers, rules, paths of numbers
-    r"|[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*[0-9]{0,4}"  # camelCase
-    r"|[A-Za-z]+[0-9]{0,4}(?:[/_=+-]++[A-Za-z]*+[0-9]{0,4})*+"  # snake_case, kebab-case, paths of words
-    r"|[A-Za-z]{20,}"
     r"|(.)\1*)"
 )
+#: Shapes of identifiers, which are no secrets if their parts are like words: so many characters a token, in lower case.
+IDENTIFIER = re.compile(
+    r"(?:[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*[0-9]{0,4}"  # camelCase
+    r"|[A-Za-z]+[0-9]{0,4}(?:[/_=+-]++[A-Za-z]*+[0-9]{0,4})*+)"  # snake_case, kebab-case, paths of words
+)
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+WORD_LIKE = 2.25
 
 
 class Scanner:
@@ -44,8 +48,15 @@ class Scanner:
         """Whether a vocabulary learnt from prose needs so many tokens for the run that it looks random."""
         if KNOWN.fullmatch(run) or (len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run)):
             return False
+        if IDENTIFIER.fullmatch(run) and self.words(run):
+            return False
         return len(run) < self.chars_per_token * len(self.encoding.encode_ordinary(run))
 
+    def words(self, run: str) -> bool:
+        """Whether the parts of an identifier are like words. Of random strings of 20 or more letters about 1 in 100 or fewer seem so."""
+        parts = [p.lower() for p in PART.findall(run)]
+        return sum(map(len, parts)) >= WORD_LIKE * sum(len(self.encoding.encode_ordinary(p)) for p in parts)
+
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
@@ -72,7 +83,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, chars_per_token
     """doc_id and its secrets (kind, start, end), by start, then kind.
 
     Kinds: assign (a keyword with a value), access (access-key ids), hex (long hex runs) and random
-    (runs with fewer than chars_per_token characters to a token, known digests and identifiers left out).
+    (runs with fewer than chars_per_token characters to a token, known digests and identifiers made of words left out).
     Spans of different kinds may overlap. Whole texts are read; a null text has none; repeated rows are
     scanned one by one; no other column is read. A map without shuffle.
     """

@@ -149,6 +149,15 @@ def test_secret_kinds(text, kinds):
     assert all(0 <= a < b <= len(text) for _, a, b in found)
 
 
+@pytest.mark.parametrize(("alphabet", "least"), [("abcdefghijklmnopqrstuvwxyz", 0.88), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.99), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.995)])
+def test_random_letters_are_secrets_and_identifiers_are_not(alphabet, least):
+    rng, scan = np.random.default_rng(9), secrets.scanner(None, 2.0)
+    keys = ["".join(rng.choice(list(alphabet), 20 + i % 21)) for i in range(1000)]
+    assert sum(scan.random(k) for k in keys) >= least * len(keys)
+    names = "getHttpResponseCodeFromServer MAX_CONNECTION_POOL_SIZE_LIMIT kubernetes-deployment-manifest usr/local/lib/python3/dist-packages anticonstitutionnellement UPPERCASEIDENTIFIERNAMES"
+    assert not any(map(scan.random, names.split()))
+
+
 def test_secrets_of_hard_rows_and_redaction(spark, hard):
     assert secrets.scan_secrets(hard).count() == hard.count() and secrets.scan_secrets(hard.limit(0)).count() == 0
     text = "é 🙂 password=abcdef123456 end"
