@@ -47,13 +47,26 @@ def row_keys(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(k), *own).alias(f"__row{k}") for k in (0, 1)]
 
 
-def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int) -> DataFrame:
+#: Pairs of one text that one task decides, and members of a bucket that one task holds for one half of its pairs.
+PAIRS, BLOCK = 1_024, 1 << 16
+
+
+def reachable(shared_u: np.ndarray, shared_v: np.ndarray, size_u: np.ndarray, size_v: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets can have the similarity, shared_* being how many of a set's shingles occur in any other set at all: their common
+    shingles are among those, so there are at most as many as the lesser count."""
+    common = np.minimum(shared_u, shared_v)
+    return common >= similarity * (size_u + size_v - common) - 1e-9
+
+
+def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) between distinct shingle sets of at least that similarity which connect all such pairs that share a band.
 
     vertices: vertex, n_shingles, bands, __row0, __row1 (a row of docs that has the set). Members of a bucket meet its smallest one, its largest
-    one and its hub (whose buckets hold most members: the text that a crowd was copied from, if it is there) first. Only where that leaves a bucket in several components, its members of different ones meet pair by
-    pair, if their sizes allow the similarity: so a group of near copies, however large, makes no pairs in the square of
-    its size, and no bucket is capped. Every pair is decided by the sets.
+    one and its hub (whose buckets hold most members: the text that a crowd was copied from, if it is there) first. Only where that leaves a bucket
+    in several components, its members of different ones meet pair by pair, and of these pairs only those are made whose sizes and numbers
+    of shared shingles allow the similarity (see `reachable`): texts edited each in its own way, too far from what they were copied from, have
+    shingles that no other text has, so a crowd of them makes no pairs. No bucket is capped, one of more than `block` members is
+    dealt to several tasks by pairs of parts, and every pair made is decided by the sets.
     """
     keyed = vertices.select("vertex", "n_shingles", F.explode("bands").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("vertex").alias("lo"), F.max("vertex").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
@@ -73,32 +86,49 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int) -> Da
     sets, _ = materialize(texts.mapInArrow(sets_of, "vertex long, shingles array<long>").dropDuplicates(["vertex"]), "shingle-sets")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        u, v = (sets.select(F.col("vertex").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "uv")
+        """Pairs of at least the similarity. The set of a text in many pairs is copied, one for each PAIRS of them, and they are spread over the copies."""
+        copies = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("copies"))
+        of_v = sets.join(copies, sets["vertex"] == copies["v"]).select("v", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("of_v"))
+        dealt = pairs.join(copies, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("copies")).cast("int").alias("copy"))
+        both = dealt.join(sets.select(F.col("vertex").alias("u"), F.col("shingles").alias("of_u")), "u").join(of_v, ["v", "copy"])
         common = F.size(F.array_intersect("of_u", "of_v"))
         near = common >= similarity * (F.size("of_u") + F.size("of_v") - common) - 1e-9
-        return materialize(pairs.join(u, "u").join(v, "v").where(near).select("u", "v"), "shingle-links")[0]
+        return materialize(both.where(near).select("u", "v"), "shingle-links")[0]
 
     star = members.join(hubs, "key").select(F.col("vertex").alias("u"), F.explode(F.array("lo", "hi", "hub")).alias("v")).where("u <> v")
-    star, _ = materialize(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "band-pairs")
+    star, _ = materialize(star.groupBy(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).agg(F.min(F.struct("u", "v")).alias("x")).select("x.*"), "band-pairs")
     first = decided(star)
     roots, _ = connected_components(first, "shingle-components")
     rooted = members.join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").select("key", "vertex", "n_shingles", F.coalesce("root", "vertex").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b AND n > 2").select("key")
+    left, _ = materialize(rooted.join(mixed, "key"), "mixed-members")
+
+    crowd = left.select("vertex").distinct().join(sets, "vertex").select("vertex", F.explode("shingles").alias("shingle"))
+    held = crowd.join(crowd.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "shingle").groupBy("vertex").agg(F.count("*").alias("shared"))
+    able = left.join(held, "vertex").where(F.col("shared") >= similarity * F.col("n_shingles") - 1e-9)
+    parts = able.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "part").alias("a"), F.greatest(o, "part").alias("b")))
+    dealt = able.join(parts, "key").withColumn("part", part).select("key", F.explode(others).alias("p"), "part", "vertex", "n_shingles", "shared", "root")
+    dealt = dealt.select("key", F.col("p.a").cast("long").alias("a"), F.col("p.b").cast("long").alias("b"), F.col("part").cast("long").alias("part"), "vertex", "n_shingles", "shared", "root")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(us: list, vs: list) -> pa.RecordBatch:
             u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
-        key, held, us, vs, made = None, np.zeros((3, 0), np.int64), [], [], 0
-        for batch in batches:  # sorted by key, then size
-            for k, *row in np.stack([c.to_numpy() for c in batch.columns], 1):
-                if k != key:
-                    key, held, size = k, np.zeros((3, 64), np.int64), 0
-                vertex, many, root = row
-                near = (held[2, :size] != root) & (held[1, :size] >= similarity * many - 1e-9)
+        group, size, held, us, vs, made = None, 0, np.zeros((5, 64), np.int64), [], [], 0
+        for batch in batches:  # sorted by key, parts, then size
+            for key, a, b, *row in np.stack([c.to_numpy() for c in batch.columns], 1):
+                if (key, a, b) != group:
+                    group, size, held = (key, a, b), 0, np.zeros((5, 64), np.int64)
+                part, vertex, many, shared, root = row
+                now = held[:, :size]
+                near = (now[4] != root) & reachable(now[3], shared, now[2], many, similarity)
+                if a != b:
+                    near &= now[0] != part
                 if near.any():
-                    other = held[0, :size][near]
+                    other = now[1][near]
                     us.append(other), vs.append(np.full(len(other), vertex)), (made := made + len(other))
                 if size == held.shape[1]:
                     held = np.concatenate([held, np.zeros_like(held)], 1)
@@ -109,12 +139,13 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int) -> Da
                     us, vs, made = [], [], 0
         yield out(us, vs)
 
-    dealt = rooted.join(mixed, "key").select("key", "vertex", "n_shingles", "root").repartition("key").sortWithinPartitions("key", "n_shingles", "vertex")
-    rest = dealt.mapInArrow(across, "u long, v long").distinct().join(star, ["u", "v"], "left_anti")
+    dealt = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "n_shingles", "vertex")
+    asked = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    rest, _ = materialize(dealt.mapInArrow(across, "u long, v long").distinct().join(asked, ["u", "v"], "left_anti"), "crowd-pairs")
     return first.unionByName(decided(rest))
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, n: int = 5) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = 0.8, n: int = 5, block: int = BLOCK) -> DataFrame:
     """doc_id, __row0, __row1 (see `row_keys`) and root of every row: one root for all rows that are connected by texts whose
     sets of n-word shingles have at least that Jaccard similarity. Texts without words are one class."""
 
@@ -129,6 +160,6 @@ def classes(docs: DataFrame, similarity: float = 0.8, n: int = 5) -> DataFrame:
     sketched, _ = materialize(rows.mapInArrow(run, "doc_id long, __row0 long, __row1 long, vertex long, n_shingles long, bands array<long>"), "shingle-sketches")
     one = sketched.groupBy("vertex").agg(F.min(F.struct("__row0", "__row1", "n_shingles", "bands")).alias("x")).select("vertex", "x.*")
     vertices, _ = materialize(one, "shingle-vertices")
-    roots, _ = connected_components(links(vertices, docs, similarity, n), "near-texts")
+    roots, _ = connected_components(links(vertices, docs, similarity, n, block), "near-texts")
     joined = sketched.select("doc_id", "__row0", "__row1", "vertex").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left")
     return joined.select("doc_id", "__row0", "__row1", F.coalesce("root", "vertex").alias("root"))

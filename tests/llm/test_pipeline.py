@@ -3,8 +3,10 @@
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
-from parlance.llm import quality_classifier, secrets
+from parlance.llm import quality_classifier, secrets, shingles
 
 from .conftest import prose
 from .test_group_operators import components, plain_print
@@ -37,6 +39,30 @@ def test_near_dedup_catches_copies_with_some_words_changed(spark):
     assert kept == set(texts) | set(half)
 
 
+@pytest.mark.parametrize("block", [shingles.BLOCK, 16])
+def test_crowds_below_and_above_the_similarity_equal_brute_force(spark, block):
+    """Texts edited more or less from texts that are not there themselves, and chains of small edits: the same groups as all pairs give."""
+    rng, texts = random.Random(3), []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(120)]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        for _ in range(12):
+            base = list(base)
+            base[rng.randrange(120)] = f"c{rng.randrange(10**6)}"
+            texts.append(" ".join(base))
+    want = components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r["doc_id"]: r["root"] for r in shingles.classes(docs, 0.8, 5, block).collect()}
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(root[i], []).append(i)
+    assert len(set(want)) > 20 and [min(groups[root[i]]) for i in range(len(texts))] == want
+
+
 def test_pipeline(spark, tmp_path):
     clean = {i: prose(i, 60 + i % 90) for i in range(200)}
     copies = {300 + i: clean[i] for i in range(20)}
