@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,19 +63,11 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
-def texts_of(batch: pa.RecordBatch, column: int, null: str | None = "") -> list[str | None]:
-    """A string column as Python strings."""
-    out = batch.column(column).to_pylist()
-    return [null if x is None else x for x in out] if null is not None else out
-
-
-def bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    """A string column as UTF-8; null is empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, so that what a task makes of them at a time stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def same(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.runtime import connected_components, materialize
+from parlance.llm.runtime import connected_components, materialize, sliced
 
 SEED = 42
 #: Bands of rows of MinHash values. A pair at Jaccard 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6, at 0.9 4e-13.
@@ -76,7 +76,7 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block
     met = members.select("vertex").distinct().join(vertices.select("vertex", "__row0", "__row1"), "vertex")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t or b"", n).view(np.int64) for t in batch.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
@@ -150,7 +150,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, n: int = 5, block: int = B
     sets of n-word shingles have at least that Jaccard similarity. Texts without words are one class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t or b"", n) for t in batch.column(3).to_pylist()]
             vertex = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
