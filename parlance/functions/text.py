@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Letters with an accent and the letters that stand for them after folding.
@@ -14,6 +15,7 @@ SYMBOLS = "$%!?&"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 TOKEN = r"[\p{L}\p{N}_]+|[$%!?&]"
+IS_TOKEN = r"^[\p{L}\p{N}_$%!?&]"
 PIECE = r"[\p{L}\p{N}_]+|[$%!?&]|[^\p{L}\p{N}_$%!?&]+"
 
 
@@ -27,35 +29,80 @@ def tokenize_light(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def placed_tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Tokens as `tokens` gives them, with pos (the order of all pieces) and gap (what stands between a token and the next, empty for
-    nothing). Partitioned by the keys and sorted by keys and pos, so that windows in this order need neither shuffle nor sort.
+#: Pieces whose offsets are summed one by one; sums of such chunks are added up first, so offsets cost a text's length only.
+CHUNK = 64
+
+
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: as a lambda's variable it is not copied into every place that uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running_sums(values: Column) -> Column:
+    """[0, v0, v0 + v1, ...] of an array of integers, one longer than it."""
+    running = lambda held: F.aggregate(held, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+    def of(held: Column) -> Column:
+        chunks = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.floor((F.size(held) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        local = F.transform(chunks, lambda c: running(F.slice(held, c * CHUNK + 1, F.lit(CHUNK))))
+        raised = lambda loc, bases: F.flatten(F.transform(loc, lambda x, c: F.transform(F.slice(x, 2, F.lit(CHUNK)), lambda n: n + F.get(bases, c))))
+        return bind(local, lambda loc: bind(running(F.transform(loc, lambda x: F.element_at(x, -1))), lambda bases: F.concat(F.array(F.lit(0)), raised(loc, bases))))
+
+    return bind(values, of)
+
+
+def _numbered(pieces: Column) -> Column:
+    """Of an array of pieces, those that are tokens: structs of i, pos (place among the pieces), value, s, e and gap."""
+
+    def of(ends: Column) -> Column:
+        def one(x: Column, p: Column) -> Column:
+            after = F.get(pieces, p + 1)
+            gap = F.when(after.isNull() | after.rlike(IS_TOKEN), "").otherwise(after)
+            return F.when(x.rlike(IS_TOKEN), F.struct(p.alias("pos"), x.alias("value"), F.get(ends, p).cast("long").alias("s"), F.get(ends, p + 1).cast("long").alias("e"), gap.alias("gap")))
+
+        return F.transform(F.array_compact(F.transform(pieces, one)), lambda t, i: F.struct(i.cast("long").alias("i"), *[t[c].alias(c) for c in ("pos", "value", "s", "e", "gap")]))
+
+    return bind(running_sums(F.transform(pieces, F.length)), of)
 
-    Texts are shuffled before they are cut: a text is smaller than its tokens, and cutting is spread over all tasks.
+
+def over_tokens(text: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(pieces, tokens) of a text. pieces: all of it, cut into tokens and what lies between; tokens: structs of i (from 0), pos (place
+    among the pieces), value, its half-open range s, e in code points, and gap (what stands between it and the next token, empty for nothing).
+
+    All of it happens within the row, so it needs neither a shuffle nor a key that tells rows apart. A null text has none.
     """
-    dealt = df.select(*keys, text).repartition(*keys)
-    pieces = dealt.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({PIECE})"), F.lit(1))).alias("pos", "value"))
-    by = W.partitionBy(*keys).orderBy("pos")
-    ends = pieces.withColumn("e", F.sum(F.length("value")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("next", F.lead("value").over(by))
-    is_token = lambda c: c.rlike(r"^[\p{L}\p{N}_$%!?&]")
-    return ends.where(is_token(F.col("value"))).select(
-        *keys,
-        "pos",
-        (F.row_number().over(by) - 1).cast("long").alias("i"),
-        "value",
-        (F.col("e") - F.length("value")).cast("long").alias("s"),
-        F.col("e").cast("long").alias("e"),
-        F.when(F.col("next").isNull() | is_token(F.col("next")), "").otherwise(F.col("next")).alias("gap"),
-    )
+    pieces = F.coalesce(F.regexp_extract_all(text, F.lit(f"({PIECE})"), F.lit(1)), F.array().cast("array<string>"))
+    return bind(pieces, lambda p: bind(_numbered(p), lambda t: f(p, t)))
+
+
+def token_array(text: Column) -> Column:
+    """The tokens that `over_tokens` gives, as an array."""
+    return over_tokens(text, lambda _, toks: toks)
+
+
+def covered(pieces: Column, first: Column, last: Column) -> Column:
+    """The part of the text from one token to another, both included."""
+    return F.array_join(F.slice(pieces, first["pos"] + 1, last["pos"] - first["pos"] + 1), "")
+
+
+def join_shifts(toks: Column) -> Column:
+    """Structs i, shift: how far each token lies from where it would lie were tokens joined by single spaces."""
+    gaps = F.transform(toks, lambda t, i: (t["s"] - F.coalesce(F.get(toks, i - 1)["e"], F.lit(0)) - F.when(i > 0, 1).otherwise(0)).cast("int"))
+    return bind(running_sums(gaps), lambda sums: F.transform(toks, lambda t, i: F.struct(t["i"].alias("i"), F.get(sums, i + 1).cast("long").alias("shift"))))
 
 
 def tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per token: keys, i (from 0), value and its half-open range s, e in code points.
 
-    The text is cut into tokens and gaps, exploded, and a running sum of lengths gives the offsets, so
-    a long text costs its length only. Rows are identified by the keys; a null text has no tokens.
+    A map without shuffle: rows with equal or null keys each give their own tokens; a null text has none.
     """
-    return placed_tokens(df, keys, text).select(*keys, "i", "value", "s", "e")
+    return df.select(*keys, F.explode(token_array(F.col(text))).alias("t")).select(*keys, "t.i", "t.value", "t.s", "t.e")
+
+
+def per_token(df: DataFrame, keys: list[str], f: Callable[[Column, Column, Column], list[Column]], text: str = "text") -> DataFrame:
+    """keys, i and named columns for each token, made by f(tokens, token, i), which may look at neighbours. A map without shuffle."""
+    rows = over_tokens(F.col(text), lambda _, toks: F.transform(toks, lambda t, i: F.struct(t["i"].alias("i"), *f(toks, t, i))))
+    return df.select(*keys, F.explode(rows).alias("t")).select(*keys, "t.*")
 
 
 def shape(token: Column) -> Column:
@@ -110,8 +157,7 @@ def ngrams(token_array: Column, longest: int) -> Column:
         own = lambda i, k: F.struct(i.alias("i"), k.alias("n"), F.array_join(F.slice(held, i + 1, k), " ").alias("ngram"))
         return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i)), lambda k: own(i, k))))
 
-    # Bound as a lambda's variable, the tokens are computed once and not for every n-gram.
-    return F.transform(F.array(token_array), grams)[0]
+    return bind(token_array, grams)
 
 
 def regex_escape(text: Column) -> Column:

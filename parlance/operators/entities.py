@@ -25,53 +25,57 @@ def is_builtin(kind: Column) -> Column:
 def builtin_matches(texts: DataFrame, keys: list[str], kinds: tuple[str, ...] = GRAMMAR_KINDS) -> DataFrame:
     """keys, kind, s, e, value, number, unit of each builtin entity. texts: keys, text.
 
-    A grammar reads a token with its four followers: numbers with a fraction, $ before and % behind a number, ordinals,
+    A grammar reads a token with its three followers: numbers with a fraction, $ before and % behind a number, ordinals,
     numbers with a unit of temperature or time, ISO dates and clock times. Each kind is matched for itself, so kinds overlap;
-    `keep_longest` removes that. Case does not matter and offsets are those of the original text.
+    `keep_longest` removes that. Case does not matter and offsets are those of the original text. All of it
+    happens within the row: a map without shuffle.
     """
-    by = W.partitionBy(*keys).orderBy("pos")
-    toks = text.placed_tokens(texts, keys)
-    after = {f"{c}{k}": F.lead(c, k).over(by) for k in (1, 2, 3) for c in ("value", "s", "e", "gap")}
-    toks = toks.select("*", *[c.alias(n) for n, c in after.items()], *[F.lag(c).over(by).alias(f"back_{c}") for c in ("value", "e", "gap")])
-    digits = lambda c: F.col(c).rlike("^[0-9]+$")
-    fraction = digits("value1") & (F.col("gap") == ".")
-    inside = digits("back_value") & (F.col("back_gap") == ".")
-    num = digits("value") & ~F.coalesce(inside, F.lit(False))
-    end = F.when(fraction, F.col("e1")).otherwise(F.col("e"))
-    skip = lambda c, k: F.when(fraction, F.col(f"{c}{k + 1}")).otherwise(F.col(f"{c}{k}"))
-    whole = F.when(fraction, F.concat_ws(".", "value", "value1")).otherwise(F.col("value"))
-    toks = toks.withColumns({"num": num, "num_e": end, "whole": whole, "after": F.lower(skip("value", 1)), "after_s": skip("s", 1), "after_e": skip("e", 1), "later": F.lower(skip("value", 2)), "later_e": skip("e", 2)})
-    number = F.when(F.col("num"), F.col("whole")).cast("double")
-    unit = F.regexp_replace("after", "s$", "")
-    degrees = F.col("num") & F.col("after").isin("degree", "degrees")
-    scale = F.col("later").isin("celsius", "fahrenheit")
-    iso = F.col("value").rlike("^[0-9]{4}$") & F.col("value1").rlike("^[0-9]{2}$") & F.col("value2").rlike("^[0-9]{2}$") & (F.col("gap") == "-") & (F.col("gap1") == "-")
-    clock = F.col("value").rlike("^([01]?[0-9]|2[0-3])$") & F.col("value1").rlike("^[0-5][0-9]$") & (F.col("gap") == ":")
-    money = F.col("back_value").isin(*CURRENCIES) & (F.col("back_e") == F.col("s"))
-    none = F.lit(None)
-    found = {
-        "number": (F.col("num"), F.col("s"), F.col("num_e"), number, none),
-        "percentage": (F.col("num") & (F.col("after") == "%") & (F.col("after_s") == F.col("num_e")), F.col("s"), F.col("after_e"), number, none),
-        "amountOfMoney": (F.col("num") & money, F.col("s") - 1, F.col("num_e"), number, F.lit("$")),
-        "ordinal": (F.lower("value").rlike("^[0-9]+(st|nd|rd|th)$"), F.col("s"), F.col("e"), F.regexp_extract("value", "^([0-9]+)", 1).cast("double"), none),
-        "temperature": (degrees, F.col("s"), F.when(scale, F.col("later_e")).otherwise(F.col("after_e")), number, F.when(scale, F.col("later"))),
-        "duration": (F.col("num") & F.col("after").rlike("^(second|minute|hour|day|week|month|year)s?$"), F.col("s"), F.col("after_e"), number, unit),
-        "date": (iso, F.col("s"), F.col("e2"), none, none),
-        "time": (clock, F.col("s"), F.col("e1"), none, none),
-    }
-    structs = [
-        F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(kind).alias("kind"), s.cast("long").alias("s"), e.cast("long").alias("e"), n.cast("double").alias("number"), u.cast("string").alias("unit")))
-        for kind, (test, s, e, n, u) in found.items()
-        if kind in kinds
-    ]
-    out = toks.select(*keys, F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("m")).select(*keys, "m.*")
-    return _with_value(out, texts, keys).select(*keys, "kind", "s", "e", "value", "number", "unit")
-
-
-def _with_value(ranges: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranges with the part of the text they cover. The texts are dealt as for their tokens, so that one shuffle serves both."""
-    value = F.substring(F.col("text"), F.col("s").cast("int") + 1, (F.col("e") - F.col("s")).cast("int"))
-    return ranges.join(texts.select(*keys, "text").repartition(*keys), keys).withColumn("value", value).drop("text")
+    return texts.select(*keys, F.explode(builtin_array(F.col("text"), kinds)).alias("m")).select(*keys, "m.*")
+
+
+def builtin_array(source: Column, kinds: tuple[str, ...] = GRAMMAR_KINDS) -> Column:
+    """The builtin entities of a text as an array of structs (kind, s, e, value, number, unit)."""
+    digits = lambda t: F.coalesce(t["value"].rlike("^[0-9]+$"), F.lit(False))
+    low = lambda t: F.lower(t["value"])
+
+    def at(pieces: Column, toks: Column, t: Column, i: Column) -> Column:
+        def near(x: Column) -> Column:
+            back, one, two = x["back"], x["one"], x["two"]
+            fraction = digits(one) & (t["gap"] == ".")
+            number = digits(t) & ~F.coalesce(digits(back) & (back["gap"] == "."), F.lit(False))
+            own = F.struct(number.alias("is"), F.when(fraction, one).otherwise(t).alias("last"), F.when(fraction, two).otherwise(one).alias("after"), F.when(fraction, x["three"]).otherwise(two).alias("later"))
+            return text.bind(own, lambda n: matched(x, back, one, two, n))
+
+        def matched(x: Column, back: Column, one: Column, two: Column, n: Column) -> Column:
+            last, after, later = n["last"], n["after"], n["later"]
+            value = F.when(n["is"], text.covered(pieces, t, last)).cast("double")
+            touching = (last["e"] == after["s"]) & (after["value"] == "%")
+            money = back["value"].isin(*CURRENCIES) & (back["e"] == t["s"])
+            degrees, scale = low(after).isin("degree", "degrees"), low(later).isin("celsius", "fahrenheit")
+            iso = t["value"].rlike("^[0-9]{4}$") & one["value"].rlike("^[0-9]{2}$") & two["value"].rlike("^[0-9]{2}$") & (t["gap"] == "-") & (one["gap"] == "-")
+            clock = t["value"].rlike("^([01]?[0-9]|2[0-3])$") & one["value"].rlike("^[0-5][0-9]$") & (t["gap"] == ":")
+            none = F.lit(None)
+            found = {
+                "number": (n["is"], t, last, value, none),
+                "percentage": (n["is"] & touching, t, after, value, none),
+                "amountOfMoney": (n["is"] & money, back, last, value, F.lit("$")),
+                "ordinal": (low(t).rlike("^[0-9]+(st|nd|rd|th)$"), t, t, F.regexp_extract(t["value"], "^([0-9]+)", 1).cast("double"), none),
+                "temperature": (n["is"] & degrees, t, F.when(scale, later).otherwise(after), value, F.when(scale, low(later))),
+                "duration": (n["is"] & low(after).rlike("^(second|minute|hour|day|week|month|year)s?$"), t, after, value, F.regexp_replace(low(after), "s$", "")),
+                "date": (iso, t, two, none, none),
+                "time": (clock, t, one, none, none),
+            }
+            return F.array_compact(F.array(*[
+                F.when(F.coalesce(test, F.lit(False)), F.struct(
+                    F.lit(kind).alias("kind"), a["s"].alias("s"), z["e"].alias("e"), text.covered(pieces, a, z).alias("value"), v.cast("double").alias("number"), u.cast("string").alias("unit")))
+                for kind, (test, a, z, v, u) in found.items() if kind in kinds
+            ]))
+
+        around = F.struct(*[F.get(toks, i + k).alias(c) for k, c in ((-1, "back"), (1, "one"), (2, "two"), (3, "three"))])
+        # every grammar begins with a digit, so other tokens cost one test
+        return F.when(t["value"].rlike("^[0-9]"), text.bind(around, near))
+
+    return text.over_tokens(source, lambda pieces, toks: F.flatten(F.array_compact(F.transform(toks, lambda t, i: at(pieces, toks, t, i)))))
 
 
 def gazetteer(values: DataFrame) -> DataFrame:
@@ -82,23 +86,42 @@ def gazetteer(values: DataFrame) -> DataFrame:
     return made.groupBy("kind", "norm", "n_tokens").agg(F.min("resolved").alias("resolved"))
 
 
-def gazetteer_matches(texts: DataFrame, keys: list[str], entries: DataFrame, longest: int = 4) -> DataFrame:
-    """keys, kind, s, e, value, resolved of every n-gram (up to `longest` tokens) that is an entry. texts: keys, text."""
-    by = W.partitionBy(*keys).orderBy("pos")
-    toks = text.placed_tokens(texts, keys).withColumn("norm", text.normalize(F.col("value")))
-    ahead = lambda c, k: F.lead(c, k).over(by) if k else F.col(c)
-    toks = toks.select(*keys, "s", *[ahead(c, k).alias(f"{c}{k}") for k in range(longest) for c in ("norm", "e")])
-    grams = [F.when(F.col(f"e{k}").isNotNull(), F.struct(F.concat_ws(" ", *[f"norm{j}" for j in range(k + 1)]).alias("norm"), F.col(f"e{k}").alias("e"))) for k in range(longest)]
-    cut = toks.select(*keys, "s", F.explode(F.array_compact(F.array(*grams))).alias("g")).select(*keys, "s", "g.e", "g.norm")
-    return _with_value(cut.join(entries, "norm"), texts, keys).select(*keys, "kind", "s", "e", "value", "resolved")
+def entry_lengths(entries: DataFrame) -> list[int]:
+    """How many tokens entries have: a dictionary's few lengths, so that only n-grams of those lengths are looked up, and none is missed."""
+    return sorted(r["n_tokens"] for r in entries.select("n_tokens").distinct().collect())
 
 
-def partial_matches(texts: DataFrame, keys: list[str], entries: DataFrame, strictness: float) -> DataFrame:
-    """keys, kind, resolved, share of entries of which at least that share of tokens is in the text."""
-    words = entries.select("kind", "norm", "resolved", "n_tokens", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    toks = text.tokens(texts.select(*keys, "text"), keys).select(*keys, text.normalize(F.col("value")).alias("word")).distinct()
-    found = toks.join(words, "word").groupBy(*keys, "kind", "norm", "resolved").agg((F.count("*") / F.first("n_tokens")).alias("share"))
-    return found.where(F.col("share") >= strictness).select(*keys, "kind", "resolved", "share")
+def gazetteer_matches(texts: DataFrame, keys: list[str], entries: DataFrame, longest: int | list[int] | None = None) -> DataFrame:
+    """keys, kind, s, e, value, resolved of every n-gram that is an entry. texts: keys, text.
+
+    longest: the lengths of n-grams that are looked up, or all up to a length; None: those that the entries have. The n-grams are cut
+    within the row, so nothing is shuffled before the join with the dictionary.
+    """
+    sizes = entry_lengths(entries) if longest is None else list(range(1, longest + 1)) if isinstance(longest, int) else list(longest)
+    if not sizes:
+        sizes = [1]
+
+    def cut(pieces: Column, toks: Column) -> Column:
+        def of(norms: Column) -> Column:
+            gram = lambda t, i, k: F.struct(F.array_join(F.slice(norms, i + 1, F.lit(k)), " ").alias("norm"), t["s"].alias("s"), F.get(toks, i + k - 1)["e"].alias("e"), text.covered(pieces, t, F.get(toks, i + k - 1)).alias("value"))
+            return F.flatten(F.transform(toks, lambda t, i: F.array_compact(F.array(*[F.when(i + k <= F.size(toks), gram(t, i, k)) for k in sizes]))))
+
+        return text.bind(F.transform(toks, lambda t: text.normalize(t["value"])), of)
+
+    grams = texts.select(*keys, F.explode(text.over_tokens(F.col("text"), cut)).alias("g")).select(*keys, "g.*")
+    return grams.join(entries.select("norm", "kind", "resolved"), "norm").select(*keys, "kind", "s", "e", "value", "resolved")
+
+
+def partial_matches(texts: DataFrame, keys: list[str], entries: DataFrame, strictness: float | Column) -> DataFrame:
+    """keys, kind, resolved, share of entries of which at least that share of tokens is in the text.
+
+    A word counts as often as the entry has it, if the text has it as often. strictness: a number, or a column of entries.
+    """
+    words = entries.withColumn("least", F.lit(strictness) if isinstance(strictness, int | float) else strictness)
+    words = words.select("kind", "norm", "resolved", "n_tokens", "least", F.explode(F.split("norm", " ")).alias("word")).groupBy("kind", "norm", "resolved", "n_tokens", "least", "word").agg(F.count("*").alias("wanted"))
+    toks = text.tokens(texts.select(*keys, "text"), keys).groupBy(*keys, text.normalize(F.col("value")).alias("word")).agg(F.count("*").alias("there"))
+    found = toks.join(words, "word").groupBy(*keys, "kind", "norm", "resolved", "n_tokens", "least").agg((F.sum(F.least("wanted", "there")) / F.col("n_tokens")).alias("share"))
+    return found.where(F.col("share") >= F.col("least")).select(*keys, "kind", "resolved", "share")
 
 
 def keep_longest(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,32 +141,33 @@ def replace_with_placeholders(texts: DataFrame, matches: DataFrame, keys: list[s
 
     matches do not overlap. Offsets after the rewrite are running sums of length differences.
     """
-    ranged = _ranged(matches, keys)
-    return _rewritten(texts, ranged, keys).drop("found"), ranged.select(*keys, "n", "kind", "s", "e", "value", "new_s", "new_e")
+    both = rewrite(texts, matches, keys)
+    return both.select(*keys, "rewritten"), both.select(*keys, F.explode("found").alias("x")).select(*keys, *[f"x.{c}" for c in ("n", "kind", "s", "e", "value", "new_s", "new_e")])
 
 
 def rewrite(texts: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rewritten, found (array of n, kind, s, e, value; null for none): both results in one row, from one reading of the matches."""
-    return _rewritten(texts, _ranged(matches, keys), keys)
-
-
-def _ranged(matches: DataFrame, keys: list[str]) -> DataFrame:
-    mark = text.placeholder(F.col("kind"))
-    by = W.partitionBy(*keys).orderBy("s")
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    grown = F.length("mark") - (F.col("e") - F.col("s"))
-    ranged = matches.withColumn("mark", mark).withColumn("shift", F.coalesce(F.sum(grown).over(before), F.lit(0)))
-    ranged = ranged.withColumn("new_s", (F.col("s") + F.col("shift")).cast("long")).withColumn("new_e", (F.col("s") + F.col("shift") + F.length("mark")).cast("long"))
-    return ranged.withColumn("n", (F.row_number().over(by) - 1).cast("long")).withColumn("from", F.coalesce(F.lag("e").over(by), F.lit(0)))
-
-
-def _rewritten(texts: DataFrame, ranged: DataFrame, keys: list[str]) -> DataFrame:
-    parts = ranged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "from", "s", "e", "mark", "kind", "value"))).alias("parts"), F.max("e").alias("last"))
-    joined = texts.select(*keys, "text").join(parts, keys, "left")
-    cut = F.transform("parts", lambda p: F.concat(F.substr(F.col("text"), (p["from"] + 1).cast("int"), (p["s"] - p["from"]).cast("int")), p["mark"]))
-    tail = F.substr(F.col("text"), (F.coalesce("last", F.lit(0)) + 1).cast("int"))
-    found = F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in ("n", "kind", "s", "e", "value")]))
-    return joined.select(*keys, F.concat(F.coalesce(F.array_join(cut, ""), F.lit("")), tail).alias("rewritten"), found.alias("found"))
+    """keys, rewritten, found (array of n, kind, s, e, value, new_s, new_e by s; null for none): an utterance's matches, which are few,
+    meet its text in one join, and all else happens within the row."""
+    listed = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind", "value"))).alias("held"))
+    joined = texts.select(*keys, "text").join(listed, keys, "left")
+    return joined.select(*keys, "text", replaced(F.col("text"), F.col("held")).alias("x")).select(*keys, "x.rewritten", "x.found")
+
+
+def replaced(source: Column, held: Column) -> Column:
+    """Struct of rewritten and found for a text and its sorted matches (array of s, e, kind, value)."""
+    mark = lambda m: text.placeholder(m["kind"])
+    grown = F.transform(held, lambda m: (F.length(mark(m)) - (m["e"] - m["s"])).cast("int"))
+
+    def of(shifts: Column) -> Column:
+        found = F.transform(held, lambda m, i: F.struct(
+            i.cast("long").alias("n"), m["kind"].alias("kind"), m["s"].alias("s"), m["e"].alias("e"), m["value"].alias("value"),
+            (m["s"] + F.get(shifts, i)).cast("long").alias("new_s"), (m["e"] + F.get(shifts, i + 1)).cast("long").alias("new_e")))
+        start = lambda i: F.coalesce(F.get(held, i - 1)["e"], F.lit(0))
+        cut = F.transform(held, lambda m, i: F.concat(F.substr(source, (start(i) + 1).cast("int"), (m["s"] - start(i)).cast("int")), mark(m)))
+        tail = F.substr(source, (F.coalesce(F.element_at(held, -1)["e"], F.lit(0)) + 1).cast("int"))
+        return F.struct(F.concat(F.coalesce(F.array_join(cut, ""), F.lit("")), F.when(F.size(held) > 0, tail).otherwise(source)).alias("rewritten"), found.alias("found"))
+
+    return text.bind(F.when(held.isNotNull(), text.running_sums(grown)), of)
 
 
 def covering(tokens: DataFrame, matches: DataFrame, keys: list[str], scheme: str = "BIO") -> DataFrame:

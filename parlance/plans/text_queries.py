@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import numbers, text
@@ -61,10 +60,18 @@ def token_length_digit(spark, sf_dir):
     return doc_tokens(spark, sf_dir).select("doc_id", "i", F.length("value").cast("string").alias("length"), text.is_digit(F.col("value")).alias("is_digit"))
 
 
-def _window_gram(column, n):
-    by = W.partitionBy(*TURN_KEYS).orderBy("i").rowsBetween(W.currentRow, n - 1)
-    held = F.collect_list(column).over(by)
-    return F.when(F.size(held) == n, F.array_join(held, " "))
+def turn_features(spark, sf_dir, f):
+    """Columns made of each token and its neighbours, in the conversations' turns."""
+    return text.per_token(table(spark, sf_dir, "conversations"), TURN_KEYS, f)
+
+
+def _gram_of(of, n):
+    """The n tokens from one on, or null where there are fewer."""
+
+    def f(toks, t, i):
+        return F.when(i + n <= F.size(toks), F.array_join(F.transform(F.slice(toks, i + 1, F.lit(n)), lambda x: of(x["value"])), " "))
+
+    return f
 
 
 _gram = lambda v, n: f"CASE WHEN count(*) OVER w{n} = {n} THEN string_agg({v}, ' ') OVER w{n} END"
@@ -73,14 +80,12 @@ _gram_windows = ", ".join(f"w{n} AS (PARTITION BY conv_id, turn ORDER BY i ROWS
 
 @query(f"WITH {TURN} SELECT conv_id, turn, i, {_gram('lower(value)', 2)} AS ngram_2, {_gram('lower(value)', 3)} AS ngram_3 FROM toks WINDOW {_gram_windows}")
 def ngram_forward(spark, sf_dir):
-    low = turn_tokens(spark, sf_dir).withColumn("low", F.lower("value"))
-    return low.select(*TURN_KEYS, "i", *[_window_gram("low", n).alias(f"ngram_{n}") for n in (2, 3)])
+    return turn_features(spark, sf_dir, lambda *a: [_gram_of(F.lower, n)(*a).alias(f"ngram_{n}") for n in (2, 3)])
 
 
 @query(f"WITH {TURN}, shapes AS (SELECT *, {SHAPE_SQL} AS shape FROM toks) SELECT conv_id, turn, i, {_gram('shape', 2)} AS shape_2, {_gram('shape', 3)} AS shape_3 FROM shapes WINDOW {_gram_windows}")
 def shape_ngram(spark, sf_dir):
-    shapes = turn_tokens(spark, sf_dir).withColumn("shape", text.shape(F.col("value")))
-    return shapes.select(*TURN_KEYS, "i", *[_window_gram("shape", n).alias(f"shape_{n}") for n in (2, 3)])
+    return turn_features(spark, sf_dir, lambda *a: [_gram_of(text.shape, n)(*a).alias(f"shape_{n}") for n in (2, 3)])
 
 
 @query(
@@ -99,12 +104,8 @@ def all_ngrams(spark, sf_dir):
 lag(value) OVER w AS "value[-1]", lead(value) OVER w AS "value[+1]", lead(value, 2) OVER w AS "value[+2]" FROM toks WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)"""
 )
 def offset_features(spark, sf_dir):
-    by = W.partitionBy(*TURN_KEYS)
-    ordered = by.orderBy("i")
-    return turn_tokens(spark, sf_dir).select(
-        *TURN_KEYS, "i", (F.col("i") == 0).alias("is_first"), (F.col("i") == F.max("i").over(by)).alias("is_last"),
-        F.lag("value").over(ordered).alias("value[-1]"), F.lead("value").over(ordered).alias("value[+1]"), F.lead("value", 2).over(ordered).alias("value[+2]"),
-    )
+    value = lambda toks, i, k: F.get(toks, i + k)["value"].alias(f"value[{k:+d}]")
+    return turn_features(spark, sf_dir, lambda toks, t, i: [(i == 0).alias("is_first"), (i == F.size(toks) - 1).alias("is_last"), *[value(toks, i, k) for k in (-1, 1, 2)]])
 
 
 @query(
@@ -113,8 +114,8 @@ def offset_features(spark, sf_dir):
 FROM toks GROUP BY doc_id"""
 )
 def capitalize_flag(spark, sf_dir):
-    v = F.col("value")
-    return doc_tokens(spark, sf_dir).groupBy("doc_id").agg(F.bool_or(text.is_upper(v) | text.is_title(v)).alias("capitalize"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokenize_light(F.col("text")).alias("toks")).where(F.size("toks") > 0)
+    return docs.select("doc_id", F.exists("toks", lambda v: text.is_upper(v) | text.is_title(v)).alias("capitalize"))
 
 
 @query(
@@ -123,9 +124,8 @@ SELECT conv_id, turn, i, shift FROM shifted"""
 )
 def char_shifts(spark, sf_dir):
     """How far each token lies from where it would lie were tokens joined by single spaces."""
-    before = W.partitionBy(*TURN_KEYS).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    joined = F.coalesce(F.sum(F.length("value") + 1).over(before), F.lit(0))
-    return turn_tokens(spark, sf_dir).select(*TURN_KEYS, "i", (F.col("s") - joined).cast("long").alias("shift"))
+    turns = table(spark, sf_dir, "conversations").select(*TURN_KEYS, text.token_array(F.col("text")).alias("toks"))
+    return turns.select(*TURN_KEYS, F.explode(text.join_shifts(F.col("toks"))).alias("x")).select(*TURN_KEYS, "x.i", "x.shift")
 
 
 @query(
@@ -134,10 +134,9 @@ SELECT conv_id, turn, string_agg(repeat(' ', gap::BIGINT) || value, '' ORDER BY
 )
 def initial_string(spark, sf_dir):
     """The text rebuilt from its tokens, gaps filled with spaces."""
-    by = W.partitionBy(*TURN_KEYS).orderBy("i")
-    gaps = turn_tokens(spark, sf_dir).withColumn("gap", F.col("s") - F.coalesce(F.lag("e").over(by), F.lit(0)))
-    padded = gaps.withColumn("v", F.concat(F.repeat(F.lit(" "), F.col("gap").cast("int")), "value"))
-    return padded.groupBy(*TURN_KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]), "").alias("rebuilt"))
+    spaced = lambda toks: F.transform(toks, lambda t, i: F.concat(F.repeat(F.lit(" "), (t["s"] - F.coalesce(F.get(toks, i - 1)["e"], F.lit(0))).cast("int")), t["value"]))
+    turns = table(spark, sf_dir, "conversations").select(*TURN_KEYS, text.over_tokens(F.col("text"), lambda _, toks: spaced(toks)).alias("parts"))
+    return turns.where(F.size("parts") > 0).select(*TURN_KEYS, F.array_join("parts", "").alias("rebuilt"))
 
 
 _esc = r"regexp_replace(p_brand, '([\\.+*?()|\[\]{}^$#&\-~])', '\\\1', 'g')"
