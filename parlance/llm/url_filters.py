@@ -10,19 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The index goes into the plan as one literal; so many rules keep it at a few megabytes.
+#: The index goes into the plan as one literal; so many rules keep it at a few megabytes. More rules are joined as a table.
 MAX_RULES = 20_000
+#: Urls of one token that one task of that join takes.
+URLS = 100_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A verdict for urls whose host and path, joined, a regular expression is found in. tokens: alphanumeric tokens, each of
-    which every such url holds between other characters. A longer `rank` wins; `listed` rules go before all others."""
+    """A verdict for urls whose host and path, joined, a regular expression is found in. alternatives: sets of alphanumeric tokens; every
+    such url holds all tokens of one of them, each between other characters or the ends. A longer `rank` wins; `listed` rules go before all others."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    alternatives: tuple[tuple[str, ...], ...]
     rank: int
     listed: bool
 
@@ -33,11 +35,11 @@ def listed(verdict: str, name: str) -> Rule:
     quoted = "".join(c if c.isalnum() else "\\" + c for c in host + slash + path)
     # the last token of the path may be the start of a longer one, so it is no literal token of the url
     whole = re.sub(r"[0-9A-Za-z]+$", "", name) if slash else name
-    return Rule(name, verdict, f"^(?:[^/]*\\.)?{quoted}", tuple(re.findall(r"[0-9A-Za-z]+", whole)), len(name), True)
+    return Rule(name, verdict, f"^(?:[^/]*\\.)?{quoted}", (tuple(re.findall(r"[0-9A-Za-z]+", whole)),), len(name), True)
 
 
-def pattern(verdict: str, name: str, expression: str, *tokens: str) -> Rule:
-    return Rule(name, verdict, expression, tokens, len(name), False)
+def pattern(verdict: str, name: str, expression: str, *alternatives: tuple[str, ...]) -> Rule:
+    return Rule(name, verdict, expression, alternatives, len(name), False)
 
 
 RULES = (
@@ -46,12 +48,12 @@ RULES = (
     listed("block", "example.org/en/1"),
     listed("allow", "com/fr/"),
     listed("block", "com/de/"),
-    pattern("block", "cheap-pills", "^[^/]*(?:^|[.-])cheap-pills[.-]", "cheap", "pills"),
-    pattern("block", "spam-farm", "^[^/]*(?:^|[.-])spam-farm[.-]", "spam", "farm"),
-    pattern("block", "casino", "(?:^|[./_-])casino(?:[./_-]|$)", "casino"),
-    pattern("block", "free-download", "(?:^|[./_-])free-downloads?(?:[./_-]|$)", "free"),
-    pattern("block", "click-bait", "^[^/]*(?:^|[.-])click-?bait[.-]", "click"),
-    pattern("block", "adult", "(?:^|[./_-])adult(?:[./_-]|$)", "adult"),
+    pattern("block", "cheap-pills", "^[^/]*(?:^|[.-])cheap-pills[.-]", ("cheap", "pills")),
+    pattern("block", "spam-farm", "^[^/]*(?:^|[.-])spam-farm[.-]", ("spam", "farm")),
+    pattern("block", "casino", "(?:^|[./_-])casino(?:[./_-]|$)", ("casino",)),
+    pattern("block", "free-download", "(?:^|[./_-])free-downloads?(?:[./_-]|$)", ("free", "download"), ("free", "downloads")),
+    pattern("block", "click-bait", "^[^/]*(?:^|[.-])click-?bait[.-]", ("click", "bait"), ("clickbait",)),
+    pattern("block", "adult", "(?:^|[./_-])adult(?:[./_-]|$)", ("adult",)),
 )
 
 
@@ -66,22 +68,46 @@ def tokens_of(subject: Column) -> Column:
     return F.array_distinct(F.filter(F.split(subject, "[^0-9A-Za-z]+"), lambda t: t != ""))
 
 
-def build_index(urls: DataFrame, rules: tuple[Rule, ...]) -> tuple[list[list[dict]], dict[str, int]]:
-    """Rules in hash buckets by their rarest token, and how many urls hold each token of a rule.
+def filed(urls: DataFrame, rules: tuple[Rule, ...]) -> list[tuple[str, int]]:
+    """(token, number of the rule): each rule under the token of each of its alternatives that the fewest urls hold.
 
     Only counts of the rules' own tokens reach the driver, so their number is bounded by the rules.
     """
-    wanted = sorted({t for r in rules for t in r.tokens})
-    seen = urls.select(F.explode("tokens").alias("token")).where(F.col("token").isin(wanted)).groupBy("token").count()
-    counts = {r["token"]: r["count"] for r in seen.collect()}
-    size = 1 << max(3, (2 * len(rules)).bit_length())
+    wanted = sorted({t for r in rules for a in r.alternatives for t in a})
+    held = urls.select(F.explode("tokens").alias("token"))
+    held = held.where(F.col("token").isin(wanted)) if len(wanted) <= 1_000 else held.join(urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi")
+    counts = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
+    return sorted({(min(a, key=lambda t: (counts.get(t, 0), t)), i) for i, r in enumerate(rules) for a in r.alternatives})
+
+
+def by_literal(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """urls with `best`, the rule that decides: the index is a literal of hash buckets, so all of it is one projection."""
+    keys = filed(urls, rules)
+    size = 1 << max(3, (2 * len(keys)).bit_length())
     buckets: list[list[dict]] = [[] for _ in range(size)]
-    keys = [min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules]
-    spark = urls.sparkSession
-    places = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(k)), F.lit(size)).cast("int") for k in keys]).first() if rules else []
-    for i, (rule, key, place) in enumerate(zip(rules, keys, places)):
-        buckets[place].append({"token": key, "pattern": rule.pattern, "rank": rule.rank, "name": rule.name, "verdict": rule.verdict, "listed": rule.listed, "first": -i})
-    return buckets, counts
+    places = urls.sparkSession.range(1).select(*[F.pmod(F.xxhash64(F.lit(k)), F.lit(size)).cast("int") for k, _ in keys]).first() if keys else []
+    for (token, i), place in zip(keys, places):
+        rule = rules[i]
+        buckets[place].append({"token": token, "pattern": rule.pattern, "rank": rule.rank, "name": rule.name, "verdict": rule.verdict, "listed": rule.listed, "first": -i})
+    index = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<token:string,pattern:string,rank:int,name:string,verdict:string,listed:boolean,first:int>>>")
+    found = F.flatten(F.transform("tokens", lambda t: F.filter(F.element_at(index, F.pmod(F.xxhash64(t), F.lit(size)).cast("int") + 1), lambda r: r["token"] == t)))
+    fits = F.filter(found, lambda r: F.rlike(F.col("subject"), r["pattern"]))
+    return urls.withColumn("best", F.array_max(F.transform(fits, lambda r: F.struct(r["listed"], r["rank"], r["first"], r["name"], r["verdict"]))))
+
+
+def by_join(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The same with the index as a table, for any number of rules. Each distinct host and path is judged once; a token that many urls hold is
+    dealt to several tasks, with its rules copied to each."""
+    rows = [(t, rules[i].listed, rules[i].rank, -i, rules[i].name, rules[i].verdict, rules[i].pattern) for t, i in filed(urls, rules)]
+    table = urls.sparkSession.createDataFrame(rows, "token string, listed boolean, rank int, first int, name string, verdict string, pattern string")
+    distinct = urls.select("host", "path", "subject", "tokens").dropDuplicates(["host", "path"])
+    held = distinct.select("host", "path", "subject", F.explode("tokens").alias("token")).join(table.select("token").distinct(), "token", "left_semi")
+    copies = held.groupBy("token").agg(F.ceil(F.count("*") / URLS).cast("int").alias("copies"))
+    spread = table.join(copies, "token").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")).drop("copies")
+    dealt = held.join(copies, "token").withColumn("copy", F.pmod(F.xxhash64("subject"), F.col("copies")).cast("int"))
+    fits = dealt.join(spread, ["token", "copy"]).where(F.rlike("subject", F.col("pattern")))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("listed", "rank", "first", "name", "verdict")).alias("best"))
+    return urls.join(best, ["host", "path"], "left")
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -89,23 +115,16 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str
 
     A url's tokens fetch the rules filed under them; the regular expressions of those alone run. Of listed rules the longest wins,
     and of others too, where no listed rule fits; else the default holds. All of it is one projection without
-    shuffle or Python, after a pass that counts the rules' tokens among the urls. The index is a literal
-    of at most MAX_RULES rules; more are refused, since then a join by token is due. Null urls have empty host
-    and path and get the default. Repeated rows are judged one by one; other columns are not read.
+    shuffle or Python, after a pass that counts the rules' tokens among the urls; beyond MAX_RULES rules it is a join by token
+    with the same results. Null urls have empty host and path and get the default. Repeated rows are judged one by one, null ids
+    stay null, an empty table gives none; other columns are not read.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    if any(not r.tokens for r in rules):
-        raise ValueError("a rule needs a literal token")
+    if any(not a for r in rules for a in (r.alternatives or ((),))):
+        raise ValueError("a rule needs a literal token in each of its alternatives")
     host, path = host_path(pages[url_col].cast("string"))
     urls = pages.select(pages[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("subject", F.concat("host", "path")).withColumn("tokens", tokens_of(F.col("subject")))
-    buckets, _ = build_index(urls, rules)
-    index = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<token:string,pattern:string,rank:int,name:string,verdict:string,listed:boolean,first:int>>>")
-    found = F.flatten(F.transform("tokens", lambda t: F.filter(F.element_at(index, F.pmod(F.xxhash64(t), F.lit(len(buckets))).cast("int") + 1), lambda r: r["token"] == t)))
-    fits = F.filter(found, lambda r: F.rlike(F.col("subject"), r["pattern"]))
-    order = F.transform(fits, lambda r: F.struct(r["listed"], r["rank"], r["first"], r["name"], r["verdict"]))
-    judged = urls.withColumn("best", F.array_max(order))
+    judged = by_literal(urls, rules) if len(rules) <= MAX_RULES else by_join(urls, rules)
     return judged.select(
         "page_id",
         "host",
