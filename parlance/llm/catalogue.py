@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat_format.ORACLE, "op4_url_filters": url_filters.ORACLE, "op7_source_mixing": mixing.oracle_sql()}
+    return {"op1_chat_formatting": chat_format.ORACLE, "op4_url_filters": url_filters.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE, "op7_source_mixing": mixing.oracle_sql()}
