@@ -13,62 +13,95 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.runtime import materialize
+from parlance.llm.runtime import delete, materialize, sliced
 from parlance.llm.textstats import NAMES, SCHEMA, counts, shares, text_stats
 
-#: name: (share, bad from here on, good below here); between the two a labeller abstains.
+@dataclass(frozen=True)
+class Labeller:
+    """Votes on one share of a text: b(ad) from a threshold on and g(ood) below another, or the other way round; else, and on texts of fewer words
+    than it needs, it abstains. Without the second threshold it never votes g: what it looks for is one kind of junk, and that others lack it says little."""
+
+    share: str
+    bad: float
+    good: float | None = None
+    below: bool = False
+    least: int = 1
+
+    def vote(self, shares: dict[str, Column]) -> Column:
+        value, out = shares[self.share], F.when(F.col("n_words") < self.least, "-")
+        out = out.when(value < self.bad if self.below else value >= self.bad, "b")
+        if self.good is not None:
+            out = out.when(value >= self.good if self.below else value < self.good, "g")
+        return out.otherwise("-")
+
+
+#: Heuristics that overlap: whatever is wrong with a text, two or more of them see it, so that their agreement tells how far each can be trusted.
 LABELLERS = {
-    "symbols": ("symbols", 0.2, 0.02),
-    "shouting": ("upper", 0.3, 0.1),
-    "exclaims": ("exclaims", 0.3, 0.05),
-    "tables": ("pipes", 0.1, 0.02),
-    "stutter": ("adjacent", 0.25, 0.06),
-    "repeats": ("repeats", 0.7, 0.4),
-    "dup_lines": ("dup_lines", 0.6, 0.35),
+    "symbols": Labeller("symbols", 0.2),
+    "shouting": Labeller("upper", 0.3),
+    "exclaims": Labeller("exclaims", 0.3),
+    "tables": Labeller("pipes", 0.1),
+    "stutter": Labeller("adjacent", 0.25),
+    "repeats": Labeller("repeats", 0.7),
+    "dup_lines": Labeller("dup_lines", 0.6),
+    "mark_runs": Labeller("mark_runs", 0.3),
+    "stopless": Labeller("stops", 0.05, 0.1, below=True, least=20),
+    "unplain": Labeller("plain", 0.6, 0.85, below=True),
+    "narrow": Labeller("richness", 2.0, 3.0, below=True, least=10),
 }
 BITS = 15
+#: Documents that a class is taken to have had at the start, by vote: its own, the other's, none. The same for both classes and at every size.
+PRIOR = (2.0, 0.5, 0.5)
 
 
 def votes() -> Column:
     """One character for each labeller: b(ad), g(ood) or - (abstains)."""
     named = shares()
-    return F.concat(*[F.when(F.col("n_words") == 0, "-").when(named[s] >= bad, "b").when(named[s] < good, "g").otherwise("-") for s, bad, good in LABELLERS.values()])
+    return F.concat(*[labeller.vote(named) for labeller in LABELLERS.values()])
 
 
-def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], np.ndarray]:
-    """Posterior probability of being bad for each pattern of votes, and each labeller's vote rates by class.
+def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray]:
+    """Posterior probability of being bad for each pattern of votes, and the labellers' vote rates by class (class, labeller, vote), good first.
 
-    patterns: number of documents by pattern, of which there are at most 3 ** len(LABELLERS) however large the
-    corpus. The latent classes are good documents and, since junk comes in kinds, one kind of bad ones for each
-    labeller, anchored by that labeller's bad votes; a document's votes are independent given its class only.
-    EM estimates how often each labeller votes b, g or abstains in each class, so overlapping and erring labellers
-    get the weight that their agreement with the others earns. The priors are a few documents, whatever the corpus holds, so both
-    classes' rates come from the data. Votes alone can't tell a labeller that errs by itself from a kind of junk that only
-    it sees: such documents start as junk and stay so, with less weight the more often it happens. Returned rates: (class, labeller, vote), good first.
+    patterns: number of documents by pattern, of which there are at most 3 ** labellers however large the corpus. Two latent classes, good and
+    bad; a document's votes are independent given its class. EM starts at each document's majority of votes and estimates how often
+    each labeller votes b, g or abstains in either class, so that labellers earn their weight by agreement: one that fires at random, or the wrong way round,
+    comes to say little, or the opposite. The priors are PRIOR, a few documents. Should the classes come out swapped, the one whose
+    labellers vote b more often than the other's is bad.
     """
-    keys = list(patterns)
+    keys = sorted(patterns)
+    if not keys:
+        return {}, np.zeros((2, len(LABELLERS), 3))
     weight = np.array([patterns[k] for k in keys], float)
-    k = len(LABELLERS)
-    vote = np.array([["bg-".index(c) for c in key] for key in keys], int).reshape(len(keys), k)
-    onehot = np.eye(3)[vote]
-    prior = np.full((k + 1, k, 3), [0.1, 2.0, 0.1])
-    prior[0] = [0.1, 5.0, 0.5]
-    prior[np.arange(1, k + 1), np.arange(k)] = [20.0, 0.1, 0.1]
-    alarms = onehot[:, :, 0]
-    own = np.concatenate([(alarms.sum(1, keepdims=True) == 0), alarms], axis=1)
-    own = own / own.sum(1, keepdims=True)
-    rates = np.zeros((k + 1, k, 3))
-    for _ in range(rounds if keys else 0):
-        rates = np.einsum("i,ic,ikv->ckv", weight, own, onehot) + prior
+    onehot = np.eye(3)[[["bg-".index(c) for c in key] for key in keys]]
+    own, other, none = PRIOR
+    prior = np.array([[other, own, none], [own, other, none]])[:, None, :]
+    said = onehot[:, :, :2].sum(1)
+    bad = 1 / (1 + np.exp(1 - 2 * (said[:, 0] - said[:, 1])))
+    for _ in range(rounds):
+        each = np.stack([1 - bad, bad], 1) * weight[:, None]
+        rates = np.einsum("ic,ikv->ckv", each, onehot) + prior
         rates /= rates.sum(2, keepdims=True)
-        share = weight @ own + 1
+        share = each.sum(0) + 1
         logs = np.log(share / share.sum()) + np.einsum("ikv,ckv->ic", onehot, np.log(rates))
-        new = np.exp(logs - logs.max(1, keepdims=True))
-        new /= new.sum(1, keepdims=True)
-        if np.abs(new - own).max() < 1e-9:
+        new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
+        moved, bad = np.abs(new - bad).max(), new
+        if moved < 1e-10:
             break
-        own = new
-    return dict(zip(keys, (1 - own[:, 0]).tolist() if keys else [])), rates
+    if rates[0, :, 0].sum() > rates[1, :, 0].sum():
+        bad, rates = 1 - bad, rates[::-1]
+    return dict(zip(keys, bad.tolist())), rates
+
+
+def accuracies(posterior: dict[str, float], patterns: dict[str, int]) -> list[float]:
+    """How often each labeller is right where it votes, by the posterior."""
+    right, voted = np.zeros(len(next(iter(patterns), ""))), np.zeros(len(next(iter(patterns), "")))
+    for key, n in patterns.items():
+        for k, vote in enumerate(key):
+            if vote != "-":
+                voted[k] += n
+                right[k] += n * (posterior[key] if vote == "b" else 1 - posterior[key])
+    return (right / np.maximum(voted, 1)).tolist()
 
 
 _runs = re.compile(rb"(.)\1+", re.S)
@@ -106,12 +139,13 @@ class Features:
 
 @dataclass
 class Scorer:
-    """Linear scorer: probability that a document is good."""
+    """Linear scorer: probability that a document is good. accuracies: the labellers', by name."""
 
     weights: np.ndarray
     bias: float
     posterior: dict[str, float]
     rates: np.ndarray
+    accuracies: dict[str, float]
 
     def score(self, features: tuple[np.ndarray, np.ndarray]) -> float:
         """Zero for a text without words."""
@@ -140,39 +174,45 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: i
     return weights, bias
 
 
-def fit(docs: DataFrame, sample_rows: int = 8_000) -> tuple[Scorer, DataFrame]:
+def fit(docs: DataFrame, sample_rows: int = 8_000, sample_features: int = 8_000_000) -> tuple[Scorer, DataFrame]:
     """The scorer, and every document's votes (doc_id, votes).
 
     Votes and the labellers' accuracies come from all documents. The linear scorer is trained on at most sample_rows
-    documents, those with the smallest hash of id and text; the bound keeps the driver's part the same at
-    every size. An empty table gives a scorer that keeps what has words.
+    documents with words, those with the smallest hash of id and text, and of these in that order on as many as have sample_features hashed
+    features in all; the bounds keep the driver's part the same at every size. Rows equal in id and text have equal hashes and may be
+    cut between. An empty table, or one of texts without words, gives a scorer that keeps what has words. Null texts have no words.
     """
     stats, _ = materialize(text_stats(docs).select("doc_id", votes().alias("votes")), "votes")
     patterns = {r["votes"]: r["count"] for r in stats.groupBy("votes").count().collect()}
     posterior, rates = estimate(patterns)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text"))
-    last = own.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    known = dict(zip(LABELLERS, accuracies(posterior, patterns)))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
+    last = own.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if last is None:
-        return Scorer(np.zeros(1 << BITS), 0.0, posterior, rates), stats
+        return Scorer(np.zeros(1 << BITS), 0.0, posterior, rates, known), stats
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(0).to_pylist()]
+        for batch in sliced(batches):
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
             got = [features(t) for t in texts]
             numbers = zip(*[counts(t) for t in texts]) if texts else [[]] * len(NAMES)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(n, pa.int64()) for n in numbers), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32()))],
-                [*NAMES, "at", "value"],
+                [batch.column(0), *(pa.array(n, pa.int64()) for n in numbers), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32()))],
+                ["h", *NAMES, "at", "value"],
             )
 
-    sample = own.where(F.xxhash64("doc_id") <= last).select("text")
-    sample = sample.mapInArrow(hashed, f"{SCHEMA}, at array<int>, value array<float>").where("n_words > 0").select(votes().alias("votes"), "at", "value").limit(sample_rows).toArrow()
-    ends = np.cumsum(pc.list_value_length(sample["at"]).to_numpy())[:-1] if len(sample) else []
-    flat = [sample[c].combine_chunks().flatten().to_numpy() for c in ("at", "value")]
-    rows = list(zip(np.split(flat[0], ends), np.split(flat[1], ends)))
-    good = np.array([1 - posterior.get(v, 0.5) for v in sample["votes"].to_pylist()])
-    return Scorer(*train(rows, good), posterior, rates), stats
+    sample = own.where(F.col("h") <= last).select("h", "text").mapInArrow(hashed, f"h long, {SCHEMA}, at array<int>, value array<float>")
+    sample, path = materialize(sample.where("n_words > 0").select("h", votes().alias("votes"), "at", "value"), "classifier-sample")
+    sizes = sorted((r["h"], r["n"]) for r in sample.select("h", F.size("at").alias("n")).collect())[:sample_rows]
+    fits = int(np.searchsorted(np.cumsum([n for _, n in sizes]), sample_features, side="right"))
+    chosen = sample.where(F.col("h") <= sizes[fits - 1][0]).limit(fits).toArrow() if fits else sample.limit(0).toArrow()
+    delete(path)
+    ends = np.cumsum(pc.list_value_length(chosen["at"]).to_numpy())[:-1] if len(chosen) else []
+    flat = [chosen[c].combine_chunks().flatten().to_numpy() for c in ("at", "value")]
+    rows = list(zip(np.split(flat[0], ends), np.split(flat[1], ends))) if len(chosen) else []
+    good = np.array([1 - posterior.get(v, 0.5) for v in chosen["votes"].to_pylist()])
+    return Scorer(*train(rows, good), posterior, rates, known), stats
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
@@ -193,7 +233,8 @@ def score_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) ->
 
 
 def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text scores at least the threshold."""
+    """The rows, with all their columns, whose text scores at least the threshold. A null or empty text scores 0 and goes; repeated rows
+    are scored one by one; nulls in other columns stay; an empty table gives an empty one. A map without shuffle."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

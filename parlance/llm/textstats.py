@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,7 +12,14 @@ from pyspark.sql import functions as F
 
 BLANKS = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
-NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unique", "n_adjacent", "n_upper", "n_exclaims", "n_pipes", "n_digits")
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unique", "n_adjacent", "n_upper", "n_exclaims", "n_pipes", "n_digits", "n_stops", "n_plain", "n_runs")
+#: Words that running text of a language is full of.
+STOPS = {
+    "en": "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ils son mais comme ou si leur y dont elle deux ces été aux même cette nous fait tout on",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta desde",
+}
 SCHEMA = ", ".join(f"{n} long" for n in NAMES)
 
 
@@ -30,11 +38,10 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def counts(text: bytes) -> tuple[int, ...]:
-    """The numbers of NAMES for one text in UTF-8. Words are runs of anything but space, \\t, \\n, \\v, \\f and \\r."""
+    """The numbers of NAMES for one text in UTF-8. Words are runs of anything but space, \\t, \\n, \\v, \\f and \\r; code points are all
+    bytes that begin one, so bytes that are no UTF-8 count too. Plain words are letters and what lies outside ASCII, but for marks at their ends."""
     words = text.split()
-    points = len(text) - sum(map(text.count, BLANKS_EACH))
-    if not text.isascii():
-        points -= len(text) - len(text.decode())
+    points = len(text.translate(None, NOT_POINTS))
     lines = [x for x in text.split(b"\n") if x.strip(BLANKS)]
     return (
         len(words),
@@ -49,10 +56,17 @@ def counts(text: bytes) -> tuple[int, ...]:
         text.count(b"!"),
         text.count(b"|"),
         sum(map(text.count, DIGITS_EACH)),
+        sum(map(STOP_SET.__contains__, words)),
+        sum(1 for w in text.translate(AS_LETTERS).split() if w.strip(MARKS).isalpha()),
+        sum(1 for _ in MARK_RUN.finditer(text)),
     )
 
 
-BLANKS_EACH = [bytes([b]) for b in BLANKS]
+NOT_POINTS = BLANKS + bytes(range(0x80, 0xC0))
+AS_LETTERS = bytes(b if b < 0x80 else 0x61 for b in range(256))
+MARK_RUN = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
+MARKS = b".,;:?!'\"()"
+STOP_SET = frozenset(w.encode() for words in STOPS.values() for w in words.split())
 SYMBOLS_EACH = [bytes([b]) for b in SYMBOLS]
 DIGITS_EACH = [bytes([b]) for b in b"0123456789"]
 
@@ -85,4 +99,8 @@ def shares() -> dict[str, Column]:
         "exclaims": F.col("n_exclaims") / words,
         "pipes": F.col("n_pipes") / words,
         "digits": F.col("n_digits") / words,
+        "stops": F.col("n_stops") / words,
+        "plain": F.col("n_plain") / words,
+        "mark_runs": F.col("n_runs") / words,
+        "richness": F.col("n_unique") / F.sqrt(words),
     }
