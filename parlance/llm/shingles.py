@@ -49,13 +49,19 @@ def row_keys(docs: DataFrame) -> list[Column]:
 
 #: Pairs of one text that one task decides, and members of a bucket that one task holds for one half of its pairs.
 PAIRS, BLOCK = 1_024, 1 << 16
+#: Bins that a set's shared shingles are counted in.
+BINS = 256
 
 
-def reachable(shared_u: np.ndarray, shared_v: np.ndarray, size_u: np.ndarray, size_v: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether two sets can have the similarity, shared_* being how many of a set's shingles occur in any other set at all: their common
-    shingles are among those, so there are at most as many as the lesser count."""
-    common = np.minimum(shared_u, shared_v)
-    return common >= similarity * (size_u + size_v - common) - 1e-9
+def bin_counts(shingles: np.ndarray) -> np.ndarray:
+    return np.bincount((shingles.view(np.uint64) >> np.uint64(5)).astype(np.int64) % BINS, minlength=BINS).astype(np.uint16 if len(shingles) < 1 << 16 else np.uint32)
+
+
+def reachable(held: np.ndarray, one: np.ndarray, size_held: np.ndarray, size_one: int, similarity: float) -> np.ndarray:
+    """Whether sets can have the similarity with one set, by the bin counts of their shingles that occur in any other set at all: two sets' common shingles are
+    among those, and in each bin there are at most as many as the lesser count."""
+    common = np.minimum(held, one[None, :]).sum(1, dtype=np.int64)
+    return common >= similarity * (size_held + size_one - common) - 1e-9
 
 
 def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block: int = BLOCK) -> DataFrame:
@@ -63,9 +69,9 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block
 
     vertices: vertex, n_shingles, bands, __row0, __row1 (a row of docs that has the set). Members of a bucket meet its smallest one, its largest
     one and its hub (whose buckets hold most members: the text that a crowd was copied from, if it is there) first. Only where that leaves a bucket
-    in several components, its members of different ones meet pair by pair, and of these pairs only those are made whose sizes and numbers
-    of shared shingles allow the similarity (see `reachable`): texts edited each in its own way, too far from what they were copied from, have
-    shingles that no other text has, so a crowd of them makes no pairs. No bucket is capped, one of more than `block` members is
+    in several components, its members of different ones meet pair by pair, and of these pairs only those are made whose counts of
+    shared shingles allow the similarity (see `reachable`): texts edited each in its own way lack each its own of the shingles that they were copied
+    with, which shows in the counts, so a crowd of them makes few pairs but those that are near. No bucket is capped, one of more than `block` members is
     dealt to several tasks by pairs of parts, and every pair made is decided by the sets.
     """
     keyed = vertices.select("vertex", "n_shingles", F.explode("bands").alias("key"))
@@ -104,35 +110,47 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block
     left, _ = materialize(rooted.join(mixed, "key"), "mixed-members")
 
     crowd = left.select("vertex").distinct().join(sets, "vertex").select("vertex", F.explode("shingles").alias("shingle"))
-    held = crowd.join(crowd.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "shingle").groupBy("vertex").agg(F.count("*").alias("shared"))
+    shared = crowd.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            own = [np.array(s, np.int64) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([bin_counts(s).astype("<u4").tobytes() for s in own], pa.binary())], ["vertex", "shared", "bins"])
+
+    held = crowd.join(shared, "shingle").groupBy("vertex").agg(F.collect_list("shingle").alias("shingles")).mapInArrow(counted, "vertex long, shared long, bins binary")
+    held, _ = materialize(held, "shared-counts")
     able = left.join(held, "vertex").where(F.col("shared") >= similarity * F.col("n_shingles") - 1e-9)
     parts = able.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "part").alias("a"), F.greatest(o, "part").alias("b")))
-    dealt = able.join(parts, "key").withColumn("part", part).select("key", F.explode(others).alias("p"), "part", "vertex", "n_shingles", "shared", "root")
-    dealt = dealt.select("key", F.col("p.a").cast("long").alias("a"), F.col("p.b").cast("long").alias("b"), F.col("part").cast("long").alias("part"), "vertex", "n_shingles", "shared", "root")
+    dealt = able.join(parts, "key").withColumn("part", part).select("key", F.explode(others).alias("p"), "part", "vertex", "n_shingles", "shared", "root", "bins")
+    dealt = dealt.select("key", F.col("p.a").cast("long").alias("a"), F.col("p.b").cast("long").alias("b"), F.col("part").cast("long").alias("part"), "vertex", "n_shingles", "shared", "root", "bins")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(us: list, vs: list) -> pa.RecordBatch:
             u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
-        group, size, held, us, vs, made = None, 0, np.zeros((5, 64), np.int64), [], [], 0
+        group, size, held, bins, us, vs, made = None, 0, np.zeros((5, 64), np.int64), np.zeros((64, BINS), np.uint32), [], [], 0
         for batch in batches:  # sorted by key, parts, then size
-            for key, a, b, *row in np.stack([c.to_numpy() for c in batch.columns], 1):
+            counts = batch.column(8).to_pylist()
+            for (key, a, b, *row), own in zip(np.stack([c.to_numpy() for c in batch.columns[:8]], 1), counts):
                 if (key, a, b) != group:
-                    group, size, held = (key, a, b), 0, np.zeros((5, 64), np.int64)
+                    group, size = (key, a, b), 0
                 part, vertex, many, shared, root = row
-                now = held[:, :size]
-                near = (now[4] != root) & reachable(now[3], shared, now[2], many, similarity)
+                own, now = np.frombuffer(own, "<u4"), held[:, :size]
+                least = np.minimum(now[3], shared)
+                near = (now[4] != root) & (least >= similarity * (now[2] + many - least) - 1e-9)
                 if a != b:
                     near &= now[0] != part
-                if near.any():
-                    other = now[1][near]
-                    us.append(other), vs.append(np.full(len(other), vertex)), (made := made + len(other))
+                at = np.flatnonzero(near)
+                if len(at):
+                    at = at[reachable(bins[at], own, now[2][at], many, similarity)]
+                if len(at):
+                    us.append(now[1][at]), vs.append(np.full(len(at), vertex)), (made := made + len(at))
                 if size == held.shape[1]:
-                    held = np.concatenate([held, np.zeros_like(held)], 1)
-                held[:, size] = row
+                    held, bins = np.concatenate([held, np.zeros_like(held)], 1), np.concatenate([bins, np.zeros_like(bins)])
+                held[:, size], bins[size] = row, own
                 size += 1
                 if made > 100_000:
                     yield out(us, vs)

@@ -1,6 +1,7 @@
 """Operators over pairs, groups and trees, held against brute force."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -139,13 +140,36 @@ def test_chains_over_several_tiles_stay_connected(spark):
     assert [got[i] for i in range(len(x))] == components(len(x), near.tolist())
 
 
-def test_quantised_bounds_hold():
+@pytest.mark.parametrize("size", [3, 24, 3_000])
+def test_quantised_bounds_hold(size):
+    """Also where code products no longer fit single precision, and with vectors that quantise badly."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(300, 24))
+    x = rng.normal(size=(300, size)) * rng.choice([1, 1, 1e-3, 30], size=(300, size))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = embedding_dedup.quantise(x)
-    upper = embedding_dedup.factors(*q, left=True) @ embedding_dedup.factors(*q, left=False).T
-    assert (upper + 1e-5 >= x @ x.T).all() and (upper - x @ x.T).max() < 0.1
+    assert (embedding_dedup.code_products(q[0], q[0]) == q[0].astype(np.int64) @ q[0].astype(np.int64).T).all()
+    extreme = np.full((2, size), 127, np.int8) * np.array([[1], [-1]], np.int8)
+    assert embedding_dedup.code_products(extreme, extreme).tolist() == [[16129 * size, -16129 * size], [-16129 * size, 16129 * size]]
+    upper = embedding_dedup.upper_bounds(q, q)
+    assert (upper + 1e-12 >= x @ x.T).all() and (upper - x @ x.T).max() < 0.6
+
+
+@pytest.mark.parametrize("strip", [64, 700])
+def test_strips_about_pivots_lose_no_link_and_copy_little(spark, strip):
+    """Clusters, loose vectors and two dimensions, in many strips; a crowd about one pivot takes several."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(30, 12))
+    crowd = centres[0] + rng.normal(size=(400, 12)) * 0.25
+    x = [*crowd, *(np.repeat(centres, 12, 0) + rng.normal(size=(360, 12)) * 0.15), *rng.normal(size=(150, 12)), *rng.normal(size=(60, 3))]
+    near = [(i, j) for i in range(len(x)) for j in range(i) if len(x[i]) == len(x[j]) and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= 0.9]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_links(df, 0.9, strip=strip).collect()}
+    assert [got[i]["component_id"] for i in range(len(x))] == components(len(x), near)
+    assert [got[i]["n_links"] for i in range(len(x))] == np.bincount([i for pair in near for i in pair], minlength=len(x)).tolist()
+    numbered = df.select(F.col("vec_id").alias("vertex"), F.xxhash64("vec_id").alias("class_key"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("x"))
+    pivots = embedding_dedup.Pivots([c.tolist() for c in centres])
+    dealt, _ = embedding_dedup.dealt_to_strips(numbered, pivots, 0.9, 10_000)
+    assert dealt.count() < 0.5 * 31 * len(x)
 
 
 URLS = [
@@ -165,6 +189,33 @@ def test_urls_equal_sql(spark):
     assert (by[2]["host"], by[2]["rule"], by[2]["verdict"]) == ("a.example.org", "example.org/es/", "block") and by[9]["rule"] is None and by[10]["rule"] == "org/"
 
 
+def plain_verdict(url, rules):
+    """Every rule tried on a url, without an index."""
+    host, path = "", ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in re.match(r"[^/?#]*", rest)[0])
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    fits = [(r.listed, r.rank, -i, r) for i, r in enumerate(rules) if re.search(r.pattern, host + path)]
+    best = max(fits, key=lambda x: x[:3])[3] if fits else None
+    return host, path, best.name if best and best.listed else None, best.name if best else None, best.verdict if best else "allow"
+
+
+@pytest.mark.parametrize("most", [url_filters.MAX_RULES, 0])
+def test_every_rule_is_tried_on_every_url_that_it_can_fit(spark, monkeypatch, most):
+    """Urls made of the rules' own words, run together or apart; with the index as a literal and as a table of hot tokens."""
+    monkeypatch.setattr(url_filters, "MAX_RULES", most)
+    monkeypatch.setattr(url_filters, "URLS", 50)
+    rng, words = random.Random(4), "click bait clickbait click-bait cheap pills cheap-pills spam-farm casino free downloads free-download free-downloads adult www example com org en es/ fr de 1 x".split()
+    part = lambda joins: "".join(rng.choice(words) + rng.choice(joins) for _ in range(rng.randrange(1, 4)))
+    urls = [f"http://{part(['.', '-', ''])}{rng.choice(['com', 'org', 'example.org', 'Example.ORG'])}/{part(['/', '-', '_', '.', ''])}" for _ in range(3_000)]
+    urls += ["http://clickbait.com/a", None, "", "no scheme", "://", "http://CLICKBAIT.com/adult"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filters.filter_urls(df).collect()}
+    assert got == {i: plain_verdict(u, url_filters.RULES) for i, u in enumerate(urls)}
+    assert {"click-bait", "free-download", "example.org/es/", "com/de/", "casino"} <= {v[3] for v in got.values()}
+
+
 @pytest.mark.parametrize("mixture", [mixing.Mixture(), mixing.Mixture(percent=300, max_epochs=2), mixing.Mixture(percent=10, weights={"domain": {"crawl": 0, "reference": 1}, "lang": {"en": 3}, "source": {"src3": 9}}), mixing.Mixture(percent=0)])
 def test_mixing_equals_sql(spark, hard, mixture):
     rng = random.Random(6)
@@ -198,18 +249,31 @@ def test_chat_round_trip_equals_sql(spark, tmp_path):
     got = catalogue.op1_chat_formatting(spark, str(tmp_path)).collect()
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
-    want = con.sql(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples FROM ({chat_format.ORACLE})").fetchall()
+    want = con.sql(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, contexts_sha256 FROM ({chat_format.ORACLE})").fetchall()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    turns = spark.read.parquet(str(tmp_path / "conversations.parquet"))
+    empty = chat_format.read_back(chat_format.prefix_targets(turns.limit(0)))
+    assert empty.count() == 0 and chat_format.expand(chat_format.prefix_targets(turns.limit(0))).count() == 0
 
 
-def test_chat_examples_have_all_turns_before_them(spark):
-    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} [INST]") for t in range(9)]
+@pytest.mark.parametrize("block", [256, 2])
+def test_chat_examples_have_all_turns_before_them(spark, block):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} [INST]") for c in (1, None) for t in range(9)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     pieces = chat_format.prefix_targets(turns, chunk=4)
-    got = {r["example"]: r for r in chat_format.expand(pieces).collect()}
-    assert len(got) == 4
-    for k, r in got.items():
-        assert r["text"].count(chat_format.TURN) == 2 * k + 2
-        assert r["text"][r["loss_start"] : r["loss_end"]] == f"turn {2 * k + 1} [\\INST]" and r["text"].endswith(chat_format.END)
-    assert all(r["text"] is None for r in chat_format.expand(pieces, max_chars=3).collect())
-    assert chat_format.prefix_targets(turns.limit(0)).count() == 0
+    parts = {}
+    for r in chat_format.expand(pieces, block).orderBy("part").collect():
+        parts.setdefault((r["conv_id"], r["example"]), []).append(r)
+    assert set(parts) == {(c, k) for c in (1, None) for k in range(4)}
+    for (_, k), own in parts.items():
+        text = "".join(r["text"] for r in own)
+        assert [r["part"] for r in own] == list(range(2 * k + 2)) and text.count(chat_format.TURN) == 2 * k + 2 and [r["trainable"] for r in own] == [False] * (2 * k + 1) + [True]
+        assert text[own[0]["loss_start"] : own[0]["loss_end"]] == f"turn {2 * k + 1} [\\INST]" and text.endswith(chat_format.END)
+
+
+@pytest.mark.parametrize("wrong", [{"context_chars": 1000}, {"loss_start": 1}, {"loss_end": -1}, {"context_chars": 1000, "loss_start": 1000, "loss_end": 1000}])
+def test_a_wrong_prefix_changes_what_is_read_back(spark, wrong):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(6)]
+    pieces = chat_format.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    right = chat_format.read_back(pieces).first()
+    assert right != chat_format.read_back(pieces.withColumns({c: F.col(c) + by for c, by in wrong.items()})).first()
