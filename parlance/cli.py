@@ -1,6 +1,7 @@
-"""Command line: train, parse, generate-dataset, cross-validate.
+"""Command line: train, parse, generate-dataset, cross-val-metrics, train-test-metrics, version.
 
-python -m parlance.cli train DATASET.json MODEL; parse MODEL -q "a sentence" ...; generate-dataset LANG FILE.yaml ...
+python -m parlance.cli train DATASET.json MODEL; parse MODEL -q "a sentence" ...; generate-dataset LANG FILE.yaml ...;
+cross-val-metrics DATASET.json REPORT.json; train-test-metrics TRAIN.json TEST.json REPORT.json
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pathlib import Path
 
 from parlance.plans.config import EngineConfig
 from parlance.sources.dataset import Dataset
+from parlance.sources.resources import load
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,10 +25,33 @@ def parser() -> argparse.ArgumentParser:
     parse.add_argument("model"), parse.add_argument("-q", "--query", action="append"), parse.add_argument("-f", "--intents", help="comma-separated")
     make = sub.add_parser("generate-dataset", help="YAML files to the JSON form")
     make.add_argument("language"), make.add_argument("files", nargs="+")
+    cross = sub.add_parser("cross-val-metrics", help="cross-validate on a dataset")
+    cross.add_argument("dataset"), cross.add_argument("report"), cross.add_argument("-n", "--folds", type=int, default=5), cross.add_argument("-t", "--train-ratio", type=float, default=1.0)
+    tested = sub.add_parser("train-test-metrics", help="fit on one dataset and test on another")
+    tested.add_argument("train"), tested.add_argument("test"), tested.add_argument("report")
+    for command in (cross, tested):
+        command.add_argument("-c", "--config"), command.add_argument("-s", "--exclude-slot-metrics", action="store_true"), command.add_argument("-i", "--include-errors", action="store_true")
+    for command in (train, parse, cross, tested):
+        command.add_argument("-v", "--verbose", action="store_true", help="log what Spark warns of")
+        command.add_argument("-r", "--resources", help="folder of a language's resources")
     sub.add_parser("version")
     return top
 
 
+def shown(report, slots: bool, errors: bool) -> str:
+    """A report as JSON: metrics of intents, their slots and the confusion matrix."""
+    numbers = lambda r: {k: r[k] for k in r.asDict() if k not in ("class", "intent", "slot_name")}
+    intents = {r["class"]: numbers(r) for r in report.intents.collect()}
+    out = {"average_metrics": intents.pop(None, {}), "metrics": {name: {"intent": of} for name, of in sorted(intents.items())}}
+    if slots:
+        for r in report.slots.collect():
+            out["metrics"].setdefault(r["intent"], {}).setdefault("slots", {})[r["slot_name"]] = numbers(r)
+    out["confusion_matrix"] = [r.asDict() for r in report.confusion.orderBy("actual", "predicted").collect()]
+    if errors:
+        out["parsing_errors"] = [r.asDict() for r in report.errors.orderBy("id").collect()]
+    return json.dumps(out, indent=2, sort_keys=True, ensure_ascii=False)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "version":
@@ -41,11 +66,24 @@ def main(argv: list[str] | None = None) -> int:
     from parlance.session import build_session
 
     spark = build_session()
+    spark.sparkContext.setLogLevel("WARN" if args.verbose else "ERROR")
+    config = EngineConfig.from_json(Path(args.config).read_text()) if getattr(args, "config", None) else EngineConfig()
+    held = load(spark, args.resources, {kind: sorted(names) for kind, names in config.resources().items()}) if args.resources else {}
+    dataset = lambda path: Dataset.from_json(Path(path).read_text())
     if args.command == "train":
-        config = EngineConfig.from_json(Path(args.config).read_text()) if args.config else EngineConfig()
         if args.seed is not None:
             config = EngineConfig(config.parsers, args.seed, config.longest_value)
-        IntentEngine(spark, config).fit(Dataset.from_json(Path(args.dataset).read_text())).save(args.model)
+        IntentEngine(spark, config, held).fit(dataset(args.dataset)).save(args.model)
+        return 0
+    if args.command in ("cross-val-metrics", "train-test-metrics"):
+        from parlance.plans import evaluation
+
+        fit = evaluation.engine_fit(spark, config, held)
+        if args.command == "cross-val-metrics":
+            report = evaluation.cross_validate(spark, dataset(args.dataset), fit, args.folds, args.train_ratio, config.seed)
+        else:
+            report = evaluation.train_test(spark, dataset(args.train), dataset(args.test), fit)
+        Path(args.report).write_text(shown(report, not args.exclude_slot_metrics, args.include_errors))
         return 0
     model = IntentEngineModel.load(spark, args.model)
     said = args.query or [line.rstrip("\n") for line in sys.stdin]

@@ -15,6 +15,8 @@ SYMBOLS = "$%!?&"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 TOKEN = r"[\p{L}\p{N}_]+|[$%!?&]"
+#: A placeholder of an entity, as `placeholder` writes it.
+MARK = r"%\p{Lu}[\p{Lu}\p{Lo}\p{N}_]*%"
 IS_TOKEN = r"^[\p{L}\p{N}_$%!?&]"
 PIECE = r"[\p{L}\p{N}_]+|[$%!?&]|[^\p{L}\p{N}_$%!?&]+"
 

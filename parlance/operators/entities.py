@@ -86,6 +86,23 @@ def gazetteer(values: DataFrame) -> DataFrame:
     return made.groupBy("kind", "norm", "n_tokens").agg(F.min("resolved").alias("resolved"))
 
 
+def with_parts(entries: DataFrame, strictness: DataFrame) -> DataFrame:
+    """entries (kind, norm, n_tokens, resolved) and, of kinds whose strictness (kind, strictness) is below one, the runs of tokens in them that have at least
+    that share of an entry's tokens, so that a text matches with a part of an entry.
+
+    An entry's own form stays its own; a run that several entries have stands for the one of which it is the largest share, then the first resolved value.
+    """
+    loose = entries.join(strictness.where("strictness < 1"), "kind")
+    words, n = F.split("norm", " "), F.col("n_tokens")
+    least = F.greatest(F.lit(1), F.ceil(F.col("strictness") * n - 1e-9).cast("int"))
+    sizes = F.when(least < n, F.sequence(least, n - 1)).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda a: F.struct(F.array_join(F.slice(words, a, k), " ").alias("norm"), k.alias("n_tokens"), (k / n).alias("share")))))
+    cut = loose.select("kind", "resolved", F.explode(runs).alias("r")).select("kind", "r.norm", "r.n_tokens", "r.share", "resolved")
+    best = cut.groupBy("kind", "norm", "n_tokens").agg(F.min(F.struct(-F.col("share"), "resolved")).alias("x")).select("kind", "norm", "n_tokens", "x.resolved")
+    own = entries.select("kind", "norm", "n_tokens", "resolved")
+    return own.unionByName(best.join(own.select("kind", "norm"), ["kind", "norm"], "left_anti"))
+
+
 def entry_lengths(entries: DataFrame) -> list[int]:
     """How many tokens entries have: a dictionary's few lengths, so that only n-grams of those lengths are looked up, and none is missed."""
     return sorted(r["n_tokens"] for r in entries.select("n_tokens").distinct().collect())

@@ -22,6 +22,17 @@ def precision_recall(matrix: DataFrame) -> DataFrame:
     return summed.select("class", tp.cast("long").alias("true_positive"), fp.cast("long").alias("false_positive"), fn.cast("long").alias("false_negative"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+#: What `rated` gives for each row of counts.
+RATED = ("true_positive", "false_positive", "false_negative", "precision", "recall", "f1")
+
+
+def rated(counts: DataFrame) -> DataFrame:
+    """counts (true_positive, false_positive, false_negative) with precision, recall and f1, zero where there is nothing to divide by."""
+    tp, fp, fn = (F.col(c) for c in RATED[:3])
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+
+
 def slot_counts(found: DataFrame, truth: DataFrame) -> DataFrame:
     """slot_name, true_positive, false_positive, false_negative by trimmed raw values. Both: id, slot_name, raw_value."""
     a = found.select("id", "slot_name", F.trim("raw_value").alias("raw_value")).distinct().withColumn("found", F.lit(1))

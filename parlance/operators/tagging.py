@@ -22,8 +22,8 @@ def encode(tokens: DataFrame, spans: DataFrame, keys: list[str], scheme: str) ->
     return held.select(*keys, "i", tag.alias("tag"), "s", "e")
 
 
-def starts(tag: Column, before: Column, after: Column, scheme: str) -> Column:
-    """Whether a slot begins at a token. before and after: the neighbours' tags, O at the ends."""
+def starts(tag: Column, before: Column, scheme: str) -> Column:
+    """Whether a slot begins at a token. before: the tag of the token before, O at the start."""
     inside = tag != "O"
     if scheme == "IO":
         return inside & (before == "O")
@@ -34,17 +34,33 @@ def starts(tag: Column, before: Column, after: Column, scheme: str) -> Column:
     raise ValueError(f"unknown tagging scheme {scheme!r}")
 
 
+def ends(tag: Column, after: Column, scheme: str) -> Column:
+    """Whether a slot ends at a token: the next one, O at the end, is outside or begins another."""
+    inside = tag != "O"
+    if scheme == "IO":
+        return inside & (after == "O")
+    if scheme == "BIO":
+        return inside & ((after == "O") | after.startswith("B-"))
+    if scheme == "BILOU":
+        return inside & ((after == "O") | after.startswith("B-") | after.startswith("U-") | tag.startswith("L-") | tag.startswith("U-"))
+    raise ValueError(f"unknown tagging scheme {scheme!r}")
+
+
 def decode(tags: DataFrame, keys: list[str], scheme: str) -> DataFrame:
     """keys, slot_name, s, e: gaps and islands over the tags; a span has the name of its last tag."""
     by = W.partitionBy(*keys).orderBy("i")
-    before, after = F.coalesce(F.lag("tag").over(by), F.lit("O")), F.coalesce(F.lead("tag").over(by), F.lit("O"))
-    begun = tags.withColumn("begins", starts(F.col("tag"), before, after, scheme).cast("int"))
+    before = F.coalesce(F.lag("tag").over(by), F.lit("O"))
+    begun = tags.withColumn("begins", starts(F.col("tag"), before, scheme).cast("int"))
     numbered = begun.withColumn("island", F.sum("begins").over(by)).where("tag <> 'O'")
     return numbered.groupBy(*keys, "island").agg(F.expr("substring(max_by(tag, i), 3)").alias("slot_name"), F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
-def keyword_slots(tokens: DataFrame, keywords: DataFrame, keys: list[str], lowercase: bool = False) -> DataFrame:
-    """keys, s, e, value, entity, slot_name of tokens that are keywords. keywords: keyword, entity, slot_name, ord; the last one wins."""
-    last = keywords.groupBy("keyword").agg(F.max_by("entity", "ord").alias("entity"), F.max_by("slot_name", "ord").alias("slot_name"))
+def keyword_slots(tokens: DataFrame, keywords: DataFrame, keys: list[str], lowercase: bool = False, on: list[str] | None = None) -> DataFrame:
+    """keys, s, e, value, entity, slot_name of tokens that are keywords. keywords: keyword, entity, slot_name, ord; the last one wins.
+
+    on: further columns, such as the intent, in which tokens and keywords must agree.
+    """
+    on = on or []
+    last = keywords.groupBy("keyword", *on).agg(F.max_by("entity", "ord").alias("entity"), F.max_by("slot_name", "ord").alias("slot_name"))
     word = F.lower("value") if lowercase else F.col("value")
-    return tokens.withColumn("keyword", word).join(last, "keyword").select(*keys, "s", "e", "value", "entity", "slot_name")
+    return tokens.withColumn("keyword", word).join(last, ["keyword", *on]).select(*keys, "s", "e", "value", "entity", "slot_name")

@@ -3,121 +3,65 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance import __version__
-from parlance.errors import ExistsError, NotFittedError, UnknownIntentError, VersionError
-from parlance.functions import text
-from parlance.operators import classifier, crf, entities, parsers, sampling, tagging, variations
+from parlance.errors import ExistsError, UnknownIntentError, VersionError
+from parlance.operators import classifier, entities, lexicon, parsers, variations
 from parlance.plans.config import EngineConfig
+from parlance.plans.plugins import PARSERS, IntentParser
+from parlance.plans.units import Prepared, Training, find_entities, small
 from parlance.sources.dataset import Dataset
 
-#: Stop words of English that a parser may be told to ignore, and filler for noise.
-STOP_WORDS = "a an the of to in on at for and or is are be it this that with from by as me my you your i we please can could would will do does".split()
-NOISE = "time people way water words day part number sound work place years back thing name sentence man line boy follow form small end put home hand large big even land here must high such act ask men change light kind off need house picture try us again animal point mother world near build self earth father".split()
+#: Stop words of English, for parsers that are told to ignore them and have no resource.
+STOP_WORDS = {"en": "a an the of to in on at for and or is are be it this that with from by as me my you your i we please can could would will do does".split()}
 SLOT = "struct<start:long,end:long,raw_value:string,resolved:string,entity:string,slot_name:string>"
-
-
-@dataclass
-class Tables:
-    """What fit makes: small tables, as large as the dataset and its dictionary."""
-
-    intents: DataFrame  # intent
-    entities: DataFrame  # entity, extensible, strictness
-    entries: DataFrame  # kind, norm, n_tokens, resolved
-    lookup: DataFrame  # key, intent, slot_names, n_slots
-    patterns: DataFrame  # intent, ord, pattern, first
-    slot_entities: DataFrame  # intent, slot_name, entity
-    weights: DataFrame  # intent, term, weight
-    idf: DataFrame  # term, idf
-    intercepts: DataFrame  # intent, b
-    chain: DataFrame  # intent, feature, prev, tag, weight
+#: The tables that all units share, by name.
+SHARED = {"intents": "intent string", "entities": "entity string, extensible boolean, strictness double", "entries": "kind string, norm string, n_tokens int, resolved string"}
+RESOURCE = {"stop_words": "word string", "noise": "ord long, word string", "stems": "form string, stem string", "gazetteers": "value string", "word_clusters": "word string, cluster string"}
 
 
 class IntentEngine:
-    """Estimator: `fit(dataset)` gives an IntentEngineModel."""
+    """Estimator: `fit(dataset)` gives an IntentEngineModel. resources: a language's tables by kind and name, as `sources.resources.load` gives them."""
 
-    def __init__(self, spark: SparkSession, config: EngineConfig | None = None) -> None:
-        self.spark, self.config = spark, config or EngineConfig()
+    def __init__(self, spark: SparkSession, config: EngineConfig | None = None, resources: dict[str, dict[str, DataFrame]] | None = None) -> None:
+        self.spark, self.config, self.resources = spark, config or EngineConfig(), resources or {}
 
     def fit(self, dataset: Dataset) -> IntentEngineModel:
-        """Keys, patterns, dictionary and models of a dataset. It is small; what is made of it is too."""
+        """Dictionary and units of a dataset. It is small; what is made of it is too."""
+        training = self.training(dataset)
+        units = [PARSERS.by_name(p.unit)(p).fit(training) for p in self.config.parsers]
+        frames = dataset.frames(self.spark)
+        tables = {"intents": small(frames["texts"].select("intent").distinct()), "entities": frames["entities"], "entries": training.entries}
+        return IntentEngineModel(self.spark, self.config, dataset.language, tables, units, training.required(self.config.resources()))
+
+    def training(self, dataset: Dataset) -> Training:
         dataset.validate()
-        spark, config = self.spark, self.config
-        frames = dataset.frames(spark)
+        spark, frames = self.spark, dataset.frames(self.spark)
         texts, slots = frames["texts"], frames["slots"]
-        surfaces = _small(variations.expand_surfaces(variations.synonym_surfaces(frames["surfaces"]), dataset.language))
-        entries = _small(entities.gazetteer(surfaces.select(F.col("entity").alias("kind"), "surface", "resolved")))
-        trained = _small(parsers.training_keys(texts, slots).join(texts.select("id", "intent"), "id"))
-        mapping = slots.groupBy("intent", "slot_name").agg(F.max_by("entity", F.struct("id", "n")).alias("entity"))
-        unit = {p.unit: p for p in config.parsers}
-        pattern = unit.get("pattern")
-        patterns = parsers.build_patterns(trained, pattern.max_queries, pattern.max_pattern_length) if pattern else parsers.build_patterns(trained)
-        empty = spark.createDataFrame
-        weights, idf, intercepts = empty([], "intent string, term string, weight double"), empty([], "term string, idf double"), empty([], "intent string, b double")
-        chain = empty([], "intent string, feature string, prev string, tag string, weight double")
-        if "probabilistic" in unit:
-            c = unit["probabilistic"]
-            made_texts, made_slots = self._augment(trained, slots, surfaces, c.slot_filler.min_utterances)
-            made_texts, made_slots = _small(made_texts), _small(made_slots)
-            matches = _small(find_entities(made_texts, entries, config.longest_value))
-            mean = made_texts.count() / max(1, texts.select("intent").distinct().count())
-            noise = sampling.noise(spark.range(int(min(c.classifier.noise_factor * mean, 500))).select(F.col("id").alias("i")), empty(list(enumerate(NOISE)), "ord long, word string"), 5.0, 2.0, config.seed)
-            noise = _small(noise.select((-1 - F.col("i")).alias("id"), F.col("noise").alias("text")))
-            model = classifier.fit(spark, made_texts, matches, noise, c.classifier.noise_reweight_factor)
-            weights, idf, intercepts = model.weights, model.idf, model.intercepts
-            feats = crf.token_features(made_texts, matches, drop_out=c.slot_filler.entity_drop_out, seed=config.seed)
-            tags = tagging.encode(text.tokens(made_texts.select("id", "text"), ["id"]), made_slots.select("id", "slot_name", "s", "e"), ["id"], c.slot_filler.tagging_scheme)
-            chain = crf.fit(feats.join(tags.select("id", "i", "tag"), ["id", "i"]).join(made_texts.select("id", "intent"), "id"), c.slot_filler.c1, c.slot_filler.c2)
-        tables = Tables(texts.select("intent").distinct(), frames["entities"], entries, parsers.build_lookup(trained, slots), patterns, mapping, weights, idf, intercepts, chain)
-        held = Tables(**{k: _small(v) for k, v in vars(tables).items()})
-        return IntentEngineModel(spark, config, dataset.language, held)
-
-    def _augment(self, trained: DataFrame, slots: DataFrame, surfaces: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-        """texts (id, intent, text) and slots (id, n, slot_name, entity, s, e): templates in turn with shuffled values in their slots."""
-        named = slots.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "slot_name", "entity"))), lambda x: F.struct(x["slot_name"], x["entity"])).alias("named"))
-        t = trained.join(named, "id", "left")
-        by = W.partitionBy("intent")
-        t = t.withColumn("k", F.row_number().over(by.orderBy(sampling.order(self.config.seed, F.col("id")))) - 1).withColumn("n", F.count("*").over(by))
-        many = t.select("intent", "n").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(least)).cast("int") - 1)))
-        rows = many.withColumn("k", F.pmod("i", "n")).join(t.drop("n"), ["intent", "k"]).withColumn("id", F.abs(F.xxhash64("intent", "i")))
-        values = surfaces.select("entity", F.col("surface").alias("value")).unionByName(slots.select("entity", F.col("raw_value").alias("value"))).distinct()
-        values = sampling.shuffled(values, ["entity"], "value", self.config.seed).withColumnsRenamed({"k": "vk", "n": "vn"})
-        sizes = values.select("entity", "vn").distinct()
-        parts = rows.select("id", "intent", "i", F.split("rewritten", "%[A-Z0-9]+%", -1).alias("gaps"), F.posexplode_outer("named").alias("p", "slot"))
-        drawn = parts.withColumn("entity", F.col("slot.entity")).join(sizes, "entity", "left").withColumn("vk", F.pmod(F.col("i") * 7 + F.col("p"), "vn"))
-        drawn = drawn.join(values.select("entity", "vk", "value"), ["entity", "vk"], "left")
-        cut = drawn.withColumn("gap", F.element_at("gaps", F.coalesce("p", F.lit(0)) + 1)).withColumn("chars", F.length("gap") + F.coalesce(F.length("value"), F.lit(0)))
-        before = W.partitionBy("id").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-        placed = cut.withColumn("s", F.coalesce(F.sum("chars").over(before), F.lit(0)) + F.length("gap")).withColumn("e", F.col("s") + F.length("value"))
-        joined = placed.groupBy("id", "intent").agg(F.array_sort(F.collect_list(F.struct("p", F.concat("gap", F.coalesce("value", F.lit(""))).alias("t")))).alias("ts"), F.first("gaps").alias("gaps"), F.count("p").alias("np"))
-        tail = F.when(F.col("np") > 0, F.element_at("gaps", -1)).otherwise("")
-        texts = joined.select("id", "intent", F.concat(F.array_join(F.transform("ts", lambda x: x["t"]), ""), tail).alias("text"))
-        made = placed.where("slot IS NOT NULL").select("id", F.col("p").alias("n"), "slot.slot_name", "entity", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
-        return texts, made
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A table of a dataset's size, computed once and held as rows of the plan itself."""
-    return df.sparkSession.createDataFrame(df.toArrow())
-
-
-def find_entities(texts: DataFrame, entries: DataFrame, longest: int) -> DataFrame:
-    """id, kind, s, e, value, resolved of builtin entities and dictionary entries."""
-    builtin = entities.builtin_matches(texts, ["id"]).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
-    return builtin.unionByName(entities.gazetteer_matches(texts, ["id"], entries, longest))
+        surfaces = small(variations.expand_surfaces(variations.synonym_surfaces(frames["surfaces"]), dataset.language))
+        full = entities.gazetteer(surfaces.select(F.col("entity").alias("kind"), "surface", "resolved"))
+        strict = frames["entities"].select(F.col("entity").alias("kind"), "strictness")
+        entries = small(entities.with_parts(full, strict).select(*(c.split()[0] for c in SHARED["entries"].split(", "))))
+        trained = small(parsers.training_keys(texts, slots).join(texts.select("id", "intent"), "id"))
+        stops = spark.createDataFrame([(w,) for w in STOP_WORDS.get(dataset.language, [])], "word string")
+        if "stop_words" in self.resources:
+            stops = next(iter(self.resources["stop_words"].values()))
+        used = slots.select("intent", "entity").distinct().join(surfaces, "entity").select("intent", F.col("surface").alias("value"))
+        each = lexicon.intent_stop_words(texts.select("intent"), stops, lexicon.whitelist(used, stops))
+        by_intent = small(each.groupBy("intent").agg(F.array_sort(F.collect_set("word")).alias("words")))
+        return Training(spark, self.config, dataset.language, texts, slots, surfaces, entries, trained, by_intent, self.resources)
 
 
 class IntentEngineModel:
     """A fitted engine. Every method takes a DataFrame with id (long) and text; a batch is parsed as a whole, never row by row."""
 
-    def __init__(self, spark: SparkSession, config: EngineConfig, language: str, tables: Tables) -> None:
-        self.spark, self.config, self.language, self.tables = spark, config, language, tables
-        self._taggers = None
+    def __init__(self, spark: SparkSession, config: EngineConfig, language: str, tables: dict[str, DataFrame], units: list[IntentParser], resources: dict[str, dict[str, DataFrame]]) -> None:
+        self.spark, self.config, self.language, self.tables, self.units, self.resources = spark, config, language, tables, units, resources
+        self._lengths = None
         self._held: list[DataFrame] = []
 
     def _hold(self, df: DataFrame) -> DataFrame:
@@ -130,115 +74,96 @@ class IntentEngineModel:
         while self._held:
             self._held.pop().unpersist()
 
-    def taggers(self) -> dict[str, crf.Tagger]:
-        if self._taggers is None:
-            self._taggers = crf.taggers(self.tables.chain.collect())
-        return self._taggers
-
     def _scope(self, intents: list[str] | None) -> list[str] | None:
         if intents:
-            known = {r["intent"] for r in self.tables.intents.collect()}
+            known = {r["intent"] for r in self.tables["intents"].collect()}
             for name in intents:
                 if name not in known:
                     raise UnknownIntentError(name)
         return intents
 
-    def _prepared(self, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    def prepare(self, texts: DataFrame) -> Prepared:
+        """Texts with the entities found in them; a null text is empty."""
+        if self._lengths is None:
+            known = entities.entry_lengths(self.tables["entries"])
+            self._lengths = [n for n in known if self.config.longest_value is None or n <= self.config.longest_value] or [1]
         texts = texts.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-        matches = self._hold(find_entities(texts, self.tables.entries, self.config.longest_value))
-        rewritten, ranges = entities.replace_with_placeholders(texts, entities.keep_longest(matches, ["id"]), ["id"])
-        return texts, matches, self._hold(rewritten), self._hold(ranges)
-
-    def _stage(self, unit: str, prepared: tuple, intents: list[str] | None) -> DataFrame:
-        """id, intent, probability, stage name: every candidate intent of one parser."""
-        texts, matches, rewritten, ranges = prepared
-        keep = (lambda df: df.where(F.col("intent").isNull() | F.col("intent").isin(*intents))) if intents else (lambda df: df)
-        if unit == "lookup":
-            hit = parsers.lookup_parse(rewritten, ranges, self.tables.lookup, ["id"]).groupBy("id", "intent").agg(F.count("slot_name").alias("n_slots"))
-            return parsers.reweight(keep(hit)).select("id", "intent", "probability", F.lit(unit).alias("unit"))
-        if unit == "pattern":
-            return parsers.reweight(keep(parsers.pattern_parse(rewritten, self.tables.patterns))).select("id", "intent", "probability", F.lit(unit).alias("unit"))
-        if unit == "probabilistic":
-            model = classifier.Classifier(self.tables.weights, self.tables.idf, self.tables.intercepts)
-            return keep(model.scores(texts, classifier.terms(texts, matches))).select("id", "intent", "probability", F.lit(unit).alias("unit"))
-        raise NotFittedError(unit)
-
-    def _slots(self, prepared: tuple, chosen: DataFrame) -> DataFrame:
-        """id, intent, slot_name, entity, s, e, raw_value of the chosen (id, intent, unit)."""
-        texts, matches, rewritten, ranges = prepared
-        looked = parsers.lookup_parse(rewritten, ranges, self.tables.lookup, ["id"]).where("slot_name IS NOT NULL")
-        looked = looked.join(chosen.where("unit <> 'probabilistic'").select("id", "intent"), ["id", "intent"], "left_semi").select("id", "intent", "slot_name", F.col("kind").alias("entity"), "s", "e", F.col("value").alias("raw_value"))
-        asked = chosen.where("unit = 'probabilistic' AND intent IS NOT NULL").select("id", "intent")
-        feats = crf.token_features(texts.join(asked, "id", "left_semi"), matches.join(asked, "id", "left_semi"))
-        rows = feats.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "s", "e", "features"))).alias("tokens")).join(asked, "id").select("id", "intent", "tokens")
-        unit = next((p for p in self.config.parsers if p.unit == "probabilistic"), None)
-        spans = tagging.decode(crf.decode(rows, self.taggers()), ["id"], unit.slot_filler.tagging_scheme) if unit else None
-        if spans is None:
-            return looked
-        raw = F.substring(F.col("text"), F.col("s").cast("int") + 1, (F.col("e") - F.col("s")).cast("int"))
-        filled = spans.join(asked, "id").join(self.tables.slot_entities, ["intent", "slot_name"]).join(texts, "id").select("id", "intent", "slot_name", "entity", "s", "e", raw.alias("raw_value"))
-        return looked.unionByName(filled)
-
-    def _resolved(self, prepared: tuple, chosen: DataFrame) -> DataFrame:
-        """id, intent, probability, slots of the chosen rows."""
-        extensible = self.tables.entities.select("entity", F.col("extensible").alias("yes"))
-        raw = self._hold(self._slots(prepared, chosen))
-        found = parsers.resolve_slots(raw.withColumn("id0", F.col("id")), prepared[1], self.tables.entries, extensible).join(raw.select("id", "intent", "slot_name", "s").distinct(), ["id", "slot_name", "s"])
+        return Prepared(texts, self._hold(find_entities(texts, self.tables["entries"], self._lengths)), self.resources)
+
+    def _resolved(self, prepared: Prepared, chosen: DataFrame) -> DataFrame:
+        """id, intent, probability, slots of the chosen (id, intent, probability, unit: its place in the cascade, null for none)."""
+        raw = None
+        for k, unit in enumerate(self.units):
+            own = unit.slots(prepared, chosen.where(F.col("unit") == k).select("id", "intent"))
+            raw = own if raw is None else raw.unionByName(own)
+        return self._with_slots(prepared, chosen, raw)
+
+    def _with_slots(self, prepared: Prepared, chosen: DataFrame, raw: DataFrame) -> DataFrame:
+        extensible = self.tables["entities"].select("entity", F.col("extensible").alias("yes"))
+        found = parsers.resolve_slots(raw, prepared.matches, self.tables["entries"], extensible)
         listed = found.groupBy("id", "intent").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), "raw_value", "resolved", "entity", "slot_name"))).alias("slots"))
-        joined = chosen.alias("c").join(listed.alias("l"), (F.col("c.id") == F.col("l.id")) & F.col("c.intent").eqNullSafe(F.col("l.intent")), "left")
-        return joined.select("c.id", "c.intent", "c.probability", F.coalesce("l.slots", F.array().cast(f"array<{SLOT}>")).alias("slots"))
+        joined = chosen.join(listed, ["id", "intent"], "left")
+        return joined.select("id", "intent", "probability", F.coalesce("slots", F.array().cast(f"array<{SLOT}>")).alias("slots"))
 
     def parse(self, texts: DataFrame, intents: list[str] | None = None) -> DataFrame:
-        """id, input, intent (null for none), probability, slots. The first parser with an intent above one half decides."""
+        """id, input, intent (null for none), probability, slots. The first parser that is sure enough of an intent decides."""
         intents = self._scope(intents)
-        prepared = self._prepared(texts)
-        out, left = None, prepared[0].select("id")
-        for unit in (p.unit for p in self.config.parsers):
-            best = classifier.best(self._stage(unit, prepared, intents)).where("intent IS NOT NULL AND probability > 0.5")
-            own = self._hold(best.join(left, "id", "left_semi").select("id", "intent", "probability", F.lit(unit).alias("unit")))
+        prepared = self.prepare(texts)
+        out, left = None, prepared.texts.select("id")
+        for k, unit in enumerate(self.units):
+            best = classifier.best(unit.candidates(prepared, intents)).where(F.col("intent").isNotNull() & (F.col("probability") > unit.threshold))
+            own = self._hold(best.join(left, "id", "left_semi").select("id", "intent", "probability", F.lit(k).alias("unit")))
             left = left.join(own.select("id"), "id", "left_anti")
             out = own if out is None else out.unionByName(own)
-        none = left.select("id", F.lit(None).cast("string").alias("intent"), F.lit(1.0).alias("probability"), F.lit("none").alias("unit"))
+        none = left.select("id", F.lit(None).cast("string").alias("intent"), F.lit(1.0).alias("probability"), F.lit(None).cast("int").alias("unit"))
         done = self._resolved(prepared, out.unionByName(none) if out is not None else none)
-        return done.join(prepared[0], "id").select("id", F.col("text").alias("input"), "intent", "probability", "slots")
+        return done.join(prepared.texts, "id").select("id", F.col("text").alias("input"), "intent", "probability", "slots")
 
     def parse_top(self, texts: DataFrame, top_n: int, intents: list[str] | None = None) -> DataFrame:
         """id, rank (from 1), intent, probability, slots of the n best intents over all parsers."""
         if top_n < 1:
             raise ValueError("top_n must be at least 1")
-        prepared = self._prepared(texts)
-        order = {p.unit: k for k, p in enumerate(self.config.parsers)}
-        stages = [self._stage(u, prepared, self._scope(intents)).withColumn("k", F.lit(k)) for u, k in order.items()]
-        every = stages[0]
-        for s in stages[1:]:
-            every = every.unionByName(s)
-        every = every.where("intent IS NOT NULL").groupBy("id", "intent").agg(F.max("probability").alias("probability"), F.max_by("unit", F.struct("probability", -F.col("k"))).alias("unit"))
-        ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("probability"), "intent"))).where(F.col("rank") <= top_n)
-        return self._resolved(prepared, ranked.select("id", "intent", "probability", "unit")).join(ranked.select("id", "intent", "rank"), ["id", "intent"]).select("id", "rank", "intent", "probability", "slots")
+        intents = self._scope(intents)
+        prepared, every = self.prepare(texts), None
+        for k, unit in enumerate(self.units):
+            own = unit.candidates(prepared, intents).where("intent IS NOT NULL").select("id", "intent", "probability", F.lit(k).alias("unit"))
+            every = own if every is None else every.unionByName(own)
+        every = every.groupBy("id", "intent").agg(F.max("probability").alias("probability"), F.max_by("unit", F.struct("probability", -F.col("unit"))).alias("unit"))
+        ranked = self._hold(every.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("probability"), "intent"))).where(F.col("rank") <= top_n))
+        return self._resolved(prepared, ranked.drop("rank")).join(ranked.select("id", "intent", "rank"), ["id", "intent"]).select("id", "rank", "intent", "probability", "slots")
 
     def get_intents(self, texts: DataFrame) -> DataFrame:
         """id, intent, probability of every intent: the best over the parsers."""
-        prepared = self._prepared(texts)
-        stages = [self._stage(p.unit, prepared, None).where("intent IS NOT NULL") for p in self.config.parsers]
-        return parsers.merge_scores(prepared[0], self.tables.intents, *stages)
+        prepared = self.prepare(texts)
+        return parsers.merge_scores(prepared.texts, self.tables["intents"], *[u.candidates(prepared).where("intent IS NOT NULL") for u in self.units])
 
     def get_slots(self, texts: DataFrame, intent: str) -> DataFrame:
-        """id, slots under a given intent: those of the lookup parser, else those of the chain."""
+        """id, slots under a given intent: those of the first parser that finds any."""
         self._scope([intent])
-        prepared = self._prepared(texts)
-        looked = self._stage("lookup", prepared, [intent]).where("intent IS NOT NULL").select("id", "intent", "probability", "unit")
-        rest = prepared[0].join(looked, "id", "left_anti").select("id", F.lit(intent).alias("intent"), F.lit(1.0).alias("probability"), F.lit("probabilistic").alias("unit"))
-        return self._resolved(prepared, looked.unionByName(rest)).select("id", "slots")
+        prepared = self.prepare(texts)
+        chosen = prepared.texts.select("id", F.lit(intent).alias("intent"), F.lit(1.0).alias("probability"))
+        raw, left = None, chosen
+        for unit in self.units:
+            own = self._hold(unit.slots(prepared, left))
+            left = left.join(own.select("id").distinct(), "id", "left_anti")
+            raw = own if raw is None else raw.unionByName(own)
+        return self._with_slots(prepared, chosen, raw).select("id", "slots")
 
     def save(self, path: str) -> None:
-        """Write the model as a folder of Parquet tables and a manifest; an existing folder is an error."""
+        """Write the model as a folder: a manifest, the shared tables, the resources that units need, and a folder for each unit. An existing folder is an error."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         if at.getFileSystem(conf).exists(at):
             raise ExistsError(path)
-        for name, df in vars(self.tables).items():
-            df.coalesce(1).write.parquet(f"{path}/{name}")
-        manifest = json.dumps({"version": __version__, "language": self.language, "config": json.loads(self.config.to_json())})
+        for name, df in self.tables.items():
+            df.coalesce(1).write.parquet(f"{path}/shared/{name}")
+        for kind, named in self.resources.items():
+            for name, df in named.items():
+                df.coalesce(1).write.parquet(f"{path}/resources/{kind}/{name}")
+        for k, unit in enumerate(self.units):
+            unit.save(f"{path}/units/{k}_{unit.config.unit}")
+        needed = {kind: sorted(named) for kind, named in self.resources.items()}
+        manifest = json.dumps({"version": __version__, "language": self.language, "resources": needed, "config": json.loads(self.config.to_json())})
         self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
     @classmethod
@@ -246,5 +171,8 @@ class IntentEngineModel:
         manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest").collect()))
         if manifest["version"] != __version__ and not any_version:
             raise VersionError(manifest["version"], __version__)
-        tables = Tables(**{name: spark.read.parquet(f"{path}/{name}") for name in Tables.__dataclass_fields__})
-        return cls(spark, EngineConfig.from_json(json.dumps(manifest["config"])), manifest["language"], tables)
+        config = EngineConfig.from_json(json.dumps(manifest["config"]))
+        tables = {name: spark.read.schema(schema).parquet(f"{path}/shared/{name}") for name, schema in SHARED.items()}
+        resources = {kind: {n: spark.read.schema(RESOURCE[kind]).parquet(f"{path}/resources/{kind}/{n}") for n in names} for kind, names in manifest["resources"].items()}
+        units = [PARSERS.by_name(p.unit)(p).load(spark, f"{path}/units/{k}_{p.unit}") for k, p in enumerate(config.parsers)]
+        return cls(spark, config, manifest["language"], tables, units, resources)

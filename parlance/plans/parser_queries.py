@@ -37,14 +37,21 @@ def lookup(spark, sf_dir):
     return parsers.build_lookup(trained(spark, sf_dir), gen.slots(spark, sf_dir))
 
 
+def patterns(spark, sf_dir):
+    return parsers.build_patterns(trained(spark, sf_dir), gen.slots(spark, sf_dir))
+
+
+def lookup_hits(spark, sf_dir):
+    return parsers.lookup_parse(gen.utterances(spark, sf_dir), gen.kept(spark, sf_dir), lookup(spark, sf_dir), ["id"])
+
+
 def parsed(spark, sf_dir):
-    rewritten = entities.rewrite(gen.utterances(spark, sf_dir), gen.kept(spark, sf_dir), ["id"])
-    return parsers.lookup_parse(rewritten, None, lookup(spark, sf_dir), ["id"])
+    return parsers.slot_rows(lookup_hits(spark, sf_dir), ["id"])
 
 
 @query(f"WITH {LOOKUP} SELECT key, intent, slot_names, n_slots FROM lookup")
 def lookup_build(spark, sf_dir):
-    return lookup(spark, sf_dir).withColumn("slot_names", F.array_join("slot_names", ","))
+    return lookup(spark, sf_dir).select("key", "intent", F.array_join("slot_names", ",").alias("slot_names"), "n_slots")
 
 
 @query(f"WITH {SLOTTED} SELECT id, intent, n, slot_name, kind, s, e, value FROM slotted")
@@ -63,15 +70,8 @@ def lookup_parse(spark, sf_dir):
 SELECT id, mask, intent, n_slots FROM cand QUALIFY row_number() OVER (PARTITION BY id, intent ORDER BY n_slots, mask) = 1"""
 )
 def lookup_powerset(spark, sf_dir):
-    """Each subset of the entities found is tried; of an intent's hits the one with fewest slots stays."""
-    from pyspark.sql import Window as W
-
-    texts, matches = parsers.subsets(gen.utterances(spark, sf_dir), gen.kept(spark, sf_dir))
-    rewritten, ranges = entities.replace_with_placeholders(texts, matches, ["id", "mask"])
-    hit = parsers.lookup_parse(rewritten, ranges.select("id", "mask", "n", "kind", "s", "e", "value"), lookup(spark, sf_dir), ["id", "mask"])
-    counted = hit.groupBy("id", "mask", "intent").agg(F.count("slot_name").alias("n_slots"))
-    best = counted.withColumn("r", F.row_number().over(W.partitionBy("id", "intent").orderBy("n_slots", "mask"))).where("r = 1")
-    return best.select("id", F.col("mask").cast("long").alias("mask"), "intent", "n_slots")
+    """Any subset of the entities found may be read as placeholders; of an intent's hits the one with fewest slots stays."""
+    return lookup_hits(spark, sf_dir).select("id", parsers.mask(F.col("found")).cast("long").alias("mask"), "intent", "n_slots")
 
 
 _ESC = r"regexp_replace(lower(t), '([\\.+*?()|\[\]{}^$#&\-~])', '\\\1', 'g')"
@@ -87,16 +87,23 @@ PATTERN_HITS = f"""{PATTERNS}, dhits AS MATERIALIZED (
 
 @query(f"WITH {PATTERNS} SELECT intent, ord, pattern FROM patterns")
 def pattern_build(spark, sf_dir):
-    return parsers.build_patterns(trained(spark, sf_dir)).drop("first")
+    return patterns(spark, sf_dir).select("intent", "ord", "pattern")
 
 
 def pattern_hits(spark, sf_dir):
-    return parsers.pattern_parse(gen.rewritten(spark, sf_dir)[0], parsers.build_patterns(trained(spark, sf_dir)))
+    return parsers.pattern_parse(gen.utterances(spark, sf_dir), gen.kept(spark, sf_dir), patterns(spark, sf_dir), ["id"])
 
 
 @query(f"WITH {PATTERN_HITS} SELECT id, intent, ord, n_slots FROM phits")
 def pattern_parse(spark, sf_dir):
-    return pattern_hits(spark, sf_dir)
+    return pattern_hits(spark, sf_dir).select("id", "intent", "ord", "n_slots")
+
+
+@query(f"""WITH {PATTERN_HITS}, named AS (SELECT intent, n, any_value(slot_name) AS slot_name FROM slots GROUP BY intent, n)
+SELECT p.id, p.intent, r.n, slot_name, r.kind, r.s, r.e, r.value FROM phits p JOIN ranged r USING (id) JOIN named USING (intent, n)""")
+def pattern_slots(spark, sf_dir):
+    """The slots of the pattern that fits: its placeholders' entities in the text."""
+    return parsers.slot_rows(pattern_hits(spark, sf_dir), ["id"])
 
 
 CANDIDATES = f"{gen.KEPT}, cand AS (SELECT id, kind AS intent, count(*) AS n_slots FROM kept GROUP BY id, kind)"
@@ -147,7 +154,7 @@ SELECT id, slot_name, s.entity, s.s, s.e, raw_value, resolved FROM (
 )
 def slot_resolution(spark, sf_dir):
     extensible = spark.sql("SELECT 'product' AS entity, true AS yes")
-    return parsers.resolve_slots(gen.slots(spark, sf_dir), gen.matches(spark, sf_dir), gen.entries(spark, sf_dir), extensible)
+    return parsers.resolve_slots(gen.slots(spark, sf_dir).drop("intent", "n"), gen.matches(spark, sf_dir), gen.entries(spark, sf_dir), extensible)
 
 
 @query(f"WITH {gen.SLOTS}, own AS (SELECT intent, string_agg(DISTINCT entity, ',' ORDER BY entity) AS entities FROM slots GROUP BY intent) SELECT entities, string_agg(intent, ',' ORDER BY intent) AS intents FROM own GROUP BY entities")
@@ -166,6 +173,9 @@ def slot_mapping(spark, sf_dir):
     return gen.slots(spark, sf_dir).groupBy("intent", "slot_name").agg(F.min_by("entity", order).alias("first_entity"), F.max_by("entity", order).alias("last_entity"))
 
 
-@query()
+@query(
+    f"""WITH {SLOTTED}, listed AS (SELECT id, intent, list(struct_pack(range := struct_pack(start := s, "end" := e), rawValue := value, entity := kind, slotName := slot_name) ORDER BY n) AS slots FROM slotted GROUP BY id, intent)
+SELECT id, to_json(struct_pack(intent := struct_pack(intentName := intent, probability := 1.0::DOUBLE), slots := slots))::VARCHAR AS result FROM listed"""
+)
 def json_result(spark, sf_dir):
     return parsers.parsing_result(parsed(spark, sf_dir))

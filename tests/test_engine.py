@@ -1,54 +1,230 @@
-"""The engine end to end, saved and loaded, and on a stream."""
+"""The engine end to end, its units, saved and loaded, on a stream, and its metrics."""
+
+import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from parlance.errors import ExistsError, UnknownIntentError
+from parlance import cli
+from parlance.errors import DatasetError, ExistsError, MissingResourceError, NotFittedError, RegistryError, UnknownIntentError
+from parlance.operators import classifier, crf
+from parlance.operators.token_features import TOKEN_FEATURES, FeatureConfig, feature
+from parlance.plans import evaluation, units
+from parlance.plans.config import ClassifierConfig, EngineConfig, KeywordConfig, LookupConfig, PatternConfig, ProbabilisticConfig, SlotFillerConfig
 from parlance.plans.engine import IntentEngine, IntentEngineModel
+from parlance.plans.plugins import PARSERS, IntentParser
 from parlance.sources.dataset import Dataset
 from parlance.streaming.parse import parse_stream
 
 YAML = """
 type: intent
-name: lightOn
-slots: [{name: room, entity: room}]
+name: waterBeds
+slots: [{name: bed, entity: plot}, {name: span, entity: duration}]
 utterances:
-  - turn on the lights in the [room](kitchen)
-  - give me some light in the [room](bathroom) please
-  - can you light up the [room](living room)
-  - switch the [room] lights on please
+  - sprinkle the [bed](tomato bed) now
+  - water the [bed](herb spiral) for [span](20 minutes)
+  - run the hose on my [bed](tomato bed) for [span](3 hours)
+  - the [bed](orchard) looks dry
+  - give [bed](herb spiral) a good soak
 ---
 type: intent
-name: setTemperature
-slots: [{name: room, entity: room}, {name: warmth, entity: temperature}]
+name: logHarvest
+slots: [{name: crop, entity: crop}, {name: weight, entity: number}, {name: bed, entity: plot}]
 utterances:
-  - set the temperature to [warmth](19 degrees) in the [room](bedroom)
-  - please set the [room](living room) to [warmth](22 degrees)
-  - i want [warmth](75 degrees fahrenheit) in the [room](bathroom)
+  - we picked [weight](12) kilos of [crop](courgettes) from the [bed](orchard)
+  - log [weight](7) kilos of [crop](plums)
+  - harvest of [crop](plums) is [weight](30) kilos
+  - write down [weight](4.5) kilos of [crop](runner beans)
+  - basket of [crop](courgettes) came in
 ---
 type: entity
-name: room
+name: plot
 automatically_extensible: false
-values: [bedroom, [living room, main room, lounge], [garden, yard], kitchen, bathroom]
+matching_strictness: 0.6
+values: [tomato bed, [herb spiral, herb corner], orchard, old walled garden behind the north barn]
+---
+type: entity
+name: crop
+values: [[courgettes, zucchini], plums, runner beans]
 """
+FAST = ProbabilisticConfig(classifier=ClassifierConfig(noise_factor=2), slot_filler=SlotFillerConfig(min_utterances=24))
+FULL = EngineConfig((LookupConfig(), PatternConfig(), FAST))
+
+
+def texts_of(spark, *said):
+    return spark.createDataFrame(list(enumerate(said)), "id long, text string")
+
+
+def parsed(model, texts, **more):
+    out = {r["id"]: r for r in model.parse(texts, **more).collect()}
+    model.release()
+    return out
+
+
+def slots(row):
+    return [(s["slot_name"], s["raw_value"], s["resolved"]) for s in row["slots"]]
 
 
-def test_engine(spark, tmp_path):
-    model = IntentEngine(spark).fit(Dataset.from_yaml("en", YAML))
-    texts = spark.createDataFrame([(0, "Turn on the lights in the yard"), (1, "could you please set the lounge to 21 degrees"), (2, ""), (3, None)], "id long, text string")
-    got = {r["id"]: r for r in model.parse(texts).collect()}
-    assert (got[0]["intent"], got[0]["probability"]) == ("lightOn", 1.0) and got[1]["intent"] == "setTemperature"
-    assert [(s["slot_name"], s["resolved"]) for s in got[0]["slots"]] == [("room", "garden")]
-    assert {(s["slot_name"], s["resolved"]) for s in got[1]["slots"]} == {("room", "living room"), ("warmth", "21 degrees")}
-    assert got[2]["intent"] is None and got[3]["intent"] is None and len(got) == 4
+@pytest.fixture(scope="module")
+def dataset():
+    return Dataset.from_yaml("en", YAML)
+
+
+@pytest.fixture(scope="module")
+def model(spark, dataset):
+    return IntentEngine(spark, FULL).fit(dataset)
+
+
+def test_engine(spark, model, dataset, tmp_path):
+    texts = texts_of(spark, "Sprinkle the herb corner now", "please could you water the orchard for 45 minutes or so", "", None, "sprinkle the old walled garden behind the north barn now", "we picked 9 kilos of zucchini today")
+    got = parsed(model, texts)
+    assert (got[0]["intent"], got[0]["probability"]) == ("waterBeds", 1.0) and slots(got[0]) == [("bed", "herb corner", "herb spiral")]
+    assert got[1]["intent"] == "waterBeds" and ("bed", "orchard", "orchard") in slots(got[1])
+    assert got[2]["intent"] is None and got[3]["intent"] is None and len(got) == 6
+    assert slots(got[4]) == [("bed", "old walled garden behind the north barn", "old walled garden behind the north barn")]
+    assert got[5]["intent"] == "logHarvest" and ("weight", "9", "9") in slots(got[5])
     with pytest.raises(UnknownIntentError):
         model.parse(texts, ["other"])
-    model.release()
     path = str(tmp_path / "model")
     model.save(path)
     with pytest.raises(ExistsError):
         model.save(path)
     loaded = IntentEngineModel.load(spark, path)
+    assert {i: (r["intent"], slots(r)) for i, r in parsed(loaded, texts).items()} == {i: (r["intent"], slots(r)) for i, r in got.items()}
     texts.where("id = 0").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(texts.schema).parquet(str(tmp_path / "in"))
     parse_stream(stream, loaded, str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
-    assert [r["intent"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["lightOn"]
+    assert [r["intent"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["waterBeds"]
+
+
+def test_top_intents_and_slots_of_an_intent(spark, model):
+    texts = texts_of(spark, "log 3 kilos of plums", "the orchard looks dry")
+    ranked = model.parse_top(texts, 2).collect()
+    assert {(r["id"], r["rank"]) for r in ranked} == {(0, 1), (0, 2), (1, 1), (1, 2)}
+    assert {r["id"]: r["intent"] for r in ranked if r["rank"] == 1} == {0: "logHarvest", 1: "waterBeds"}
+    every = model.get_intents(texts).collect()
+    assert len(every) == 4 and all(0 <= r["probability"] <= 1 for r in every)
+    under = {r["id"]: slots(r) for r in model.get_slots(texts, "logHarvest").collect()}
+    assert under[0] == [("weight", "3", "3"), ("crop", "plums", "plums")]
+    with pytest.raises(ValueError):
+        model.parse_top(texts, 0)
+    model.release()
+
+
+def test_lookup_reads_any_subset_of_entities(spark, dataset):
+    """A carrier phrase that holds an entity's value itself, and more entities than all subsets of could be tried."""
+    data = Dataset.from_yaml("en", YAML + "\n---\ntype: intent\nname: orchardNews\nutterances: [any news of the orchard and the plums, 'tell me 1 2 3 4 5 6 7 8 9 10 11 12 13 14 about [crop](plums)']\n")
+    lookup = IntentEngine(spark, EngineConfig((LookupConfig(),))).fit(data)
+    got = parsed(lookup, texts_of(spark, "any news of the orchard and the plums", "tell me 1 2 3 4 5 6 7 8 9 10 11 12 13 14 about zucchini", "any news of the orchard and the zucchini"))
+    assert [got[i]["intent"] for i in range(3)] == ["orchardNews", "orchardNews", None]
+    assert slots(got[0]) == [] and slots(got[1]) == [("crop", "zucchini", "courgettes")]
+
+
+def test_patterns_give_slots_and_stop_words_are_ignored(spark, dataset):
+    texts = texts_of(spark, "log, 8 kilos: of runner beans.", "please log 8 kilos of the plums for me", "log 8 of plums")
+    strict = parsed(IntentEngine(spark, EngineConfig((PatternConfig(),))).fit(dataset), texts)
+    assert slots(strict[0]) == [("weight", "8", "8"), ("crop", "runner beans", "runner beans")] and strict[1]["intent"] is None and strict[2]["intent"] is None
+    for config in (PatternConfig(ignore_stop_words=True), LookupConfig(ignore_stop_words=True)):
+        loose = parsed(IntentEngine(spark, EngineConfig((config,))).fit(dataset), texts)
+        assert slots(loose[1]) == [("weight", "8", "8"), ("crop", "plums", "plums")] and loose[2]["intent"] is None
+
+
+def test_loose_matches_of_an_entity(spark, model):
+    got = parsed(model, texts_of(spark, "sprinkle the walled garden behind the north barn now", "sprinkle the north barn now"))
+    assert slots(got[0]) == [("bed", "walled garden behind the north barn", "old walled garden behind the north barn")]
+    assert all(s[0] != "bed" for s in slots(got[1]))
+
+
+def test_plug_ins_and_keywords(spark, dataset):
+    @PARSERS.register("shouting", override=True)
+    class Shouting(IntentParser):
+        schemas = {"intents": "intent string"}
+
+        def fit(self, training):
+            self.tables = {"intents": training.texts.select("intent").distinct().limit(1)}
+            return self
+
+        def candidates(self, prepared, intents=None):
+            loud = prepared.texts.where((F.col("text") == F.upper("text")) & F.col("text").rlike(r"\p{Lu}"))
+            return loud.crossJoin(self.checked().tables["intents"]).select("id", "intent", F.lit(1.0).alias("probability"))
+
+        def slots(self, prepared, chosen):
+            return spark.createDataFrame([], "id long, intent string, slot_name string, entity string, s long, e long, raw_value string")
+
+    config = EngineConfig.from_json(json.dumps({"parsers": [{"unit": "shouting"}, {"unit": "probabilistic", "classifier": {"noise_factor": 2}, "slot_filler": {"unit": "keyword", "lowercase": True, "keywords": {"waterBeds": {"bed": {"orchard": "plot"}}}}}]}))
+    assert config == EngineConfig.from_json(config.to_json()) and isinstance(config.parsers[1].slot_filler, KeywordConfig)
+    model = IntentEngine(spark, config).fit(dataset)
+    got = parsed(model, texts_of(spark, "HELLO THERE", "the ORCHARD looks dry"))
+    assert got[0]["intent"] is not None and got[1]["intent"] == "waterBeds" and slots(got[1]) == [("bed", "ORCHARD", "orchard")]
+    assert PARSERS.name_of(Shouting) == "shouting" and "lookup" in PARSERS.names()
+    with pytest.raises(RegistryError):
+        EngineConfig.from_json('{"parsers": [{"unit": "nothing"}]}')
+    with pytest.raises(RegistryError):
+        PARSERS.register("shouting")(Shouting)
+    with pytest.raises(ValueError):
+        EngineConfig.from_json('{"parsers": [{"unit": "lookup", "colour": 1}]}')
+
+
+def test_units_by_themselves(spark, model, tmp_path):
+    lookup, _, probabilistic = model.units
+    with pytest.raises(NotFittedError):
+        units.LookupParser(LookupConfig()).checked()
+    again = units.LookupParser(LookupConfig()).from_bytes(spark, lookup.to_bytes())
+    assert sorted(map(str, again.tables["models"].collect())) == sorted(map(str, lookup.tables["models"].collect()))
+    probabilistic.save(str(tmp_path / "unit"))
+    loaded = units.ProbabilisticParser(FAST).load(spark, str(tmp_path / "unit"))
+    assert loaded.fitted and loaded.classifier.model.weights.count() == probabilistic.classifier.model.weights.count()
+    prepared = model.prepare(texts_of(spark, "the orchard looks dry"))
+    top = probabilistic.classifier.model.top_features(5).collect()
+    assert {r["rank"] for r in top} == set(range(1, 6))
+    assert probabilistic.classifier.model.top_activations(probabilistic.classifier.terms(prepared), 3).count() >= 3
+    chain = probabilistic.slot_filler.tables["chain"]
+    assert crf.weight_report(chain, 3).count() == 12 and crf.transitions(chain, "O").count() > 0 and crf.transitions(chain, "O", incoming=False).count() > 0
+    assert crf.state_weights(chain, chain.where("feature IS NOT NULL").first()["feature"]).count() >= 1
+    model.release()
+
+
+def test_resources_and_configured_features(spark, dataset):
+    @feature("vowels") if "vowels" not in TOKEN_FEATURES.names() else (lambda f: f)
+    def vowels(t):
+        return F.length(F.regexp_replace(t.of("norm"), "[^aeiou]", "")).cast("string")
+
+    held = {
+        "stems": {"stems": spark.createDataFrame([("picked", "pick"), ("looks", "look")], "form string, stem string")},
+        "word_clusters": {"garden": spark.createDataFrame([("plums", "fruit"), ("courgettes", "vegetable")], "word string, cluster string")},
+        "gazetteers": {"common": spark.createDataFrame([("the",), ("of",), ("kilos",)], "value string")},
+        "stop_words": {"stop_words": spark.createDataFrame([("the",), ("of",)], "word string")},
+        "noise": {"noise": spark.createDataFrame([(0, "lorem"), (1, "ipsum")], "ord long, word string")},
+    }
+    features = (FeatureConfig("ngram", {"n": 1, "use_stemming": True}, (-1, 0, 1)), FeatureConfig("ngram", {"n": 2, "common_words_gazetteer_name": "common"}), FeatureConfig("word_cluster", {"cluster_name": "garden"}), FeatureConfig("length"), FeatureConfig("vowels"), FeatureConfig("shape_ngram", {"n": 2}, (-1,)), FeatureConfig("entity_match"), FeatureConfig("builtin_entity_match", drop_out=0.2))
+    how = classifier.Featurizer(use_stemming=True, word_clusters_name="garden", filter_stop_words=True, keep_order=False)
+    config = EngineConfig((ProbabilisticConfig(classifier=ClassifierConfig(noise_factor=2, unknown_word_prob=0.3, featurizer=how), slot_filler=SlotFillerConfig(min_utterances=24, tagging_scheme="BILOU", features=features)),))
+    assert config.resources() == {"stems": {"stems"}, "word_clusters": {"garden"}, "gazetteers": {"common"}, "stop_words": {"stop_words"}}
+    model = IntentEngine(spark, config, held).fit(dataset)
+    got = parsed(model, texts_of(spark, "harvest of plums is 6 kilos"))
+    assert got[0]["intent"] == "logHarvest" and ("crop", "plums", "plums") in slots(got[0])
+    names = {r["feature"].split("=")[0] for r in model.units[0].slot_filler.tables["chain"].where("feature IS NOT NULL").select("feature").collect()}
+    assert {"ngram_1_True", "ngram_1_True[-1]", "ngram_common_2", "word_cluster_garden", "vowels", "shape_ngram_2[-1]", "entity_match", "builtin_entity_match"} <= names
+    with pytest.raises(MissingResourceError):
+        IntentEngine(spark, config).fit(dataset)
+
+
+def test_metrics_and_command_line(spark, dataset, tmp_path, monkeypatch, capsys):
+    patterns = EngineConfig((LookupConfig(), PatternConfig()))
+    report = evaluation.cross_validate(spark, dataset, evaluation.engine_fit(spark, patterns), folds=2)
+    assert sum(r["n"] for r in report.confusion.collect()) == 10 and report.errors.count() == report.confusion.where("actual <> predicted").agg(F.sum("n")).first()[0]
+    same = evaluation.train_test(spark, dataset, dataset, evaluation.engine_fit(spark, patterns))
+    assert all(r["f1"] == 1.0 for r in same.intents.collect()) and all(r["f1"] == 1.0 for r in same.slots.collect()) and same.errors.count() == 0
+    with pytest.raises(DatasetError):
+        evaluation.cross_validate(spark, dataset, folds=50)
+    monkeypatch.setattr("parlance.session.build_session", lambda *a, **k: spark)
+    (tmp_path / "d.yaml").write_text(YAML)
+    assert cli.main(["generate-dataset", "en", str(tmp_path / "d.yaml")]) == 0
+    (tmp_path / "d.json").write_text(capsys.readouterr().out)
+    (tmp_path / "c.json").write_text(patterns.to_json())
+    assert cli.main(["train", str(tmp_path / "d.json"), str(tmp_path / "m"), "--config", str(tmp_path / "c.json")]) == 0
+    assert cli.main(["parse", str(tmp_path / "m"), "-q", "log 2 kilos of plums"]) == 0
+    assert json.loads(capsys.readouterr().out)["intent"] == "logHarvest"
+    assert cli.main(["train-test-metrics", str(tmp_path / "d.json"), str(tmp_path / "d.json"), str(tmp_path / "r.json"), "-c", str(tmp_path / "c.json"), "-i"]) == 0
+    shown = json.loads((tmp_path / "r.json").read_text())
+    assert shown["metrics"]["waterBeds"]["intent"]["f1"] == 1.0 and shown["metrics"]["logHarvest"]["slots"]["crop"]["f1"] == 1.0 and shown["parsing_errors"] == []
