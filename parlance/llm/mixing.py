@@ -14,6 +14,8 @@ LEVELS = ("domain", "lang", "source")
 #: Up to so many leaves the leaf table (some 100 bytes a row) is broadcast; beyond, it is joined without a hint.
 BROADCAST_LEAVES = 50_000
 WHOLE = "decimal(38,0)"
+#: Hexadecimal digits of the order key by which a leaf's tokens are summed: 4,096 sums for each leaf at most.
+DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
 
     A leaf's documents follow each other, in epoch e, by the MD5 of seed, e and doc_id; the leaf takes whole epochs while its
     budget lasts and of the last the longest prefix within the rest. Rows with equal doc_id share a place and are
-    taken together. No leaf is sorted whole: sums by the key's first three digits find the one part that holds the
+    taken together. No leaf is sorted whole: sums by the key's first digits, one more at a time, find the one part that holds the
     end of the prefix, and only that part's keys are ordered, to give a threshold for each leaf. The rows themselves
     are never shuffled if the leaves, whose number is counted, are few enough to broadcast; else they are joined to them.
     Null texts have no tokens; nulls in doc_id, lang and source count as ''. An empty table gives an empty result.
@@ -120,10 +122,14 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     place = lambda full: F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), F.col(full).cast("string"), F.col("__mix_id")))
     narrow = rows.select(*LEAF, "__mix_tokens", "__mix_id").join(small(leaves), on(leaves)).select(*LEVELS, "rest", F.col("__mix_tokens").alias("n"), place("full").alias("place"))
     by = W.partitionBy(*LEVELS)
-    parts = narrow.groupBy(*LEVELS, "rest", F.substring("place", 1, 3).alias("part")).agg(F.sum("n").alias("n"))
-    parts = parts.withColumn("upto", F.sum("n").over(by.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    ends = parts.where("upto > rest").groupBy(*LEVELS, "rest").agg(F.min(F.struct("part", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
-    ends, _ = materialize(ends.select(*LEVELS, "end.part", "end.before"), "ends")
+    parts, _ = materialize(narrow.groupBy(*LEVELS, "rest", F.substring("place", 1, DIGITS).alias("part")).agg(F.sum("n").alias("n")), "part-sums")
+    ends = leaves.select(*LEVELS, F.lit("").alias("begins"), F.lit(0).cast(WHOLE).alias("before"))
+    for digits in range(1, DIGITS + 1):  # one digit more of the part that holds the end, from sixteen sums a leaf
+        near = parts.join(small(ends), [*LEVELS]).where(F.col("part").startswith(F.col("begins")))
+        sums = near.groupBy(*LEVELS, "rest", "before", F.substring("part", 1, digits).alias("begins")).agg(F.sum("n").alias("n"))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("n").over(by.orderBy("begins").rowsBetween(W.unboundedPreceding, W.currentRow)))
+        ends = sums.where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("begins", (F.col("upto") - F.col("n")).cast(WHOLE).alias("before"))).alias("end")).select(*LEVELS, "end.begins", "end.before")
+    ends, _ = materialize(ends.withColumnRenamed("begins", "part"), "ends")
     at = narrow.join(small(ends), [*LEVELS]).where(F.col("place").startswith(F.col("part")))
     keys = at.groupBy(*LEVELS, "part", "before", "rest", "place").agg(F.sum("n").alias("n"))
     keys = keys.withColumn("upto", F.col("before") + F.sum("n").over(by.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)))
