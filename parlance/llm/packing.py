@@ -202,11 +202,11 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
     Pieces are written once to the shared folder. Only the number of pieces of each length (at most
     `capacity` numbers) reaches the driver; the plan made of it goes back as a broadcast table whose size is
     bounded by the capacity as well. Pieces find their slot by their rank among those of equal length. A
-    length's pieces are ranked in groups of about GROUP_ROWS, so that a length that very many share
-    is spread over many tasks.
+    length's pieces are ranked in groups of about GROUP_ROWS, dealt by a number of their own, so that a length that very many
+    share, even of equal rows, is spread over many tasks.
     """
     spark = docs.sparkSession
-    pieces, _ = materialize(tokenized_pieces(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json"), capacity, end_id, with_ids, id_col, text_col), "pieces")
+    pieces, _ = materialize(tokenized_pieces(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json"), capacity, end_id, with_ids, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots, following, sequence = [], defaultdict(int), 0
     for n, own in plan_sequences(counts, capacity):
@@ -218,7 +218,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
         sequence += n
     slots = spark.createDataFrame(slots, "length long, low long, high long, shift long, offset long")
     parts = spark.createDataFrame([(k, n // GROUP_ROWS + 1) for k, n in counts.items()], "length long, parts long")
-    order = ["doc_id", "piece", "ids_crc32"]
+    order = ["doc_id", "piece", "ids_crc32", "row"]
     dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64(*order), "parts"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = dealt.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
