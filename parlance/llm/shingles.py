@@ -92,10 +92,13 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block
     sets, _ = materialize(texts.mapInArrow(sets_of, "vertex long, shingles array<long>").dropDuplicates(["vertex"]), "shingle-sets")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        """Pairs of at least the similarity. The set of a text in many pairs is copied, one for each PAIRS of them, and they are spread over the copies."""
-        copies = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("copies"))
-        of_v = sets.join(copies, sets["vertex"] == copies["v"]).select("v", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("of_v"))
-        dealt = pairs.join(copies, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("copies")).cast("int").alias("copy"))
+        """Pairs of at least the similarity. Texts in more than PAIRS pairs and more than a ten-thousandth of all, so at most 10,000 of them, are listed in a broadcast
+        table; their sets are copied and their pairs spread over the copies, and no shuffle is by such a text alone."""
+        limit = max(PAIRS, pairs.count() // 10_000)
+        hot = pairs.groupBy("v").agg(F.ceil(F.count("*") / limit).cast("int").alias("copies")).where("copies > 1")
+        copies = F.coalesce("copies", F.lit(1))
+        of_v = sets.select(F.col("vertex").alias("v"), F.col("shingles").alias("of_v")).join(F.broadcast(hot), "v", "left").select("v", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "of_v")
+        dealt = pairs.join(F.broadcast(hot), "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), copies).cast("int").alias("copy"))
         both = dealt.join(sets.select(F.col("vertex").alias("u"), F.col("shingles").alias("of_u")), "u").join(of_v, ["v", "copy"])
         common = F.size(F.array_intersect("of_u", "of_v"))
         near = common >= similarity * (F.size("of_u") + F.size("of_v") - common) - 1e-9
