@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.runtime import connected_components, materialize, sliced
+from parlance.llm.runtime import connected_components, join_unique, materialize, sliced
 from parlance.llm.simhash import local_roots
 
 #: Vectors of a strip (a task holds two strips), and of a tile whose products are made at once.
@@ -237,7 +237,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     rooted = rooted.select("class_key", "x", "least", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "vertex").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     judged = rooted.join(component, "root").select("class_key", F.col("x").alias("same_x"), (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
-    good = rows.where("x is not null").join(judged, "class_key").where("x = same_x").select("vec_id", "n_links", "component_id")
+    own = rows.where("x is not null")
+    # two vectors may share a key, so the vectors are compared as well
+    good = join_unique(own, judged, "class_key", own.count()).where("x = same_x").select("vec_id", "n_links", "component_id")
     alone = rows.where("x is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 

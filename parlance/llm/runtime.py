@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
@@ -53,11 +53,34 @@ def _delete_all() -> None:
 atexit.register(_delete_all)
 
 
+#: Hours after which a table that a driver left behind, being killed, is taken away by the next one.
+STALE_HOURS = 72
+_swept: set[str] = set()
+
+
+def sweep(spark: SparkSession, hours: float = STALE_HOURS) -> int:
+    """Delete tables of `materialize` in the shared folder that nothing has changed for so many hours; gives how many."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/parlance")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return 0
+    own = {path.rpartition("/")[2] for path in _written}
+    old = [f.getPath() for f in files.listStatus(at) if f.getModificationTime() < (time.time() - hours * 3600) * 1000 and f.getPath().getName() not in own]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder and read it again: computed once, lineage cut,
     and any lost executor can be replaced. Returns the table and its path, for `delete`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parlance/{name}-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
+    if folder not in _swept:
+        _swept.add(folder)
+        sweep(spark)
+    path = f"{folder}/parlance/{name}-{uuid.uuid4().hex}"
     _written[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -70,9 +93,21 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(a, rows)
 
 
-def same(a: Column, b: Column) -> Column:
-    """Equality under which null equals null."""
-    return a.eqNullSafe(b)
+#: Rows of one key from which on a join deals them to many tasks.
+HOT = 100_000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined by a key with a table that has each key once; total: the number of rows.
+
+    Keys that more than HOT rows and more than a ten-thousandth of all rows share, of which there are at most 10,000 whatever the data, are
+    broadcast, so their rows stay where they are; the others are shuffled. Null keys join with nothing.
+    """
+    if total <= HOT:
+        return rows.join(unique, key)
+    hot = F.broadcast(rows.groupBy(key).count().where(F.col("count") > max(HOT, total // 10_000)).select(key))
+    often = rows.join(F.broadcast(unique.join(hot, key, "left_semi")), key)
+    return often.unionByName(rows.join(hot, key, "left_anti").join(unique, key))
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> tuple[DataFrame, str | None]:
@@ -81,8 +116,8 @@ def connected_components(edges: DataFrame, name: str = "cc") -> tuple[DataFrame,
     edges has long columns `u` and `v`; the result has `v` and `root` for each vertex that is not
     the smallest of its component (isolated and smallest vertices are their own root). Alternates the
     large-star and small-star steps of Kiveris et al. (2014) until the edges stay the same. Every step is
-    a minimum per vertex (combined before the shuffle) and an equi-join, so a hub's neighbours are
-    never gathered in one place. Edges between rounds are tables in the shared folder.
+    a minimum per vertex (combined before the shuffle) and a join with it, in which the edges of a hub stay
+    spread (see `join_unique`). Edges between rounds are tables in the shared folder.
     Empty edges give an empty result; self loops and repeated edges are ignored.
     """
     tidy = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -92,12 +127,12 @@ def connected_components(edges: DataFrame, name: str = "cc") -> tuple[DataFrame,
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before or not state[0]:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root")), path
-        before = tuple(state)
+        before, total = tuple(state), 2 * state[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_unique(both, low, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = join_unique(large, least, "u", total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         following, at = materialize(small.where("u <> v").distinct(), name)
         delete(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import shingles
-from parlance.llm.runtime import connected_components, key_runs, materialize
+from parlance.llm.runtime import connected_components, join_unique, key_runs, materialize
 
 BITS = 64
 SEED = 42
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, budget: int = 2, n: int = 3, id_col: str =
     rooted = groups.join(roots, groups["fingerprint"] == roots["v"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fingerprint", "root").join(component, "root").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return join_unique(prints, classes, "fingerprint", prints.count()).select("doc_id", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, n: int = 5) -> DataFrame:

@@ -154,6 +154,32 @@ def test_quantised_bounds_hold(size):
     assert (upper + 1e-12 >= x @ x.T).all() and (upper - x @ x.T).max() < 0.6
 
 
+def test_hot_keys_join_and_connect_alike(spark, monkeypatch):
+    """A hub, and a key that most rows share, with and without their own way."""
+    rng = random.Random(5)
+    pairs = [(0, i) for i in range(1, 400)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(150)] + [(399, 401)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    rows = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(600)] + [(None, -1)], "k long, x long")
+    unique = spark.createDataFrame([(i, i * 2) for i in range(0, 600, 2)] + [(7, 70)], "k long, y long")
+    made = []
+    for hot in (runtime.HOT, 20):
+        monkeypatch.setattr(runtime, "HOT", hot)
+        roots, _ = runtime.connected_components(edges, "hot")
+        made.append((sorted(map(tuple, roots.collect())), sorted(map(tuple, runtime.join_unique(rows, unique, "k", 601).select("k", "x", "y").collect()))))
+    assert made[0] == made[1] and len(made[0][1]) > 400
+    want = components(600, pairs)
+    assert dict(made[0][0]) == {i: r for i, r in enumerate(want) if r != i}
+
+
+def test_left_tables_are_swept(spark):
+    kept, path = runtime.materialize(spark.range(3).toDF("x"), "swept")
+    runtime._written.pop(path)
+    assert runtime.sweep(spark, hours=1) == 0 and kept.count() == 3
+    runtime._written[path] = spark
+    assert runtime.sweep(spark, hours=-1) >= 0 and kept.count() == 3
+    runtime.delete(path)
+
+
 @pytest.mark.parametrize("strip", [64, 700])
 def test_strips_about_pivots_lose_no_link_and_copy_little(spark, strip):
     """Clusters, loose vectors and two dimensions, in many strips; a crowd about one pivot takes several."""

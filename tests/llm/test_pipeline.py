@@ -95,3 +95,22 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in kept["best_fit_packing"])
     assert len({n for n, _ in corpus_pipeline.STAGES}) == 5 and quality_classifier.BITS and secrets.KINDS
+
+
+def test_stages_on_hard_rows(spark, hard, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and extra columns: no stage fails, none changes the columns, and clean rows stay."""
+    hard.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    dedup = corpus_pipeline.near_dedup(spark, docs, "")
+    left = [r["doc_id"] for r in dedup.collect()]
+    assert dedup.columns == docs.columns and sorted(left, key=repr) == sorted([1, 3, 5, 7, 8, None], key=repr)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() <= docs.count(), name
+    assert {r["doc_id"] for r in corpus_pipeline.secret_scan(spark, docs, "").collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

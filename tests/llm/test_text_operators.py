@@ -92,6 +92,36 @@ def test_rules_find_junk_that_the_base_lets_pass(spark):
     assert kept == {i for i, _ in clean}
 
 
+def test_verdicts_of_the_query_equal_a_plain_reading(spark, tmp_path):
+    """base_failed, rule and kept of every row, with the learned rules applied by hand to plain counts."""
+    clean = [(i, prose(i, 60 + i % 60)) for i in range(120)]
+    junk = [(200 + i, " ".join(w + " |" for w in prose(900 + i, 80).split())) for i in range(30)] + [(300 + i, " ".join(w + "***" for w in prose(500 + i, 80).split())) for i in range(30)]
+    odd = [(400, None), (401, ""), (402, "a b c " * 60), (403, prose(1, 49)), (404, prose(1, 50)), (None, prose(2, 70)), (0, prose(0, 60)), (405, "é " * 60 + "\n" + prose(3, 60))]
+    spark.createDataFrame(clean + junk + odd, "doc_id long, text string").withColumn("kept", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1) for i, _ in clean] + [(i, 0) for i, _ in junk] + [(None, 0), (1, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, marked = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+    _, rules = quality_rules.judge(docs, marked)
+    assert rules
+    want = []
+    for i, text in clean + junk + odd:
+        numbers = dict(zip(textstats.NAMES, textstats.counts((text or "").encode())))
+        n, chars, symbols, lines, repeats = plain_stats(text or "")
+        failed = n < 50 or 100 * repeats > 50 * n
+        words, n_lines = max(n, 1), max(numbers["n_lines"], 1)
+        x = {"words": n, "word_length": chars / words, "symbols": symbols / words, "dup_lines": lines / n_lines, "repeats": repeats / words, "richness": numbers["n_unique"] / words**0.5}
+        for name, of in (("unique", "n_unique"), ("adjacent", "n_adjacent"), ("upper", "n_upper"), ("exclaims", "n_exclaims"), ("pipes", "n_pipes"), ("digits", "n_digits"), ("stops", "n_stops"), ("plain", "n_plain"), ("mark_runs", "n_runs")):
+            x[name] = numbers[of] / words
+        rule = next((k for k, r in enumerate(rules) if all(x[c.name] >= c.value if c.above else x[c.name] < c.value for c in r)), None)
+        want.append((i, n, chars, symbols, lines, repeats, failed, not failed and rule is None, rule))
+    got = [tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")) for r in catalogue.op3_quality_rules(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_counts_of_bytes_that_are_no_text():
+    assert textstats.counts(b"\xff\xfe abc \xe2\x82")[:2] == (3, 6) and textstats.counts(b"")[:2] == (0, 0)
+
+
 def test_classifier_agrees_with_held_out_truth(spark):
     clean = [(i, prose(i, 150)) for i in range(300)]
     kinds = [lambda w: w + "***", lambda w: w.upper() + "!!", lambda w: w + " |"]
