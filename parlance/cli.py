@@ -1,4 +1,4 @@
-"""Command line: train, parse, generate-dataset, cross-val-metrics, train-test-metrics, version.
+"""Command line: train, parse, generate-dataset, cross-val-metrics, train-test-metrics, download, link, version.
 
 python -m parlance.cli train DATASET.json MODEL; parse MODEL -q "a sentence" ...; generate-dataset LANG FILE.yaml ...;
 cross-val-metrics DATASET.json REPORT.json; train-test-metrics TRAIN.json TEST.json REPORT.json
@@ -13,7 +13,7 @@ from pathlib import Path
 
 from parlance.plans.config import EngineConfig
 from parlance.sources.dataset import Dataset
-from parlance.sources.resources import load
+from parlance.sources.resources import fetch, link, load
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     train = sub.add_parser("train", help="fit an engine on a dataset and save it")
     train.add_argument("dataset"), train.add_argument("model"), train.add_argument("--config"), train.add_argument("--seed", type=int)
     parse = sub.add_parser("parse", help="parse sentences, or lines of standard input")
-    parse.add_argument("model"), parse.add_argument("-q", "--query", action="append"), parse.add_argument("-f", "--intents", help="comma-separated")
+    parse.add_argument("model"), parse.add_argument("-q", "--query", action="append"), parse.add_argument("-f", "--intents", help="comma-separated"), parse.add_argument("--pretty", action="store_true")
     make = sub.add_parser("generate-dataset", help="YAML files to the JSON form")
     make.add_argument("language"), make.add_argument("files", nargs="+")
     cross = sub.add_parser("cross-val-metrics", help="cross-validate on a dataset")
@@ -34,6 +34,10 @@ def parser() -> argparse.ArgumentParser:
     for command in (train, parse, cross, tested):
         command.add_argument("-v", "--verbose", action="store_true", help="log what Spark warns of")
         command.add_argument("-r", "--resources", help="folder of a language's resources")
+    fetch_ = sub.add_parser("download", help="get an archive of resources")
+    fetch_.add_argument("url"), fetch_.add_argument("folder")
+    link_ = sub.add_parser("link", help="give a folder of resources another name")
+    link_.add_argument("folder"), link_.add_argument("alias"), link_.add_argument("--force", action="store_true")
     sub.add_parser("version")
     return top
 
@@ -59,6 +63,14 @@ def main(argv: list[str] | None = None) -> int:
 
         print(__version__)
         return 0
+    if args.command == "download":
+        print(fetch(args.url, args.folder))
+        return 0
+    if args.command == "link":
+        if args.force and Path(args.alias).is_symlink():
+            Path(args.alias).unlink()
+        link(args.folder, args.alias)
+        return 0
     if args.command == "generate-dataset":
         print(Dataset.from_yaml(args.language, *args.files).validate().to_json())
         return 0
@@ -88,8 +100,8 @@ def main(argv: list[str] | None = None) -> int:
     model = IntentEngineModel.load(spark, args.model)
     said = args.query or [line.rstrip("\n") for line in sys.stdin]
     texts = spark.createDataFrame(list(enumerate(said)), "id long, text string")
-    for row in model.parse(texts, args.intents.split(",") if args.intents else None).orderBy("id").toLocalIterator():
-        print(json.dumps(row.asDict(recursive=True), ensure_ascii=False))
+    for row in model.to_json(model.parse(texts, args.intents.split(",") if args.intents else None)).orderBy("id").toLocalIterator():
+        print(json.dumps(json.loads(row["result"]), indent=2 if args.pretty else None, ensure_ascii=False))
     return 0
 
 

@@ -141,6 +141,22 @@ def title(text: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
 
 
+def title_but(text: Column, stops: list[str]) -> Column:
+    """Each token with a capital first, but for stop words; what lies between tokens stays."""
+    pieces = F.regexp_extract_all(text, F.lit(f"({PIECE})"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda p: F.when(normalize(p).isin(*stops), p).otherwise(title(p)) if stops else title(p)), "")
+
+
+def key_hash(text: Column) -> Column:
+    """A text as a whole number, for keys that are only compared."""
+    return F.xxhash64(text)
+
+
+def separator(language: str) -> str:
+    """What stands between tokens that are joined: nothing in languages that are written without spaces."""
+    return "" if language in ("ja", "zh", "th") else " "
+
+
 def is_title(token: Column) -> Column:
     """Whether the token has a letter and is written as `title` writes it."""
     return token.rlike(r"\p{L}") & (token == title(token))

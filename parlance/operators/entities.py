@@ -7,75 +7,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text
+from parlance.operators import grammar
 
 #: The kinds of builtin entities and, of those, the ones that a dictionary holds.
 GRAMMAR_KINDS = ("amountOfMoney", "duration", "number", "ordinal", "temperature", "datetime", "date", "time", "datePeriod", "timePeriod", "percentage")
 GAZETTEER_KINDS = ("musicAlbum", "musicArtist", "musicTrack", "city", "country", "region")
 BUILTIN_KINDS = GRAMMAR_KINDS + GAZETTEER_KINDS
 
-#: Seconds of each unit of a duration; months and years by their mean in the Gregorian calendar.
-SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2629746, "year": 31556952}
-CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP"}
 
 
 def is_builtin(kind: Column) -> Column:
     return kind.isin(*BUILTIN_KINDS)
 
 
-def builtin_matches(texts: DataFrame, keys: list[str], kinds: tuple[str, ...] = GRAMMAR_KINDS) -> DataFrame:
+def builtin_matches(texts: DataFrame, keys: list[str], kinds: tuple[str, ...] = GRAMMAR_KINDS, language: str = "en") -> DataFrame:
     """keys, kind, s, e, value, number, unit of each builtin entity. texts: keys, text.
 
-    A grammar reads a token with its three followers: numbers with a fraction, $ before and % behind a number, ordinals,
-    numbers with a unit of temperature or time, ISO dates and clock times. Each kind is matched for itself, so kinds overlap;
+    A grammar reads a token with its neighbours: numbers with a fraction, $ before and % behind a number, ordinals,
+    numbers with a unit of temperature or time, dates, times and periods. Each kind is matched for itself, so kinds overlap;
     `keep_longest` removes that. Case does not matter and offsets are those of the original text. All of it
     happens within the row: a map without shuffle.
     """
-    return texts.select(*keys, F.explode(builtin_array(F.col("text"), kinds)).alias("m")).select(*keys, "m.*")
-
-
-def builtin_array(source: Column, kinds: tuple[str, ...] = GRAMMAR_KINDS) -> Column:
-    """The builtin entities of a text as an array of structs (kind, s, e, value, number, unit)."""
-    digits = lambda t: F.coalesce(t["value"].rlike("^[0-9]+$"), F.lit(False))
-    low = lambda t: F.lower(t["value"])
-
-    def at(pieces: Column, toks: Column, t: Column, i: Column) -> Column:
-        def near(x: Column) -> Column:
-            back, one, two = x["back"], x["one"], x["two"]
-            fraction = digits(one) & (t["gap"] == ".")
-            number = digits(t) & ~F.coalesce(digits(back) & (back["gap"] == "."), F.lit(False))
-            own = F.struct(number.alias("is"), F.when(fraction, one).otherwise(t).alias("last"), F.when(fraction, two).otherwise(one).alias("after"), F.when(fraction, x["three"]).otherwise(two).alias("later"))
-            return text.bind(own, lambda n: matched(x, back, one, two, n))
-
-        def matched(x: Column, back: Column, one: Column, two: Column, n: Column) -> Column:
-            last, after, later = n["last"], n["after"], n["later"]
-            value = F.when(n["is"], text.covered(pieces, t, last)).cast("double")
-            touching = (last["e"] == after["s"]) & (after["value"] == "%")
-            money = back["value"].isin(*CURRENCIES) & (back["e"] == t["s"])
-            degrees, scale = low(after).isin("degree", "degrees"), low(later).isin("celsius", "fahrenheit")
-            iso = t["value"].rlike("^[0-9]{4}$") & one["value"].rlike("^[0-9]{2}$") & two["value"].rlike("^[0-9]{2}$") & (t["gap"] == "-") & (one["gap"] == "-")
-            clock = t["value"].rlike("^([01]?[0-9]|2[0-3])$") & one["value"].rlike("^[0-5][0-9]$") & (t["gap"] == ":")
-            none = F.lit(None)
-            found = {
-                "number": (n["is"], t, last, value, none),
-                "percentage": (n["is"] & touching, t, after, value, none),
-                "amountOfMoney": (n["is"] & money, back, last, value, F.lit("$")),
-                "ordinal": (low(t).rlike("^[0-9]+(st|nd|rd|th)$"), t, t, F.regexp_extract(t["value"], "^([0-9]+)", 1).cast("double"), none),
-                "temperature": (n["is"] & degrees, t, F.when(scale, later).otherwise(after), value, F.when(scale, low(later))),
-                "duration": (n["is"] & low(after).rlike("^(second|minute|hour|day|week|month|year)s?$"), t, after, value, F.regexp_replace(low(after), "s$", "")),
-                "date": (iso, t, two, none, none),
-                "time": (clock, t, one, none, none),
-            }
-            return F.array_compact(F.array(*[
-                F.when(F.coalesce(test, F.lit(False)), F.struct(
-                    F.lit(kind).alias("kind"), a["s"].alias("s"), z["e"].alias("e"), text.covered(pieces, a, z).alias("value"), v.cast("double").alias("number"), u.cast("string").alias("unit")))
-                for kind, (test, a, z, v, u) in found.items() if kind in kinds
-            ]))
-
-        around = F.struct(*[F.get(toks, i + k).alias(c) for k, c in ((-1, "back"), (1, "one"), (2, "two"), (3, "three"))])
-        # every grammar begins with a digit, so other tokens cost one test
-        return F.when(t["value"].rlike("^[0-9]"), text.bind(around, near))
-
-    return text.over_tokens(source, lambda pieces, toks: F.flatten(F.array_compact(F.transform(toks, lambda t, i: at(pieces, toks, t, i)))))
+    return texts.select(*keys, F.explode(grammar.entity_array(F.col("text"), kinds, language)).alias("m")).select(*keys, "m.*")
+
+
+def resolved_value(kind: Column, raw: Column, resolved: Column, language: str = "en") -> Column:
+    """What a slot stands for, as JSON: a custom entity's resolved value, or a builtin one's number and unit as its grammar reads them from the text."""
+    read = F.get(F.filter(grammar.entity_array(raw, GRAMMAR_KINDS, language), lambda m: m["kind"] == kind), 0)
+    whole = lambda n: F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
+    of = lambda m: F.to_json(F.struct(F.initcap(F.regexp_replace(kind, "([A-Z])", " $1")).alias("kind"), F.coalesce(whole(m["number"]), resolved).alias("value"), m["unit"].alias("unit")))
+    return F.when(is_builtin(kind), text.bind(read, of)).otherwise(F.to_json(F.struct(F.lit("Custom").alias("kind"), resolved.alias("value"))))
 
 
 def gazetteer(values: DataFrame) -> DataFrame:

@@ -178,14 +178,14 @@ def reweight(candidates: DataFrame, top_n: int | None = None) -> DataFrame:
 
 
 def cascade(ids: DataFrame, *stages: DataFrame) -> DataFrame:
-    """id, intent, probability, stage: the first stage that has an intent decides; none: null intent, probability 1, null stage."""
-    out, left = None, ids.select("id")
-    for k, stage in enumerate(stages):
-        own = stage.where(F.col("intent").isNotNull()).join(left, "id", "left_semi").select("id", "intent", "probability", F.lit(k).cast("long").alias("stage"))
-        out = own if out is None else out.unionByName(own)
-        left = left.join(own.select("id").distinct(), "id", "left_anti")
-    rest = left.select("id", F.lit(None).cast("string").alias("intent"), F.lit(1.0).alias("probability"), F.lit(None).cast("long").alias("stage"))
-    return rest if out is None else out.unionByName(rest)
+    """id, intent, probability, stage: the first stage that has an intent decides; none: null intent, probability 1, null stage. Every stage is made once."""
+    numbered = [s.where(F.col("intent").isNotNull()).select("id", "intent", "probability", F.lit(k).cast("long").alias("stage")) for k, s in enumerate(stages)]
+    none = F.array(F.struct(F.lit(None).cast("string").alias("intent"), F.lit(1.0).alias("probability"), F.lit(None).cast("long").alias("stage")))
+    if not numbered:
+        return ids.select("id", F.inline(none))
+    every = reduce(DataFrame.unionByName, numbered).groupBy("id").agg(F.collect_list(F.struct("intent", "probability", "stage")).alias("all"), F.min("stage").alias("first"))
+    first = every.select("id", F.filter("all", lambda x: x["stage"] == F.col("first")).alias("kept"))
+    return ids.select("id").join(first, "id", "left").select("id", F.inline(F.coalesce("kept", none)))
 
 
 def merge_scores(ids: DataFrame, intents: DataFrame, *scored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text
+from parlance.operators.ordering import numbered
 
 UNKNOWN = "unknownword"
 
@@ -78,6 +79,8 @@ def add_unknown(utterances: DataFrame, key: Column, text_col: str, chance: float
 
 
 def folds(rows: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
-    """key, label, fold: stratified by label."""
-    by = W.partitionBy(label).orderBy(order(seed, F.col(key)), key)
-    return rows.select(key, label, F.pmod(F.row_number().over(by) - 1, F.lit(k)).cast("long").alias("fold"))
+    """key, label, fold: stratified by label, in turn by a seeded order. The order is that of digests, so its first digits deal it to many tasks
+    however few the labels are."""
+    held = rows.select(key, label, order(seed, F.col(key)).alias("__order"))
+    made = numbered(held, F.substring("__order", 1, 3), ["__order", key], [label], "__n")
+    return made.select(key, label, F.pmod("__n", F.lit(k)).cast("long").alias("fold"))

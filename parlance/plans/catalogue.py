@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators import parsers
-from parlance.plans import dataset_queries, entity_queries, feature_queries, gen, lexicon_queries, model_queries, parser_queries, registry, text_queries, variation_queries  # noqa: F401
+from parlance.plans import dataset_queries, engine_queries, entity_queries, feature_queries, gen, lexicon_queries, model_queries, parser_queries, registry, text_queries, variation_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

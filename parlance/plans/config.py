@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 from parlance.operators.classifier import Featurizer
 from parlance.operators.token_features import DEFAULT, FeatureConfig, needs
-from parlance.plans.plugins import CLASSIFIERS, PARSERS, SLOT_FILLERS
+from parlance.plans.plugins import CLASSIFIERS, ENTITY_PARSERS, PARSERS, SLOT_FILLERS
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def unit_config(values: dict):
     """The configuration of a unit from a dict: of its own class, or the class that its plug-in names, or its options as they are."""
     name = values.get("unit")
     kind = KINDS.get(name)
-    for registry in (PARSERS, CLASSIFIERS, SLOT_FILLERS):
+    for registry in (PARSERS, CLASSIFIERS, SLOT_FILLERS, ENTITY_PARSERS):
         if kind is None and name in registry.held:
             kind = getattr(registry.held[name], "config_type", UnitConfig)
     if kind is None:

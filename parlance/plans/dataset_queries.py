@@ -86,8 +86,9 @@ def gazetteer_stop_budget(spark, sf_dir):
 
 
 @query(
-    f"""WITH {gen.TOKS}, {gen.DICTIONARY}, low AS (SELECT DISTINCT id, {normal_sql('value')} AS word FROM toks), w AS (SELECT kind, norm, resolved, len(string_split(norm, ' ')) AS n, unnest(list_distinct(string_split(norm, ' '))) AS word FROM entries WHERE kind = 'product')
-SELECT id, kind, resolved, count(*) / any_value(n) AS share FROM low JOIN w USING (word) GROUP BY id, kind, norm, resolved HAVING count(*) / any_value(n) >= 0.5"""
+    f"""WITH {gen.TOKS}, {gen.DICTIONARY}, low AS (SELECT id, {normal_sql('value')} AS word, count(*) AS there FROM toks GROUP BY 1, 2),
+w AS (SELECT kind, norm, resolved, len(string_split(norm, ' ')) AS n, unnest(string_split(norm, ' ')) AS word FROM entries WHERE kind = 'product'), wanted AS (SELECT kind, norm, resolved, n, word, count(*) AS wanted FROM w GROUP BY ALL)
+SELECT id, kind, resolved, sum(least(wanted, there)) / any_value(n) AS share FROM low JOIN wanted USING (word) GROUP BY id, kind, norm, resolved HAVING sum(least(wanted, there)) / any_value(n) >= 0.5"""
 )
 def gazetteer_partial(spark, sf_dir):
     products = gen.entries(spark, sf_dir).where("kind = 'product'")

@@ -53,7 +53,8 @@ class IntentEngine:
         used = slots.select("intent", "entity").distinct().join(surfaces, "entity").select("intent", F.col("surface").alias("value"))
         each = lexicon.intent_stop_words(texts.select("intent"), stops, lexicon.whitelist(used, stops))
         by_intent = small(each.groupBy("intent").agg(F.array_sort(F.collect_set("word")).alias("words")))
-        return Training(spark, self.config, dataset.language, texts, slots, surfaces, entries, trained, by_intent, self.resources)
+        kinds = tuple(k for k in entities.GRAMMAR_KINDS if k in dataset.entities)
+        return Training(spark, self.config, dataset.language, texts, slots, surfaces, entries, trained, by_intent, self.resources, kinds)
 
 
 class IntentEngineModel:
@@ -61,7 +62,7 @@ class IntentEngineModel:
 
     def __init__(self, spark: SparkSession, config: EngineConfig, language: str, tables: dict[str, DataFrame], units: list[IntentParser], resources: dict[str, dict[str, DataFrame]]) -> None:
         self.spark, self.config, self.language, self.tables, self.units, self.resources = spark, config, language, tables, units, resources
-        self._lengths = None
+        self._lengths, self._kinds = None, ()
         self._held: list[DataFrame] = []
 
     def _hold(self, df: DataFrame) -> DataFrame:
@@ -82,13 +83,19 @@ class IntentEngineModel:
                     raise UnknownIntentError(name)
         return intents
 
-    def prepare(self, texts: DataFrame) -> Prepared:
-        """Texts with the entities found in them; a null text is empty."""
+    def prepare_lengths(self) -> tuple[list[int], tuple[str, ...], str]:
+        """What entities are looked for by: lengths of dictionary entries, builtin kinds, and the language."""
         if self._lengths is None:
             known = entities.entry_lengths(self.tables["entries"])
             self._lengths = [n for n in known if self.config.longest_value is None or n <= self.config.longest_value] or [1]
+            used = {r["entity"] for r in self.tables["entities"].select("entity").collect()}
+            self._kinds = tuple(k for k in entities.GRAMMAR_KINDS if k in used)
+        return self._lengths, self._kinds, self.language
+
+    def prepare(self, texts: DataFrame) -> Prepared:
+        """Texts with the entities found in them; a null text is empty."""
         texts = texts.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-        return Prepared(texts, self._hold(find_entities(texts, self.tables["entries"], self._lengths)), self.resources)
+        return Prepared(texts, self._hold(find_entities(texts, self.tables["entries"], *self.prepare_lengths())), self.resources)
 
     def _resolved(self, prepared: Prepared, chosen: DataFrame) -> DataFrame:
         """id, intent, probability, slots of the chosen (id, intent, probability, unit: its place in the cascade, null for none)."""
@@ -106,19 +113,30 @@ class IntentEngineModel:
         return joined.select("id", "intent", "probability", F.coalesce("slots", F.array().cast(f"array<{SLOT}>")).alias("slots"))
 
     def parse(self, texts: DataFrame, intents: list[str] | None = None) -> DataFrame:
-        """id, input, intent (null for none), probability, slots. The first parser that is sure enough of an intent decides."""
+        """id, input, intent (null for none), probability, slots. The first parser that is sure enough of an intent decides; later ones see only the texts that are left."""
         intents = self._scope(intents)
         prepared = self.prepare(texts)
-        out, left = None, prepared.texts.select("id")
-        for k, unit in enumerate(self.units):
-            best = classifier.best(unit.candidates(prepared, intents)).where(F.col("intent").isNotNull() & (F.col("probability") > unit.threshold))
-            own = self._hold(best.join(left, "id", "left_semi").select("id", "intent", "probability", F.lit(k).alias("unit")))
-            left = left.join(own.select("id"), "id", "left_anti")
-            out = own if out is None else out.unionByName(own)
-        none = left.select("id", F.lit(None).cast("string").alias("intent"), F.lit(1.0).alias("probability"), F.lit(None).cast("int").alias("unit"))
-        done = self._resolved(prepared, out.unionByName(none) if out is not None else none)
+        out = raw = None
+        rest = prepared
+        for unit in self.units:
+            best = classifier.best(unit.candidates(rest, intents)).where(F.col("intent").isNotNull() & (F.col("probability") > unit.threshold))
+            own = self._hold(best.select("id", "intent", "probability"))
+            held = unit.slots(rest, own)
+            rest = rest.only(self._hold(rest.texts.join(own, "id", "left_anti").select("id")))
+            out, raw = (own, held) if out is None else (out.unionByName(own), raw.unionByName(held))
+        none = rest.texts.select("id", F.lit(None).cast("string").alias("intent"), F.lit(1.0).alias("probability"))
+        done = self._with_slots(prepared, out.unionByName(none), raw)
         return done.join(prepared.texts, "id").select("id", F.col("text").alias("input"), "intent", "probability", "slots")
 
+    def to_json(self, parsed: DataFrame) -> DataFrame:
+        """id, result: each row of `parse` as one JSON object, with slots that say where they are and what they stand for."""
+        each = parsed.select("id", "input", "intent", "probability", F.posexplode_outer("slots").alias("n", "x"))
+        value = F.from_json(entities.resolved_value(F.col("x.entity"), F.col("x.raw_value"), F.col("x.resolved"), self.language), "kind string, value string, unit string")
+        slot = F.struct(F.col("x.raw_value").alias("rawValue"), value.alias("value"), F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end")).alias("range"), F.col("x.entity").alias("entity"), F.col("x.slot_name").alias("slotName"))
+        listed = each.groupBy("id", "input", "intent", "probability").agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("n", slot.alias("slot"))))).alias("slots"))
+        result = F.struct("input", F.struct(F.col("intent").alias("intentName"), "probability").alias("intent"), F.transform("slots", lambda s: s["slot"]).alias("slots"))
+        return listed.select("id", F.to_json(result, {"ignoreNullFields": "false"}).alias("result"))
+
     def parse_top(self, texts: DataFrame, top_n: int, intents: list[str] | None = None) -> DataFrame:
         """id, rank (from 1), intent, probability, slots of the n best intents over all parsers."""
         if top_n < 1:

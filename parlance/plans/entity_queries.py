@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import entities
-from parlance.plans import gen, registry
+from parlance.operators import entities, grammar
+from parlance.plans import gen
 from parlance.plans.registry import query
 from parlance.session import table
 
@@ -32,6 +32,42 @@ for _kind in ("number", "percentage", "amountOfMoney", "ordinal", "temperature",
     _builtin(_kind)
 
 
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_DAYS, _MONTHS = grammar.LANGUAGES["en"].weekdays, grammar.LANGUAGES["en"].months
+#: Requests with a weekday, an hour, a day of a month and two periods.
+CALENDAR = f"""cal AS (SELECT c_custkey AS id, {_list(_DAYS)}[c_custkey % 7 + 1] AS wd, (c_custkey % 12 + 1)::VARCHAR || CASE WHEN c_custkey % 2 = 0 THEN ' am' ELSE ' pm' END AS hour,
+  {_list(_MONTHS)}[c_custkey % 12 + 1] || ' ' || (c_custkey % 28 + 1)::VARCHAR AS day, ['this', 'next', 'last'][c_custkey % 3 + 1] || ' ' || ['week', 'month', 'year'][c_custkey % 3 + 1] AS period, ['morning', 'afternoon', 'evening', 'night'][c_custkey % 4 + 1] AS part FROM customer
+), said AS (SELECT *, 'Visit next ' || wd || ' at ' || hour || ' or ' || day || ', ' || period || ' in the ' || part || '.' AS text FROM cal
+), marks AS (SELECT id, text, unnest(['date', 'date', 'time', 'datetime', 'datetime', 'datePeriod', 'timePeriod']) AS kind, unnest(['next ' || wd, day, hour, 'next ' || wd || ' at ' || hour, day, period, part]) AS value,
+  unnest([NULL, NULL, NULL, NULL, NULL, ['week', 'month', 'year'][id % 3 + 1], NULL]) AS unit FROM said)"""
+
+
+@query(f"WITH {CALENDAR} SELECT id, kind, (position(value IN text) - 1)::BIGINT AS s, (position(value IN text) - 1 + length(value))::BIGINT AS e, value, unit FROM marks")
+def builtin_calendar(spark, sf_dir):
+    """Dates, times, their joins and periods in requests made of the customers' keys."""
+    k = F.col("c_custkey")
+    pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (n + 1).cast("int"))
+    hour = F.concat((k % 12 + 1).cast("string"), F.when(k % 2 == 0, " am").otherwise(" pm"))
+    day = F.concat_ws(" ", pick(_MONTHS, k % 12), (k % 28 + 1).cast("string"))
+    period = F.concat_ws(" ", pick(("this", "next", "last"), k % 3), pick(("week", "month", "year"), k % 3))
+    said = F.concat(F.lit("Visit next "), pick(_DAYS, k % 7), F.lit(" at "), hour, F.lit(" or "), day, F.lit(", "), period, F.lit(" in the "), pick(("morning", "afternoon", "evening", "night"), k % 4), F.lit("."))
+    texts = table(spark, sf_dir, "customer").select(k.cast("long").alias("id"), said.alias("text"))
+    return entities.builtin_matches(texts, ["id"], ("date", "time", "datetime", "datePeriod", "timePeriod")).select("id", "kind", "s", "e", "value", "unit")
+
+
+@query(
+    f"""WITH {gen.DICTIONARY}, loose AS (SELECT *, string_split(norm, ' ') AS w, len(string_split(norm, ' ')) AS n FROM entries WHERE kind = 'product'
+), sized AS (SELECT *, unnest(range(greatest(1, ceil(0.5 * n))::BIGINT, n::BIGINT)) AS k FROM loose), placed AS (SELECT *, unnest(range(1, n - k + 2)) AS a FROM sized
+), cut AS (SELECT kind, array_to_string(w[a : a + k - 1], ' ') AS norm, k, resolved, k / n AS share FROM placed
+), best AS (SELECT kind, norm, k, arg_min(resolved, struct_pack(a := -share, b := resolved)) AS resolved FROM cut GROUP BY kind, norm, k)
+SELECT kind, norm, len(string_split(norm, ' '))::BIGINT AS n_tokens, resolved FROM entries UNION ALL SELECT kind, norm, k, resolved FROM best ANTI JOIN entries USING (kind, norm)"""
+)
+def gazetteer_strictness(spark, sf_dir):
+    """The dictionary with the parts that products match by at a strictness of one half."""
+    strict = spark.sql("SELECT 'product' AS kind, 0.5D AS strictness UNION ALL SELECT 'brand', 1.0D")
+    return entities.with_parts(gen.entries(spark, sf_dir), strict).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 @query(f"WITH {gen.MATCHES} SELECT id, kind, s, e, value, resolved FROM gaz")
 def gazetteer_match(spark, sf_dir):
     return entities.gazetteer_matches(gen.utterances(spark, sf_dir), ["id"], gen.entries(spark, sf_dir), 3)
@@ -101,6 +137,3 @@ def entity_match_feature(spark, sf_dir):
     from parlance.functions.text import tokens
 
     return entities.covering(tokens(gen.utterances(spark, sf_dir), ["id"]), gen.matches(spark, sf_dir), ["id"], "BIO")
-
-
-assert "builtin_money" in registry.QUERIES

@@ -6,14 +6,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text
-from parlance.operators import features, metrics, sampling, tagging
+from parlance.operators import entities, features, metrics, sampling, tagging
+from parlance.operators.token_features import FeatureConfig, token_features
 from parlance.plans import gen
 from parlance.plans.lexicon_queries import DOC_TOP, words
 from parlance.plans.parser_queries import TRAINED, trained
 from parlance.plans.registry import normal_sql, query
-from parlance.plans.text_queries import DOC, TURN, TURN_KEYS, doc_tokens, turn_tokens
+from parlance.plans.text_queries import DOC, SHAPE_SQL, TURN, TURN_KEYS, doc_tokens, turn_tokens
 from parlance.session import table
-
+from parlance.streaming.windows import counts_by_window
 
 
 def counts(spark, sf_dir):
@@ -26,7 +27,7 @@ IDF = f"{COUNTS}, idf AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(DIS
 
 @query(f"WITH {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def tfidf_fit(spark, sf_dir):
-    return features.document_frequencies(counts(spark, sf_dir), "doc_id").withColumn("idf", F.round("idf", 6))
+    return features.document_frequencies(counts(spark, sf_dir), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {IDF}, raw AS (SELECT doc_id, term, tf * idf AS raw FROM counts JOIN idf USING (term)) SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS w FROM raw")
@@ -154,9 +155,65 @@ SELECT id, substr(arg_max(tag, i), 3) AS slot_name, min(s) AS s, max(e) AS e FRO
     )(run)
 
 
+_ends = {
+    "IO": "a = 'O'",
+    "BIO": "(a = 'O' OR starts_with(a, 'B-'))",
+    "BILOU": "(a = 'O' OR starts_with(a, 'B-') OR starts_with(a, 'U-') OR starts_with(tag, 'L-') OR starts_with(tag, 'U-'))",
+}
+
+
+def _bounds(scheme):
+    def run(spark, sf_dir):
+        by = W.partitionBy("id").orderBy("i")
+        before, after = F.coalesce(F.lag("tag").over(by), F.lit("O")), F.coalesce(F.lead("tag").over(by), F.lit("O"))
+        return tags(spark, sf_dir, scheme).select("id", "i", tagging.starts(F.col("tag"), before, scheme).alias("starts"), tagging.ends(F.col("tag"), after, scheme).alias("ends"))
+
+    run.__name__ = f"{scheme.lower()}_bounds"
+    query(
+        f"""WITH {_tags_sql(scheme)}, near AS (SELECT *, coalesce(lag(tag) OVER w, 'O') AS b, coalesce(lead(tag) OVER w, 'O') AS a FROM tags WINDOW w AS (PARTITION BY id ORDER BY i))
+SELECT id, i, tag <> 'O' AND {_starts[scheme]} AS starts, tag <> 'O' AND {_ends[scheme]} AS ends FROM near"""
+    )(run)
+
+
 for _scheme in tagging.SCHEMES:
     _encode(_scheme)
     _decode(_scheme)
+    _bounds(_scheme)
+
+
+FEATURES = (
+    FeatureConfig("ngram", {"n": 1}, (-1, 0)), FeatureConfig("ngram", {"n": 2}), FeatureConfig("shape_ngram", {"n": 1}), FeatureConfig("prefix", {"prefix_size": 2}), FeatureConfig("suffix", {"suffix_size": 3}),
+    FeatureConfig("is_digit"), FeatureConfig("is_first"), FeatureConfig("is_last"), FeatureConfig("length", offsets=(1,)), FeatureConfig("builtin_entity_match", {"tagging_scheme": "BIO"}),
+)
+
+
+@query(
+    f"""WITH {gen.BUILTIN}, near AS (SELECT *, {normal_sql('value')} AS v, row_number() OVER w AS r, count(*) OVER (PARTITION BY id) AS c, lag({normal_sql('value')}) OVER w AS back, lead({normal_sql('value')}) OVER w AS one, lead(value) OVER w AS after FROM toks WINDOW w AS (PARTITION BY id ORDER BY i)),
+plain AS (SELECT id, i, unnest(['ngram_1[-1]=' || back, 'ngram_1=' || v, 'ngram_2=' || v || ' ' || one, 'shape_ngram_1=' || {SHAPE_SQL}, CASE WHEN length(v) >= 2 THEN 'prefix_2=' || left(v, 2) END, CASE WHEN length(v) >= 3 THEN 'suffix_3=' || right(v, 3) END,
+  CASE WHEN regexp_full_match(value, '[0-9]+') THEN 'is_digit=1' END, CASE WHEN r = 1 THEN 'is_first=1' END, CASE WHEN r = c THEN 'is_last=1' END, 'length[+1]=' || length(after)::VARCHAR]) AS feature FROM near)
+SELECT id, i, feature FROM plain WHERE feature IS NOT NULL UNION ALL
+SELECT t.id, t.i, 'builtin_entity_match_BIO=' || CASE WHEN t.s = m.s THEN 'B-' ELSE 'I-' END || m.kind FROM toks t JOIN builtin m ON t.id = m.id AND m.s <= t.s AND t.e <= m.e AND m.kind IN ('percentage', 'duration')"""
+)
+def configured_features(spark, sf_dir):
+    """Token features as a slot filler's configuration names them."""
+    texts = gen.utterances(spark, sf_dir)
+    found = entities.builtin_matches(texts, ["id"], ("percentage", "duration"))
+    made = token_features(texts, found, features=FEATURES)
+    return made.select("id", F.explode("tokens").alias("t")).select("id", "t.i", F.explode("t.features").alias("feature"))
+
+
+PAIR_CHI2 = f"""{_pairs(True)}, counts AS (SELECT conv_id, turn, w1 || ' ' || w2 AS term FROM pairs), share AS (SELECT role AS class, count(*) / sum(count(*)) OVER () AS share FROM conversations GROUP BY role),
+obs AS (SELECT term, role AS class, count(*) AS o FROM counts JOIN conversations USING (conv_id, turn) GROUP BY 1, 2), tot AS (SELECT term, sum(o) AS total FROM obs GROUP BY term),
+chi AS (SELECT term, sum(pow(coalesce(o, 0) - total * share, 2) / (total * share)) AS stat FROM tot CROSS JOIN share LEFT JOIN obs USING (term, class) GROUP BY term)"""
+
+
+@query(f"WITH {PAIR_CHI2} SELECT term, round(stat, 6) AS stat FROM chi ORDER BY round(stat, 6) DESC, term LIMIT 200")
+def cooc_select(spark, sf_dir):
+    """The word pairs that tell the roles of a conversation apart best, by chi-square."""
+    key = F.concat_ws(":", "conv_id", "turn").alias("key")
+    counted = pairs(spark, sf_dir).select(key, F.concat_ws(" ", "w1", "w2").alias("term"), F.lit(1).alias("tf"))
+    classes = table(spark, sf_dir, "conversations").select(key, F.col("role").alias("class"))
+    return features.chi2(counted, classes, "key").select("term", F.round("stat", 6).alias("stat")).orderBy(F.desc("stat"), "term").limit(200)
 
 
 @query(
@@ -258,3 +315,10 @@ def sigmoid_scores(spark, sf_dir):
     raw = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))).alias("class", "d"))
     best = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("d"), "class")) == 1
     return raw.select("vec_id", "class", F.round(1 / (1 + F.exp(-F.col("d"))), 6).alias("probability"), best.alias("best"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def counts_by_day(spark, sf_dir):
+    """Events by type in windows of a day, as a stream counts them."""
+    counted = counts_by_window(table(spark, sf_dir, "events"), "ts", "event_type", "1 day", "1 hour")
+    return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -59,9 +59,13 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.gazetteer(dictionary(spark, sf_dir))
 
 
+#: Builtin kinds that are looked for in the utterances.
+KINDS = ("amountOfMoney", "duration", "number", "ordinal", "temperature", "date", "percentage")
+
+
 def found(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """id, kind, s, e, value, resolved of all builtin and dictionary matches in texts (id, text)."""
-    builtin = entities.builtin_matches(texts, ["id"]).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
+    """id, kind, s, e, value, resolved of builtin and dictionary matches in texts (id, text)."""
+    builtin = entities.builtin_matches(texts, ["id"], KINDS).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
     return builtin.unionByName(entities.gazetteer_matches(texts, ["id"], known, 3))
 
 
@@ -118,10 +122,11 @@ BUILTIN = f"""{TOKS}, rx AS ({_found}), builtin AS (
 )"""
 DICTIONARY = f"""dict AS (SELECT DISTINCT * FROM (SELECT 'product' AS kind, p_name AS surface, upper(p_name) AS resolved FROM part UNION ALL SELECT 'brand', p_brand, p_brand FROM part UNION ALL SELECT 'priority', o_orderpriority, o_orderpriority FROM orders)),
 entries AS (SELECT kind, array_to_string(regexp_extract_all({normal_sql('surface')}, '[\\p{{L}}\\p{{N}}_]+|[$%!?&]'), ' ') AS norm, min(resolved) AS resolved FROM dict GROUP BY 1, 2)"""
-MATCHES = f"""{BUILTIN}, {DICTIONARY}, low AS (SELECT *, {normal_sql('value')} AS v FROM toks), grams AS (
-  SELECT a.id, a.s, b.e, (SELECT string_agg(c.v, ' ' ORDER BY c.i) FROM low c WHERE c.id = a.id AND c.i BETWEEN a.i AND b.i) AS norm FROM low a JOIN low b ON a.id = b.id AND b.i BETWEEN a.i AND a.i + 2
+MATCHES = f"""{BUILTIN}, {DICTIONARY}, ahead AS (
+  SELECT id, s, e, v, lead(v) OVER w AS v1, lead(e) OVER w AS e1, lead(v, 2) OVER w AS v2, lead(e, 2) OVER w AS e2 FROM (SELECT *, {normal_sql('value')} AS v FROM toks) WINDOW w AS (PARTITION BY id ORDER BY i)
+), grams AS (SELECT id, s, e, v AS norm FROM ahead UNION ALL SELECT id, s, e1, v || ' ' || v1 FROM ahead WHERE e1 IS NOT NULL UNION ALL SELECT id, s, e2, v || ' ' || v1 || ' ' || v2 FROM ahead WHERE e2 IS NOT NULL
 ), gaz AS (SELECT id, kind, s, e, substr(text, (s + 1)::INT, (e - s)::INT) AS value, resolved FROM grams JOIN entries USING (norm) JOIN gen USING (id)
-), matches AS (SELECT id, kind, s, e, value, value AS resolved FROM builtin UNION ALL SELECT id, kind, s, e, value, resolved FROM gaz)"""
+), matches AS MATERIALIZED (SELECT id, kind, s, e, value, value AS resolved FROM builtin UNION ALL SELECT id, kind, s, e, value, resolved FROM gaz)"""
 KEPT = f"""{MATCHES}, folded AS (
   SELECT id, list_reduce(list([m] ORDER BY m.o, m.c, m.s, m.kind), lambda a, b: CASE WHEN len(list_filter(a, lambda y: y.s < b[1].e AND b[1].s < y.e)) > 0 THEN a ELSE list_concat(a, b) END) AS ms
   FROM (SELECT id, struct_pack(o := s - e, c := kind IN ('product', 'brand', 'priority'), s := s, e := e, kind := kind, value := value, resolved := resolved) AS m FROM matches) GROUP BY id

@@ -178,10 +178,21 @@ def case_variations(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("small"), text.title(F.col("p_name")).alias("titled"))
 
 
-_number_values = ", ".join(f"({n}, '{numbers.words(n)}')" for n in range(100))
+@query(
+    """SELECT p_partkey, list_reduce(list_prepend('', list_transform(regexp_extract_all(lower(p_type || ' of ' || p_name || ' and the rest'), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'),
+  lambda w: CASE WHEN w IN ('of', 'and', 'the') THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END)), lambda a, b: a || b) AS shown FROM part"""
+)
+def title_but_stop_words(spark, sf_dir):
+    said = F.lower(F.concat("p_type", F.lit(" of "), "p_name", F.lit(" and the rest")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.title_but(said, ["of", "and", "the"]).alias("shown"))
+
+
+#: Number words put together in SQL itself.
+WORDS_SQL = """(CASE WHEN n < 20 THEN ['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen'][n + 1]
+ELSE ['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'][n // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || ['one','two','three','four','five','six','seven','eight','nine'][n % 10] ELSE '' END END)"""
 
 
-@query(f"WITH w(n, words) AS (VALUES {_number_values}) SELECT p_partkey, words AS size_words, CASE WHEN p_retailprice = floor(p_retailprice) THEN floor(p_retailprice)::BIGINT::VARCHAR END AS whole_price FROM part JOIN w ON n = p_size")
+@query(f"WITH w AS (SELECT n, {WORDS_SQL} AS words FROM range(100) r(n)) SELECT p_partkey, words AS size_words, CASE WHEN p_retailprice = floor(p_retailprice) THEN floor(p_retailprice)::BIGINT::VARCHAR END AS whole_price FROM part JOIN w ON n = p_size")
 def number_values(spark, sf_dir):
     price = F.col("p_retailprice")
     whole = F.when(price == F.floor(price), text.digit_value(price))

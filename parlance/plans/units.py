@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.errors import MissingResourceError
+from parlance.errors import MissingResourceError, RegistryError
 from parlance.functions import text
-from parlance.operators import classifier, crf, entities, parsers, sampling, tagging
+from parlance.operators import classifier, crf, entities, grammar, parsers, sampling, tagging
 from parlance.operators.token_features import token_features
-from parlance.plans.config import ClassifierConfig, EngineConfig, KeywordConfig, LookupConfig, PatternConfig, ProbabilisticConfig, SlotFillerConfig
-from parlance.plans.plugins import CLASSIFIERS, PARSERS, SLOT_FILLERS, IntentClassifier, IntentParser, SlotFiller
+from parlance.plans.config import ClassifierConfig, EngineConfig, KeywordConfig, LookupConfig, PatternConfig, ProbabilisticConfig, SlotFillerConfig, unit_config
+from parlance.plans.plugins import CLASSIFIERS, ENTITY_PARSERS, PARSERS, SLOT_FILLERS, EntityParser, IntentClassifier, IntentParser, SlotFiller, Unit
 
 #: Filler for noise where the resources have none.
 NOISE = "time people way water words day part number sound work place years back thing name sentence man line boy follow form small end put home hand large big even land here must high such act ask men change light kind off need house picture try us again animal point mother world near build self earth father".split()
@@ -24,9 +25,11 @@ def small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
-def find_entities(texts: DataFrame, entries: DataFrame, lengths: list[int] | int | None = None) -> DataFrame:
-    """id, kind, s, e, value, resolved of builtin entities and dictionary entries."""
-    builtin = entities.builtin_matches(texts, ["id"]).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
+def find_entities(texts: DataFrame, entries: DataFrame, lengths: list[int] | int | None = None, kinds: tuple[str, ...] = entities.GRAMMAR_KINDS, language: str = "en") -> DataFrame:
+    """id, kind, s, e, value, resolved of builtin entities of those kinds and of dictionary entries."""
+    if not kinds:
+        return entities.gazetteer_matches(texts, ["id"], entries, lengths)
+    builtin = entities.builtin_matches(texts, ["id"], kinds, language).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
     return builtin.unionByName(entities.gazetteer_matches(texts, ["id"], entries, lengths))
 
 
@@ -44,6 +47,10 @@ class Training:
     trained: DataFrame  # id, intent, rewritten
     stops: DataFrame  # intent, words
     resources: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
+    kinds: tuple[str, ...] = entities.GRAMMAR_KINDS  # the builtin entities that the dataset has
+
+    def found(self, texts: DataFrame) -> DataFrame:
+        return small(find_entities(texts, self.entries, None, self.kinds, self.language))
 
     def required(self, needed: dict[str, set[str]]) -> dict[str, dict[str, DataFrame]]:
         """The resources that a unit needs; one that was not given raises."""
@@ -69,7 +76,7 @@ class Training:
         many = t.select("intent", "n").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(least)).cast("int") - 1)))
         rows = many.withColumn("k", F.pmod("i", "n")).join(t.drop("n"), ["intent", "k"]).withColumn("id", F.abs(F.xxhash64("intent", "i")))
         values = self.surfaces.select("entity", F.col("surface").alias("value")).unionByName(self.slots.select("entity", F.col("raw_value").alias("value"))).distinct()
-        values = sampling.shuffled(values, ["entity"], "value", seed).withColumnsRenamed({"k": "vk", "n": "vn"})
+        values = sampling.shuffled(values.distinct(), ["entity"], "value", seed).withColumnsRenamed({"k": "vk", "n": "vn"})
         sizes = values.select("entity", "vn").distinct()
         parts = rows.select("id", "intent", "i", F.split("rewritten", text.MARK, -1).alias("gaps"), F.posexplode_outer("named").alias("p", "slot"))
         drawn = parts.withColumn("entity", F.col("slot.entity")).join(sizes, "entity", "left").withColumn("vk", F.pmod(F.col("i") * 7 + F.col("p"), "vn"))
@@ -96,6 +103,58 @@ class Prepared:
     resources: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
     made: dict = field(default_factory=dict)
 
+    def only(self, ids: DataFrame) -> Prepared:
+        """The same for some of the texts."""
+        return Prepared(self.texts.join(ids.select("id"), "id", "left_semi"), self.matches.join(ids.select("id"), "id", "left_semi"), self.resources)
+
+
+def load_unit(spark: SparkSession, path: str) -> Unit:
+    """A unit that was saved by itself, of whatever kind its configuration says."""
+    config = unit_config(json.loads("".join(r[0] for r in spark.read.text(f"{path}/configuration").collect())))
+    for registry in (PARSERS, CLASSIFIERS, SLOT_FILLERS, ENTITY_PARSERS):
+        if config.unit in registry.held:
+            return registry.by_name(config.unit)(config).load(spark, path)
+    raise RegistryError(f"no unit {config.unit!r} is registered")
+
+
+def _known(kinds: list[str] | None, held: list[str]) -> list[str]:
+    if unknown := sorted(set(kinds or []) - set(held)):
+        raise ValueError(f"no such entities: {', '.join(unknown)}; there are: {', '.join(held) or 'none'}")
+    return sorted(set(kinds)) if kinds is not None else held
+
+
+@ENTITY_PARSERS.register("custom_entities")
+class CustomEntityParser(EntityParser):
+    """The entities of a dataset, by its dictionary."""
+
+    schemas = {"entries": "kind string, norm string, n_tokens int, resolved string"}
+
+    def fit(self, training: Training) -> CustomEntityParser:
+        self.tables = {"entries": training.entries}
+        return self
+
+    def parse(self, texts: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+        entries = self.checked().tables["entries"]
+        asked = _known(kinds, sorted(r["kind"] for r in entries.select("kind").distinct().collect()))
+        return entities.gazetteer_matches(texts.select("id", "text"), ["id"], entries.where(F.col("kind").isin(*asked)))
+
+
+@ENTITY_PARSERS.register("builtin_entities")
+class BuiltinEntityParser(EntityParser):
+    """The builtin entities that a dataset has, by the grammars of its language."""
+
+    schemas = {"kinds": "kind string, language string"}
+
+    def fit(self, training: Training) -> BuiltinEntityParser:
+        self.tables = {"kinds": training.spark.createDataFrame([(k, training.language) for k in training.kinds], self.schemas["kinds"])}
+        return self
+
+    def parse(self, texts: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+        held = self.checked().tables["kinds"].collect()
+        asked = _known(kinds, sorted(r["kind"] for r in held))
+        found = entities.builtin_matches(texts.select("id", "text"), ["id"], tuple(asked), held[0]["language"] if held else "en")
+        return found.select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
+
 
 def _scoped(df: DataFrame, intents: list[str] | None) -> DataFrame:
     return df.where(F.col("intent").isNull() | F.col("intent").isin(*intents)) if intents else df
@@ -160,7 +219,7 @@ class LogRegClassifier(IntentClassifier):
         texts, _ = training.augmented(c.min_utterances)
         if c.unknown_word_prob:
             texts = sampling.add_unknown(texts, F.col("id"), "text", c.unknown_word_prob, c.max_unknown_words, seed + 1)
-        matches = small(find_entities(texts, training.entries))
+        matches = training.found(texts)
         intents = max(1, training.texts.select("intent").distinct().count())
         many = int(c.noise_factor * texts.count() / intents)
         noise = sampling.noise(spark.range(many).select(F.col("id").alias("i")), training.noise(), 5.0, 2.0, seed)
@@ -192,7 +251,7 @@ class CrfSlotFiller(SlotFiller):
     def fit(self, training: Training) -> CrfSlotFiller:
         c = self.config
         texts, slots = training.augmented(c.min_utterances, c.capitalization_ratio)
-        matches = small(find_entities(texts, training.entries))
+        matches = training.found(texts)
         made = token_features(texts, matches, features=c.features, resources=training.required(c.resources()), train=True, seed=training.config.seed)
         rows = crf.samples(made, slots.select("id", "slot_name", "s", "e"), c.tagging_scheme).join(texts.select("id", "intent"), "id")
         self.tables = {"chain": small(crf.fit(rows, c.c1, c.c2))}

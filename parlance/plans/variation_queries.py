@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.functions import numbers
 from parlance.operators import variations
 from parlance.plans.registry import query
+from parlance.plans.text_queries import WORDS_SQL
 from parlance.session import table
 
 PUNCT = "[!-/:-@\\[-`{-~]"
@@ -37,10 +37,10 @@ def and_variations(spark, sf_dir):
     return texts.select("text", F.explode(variations.and_variations(F.col("text"))).alias("variation")).distinct()
 
 
-_numbers = ", ".join(f"('{n}', '{numbers.words(n)}')" for n in range(100))
+_numbers = f"SELECT n::VARCHAR AS n, {WORDS_SQL} AS words FROM range(100) r(n)"
 
 
-@query(f"WITH w(n, words) AS (VALUES {_numbers}) SELECT p_partkey, 'size ' || unnest([n, words]) || ' of ' || p_name AS variation FROM part JOIN w ON n = p_size::VARCHAR")
+@query(f"WITH w AS ({_numbers}) SELECT p_partkey, 'size ' || unnest([n, words]) || ' of ' || p_name AS variation FROM part JOIN w ON n = p_size::VARCHAR")
 def number_variations(spark, sf_dir):
     value = F.concat(F.lit("size "), F.col("p_size").cast("string"), F.lit(" of "), "p_name")
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(variations.number_variations(value)).alias("variation"))
@@ -70,7 +70,7 @@ def synonym_resolution(spark, sf_dir):
   SELECT surface, resolved, list_reduce(list_prepend('', list_transform(regexp_extract_all(surface, '[a-zA-Z]+|[^a-zA-Z]+'), lambda r: upper(substr(r, 1, 1)) || lower(substr(r, 2)))), lambda a, b: a || b) AS titled FROM surfaces
 ), cased AS (SELECT resolved, unnest([surface, lower(surface), titled]) AS v FROM titled
 ), dropped AS (SELECT resolved, unnest([v, replace(v, '#', '')]) AS v FROM cased
-), n(n, words) AS (VALUES {_numbers}
+), n AS ({_numbers}
 ), numbered AS (SELECT resolved, v FROM dropped UNION ALL SELECT resolved, replace(v, n, words) FROM dropped JOIN n ON n.n = regexp_extract(v, '[0-9]+')
 ), made AS (SELECT DISTINCT resolved, unnest([trim(v), trim(regexp_replace(regexp_replace(v, '[^a-zA-Z0-9]+', ' ', 'g'), ' +', ' ', 'g'))]) AS v FROM numbered
 ), alone AS (SELECT v, min(resolved) AS resolved FROM made GROUP BY v HAVING count(*) = 1 AND v <> '' AND v NOT IN (SELECT surface FROM surfaces))

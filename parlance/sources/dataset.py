@@ -154,13 +154,27 @@ class Dataset:
         self.intents, self.entities = dict(sorted(self.intents.items())), dict(sorted(self.entities.items()))
         return self
 
+    def intent_form(self, name: str) -> dict:
+        """An intent as in the JSON form."""
+        chunk = lambda c: {"text": c.text} | ({"slot_name": c.slot, "entity": c.entity} if c.slot else {})
+        return {"utterances": [{"data": [chunk(c) for c in u]} for u in self.intents[name]]}
+
+    def entity_form(self, name: str) -> dict:
+        """An entity as in the JSON form; a builtin one is empty."""
+        e = self.entities[name]
+        return {} if e.builtin else {"automatically_extensible": e.extensible, "use_synonyms": e.use_synonyms, "matching_strictness": e.strictness, "data": [{"value": v, "synonyms": s} for v, s in e.values]}
+
     def to_json(self) -> str:
         """The JSON form, with sorted keys and an indent of two."""
-        chunk = lambda c: {"text": c.text} | ({"slot_name": c.slot, "entity": c.entity} if c.slot else {})
-        entity = lambda e: {} if e.builtin else {"automatically_extensible": e.extensible, "use_synonyms": e.use_synonyms, "matching_strictness": e.strictness, "data": [{"value": v, "synonyms": s} for v, s in e.values]}
-        data = {"language": self.language, "intents": {n: {"utterances": [{"data": [chunk(c) for c in u]} for u in said]} for n, said in self.intents.items()}, "entities": {n: entity(e) for n, e in self.entities.items()}}
+        data = {"language": self.language, "intents": {n: self.intent_form(n) for n in self.intents}, "entities": {n: self.entity_form(n) for n in self.entities}}
         return json.dumps(data, indent=2, sort_keys=True, ensure_ascii=False)
 
+    def without_builtin_slots(self) -> Dataset:
+        """The same with the slots of builtin entities as plain text, and without these entities."""
+        plain = lambda c: Chunk(c.text) if c.entity in BUILTIN_KINDS else c
+        intents = {n: [[plain(c) for c in u] for u in said] for n, said in self.intents.items()}
+        return Dataset(self.language, intents, {n: e for n, e in self.entities.items() if not e.builtin})
+
     def slot_entities(self, intent: str) -> dict[str, str]:
         """Entity of each slot of an intent; the last one seen wins."""
         return {c.slot: c.entity for u in self.intents[intent] for c in u if c.slot}

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import shutil
+import tempfile
+import urllib.request
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.errors import MissingResourceError
+from parlance.errors import ExistsError, MissingResourceError
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +62,52 @@ def load(spark: SparkSession, folder: str, required: dict[str, list[str]] | None
     return {kind: {name: READERS[kind](spark, f"{folder}/{kind}/{name}.txt") for name in names} for kind, names in wanted.items()}
 
 
+#: One line of a resource's text file from its row.
+LINES = {"stop_words": "word", "noise": "word", "gazetteers": "value", "word_clusters": "concat_ws('\t', word, cluster)"}
+
+
+def save_text(tables: dict[str, dict[str, DataFrame]], folder: str) -> None:
+    """Write resources as the text files that `load` reads, and metadata.json; a language's resources are small. An existing folder is an error."""
+    to = Path(folder)
+    if to.exists():
+        raise ExistsError(folder)
+    for kind, named in tables.items():
+        (to / kind).mkdir(parents=True)
+        for name, df in named.items():
+            if kind == "stems":
+                lines = df.groupBy("stem").agg(F.array_join(F.array_sort(F.collect_set("form")), ",").alias("forms")).select(F.concat_ws(",", "stem", "forms").alias("line")).orderBy("line")
+            else:
+                lines = df.orderBy("ord" if kind == "noise" else df.columns[0]).selectExpr(f"{LINES[kind]} AS line")
+            (to / kind / f"{name}.txt").write_text("".join(r["line"] + "\n" for r in lines.collect()), encoding="utf-8")
+    (to / "metadata.json").write_text(json.dumps({kind: sorted(named) for kind, named in tables.items()}, indent=2))
+
+
+def fetch(url: str, folder: str) -> str:
+    """Get an archive of resources (.zip or .tar.gz) from a url, file:// included, and unpack it into a new folder below `folder`; gives that folder."""
+    name = url.rstrip("/").rpartition("/")[2]
+    stem = name.removesuffix(".zip").removesuffix(".tar.gz")
+    to = Path(folder) / stem
+    if to.exists():
+        raise ExistsError(str(to))
+    with tempfile.TemporaryDirectory() as held:
+        at = Path(held) / name
+        with urllib.request.urlopen(url) as got, at.open("wb") as out:  # noqa: S310 - the caller names the url
+            shutil.copyfileobj(got, out)
+        to.mkdir(parents=True)
+        shutil.unpack_archive(str(at), str(to), filter="data") if name.endswith(".tar.gz") else shutil.unpack_archive(str(at), str(to))
+    return str(to)
+
+
+def link(folder: str, alias: str) -> None:
+    """Give a folder of resources another name."""
+    if not Path(folder).is_dir():
+        raise MissingResourceError(folder)
+    if Path(alias).exists():
+        raise ExistsError(alias)
+    Path(alias).parent.mkdir(parents=True, exist_ok=True)
+    Path(alias).symlink_to(Path(folder).resolve(), target_is_directory=True)
+
+
 def save(tables: dict[str, dict[str, DataFrame]], folder: str) -> None:
     """Write resources as Parquet, one folder each; an existing one is an error."""
     for kind, named in tables.items():

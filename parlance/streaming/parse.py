@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parlance.plans.engine import IntentEngineModel
+from parlance.plans.units import find_entities
 
 
 def parse_stream(texts: DataFrame, model: IntentEngineModel, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Append the results of a streaming DataFrame (id, text) to Parquet at path.
 
-    The parsers use windows over tokens, which a streaming plan doesn't allow, so batches are parsed in foreachBatch. A batch that
+    The parsers aggregate by utterance and ask each other in turn, which a streaming plan doesn't allow without a watermark, so batches are parsed in foreachBatch. A batch that
     is run again after a failure overwrites its own folder, so results are written once.
     """
 
@@ -21,3 +23,10 @@ def parse_stream(texts: DataFrame, model: IntentEngineModel, path: str, checkpoi
 
     writer = texts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def entity_stream(texts: DataFrame, model: IntentEngineModel) -> DataFrame:
+    """id, kind, s, e, value, resolved of the entities in a streaming DataFrame (id, text), as a streaming DataFrame: tokens, grammars and
+    n-grams are made within the row, and the dictionary is a static table."""
+    prepared = model.prepare_lengths()
+    return find_entities(texts.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), model.tables["entries"], *prepared)

@@ -10,11 +10,12 @@ from parlance.errors import DatasetError, ExistsError, MissingResourceError, Not
 from parlance.operators import classifier, crf
 from parlance.operators.token_features import TOKEN_FEATURES, FeatureConfig, feature
 from parlance.plans import evaluation, units
-from parlance.plans.config import ClassifierConfig, EngineConfig, KeywordConfig, LookupConfig, PatternConfig, ProbabilisticConfig, SlotFillerConfig
+from parlance.plans.config import ClassifierConfig, EngineConfig, KeywordConfig, LookupConfig, PatternConfig, ProbabilisticConfig, SlotFillerConfig, UnitConfig
 from parlance.plans.engine import IntentEngine, IntentEngineModel
-from parlance.plans.plugins import PARSERS, IntentParser
+from parlance.plans.plugins import ENTITY_PARSERS, PARSERS, IntentParser
 from parlance.sources.dataset import Dataset
-from parlance.streaming.parse import parse_stream
+from parlance.streaming.parse import entity_stream, parse_stream
+from parlance.streaming.windows import counts_by_window
 
 YAML = """
 type: intent
@@ -93,6 +94,8 @@ def test_engine(spark, model, dataset, tmp_path):
     assert {i: (r["intent"], slots(r)) for i, r in parsed(loaded, texts).items()} == {i: (r["intent"], slots(r)) for i, r in got.items()}
     texts.where("id = 0").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(texts.schema).parquet(str(tmp_path / "in"))
+    entity_stream(stream, loaded).writeStream.format("memory").queryName("found").trigger(availableNow=True).start().awaitTermination()
+    assert ("plot", "herb spiral") in {(r["kind"], r["resolved"]) for r in spark.table("found").collect()}
     parse_stream(stream, loaded, str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
     assert [r["intent"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["waterBeds"]
 
@@ -172,7 +175,8 @@ def test_units_by_themselves(spark, model, tmp_path):
     again = units.LookupParser(LookupConfig()).from_bytes(spark, lookup.to_bytes())
     assert sorted(map(str, again.tables["models"].collect())) == sorted(map(str, lookup.tables["models"].collect()))
     probabilistic.save(str(tmp_path / "unit"))
-    loaded = units.ProbabilisticParser(FAST).load(spark, str(tmp_path / "unit"))
+    loaded = units.load_unit(spark, str(tmp_path / "unit"))
+    assert isinstance(loaded, units.ProbabilisticParser) and loaded.config == FAST
     assert loaded.fitted and loaded.classifier.model.weights.count() == probabilistic.classifier.model.weights.count()
     prepared = model.prepare(texts_of(spark, "the orchard looks dry"))
     top = probabilistic.classifier.model.top_features(5).collect()
@@ -184,6 +188,27 @@ def test_units_by_themselves(spark, model, tmp_path):
     model.release()
 
 
+def test_counts_of_a_stream_equal_those_of_a_table(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    want = sorted(map(tuple, counts_by_window(events, "ts", "event_type", "1 day", "1 hour").collect()))
+    stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events.parquet*")
+    counts_by_window(stream, "ts", "event_type", "1 day", "1 hour").writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("counted").collect())) == want and want
+
+
+def test_entity_parsers(spark, dataset, tmp_path):
+    training = IntentEngine(spark).training(dataset)
+    texts = texts_of(spark, "zucchini in the orchard for 2 hours", None)
+    for name, want, some in (("custom_entities", {("crop", "courgettes"), ("plot", "orchard")}, ["plot"]), ("builtin_entities", {("number", "2"), ("duration", "2 hours")}, ["duration"])):
+        parser = ENTITY_PARSERS.by_name(name)(UnitConfig(name)).fit(training)
+        parser.save(str(tmp_path / name))
+        loaded = units.load_unit(spark, str(tmp_path / name))
+        assert {(r["kind"], r["resolved"]) for r in loaded.parse(texts).collect()} == want
+        assert {r["kind"] for r in loaded.parse(texts, some).collect()} == set(some)
+        with pytest.raises(ValueError):
+            loaded.parse(texts, ["other"])
+
+
 def test_resources_and_configured_features(spark, dataset):
     @feature("vowels") if "vowels" not in TOKEN_FEATURES.names() else (lambda f: f)
     def vowels(t):
@@ -224,7 +249,10 @@ def test_metrics_and_command_line(spark, dataset, tmp_path, monkeypatch, capsys)
     (tmp_path / "c.json").write_text(patterns.to_json())
     assert cli.main(["train", str(tmp_path / "d.json"), str(tmp_path / "m"), "--config", str(tmp_path / "c.json")]) == 0
     assert cli.main(["parse", str(tmp_path / "m"), "-q", "log 2 kilos of plums"]) == 0
-    assert json.loads(capsys.readouterr().out)["intent"] == "logHarvest"
+    result = json.loads(capsys.readouterr().out)
+    assert result["intent"] == {"intentName": "logHarvest", "probability": 1.0} and result["input"] == "log 2 kilos of plums"
+    assert result["slots"][0] == {"rawValue": "2", "value": {"kind": "Number", "value": "2", "unit": None}, "range": {"start": 4, "end": 5}, "entity": "number", "slotName": "weight"}
+    assert result["slots"][1]["value"] == {"kind": "Custom", "value": "plums", "unit": None}
     assert cli.main(["train-test-metrics", str(tmp_path / "d.json"), str(tmp_path / "d.json"), str(tmp_path / "r.json"), "-c", str(tmp_path / "c.json"), "-i"]) == 0
     shown = json.loads((tmp_path / "r.json").read_text())
     assert shown["metrics"]["waterBeds"]["intent"]["f1"] == 1.0 and shown["metrics"]["logHarvest"]["slots"]["crop"]["f1"] == 1.0 and shown["parsing_errors"] == []

@@ -1,12 +1,13 @@
 """Goldens of text functions, datasets, parsers, tags and models."""
 
 import json
+import shutil
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.errors import DatasetError, RegistryError
+from parlance.errors import DatasetError, ExistsError, MissingResourceError, RegistryError
 from parlance.functions import numbers, text
 from parlance.operators import classifier, crf, entities, parsers, sampling, tagging, variations
 from parlance.plans.config import EngineConfig, PatternConfig
@@ -16,14 +17,14 @@ from parlance.sources.dataset import Dataset, parse_annotation
 
 YAML = """
 type: intent
-name: lightOn
-slots: [{name: room, entity: room}]
-utterances: ["turn on the [room](kitchen) lights", "light in the [room]", " "]
+name: openValve
+slots: [{name: tank, entity: tank}]
+utterances: ["open the [tank](cistern) valve", "let [tank] run", " "]
 ---
 type: entity
-name: room
+name: tank
 automatically_extensible: no
-values: [kitchen, [living room, lounge]]
+values: [cistern, [rain barrel, butt]]
 """
 
 
@@ -66,7 +67,12 @@ def test_annotations():
 
 def test_dataset_round_trip_and_rules():
     d = Dataset.from_yaml("en", YAML).validate()
-    assert d.intents["lightOn"][1][1].text == "kitchen" and len(d.intents["lightOn"]) == 2
+    assert d.intents["openValve"][1][1].text == "cistern" and len(d.intents["openValve"]) == 2
+    assert d.intent_form("openValve")["utterances"][0]["data"][1] == {"text": "cistern", "slot_name": "tank", "entity": "tank"} and d.entity_form("tank")["data"][1] == {"value": "rain barrel", "synonyms": ["butt"]}
+    timed = Dataset.from_yaml("en", YAML.replace("[tank](cistern) valve", "valve for [span:duration](2 hours)"))
+    assert "duration" in timed.entities and timed.entity_form("duration") == {}
+    plain = timed.without_builtin_slots()
+    assert "duration" not in plain.entities and [c.slot for c in plain.intents["openValve"][0]] == [None, None]
     assert json.loads(Dataset.from_json(d.to_json()).validate().to_json()) == json.loads(d.to_json())
     with pytest.raises(DatasetError):
         Dataset("xx", {}, {}).validate()
@@ -105,7 +111,7 @@ def test_ambiguous_keys_are_left_out(spark):
     trained = spark.createDataFrame([(1, "a", "do %X%"), (2, "b", "do %X%"), (3, "a", "go %X%")], "id long, intent string, rewritten string")
     slots = spark.createDataFrame([(i, 0, "s") for i in (1, 2, 3)], "id long, n long, slot_name string")
     assert [r["key"] for r in parsers.build_lookup(trained, slots).collect()] == ["go % x %"]
-    assert [(r["intent"], r["ord"]) for r in parsers.build_patterns(trained).collect()] == [("a", 0)]
+    assert [(r["intent"], r["ord"], r["slot_names"]) for r in parsers.build_patterns(trained, slots).collect()] == [("a", 0, ["s"])]
 
 
 def test_cascade_and_ranking(spark):
@@ -118,8 +124,8 @@ def test_cascade_and_ranking(spark):
 
 
 def test_synonyms(spark):
-    values = spark.createDataFrame([("e", 0, "dummy_a", ["dummy_x"]), ("e", 1, "dummy_x", []), ("e", 2, "b", ["dummy_a", "c"])], "entity string, ord long, value string, synonyms array<string>")
-    assert {(r["surface"], r["resolved"]) for r in variations.synonym_surfaces(values).collect()} == {("dummy_a", "dummy_a"), ("dummy_x", "dummy_x"), ("b", "b"), ("c", "b")}
+    values = spark.createDataFrame([("e", 0, "oak", ["elm"]), ("e", 1, "elm", []), ("e", 2, "ash", ["oak", "rowan"])], "entity string, ord long, value string, synonyms array<string>")
+    assert {(r["surface"], r["resolved"]) for r in variations.synonym_surfaces(values).collect()} == {("oak", "oak"), ("elm", "elm"), ("ash", "ash"), ("rowan", "ash")}
 
 
 def test_variations(spark):
@@ -172,5 +178,20 @@ def test_resources(spark, tmp_path):
     assert {r["word"] for r in got["stop_words"]["s"].collect()} == {"the", "a"}
     assert [r["word"] for r in got["noise"]["n"].orderBy("ord").collect()] == ["one", "two", "three"]
     assert {(r["form"], r["stem"]) for r in got["stems"]["t"].collect()} == {("went", "go"), ("gone", "go")}
+    resources.save_text(got, str(tmp_path / "text"))
+    again = resources.load(spark, str(tmp_path / "text"), {"stems": ["t"], "word_clusters": ["c"], "noise": ["n"]})
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert all(rows(again[k][n]) == rows(got[k][n]) for k, n in (("stems", "t"), ("word_clusters", "c"), ("noise", "n")))
+    with pytest.raises(ExistsError):
+        resources.save_text(got, str(tmp_path / "text"))
+    packed = shutil.make_archive(str(tmp_path / "en-1.0"), "zip", tmp_path / "text")
+    folder = resources.fetch(f"file://{packed}", str(tmp_path / "fetched"))
+    resources.link(folder, str(tmp_path / "links/en"))
+    assert resources.load(spark, str(tmp_path / "links/en"), {"gazetteers": ["g"]})["gazetteers"]["g"].count() == 2
+    for bad in (lambda: resources.fetch(f"file://{packed}", str(tmp_path / "fetched")), lambda: resources.link(folder, str(tmp_path / "links/en"))):
+        with pytest.raises(ExistsError):
+            bad()
+    with pytest.raises(MissingResourceError):
+        resources.load(spark, str(tmp_path), {"stems": ["other"]})
     resources.save(got, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/word_clusters/c")).count() == 2

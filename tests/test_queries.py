@@ -1,5 +1,7 @@
 """Every query with SQL gives the same rows in DuckDB."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -9,7 +11,7 @@ from parlance.plans.registry import ORACLES, QUERIES, query
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels conversations embeddings pages".split()
 #: The widest plans, one for each family; the driver compares all queries.
-CHOSEN = "tok_offsets all_ngrams capitalize_flag stopword_blank rare_word_gate punct_variations surface_expansion builtin_number gazetteer_dedupe placeholders lookup_parse slot_resolution tfidf_transform chi2_select cooc_pairs bilou_encode bio_decode augment_cyclic noise_words prf1_rollup annotated_parse".split()
+CHOSEN = "tok_offsets all_ngrams capitalize_flag stopword_blank rare_word_gate punct_variations surface_expansion builtin_number gazetteer_dedupe placeholders lookup_parse lookup_powerset pattern_slots slot_resolution engine_parse engine_slots builtin_calendar gazetteer_strictness configured_features cooc_select bilou_bounds vocab_restrict kfold_assign tfidf_transform chi2_select cooc_pairs bilou_encode bio_decode augment_cyclic noise_words prf1_rollup annotated_parse".split()
 
 
 @pytest.fixture(scope="module")
@@ -22,11 +24,11 @@ def duck():
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_rows_equal_sql(spark, duck, name):
-    got = QUERIES[name](spark, SF).toPandas()
-    want = duck.sql(ORACLES[name]).df()
-    columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-    rows = lambda d: sorted((tuple(round(v, 5) if isinstance(v, float) else str(v) for v in r) for r in d[columns].astype(object).where(d[columns].notna(), None).values.tolist()), key=repr)
+    got, want = QUERIES[name](spark, SF).toArrow(), duck.sql(ORACLES[name]).to_arrow_table()
+    columns = sorted(got.column_names)
+    assert columns == sorted(want.column_names)
+    plain = lambda v: round(float(v), 5) if isinstance(v, float | Decimal) else v
+    rows = lambda t: sorted((tuple(map(plain, r)) for r in zip(*(t[c].to_pylist() for c in columns))), key=repr)
     assert rows(got) == rows(want)
 
 
