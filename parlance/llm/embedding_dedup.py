@@ -23,7 +23,10 @@ EXACT_TERMS = 1_024
 SLACK = 1e-6
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Codes = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def quantise(x: np.ndarray) -> Codes:
     """Int8 codes, scale and error bound of each unit vector: |x - scale * code| <= error, computed, not assumed."""
     scale = np.abs(x).max(1, initial=0) / 127
     scale[scale == 0] = 1
@@ -34,24 +37,37 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The exact integer products of int8 codes, for any dimension: summed in single precision by at most EXACT_TERMS terms at a time, where
-    every partial sum is a whole number that it holds exactly, and then in double precision."""
-    out = np.zeros((len(a), len(b)))
-    for at in range(0, a.shape[1], EXACT_TERMS):
-        out += a[:, at : at + EXACT_TERMS].astype(np.float32) @ b[:, at : at + EXACT_TERMS].astype(np.float32).T
+    every partial sum is a whole number that it holds exactly, and beyond that in double precision."""
+    part = lambda at: a[:, at : at + EXACT_TERMS].astype(np.float32) @ b[:, at : at + EXACT_TERMS].astype(np.float32).T
+    out = part(0)
+    for at in range(EXACT_TERMS, a.shape[1], EXACT_TERMS):
+        out = out.astype(np.float64) + part(at)
     return out
 
 
-def upper_bounds(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """No cosine of quantised unit vectors is above its entry, but for rounding in double precision.
+def upper_bounds(products: np.ndarray, s: np.ndarray, t: np.ndarray, e: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """No cosine of two quantised unit vectors is above its entry, but for rounding in double precision. products: of their codes; s and t their scales, e and f their
+    errors, all of shapes that fit.
 
     With x = s q + e and y = t r + f, x.y = s t (q.r) + e.(t r) + (s q).f + e.f. As |x| = |y| = 1, |s q| <= 1 + |e| and |t r| <= 1 + |f|, so all but
     the first term is at most |e| (1 + |f|) + (1 + |e|) |f| + |e| |f| = |e| + |f| + 3 |e| |f|. The first term is exact but for two multiplications.
     """
+    return s * t * products + (e + f + 3 * e * f)
+
+
+def possible(x: Codes, y: Codes, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a tile whose upper bound reaches the threshold. One comparison with a bound for each row, by the largest scale and
+    error that it meets, leaves few for the bound of the pair itself."""
     (q, s, e), (r, t, f) = x, y
-    out = code_products(q, r)
-    out *= s[:, None] * t[None, :]
-    out += e[:, None] + f[None, :] + 3 * e[:, None] * f[None, :]
-    return out
+    if not len(q) or not len(r):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    products = code_products(q, r)
+    least = (threshold - SLACK - e - f.max() - 3 * e * f.max()) / (s * t.max())
+    # rounded down to single precision; below zero the largest scale gives no bound, so every pair goes on
+    least = np.where(least > 0, least * (1 - 1e-6) - 1, -np.inf).astype(np.float32)
+    i, j = np.nonzero(products >= least[:, None])
+    ok = upper_bounds(products[i, j].astype(np.float64), s[i], t[j], e[i], f[j]) >= threshold - SLACK
+    return i[ok], j[ok]
 
 
 def strip_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,7 +96,7 @@ def strip_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterat
         for c, d, cy, ry in tiles_x if same else caps(y):
             if same and c < a or np.arccos(np.clip(cx @ cy, -1, 1)) - rx - ry > limit:
                 continue
-            i, j = np.nonzero(upper_bounds(tuple(z[a:b] for z in qx), tuple(z[c:d] for z in qy)) >= threshold - SLACK)
+            i, j = possible(tuple(z[a:b] for z in qx), tuple(z[c:d] for z in qy), threshold)
             i, j = i + a, j + c
             if same:
                 i, j = i[i < j], j[i < j]
@@ -191,7 +207,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     rows, _ = materialize(v.withColumn("class_key", F.when(F.col("x").isNotNull(), F.xxhash64("x"))), "vectors")
     classes = rows.where("x is not null").groupBy("class_key", "x").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     numbered, _ = materialize(classes.select(F.monotonically_increasing_id().alias("vertex"), "class_key", "least", "copies", "x"), "classes")
-    wanted = min(PIVOTS, max(-(-numbered.count() // strip) * 4, spark.sparkContext.defaultParallelism * 4))
+    # no more strips than it takes: where vectors lie too far apart for pivots to tell, each goes to every strip
+    wanted = min(PIVOTS, max(-(-numbered.count() // strip), spark.sparkContext.defaultParallelism // 2, 1))
     pivots = Pivots([r["x"] for r in numbered.orderBy("class_key", "vertex").select("x").limit(wanted).collect()])
     dealt, pairs = dealt_to_strips(numbered, pivots, threshold, strip)
     dealt = dealt.repartition(max(1, min(pairs, 8 * spark.sparkContext.defaultParallelism)), "a", "b").sortWithinPartitions("a", "b", "strip", "vertex")

@@ -150,8 +150,12 @@ def test_quantised_bounds_hold(size):
     assert (embedding_dedup.code_products(q[0], q[0]) == q[0].astype(np.int64) @ q[0].astype(np.int64).T).all()
     extreme = np.full((2, size), 127, np.int8) * np.array([[1], [-1]], np.int8)
     assert embedding_dedup.code_products(extreme, extreme).tolist() == [[16129 * size, -16129 * size], [-16129 * size, 16129 * size]]
-    upper = embedding_dedup.upper_bounds(q, q)
+    codes, scale, error = q
+    upper = embedding_dedup.upper_bounds(embedding_dedup.code_products(codes, codes).astype(float), scale[:, None], scale[None], error[:, None], error[None])
     assert (upper + 1e-12 >= x @ x.T).all() and (upper - x @ x.T).max() < 0.6
+    for threshold in (0.9, 0.5, 0.01, -0.5):
+        found = set(zip(*(k.tolist() for k in embedding_dedup.possible(q, q, threshold))))
+        assert {tuple(k) for k in np.argwhere(x @ x.T >= threshold).tolist()} <= found
 
 
 def test_hot_keys_join_and_connect_alike(spark, monkeypatch):
