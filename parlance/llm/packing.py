@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.llm.runtime import materialize
+from parlance.llm.runtime import materialize, sliced
 from parlance.llm.token_counts import byte_alphabet
 
 #: Pieces of equal length that one task ranks together, on average.
@@ -173,7 +173,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list] = [[] for _ in range(5 + with_ids)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")

@@ -118,7 +118,7 @@ class Features:
         self.cache: dict[bytes, int] = {}
 
     def code(self, word: bytes) -> int:
-        if len(self.cache) > 300_000:
+        if len(self.cache) > 100_000:
             self.cache.clear()
         shape = _runs.sub(rb"\1", word.translate(_shape))[:12]
         out = self.cache[word] = zlib.crc32(word.lower()) % (1 << BITS) << 16 | zlib.crc32(b"\0" + shape) % (1 << BITS)
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in sliced(batches):
             score = np.array([scorer.score(features(t or b"")) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(score >= threshold, pa.bool_())], ["doc_id", "score", "kept"])
 
@@ -239,7 +239,7 @@ def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([scorer.score(features(t or b"")) >= threshold for t in texts], pa.bool_()))
 

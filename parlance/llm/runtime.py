@@ -86,11 +86,13 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most so many rows, so that what a task makes of them at a time stays small."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, and of fewer where rows of the batch have a mean of more than size / rows bytes, so
+    that what a task makes of them at a time stays small. An empty batch gives none."""
     for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
 
 
 #: Rows of one key from which on a join deals them to many tasks.

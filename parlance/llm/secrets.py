@@ -10,6 +10,8 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from parlance.llm.runtime import sliced
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -90,7 +92,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, chars_per_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(vocabulary, chars_per_token)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPANS)], ["doc_id", "secrets"])
 
@@ -116,7 +118,7 @@ def redact_secrets(docs: DataFrame, vocabulary: str | None = None, chars_per_tok
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(vocabulary, chars_per_token)
         at, size = names.index(text_col), names.index(length_col) if length_col in names else None
-        for batch in batches:
+        for batch in sliced(batches):
             columns, new = list(batch.columns), {}
             for i, text in enumerate(columns[at].to_pylist()):
                 if text and (spans := scan(text)):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import shingles
-from parlance.llm.runtime import connected_components, join_unique, key_runs, materialize
+from parlance.llm.runtime import connected_components, join_unique, key_runs, materialize, sliced
 
 BITS = 64
 SEED = 42
@@ -38,7 +38,7 @@ def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col:
     """doc_id and fingerprint (its 64 bits as a long) of every whole text. A map without shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = np.array([fingerprint(t or b"", n) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fingerprint"])
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.runtime import sliced
+
 BLANKS = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unique", "n_adjacent", "n_upper", "n_exclaims", "n_pipes", "n_digits", "n_stops", "n_plain", "n_runs")
@@ -75,7 +77,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id and the numbers of NAMES for every whole text; null and empty texts have zeros. A map without shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [counts(t or b"") for t in batch.column(1).to_pylist()]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(NAMES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *NAMES])
