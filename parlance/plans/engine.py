@@ -95,7 +95,7 @@ class IntentEngineModel:
     def prepare(self, texts: DataFrame) -> Prepared:
         """Texts with the entities found in them; a null text is empty."""
         texts = texts.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-        return Prepared(texts, self._hold(find_entities(texts, self.tables["entries"], *self.prepare_lengths())), self.resources)
+        return Prepared(texts, self._hold(find_entities(texts, self.tables["entries"], *self.prepare_lengths())), self.resources, hold=self._hold)
 
     def _resolved(self, prepared: Prepared, chosen: DataFrame) -> DataFrame:
         """id, intent, probability, slots of the chosen (id, intent, probability, unit: its place in the cascade, null for none)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,16 +97,18 @@ class Training:
 
 @dataclass
 class Prepared:
-    """Texts to parse (id, text) and all entities found in them (id, kind, s, e, value, resolved), with what units have made of them so far."""
+    """Texts to parse (id, text) and all entities found in them (id, kind, s, e, value, resolved), with what units have made of them so far. hold: caches
+    what is read twice."""
 
     texts: DataFrame
     matches: DataFrame
     resources: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
     made: dict = field(default_factory=dict)
+    hold: Callable[[DataFrame], DataFrame] = lambda df: df
 
     def only(self, ids: DataFrame) -> Prepared:
         """The same for some of the texts."""
-        return Prepared(self.texts.join(ids.select("id"), "id", "left_semi"), self.matches.join(ids.select("id"), "id", "left_semi"), self.resources)
+        return Prepared(self.texts.join(ids.select("id"), "id", "left_semi"), self.matches.join(ids.select("id"), "id", "left_semi"), self.resources, hold=self.hold)
 
 
 def load_unit(spark: SparkSession, path: str) -> Unit:
@@ -168,7 +171,7 @@ class _Walker(IntentParser):
     def hits(self, prepared: Prepared) -> DataFrame:
         if self not in prepared.made:
             found = parsers.find(prepared.texts, prepared.matches, self.checked().tables["models"], ["id"])
-            prepared.made[self] = parsers.first_of_intent(found, ["id"], *self.order)
+            prepared.made[self] = prepared.hold(parsers.first_of_intent(found, ["id"], *self.order))
         return prepared.made[self]
 
     def candidates(self, prepared: Prepared, intents: list[str] | None = None) -> DataFrame:
