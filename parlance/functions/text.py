@@ -32,7 +32,7 @@ def tokenize_light(text: Column) -> Column:
 
 
 #: Pieces whose offsets are summed one by one; sums of such chunks are added up first, so offsets cost a text's length only.
-CHUNK = 64
+CHUNK = 16
 
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -56,15 +56,18 @@ def running_sums(values: Column) -> Column:
 def _numbered(pieces: Column) -> Column:
     """Of an array of pieces, those that are tokens: structs of i, pos (place among the pieces), value, s, e and gap."""
 
-    def of(ends: Column) -> Column:
-        def one(x: Column, p: Column) -> Column:
-            after = F.get(pieces, p + 1)
-            gap = F.when(after.isNull() | after.rlike(IS_TOKEN), "").otherwise(after)
-            return F.when(x.rlike(IS_TOKEN), F.struct(p.alias("pos"), x.alias("value"), F.get(ends, p).cast("long").alias("s"), F.get(ends, p + 1).cast("long").alias("e"), gap.alias("gap")))
+    def of(ends: Column, flags: Column, places: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            gap = F.when(F.coalesce(F.get(flags, p + 1), F.lit(True)), "").otherwise(F.get(pieces, p + 1))
+            return F.struct(i.cast("long").alias("i"), p.alias("pos"), F.get(pieces, p).alias("value"), F.get(ends, p).cast("long").alias("s"), F.get(ends, p + 1).cast("long").alias("e"), gap.alias("gap"))
 
-        return F.transform(F.array_compact(F.transform(pieces, one)), lambda t, i: F.struct(i.cast("long").alias("i"), *[t[c].alias(c) for c in ("pos", "value", "s", "e", "gap")]))
+        return F.transform(places, one)
 
-    return bind(running_sums(F.transform(pieces, F.length)), of)
+    def flagged(flags: Column) -> Column:
+        every = F.when(F.size(flags) > 0, F.sequence(F.lit(0), F.size(flags) - 1)).otherwise(F.array().cast("array<int>"))
+        return bind(running_sums(F.transform(pieces, F.length)), lambda ends: bind(F.filter(every, lambda p: F.get(flags, p)), lambda places: of(ends, flags, places)))
+
+    return bind(F.transform(pieces, lambda x: x.rlike(IS_TOKEN)), flagged)
 
 
 def over_tokens(text: Column, f: Callable[[Column, Column], Column]) -> Column:
