@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, embedding_dedup, hard_negatives, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts, url_filters
+from parlance.llm import chat_format, embedding_dedup, hard_negatives, merkle, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts, url_filters
 from parlance.session import table
 
 
@@ -62,6 +62,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
@@ -72,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat_format.ORACLE, "op4_url_filters": url_filters.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE, "op7_source_mixing": mixing.oracle_sql(), "op12_hard_negative_mining": hard_negatives.ORACLE}
+    return {"op1_chat_formatting": chat_format.ORACLE, "op4_url_filters": url_filters.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE, "op7_source_mixing": mixing.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(), "op12_hard_negative_mining": hard_negatives.ORACLE}
