@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat_format, embedding_dedup, hard_negatives, merkle, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts, url_filters
+from parlance.llm import chat_format, embedding_dedup, hard_negatives, merkle, mixing, packing, quality_classifier, quality_rules, secrets, simhash, token_counts, url_filters, warc
 from parlance.session import table
 
 
@@ -71,9 +71,13 @@ def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat_format.ORACLE, "op4_url_filters": url_filters.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE, "op7_source_mixing": mixing.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(), "op12_hard_negative_mining": hard_negatives.ORACLE}
+    return {"op1_chat_formatting": chat_format.ORACLE, "op4_url_filters": url_filters.ORACLE, "op6_embedding_near_dedup": embedding_dedup.ORACLE, "op7_source_mixing": mixing.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(), "op12_hard_negative_mining": hard_negatives.ORACLE, "op13_warc": warc.ORACLE}
