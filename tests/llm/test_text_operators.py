@@ -148,23 +148,25 @@ def test_classifier_on_hard_rows(spark, hard):
 def plain_em(patterns, rounds):
     """The same model document by document, with dictionaries and products of probabilities."""
     docs = [(k, n) for k, n in patterns.items()]
-    bad = {k: 1 / (1 + math.exp(1 - 2 * (k.count("b") - k.count("g")))) for k, _ in docs}
-    own, other, none = quality_classifier.PRIOR
+    bad = {k: 1 / (1 + math.exp(1 - 2 * (k.count("b") - k.count("g")))) if "b" in k else 0 for k, _ in docs}
+    silent = [all(k[j] != "g" for k, _ in docs) for j in range(len(docs[0][0]))]
+    say = lambda k, j: "g" if silent[j] and k[j] == "-" else k[j]
+    own, other = quality_classifier.PRIOR
     for _ in range(rounds):
         rates, shares = {}, {}
-        for c, prior in (("good", {"b": other, "g": own, "-": none}), ("bad", {"b": own, "g": other, "-": none})):
+        for c, prior, start in (("good", {"b": other, "g": own}, quality_classifier.SHARE_PRIOR[0]), ("bad", {"b": own, "g": other}, quality_classifier.SHARE_PRIOR[1])):
             of = {k: (bad[k] if c == "bad" else 1 - bad[k]) * n for k, n in docs}
-            shares[c] = sum(of.values()) + 1
+            shares[c] = sum(of.values()) + start
             for j in range(len(docs[0][0])):
-                seen = {v: prior[v] + sum(of[k] for k, _ in docs if k[j] == v) for v in "bg-"}
-                for v in "bg-":
+                seen = {v: prior[v] + sum(of[k] for k, _ in docs if say(k, j) == v) for v in "bg"}
+                for v in "bg":
                     rates[c, j, v] = seen[v] / sum(seen.values())
         for k, _ in docs:
             p = {c: shares[c] / sum(shares.values()) for c in ("good", "bad")}
             for c in p:
-                for j, v in enumerate(k):
-                    p[c] *= rates[c, j, v]
-            bad[k] = p["bad"] / (p["good"] + p["bad"])
+                for j in range(len(k)):
+                    p[c] *= rates.get((c, j, say(k, j)), 1)
+            bad[k] = p["bad"] / (p["good"] + p["bad"]) if "b" in k else 0
     return bad
 
 
@@ -217,6 +219,45 @@ def test_a_labeller_that_fires_alone_loses_weight():
     assert posterior[votes(3)] < 0.1 and min(posterior[votes(0, 7, 9)], posterior[votes(1, 2, 7, 9)]) > 0.95
 
 
+def votes_of(*bad, quiet=()):
+    """b of some labellers, abstentions of those that look for one kind of junk and of others, g of the rest."""
+    return "".join("b" if j in bad else "-" if j < 8 or j in quiet else "g" for j in range(len(quality_classifier.LABELLERS)))
+
+
+@pytest.mark.parametrize("junk", [0, 50, 200, 1_000])
+@pytest.mark.parametrize("short", [0, 10_000, 50_000])
+def test_clean_votes_stay_good_however_little_junk_there_is(junk, short):
+    """100,000 documents, up to half of them so short that labellers abstain, lone false votes, and up to 1 % junk of four kinds that two or three labellers see each."""
+    lone = {votes_of(4): 800, votes_of(9): 300, votes_of(0): 200, votes_of(9, quiet=(8, 10)): 100}
+    kinds = [votes_of(0, 7, 9), votes_of(1, 2, 9), votes_of(3, 4, 10), votes_of(5, 4, 8)]
+    clean = {votes_of(): 70_000 - short, votes_of(quiet=(8,)): 20_000, votes_of(quiet=(9,)): 8_600, votes_of(quiet=(8, 10)): short + 1}
+    counts = {k: n for k, n in (clean | lone | {k: junk // 4 for k in kinds}).items() if n}
+    posterior, _ = quality_classifier.estimate(counts)
+    assert max(posterior[k] for k in counts if "b" not in k) == 0
+    assert all(posterior[k] < 0.5 for k in lone)
+    if junk:
+        assert min(posterior[k] for k in kinds) > 0.9
+
+
+@pytest.mark.parametrize("short", [0, 0.3, 0.5])
+@pytest.mark.parametrize("junk", [0, 2, 20])
+def test_a_clean_corpus_is_kept(spark, junk, short):
+    """1,000 documents without much junk, or with none: all are kept, the short ones too."""
+    docs = [(i, prose(i, 6 if i < 1000 * short else 150)) for i in range(1000)] + [(5000 + i, " ".join(w + "***" if i % 2 else w.upper() + "!!" for w in prose(9000 + i, 150).split())) for i in range(junk)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    scorer, _ = quality_classifier.fit(frame)
+    kept = {r["doc_id"] for r in quality_classifier.keep_good(frame, scorer).select("doc_id").collect()}
+    assert not set(range(1000)) - kept
+    assert junk < 20 or kept == set(range(1000))
+
+
+def test_very_many_copies_are_one_row_of_the_sample(spark):
+    """10 ** 5 equal rows with null ids, which share a hash, and some others."""
+    docs = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"'{prose(1, 12)}' AS text").unionByName(spark.createDataFrame([(i, prose(i, 60)) for i in range(50)], "doc_id long, text string"))
+    scorer, votes = quality_classifier.fit(docs, sample_rows=100)
+    assert votes.count() == 100_050 and quality_classifier.keep_good(docs, scorer).count() == 100_050
+
+
 SECRET = "Aq9Zx7Lm2Vt5Rk8Wp3Yd6"
 
 
