@@ -53,7 +53,7 @@ def running_sums(values: Column) -> Column:
     return bind(values, of)
 
 
-def _numbered(pieces: Column) -> Column:
+def numbered(pieces: Column) -> Column:
     """Of an array of pieces, those that are tokens: structs of i, pos (place among the pieces), value, s, e and gap."""
 
     def of(ends: Column, flags: Column, places: Column) -> Column:
@@ -70,14 +70,18 @@ def _numbered(pieces: Column) -> Column:
     return bind(F.transform(pieces, lambda x: x.rlike(IS_TOKEN)), flagged)
 
 
+def cut_pieces(text: Column) -> Column:
+    """All of a text, cut into tokens and what lies between; a null text has no pieces."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({PIECE})"), F.lit(1)), F.array().cast("array<string>"))
+
+
 def over_tokens(text: Column, f: Callable[[Column, Column], Column]) -> Column:
     """f(pieces, tokens) of a text. pieces: all of it, cut into tokens and what lies between; tokens: structs of i (from 0), pos (place
     among the pieces), value, its half-open range s, e in code points, and gap (what stands between it and the next token, empty for nothing).
 
     All of it happens within the row, so it needs neither a shuffle nor a key that tells rows apart. A null text has none.
     """
-    pieces = F.coalesce(F.regexp_extract_all(text, F.lit(f"({PIECE})"), F.lit(1)), F.array().cast("array<string>"))
-    return bind(pieces, lambda p: bind(_numbered(p), lambda t: f(p, t)))
+    return bind(cut_pieces(text), lambda p: bind(numbered(p), lambda t: f(p, t)))
 
 
 def token_array(text: Column) -> Column:
@@ -96,18 +100,26 @@ def join_shifts(toks: Column) -> Column:
     return bind(running_sums(gaps), lambda sums: F.transform(toks, lambda t, i: F.struct(t["i"].alias("i"), F.get(sums, i + 1).cast("long").alias("shift"))))
 
 
+def each(df: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:
+    """keys and a row for each element of an array, which has no null elements; none for an empty or null array.
+
+    Of a plain explode Spark makes a filter of rows whose array has elements as well, and computes the array for it once more; so the outer form is used, and its null row for an empty array is taken away.
+    """
+    return df.select(*keys, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def tokens(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per token: keys, i (from 0), value and its half-open range s, e in code points.
 
     A map without shuffle: rows with equal or null keys each give their own tokens; a null text has none.
     """
-    return df.select(*keys, F.explode(token_array(F.col(text))).alias("t")).select(*keys, "t.i", "t.value", "t.s", "t.e")
+    return each(df, keys, token_array(F.col(text)), "t").select(*keys, "t.i", "t.value", "t.s", "t.e")
 
 
 def per_token(df: DataFrame, keys: list[str], f: Callable[[Column, Column, Column], list[Column]], text: str = "text") -> DataFrame:
     """keys, i and named columns for each token, made by f(tokens, token, i), which may look at neighbours. A map without shuffle."""
     rows = over_tokens(F.col(text), lambda _, toks: F.transform(toks, lambda t, i: F.struct(t["i"].alias("i"), *f(toks, t, i))))
-    return df.select(*keys, F.explode(rows).alias("t")).select(*keys, "t.*")
+    return each(df, keys, rows, "t").select(*keys, "t.*")
 
 
 def shape(token: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text
-from parlance.operators import grammar
+from parlance.operators import calendar, grammar
 
 #: The kinds of builtin entities and, of those, the ones that a dictionary holds.
 GRAMMAR_KINDS = ("amountOfMoney", "duration", "number", "ordinal", "temperature", "datetime", "date", "time", "datePeriod", "timePeriod", "percentage")
@@ -23,20 +23,28 @@ def is_builtin(kind: Column) -> Column:
 def builtin_matches(texts: DataFrame, keys: list[str], kinds: tuple[str, ...] = GRAMMAR_KINDS, language: str = "en") -> DataFrame:
     """keys, kind, s, e, value, number, unit of each builtin entity. texts: keys, text.
 
-    A grammar reads a token with its neighbours: numbers with a fraction, $ before and % behind a number, ordinals,
-    numbers with a unit of temperature or time, dates, times and periods. Each kind is matched for itself, so kinds overlap;
+    A grammar reads a token with its neighbours: numbers with a fraction or in words, $ before and % behind a number, ordinals,
+    numbers with a unit of temperature or time and compounds of these, dates, times, periods and intervals. Each kind is matched for itself, so kinds overlap;
     `keep_longest` removes that. Case does not matter and offsets are those of the original text. All of it
     happens within the row: a map without shuffle.
     """
-    return texts.select(*keys, F.explode(grammar.entity_array(F.col("text"), kinds, language)).alias("m")).select(*keys, "m.*")
+    found = grammar.with_entities(texts.select(*keys, "text"), "text", kinds, language, "__m")
+    return text.each(found, keys, F.col("__m"), "__m").select(*keys, "__m.*")
 
 
-def resolved_value(kind: Column, raw: Column, resolved: Column, language: str = "en") -> Column:
-    """What a slot stands for, as JSON: a custom entity's resolved value, or a builtin one's number and unit as its grammar reads them from the text."""
-    read = F.get(F.filter(grammar.entity_array(raw, GRAMMAR_KINDS, language), lambda m: m["kind"] == kind), 0)
+def resolved_values(slots: DataFrame, kind: str, raw: str, resolved: str, language: str = "en", name: str = "value", reference: Column | None = None) -> DataFrame:
+    """slots with what each stands for, as JSON: a custom entity's resolved value, or a builtin one's number and unit as its grammar reads them from the raw text, or the
+    instants that a date or time means at a reference instant (now, if none is given; see `calendar.with_meaning`)."""
+    keep = slots.columns
+    read = grammar.with_entities(slots, raw, GRAMMAR_KINDS, language, "__read")
+    read = read.withColumn("__read", F.get(F.filter("__read", lambda m: m["kind"] == F.col(kind)), 0))
+    read = calendar.with_meaning(read, kind, raw, F.current_timestamp() if reference is None else reference, language, "__when")
     whole = lambda n: F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
-    of = lambda m: F.to_json(F.struct(F.initcap(F.regexp_replace(kind, "([A-Z])", " $1")).alias("kind"), F.coalesce(whole(m["number"]), resolved).alias("value"), m["unit"].alias("unit")))
-    return F.when(is_builtin(kind), text.bind(read, of)).otherwise(F.to_json(F.struct(F.lit("Custom").alias("kind"), resolved.alias("value"))))
+    said = F.initcap(F.regexp_replace(F.col(kind), "([A-Z])", " $1"))
+    number = F.to_json(F.struct(said.alias("kind"), F.coalesce(whole(F.col("__read.number")), F.col(resolved)).alias("value"), F.col("__read.unit").alias("unit")))
+    custom = F.to_json(F.struct(F.lit("Custom").alias("kind"), F.col(resolved).alias("value")))
+    value = F.when(~is_builtin(F.col(kind)), custom).when(F.col("__when").isNotNull(), F.to_json("__when")).otherwise(number)
+    return read.select(*keep, value.alias(name))
 
 
 def gazetteer(values: DataFrame) -> DataFrame:
@@ -86,7 +94,7 @@ def gazetteer_matches(texts: DataFrame, keys: list[str], entries: DataFrame, lon
 
         return text.bind(F.transform(toks, lambda t: text.normalize(t["value"])), of)
 
-    grams = texts.select(*keys, F.explode(text.over_tokens(F.col("text"), cut)).alias("g")).select(*keys, "g.*")
+    grams = text.each(texts, keys, text.over_tokens(F.col("text"), cut), "g").select(*keys, "g.*")
     return grams.join(entries.select("norm", "kind", "resolved"), "norm").select(*keys, "kind", "s", "e", "value", "resolved")
 
 
@@ -111,7 +119,7 @@ def keep_longest(matches: DataFrame, keys: list[str]) -> DataFrame:
     listed = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
     overlap = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
     kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.array_append(acc, x)))
-    return listed.select(*keys, F.explode(kept).alias("m")).select(*keys, *[f"m.{c}" for c in matches.columns if c not in keys])
+    return text.each(listed, keys, kept, "m").select(*keys, *[f"m.{c}" for c in matches.columns if c not in keys])
 
 
 def replace_with_placeholders(texts: DataFrame, matches: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +128,7 @@ def replace_with_placeholders(texts: DataFrame, matches: DataFrame, keys: list[s
     matches do not overlap. Offsets after the rewrite are running sums of length differences.
     """
     both = rewrite(texts, matches, keys)
-    return both.select(*keys, "rewritten"), both.select(*keys, F.explode("found").alias("x")).select(*keys, *[f"x.{c}" for c in ("n", "kind", "s", "e", "value", "new_s", "new_e")])
+    return both.select(*keys, "rewritten"), both.select(*keys, F.explode_outer("found").alias("x")).where("x IS NOT NULL").select(*keys, *[f"x.{c}" for c in ("n", "kind", "s", "e", "value", "new_s", "new_e")])
 
 
 def rewrite(texts: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:

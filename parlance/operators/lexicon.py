@@ -48,7 +48,7 @@ def drop_stop_words(tokens: DataFrame, keys: list[str], stops: DataFrame) -> Dat
 
 def blank_stop_words(texts: DataFrame, keys: list[str], stops: DataFrame) -> DataFrame:
     """keys and `blanked`: the text with every stop word replaced by as many spaces, so offsets hold. texts: keys, text."""
-    pieces = texts.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(f"({text.PIECE})"), F.lit(1))).alias("pos", "value"))
+    pieces = texts.select(*keys, F.posexplode_outer(F.regexp_extract_all("text", F.lit(f"({text.PIECE})"), F.lit(1))).alias("pos", "value")).where("pos IS NOT NULL")
     marked = look_up(pieces, stops.select("word").distinct().withColumn("yes", F.lit(True)), text.normalize(F.col("value")), "word", "yes", "__stop")
     shown = marked.withColumn("v", F.when(F.col("__stop"), F.repeat(F.lit(" "), F.length("value"))).otherwise(F.col("value")))
     return shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]), "").alias("blanked"))

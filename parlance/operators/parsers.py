@@ -84,7 +84,7 @@ def find(texts: DataFrame, matches: DataFrame, models: DataFrame, keys: list[str
     spots = F.filter(F.transform(F.coalesce("held", F.array().cast("array<struct<s:bigint,e:bigint,kind:string,value:string>>")), spot), lambda x: (x["at"] >= 0) & (x["to"] > x["at"]))
     rows = rows.select(*keys, "toks", F.reverse(F.array_sort(spots)).alias("spots"))
     offered = F.array_distinct(F.concat(F.transform("toks", lambda t: t["w"]), F.transform("spots", lambda x: x["label"]), F.array(F.lit(""))))
-    tried = rows.select(*keys, "toks", "spots", F.explode(offered).alias("filed")).join(models, "filed")
+    tried = text.each(rows, [*keys, "toks", "spots"], offered, "filed").join(models, "filed")
 
     n = F.size("toks")
 

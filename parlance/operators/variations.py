@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.functions import numbers, text
+from parlance.functions import spoken, text
 
 #: At most so many variations by one rule; a value that would have more gets none of them.
 LIMIT = 10
@@ -42,10 +42,12 @@ def and_variations(value: Column, lang: str = "en") -> Column:
     return _product(pieces, lambda p: p.isin(f" {word}", " &"), lambda p: F.when(p == f" {word}", " &").otherwise(f" {word}"))
 
 
-def number_variations(value: Column) -> Column:
-    """Each whole number of up to four digits in digits or in words."""
+def number_variations(value: Column, lang: str = "en") -> Column:
+    """Each whole number of up to four digits in digits or in words of a language; none in languages without number words."""
+    if lang not in spoken.LANGUAGES:
+        return F.array().cast("array<string>")
     pieces = F.regexp_extract_all(value, F.lit(r"((?<![0-9])[0-9]{1,4}(?![0-9])|[0-9]+|[^0-9]+)"), F.lit(1))
-    return _product(pieces, lambda p: p.rlike("^[0-9]{1,4}$"), lambda p: numbers.word_column(p.cast("int")))
+    return _product(pieces, lambda p: p.rlike("^[0-9]{1,4}$"), lambda p: spoken.spell(p.cast("int"), lang))
 
 
 def case_variations(value: Column) -> Column:
@@ -60,7 +62,7 @@ def string_variations(value: Column, lang: str = "en") -> Column:
     out = flat(out, lambda v: F.array(text.normalize(v)))
     out = flat(out, lambda v: and_variations(v, lang))
     out = flat(out, punctuation_variations)
-    out = flat(out, number_variations)
+    out = flat(out, lambda v: number_variations(v, lang))
     tidy = F.transform(out, lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
     return F.array_sort(F.array_distinct(F.concat(tidy, F.transform(tidy, lambda v: F.array_join(text.tokenize_light(v), " ")))))
 
@@ -78,7 +80,7 @@ def synonym_surfaces(values: DataFrame) -> DataFrame:
 
 def expand_surfaces(surfaces: DataFrame, lang: str = "en") -> DataFrame:
     """entity, surface, resolved with variations added: those that belong to one resolved value alone and equal no original."""
-    made = surfaces.select("entity", F.explode(string_variations(F.col("surface"), lang)).alias("surface"), "resolved").distinct()
+    made = surfaces.select("entity", F.explode_outer(string_variations(F.col("surface"), lang)).alias("surface"), "resolved").where("surface IS NOT NULL").distinct()
     alone = made.groupBy("entity", "surface").agg(F.count("*").alias("n"), F.min("resolved").alias("resolved")).where("n = 1 AND surface <> ''")
     new = alone.join(surfaces.select("entity", "surface"), ["entity", "surface"], "left_anti").select("entity", "surface", "resolved")
     return surfaces.unionByName(new)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from parlance.sources.dataset import Dataset
 
 #: Stop words of English, for parsers that are told to ignore them and have no resource.
 STOP_WORDS = {"en": "a an the of to in on at for and or is are be it this that with from by as me my you your i we please can could would will do does".split()}
+VALUE = "kind string, value string, unit string, grain string, precision string, `from` string, `to` string"
 SLOT = "struct<start:long,end:long,raw_value:string,resolved:string,entity:string,slot_name:string>"
 #: The tables that all units share, by name.
 SHARED = {"intents": "intent string", "entities": "entity string, extensible boolean, strictness double", "entries": "kind string, norm string, n_tokens int, resolved string"}
@@ -128,10 +129,12 @@ class IntentEngineModel:
         done = self._with_slots(prepared, out.unionByName(none), raw)
         return done.join(prepared.texts, "id").select("id", F.col("text").alias("input"), "intent", "probability", "slots")
 
-    def to_json(self, parsed: DataFrame) -> DataFrame:
-        """id, result: each row of `parse` as one JSON object, with slots that say where they are and what they stand for."""
-        each = parsed.select("id", "input", "intent", "probability", F.posexplode_outer("slots").alias("n", "x"))
-        value = F.from_json(entities.resolved_value(F.col("x.entity"), F.col("x.raw_value"), F.col("x.resolved"), self.language), "kind string, value string, unit string")
+    def to_json(self, parsed: DataFrame, reference: Column | None = None) -> DataFrame:
+        """id, result: each row of `parse` as one JSON object, with slots that say where they are and what they stand for. reference: the instant that dates and times are
+        counted from, a column of parsed or a constant; now, if none is given."""
+        each = parsed.select("id", "input", "intent", "probability", F.posexplode_outer("slots").alias("n", "x")).select("*", F.col("x.entity").alias("__kind"), F.col("x.raw_value").alias("__raw"), F.col("x.resolved").alias("__resolved"))
+        each = entities.resolved_values(each, "__kind", "__raw", "__resolved", self.language, "__value", reference)
+        value = F.from_json("__value", VALUE)
         slot = F.struct(F.col("x.raw_value").alias("rawValue"), value.alias("value"), F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end")).alias("range"), F.col("x.entity").alias("entity"), F.col("x.slot_name").alias("slotName"))
         listed = each.groupBy("id", "input", "intent", "probability").agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("n", slot.alias("slot"))))).alias("slots"))
         result = F.struct("input", F.struct(F.col("intent").alias("intentName"), "probability").alias("intent"), F.transform("slots", lambda s: s["slot"]).alias("slots"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import entities, grammar
+from parlance.functions import spoken
+from parlance.operators import calendar, entities, grammar
 from parlance.plans import gen
 from parlance.plans.registry import query
 from parlance.session import table
@@ -55,6 +56,88 @@ def builtin_calendar(spark, sf_dir):
     return entities.builtin_matches(texts, ["id"], ("date", "time", "datetime", "datePeriod", "timePeriod")).select("id", "kind", "s", "e", "value", "unit")
 
 
+#: Numbers below 10 ** 9 of each customer, of one to nine digits, in words of each language that has some. The French un is an article as well, so it is no number alone.
+WORD_NUMBERS = "said AS (" + " UNION ALL ".join(
+    f"SELECT c_custkey AS id, '{lang}' AS lang, n, {spoken.spelled_sql('n', lang)} AS words FROM (SELECT c_custkey, 2 + (c_custkey * 98317 + c_custkey * c_custkey * 7919) % (CASE c_custkey % 3 WHEN 0 THEN 97 WHEN 1 THEN 99991 ELSE 999999000 END) AS n FROM customer)" for lang in spoken.LANGUAGES
+) + ")"
+
+
+@query(f"WITH {WORD_NUMBERS} SELECT id, lang, 3::BIGINT AS s, (3 + length(words))::BIGINT AS e, words AS value, n::DOUBLE AS number FROM said")
+def builtin_word_numbers(spark, sf_dir):
+    """Numbers that are read from words, made of the customers' keys."""
+    k = F.col("c_custkey")
+    n = 2 + (k * 98317 + k * k * 7919) % F.when(k % 3 == 0, 97).when(k % 3 == 1, 99_991).otherwise(999_999_000)
+    numbers, out = table(spark, sf_dir, "customer").select(k.cast("long").alias("id"), n.cast("long").alias("n")), None
+    for lang in spoken.LANGUAGES:
+        texts = numbers.select("id", F.lit(lang).alias("lang"), F.concat(F.lit("(: "), spoken.spell(F.col("n"), lang), F.lit(", ok")).alias("text"))
+        own = entities.builtin_matches(texts, ["id", "lang"], ("number",), lang).select("id", "lang", "s", "e", "value", "number")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_at = lambda words, i: f"{_list(words)}[{i}]"
+#: Requests with a duration of three parts, an interval of hours, one of weekdays, and an open one.
+COMPOUNDS = f"""parts AS (SELECT c_custkey AS id, (c_custkey % 5 + 2)::VARCHAR || ' days, ' || (c_custkey % 20 + 2)::VARCHAR || ' hours and ' || (c_custkey % 58 + 2)::VARCHAR || ' minutes' AS stay, ((c_custkey % 5 + 2) * 24 + c_custkey % 20 + 2) * 60 + c_custkey % 58 + 2 AS minutes,
+  'between ' || (c_custkey % 5 + 1)::VARCHAR || ' and ' || (c_custkey % 5 + 7)::VARCHAR || ' pm' AS hours, 'from ' || {_at(_DAYS, "c_custkey % 7 + 1")} || ' to ' || {_at(_DAYS, "(c_custkey + 3) % 7 + 1")} AS days, ['before ', 'after '][c_custkey % 2 + 1] || ['noon', 'midnight'][c_custkey % 2 + 1] AS open, c_custkey % 2 AS late FROM customer
+), whole AS (SELECT *, 'Stay ' || stay || ' ' || hours || '; ' || days || ', ' || open || '.' AS text FROM parts)"""
+
+
+@query(
+    f"""WITH {COMPOUNDS}, marks AS (SELECT id, text, unnest(['duration', 'timePeriod', 'datePeriod', 'timePeriod']) AS kind, unnest([stay, hours, days, open]) AS value, unnest([minutes, NULL, NULL, NULL])::DOUBLE AS number,
+  unnest(['minute', 'interval', 'interval', CASE WHEN late = 1 THEN 'after' ELSE 'before' END]) AS unit FROM whole)
+SELECT id, kind, (position(value IN text) - 1)::BIGINT AS s, (position(value IN text) - 1 + length(value))::BIGINT AS e, value, number, unit FROM marks"""
+)
+def builtin_compounds(spark, sf_dir):
+    """Durations of several parts, and intervals of times and dates, in requests made of the customers' keys."""
+    k = F.col("c_custkey")
+    pick = lambda words, n: F.get(F.array(*[F.lit(w) for w in words]), n.cast("int"))
+    number = lambda n: n.cast("string")
+    stay = F.concat(number(k % 5 + 2), F.lit(" days, "), number(k % 20 + 2), F.lit(" hours and "), number(k % 58 + 2), F.lit(" minutes"))
+    hours = F.concat(F.lit("between "), number(k % 5 + 1), F.lit(" and "), number(k % 5 + 7), F.lit(" pm"))
+    days = F.concat(F.lit("from "), pick(_DAYS, k % 7), F.lit(" to "), pick(_DAYS, (k + 3) % 7))
+    said = F.concat(F.lit("Stay "), stay, F.lit(" "), hours, F.lit("; "), days, F.lit(", "), pick(("before noon", "after midnight"), k % 2), F.lit("."))
+    texts = table(spark, sf_dir, "customer").select(k.cast("long").alias("id"), said.alias("text"))
+    return entities.builtin_matches(texts, ["id"], ("duration", "timePeriod", "datePeriod"))
+
+
+_MONDAY = "date_trunc('week', ref)"
+_MEANING = f"""refs AS (SELECT *, TIMESTAMP '1995-11-03 10:30:00' + to_days((id * 37 % 3000)::INT) + to_hours((id % 13)::INT) AS ref FROM cal
+), parts AS (SELECT *, date_trunc('day', ref) AS today, id % 12 + 1 AS mon, id % 28 + 1 AS dom, (id % 12 + 1) % 12 + CASE WHEN id % 2 = 0 THEN 0 ELSE 12 END AS hh FROM refs
+), days AS (SELECT *, {_MONDAY} + to_days((7 + id % 7)::INT) AS next_wd, today + to_days(((id % 7 - (isodow(ref) - 1) + 6 + 7) % 7 + 1)::INT) AS bare_wd,
+  (SELECT min(d) FROM (SELECT make_date((year(ref) + y)::INT, mon::INT, dom::INT) AS d FROM (SELECT unnest([0, 1]) AS y)) WHERE d >= today)::TIMESTAMP AS of_month,
+  today + to_hours(hh::INT) + CASE WHEN today + to_hours(hh::INT) > ref THEN INTERVAL 0 DAY ELSE INTERVAL 1 DAY END AS of_hour,
+  CASE id % 3 WHEN 0 THEN {_MONDAY} WHEN 1 THEN date_trunc('month', ref) + INTERVAL 1 MONTH ELSE date_trunc('year', ref) - INTERVAL 1 YEAR END AS starts, CASE id % 3 WHEN 0 THEN INTERVAL 7 DAY WHEN 1 THEN INTERVAL 1 MONTH ELSE INTERVAL 1 YEAR END AS size,
+  [6, 12, 18, 22][id % 4 + 1] AS from_h, [12, 18, 22, 30][id % 4 + 1] AS to_h FROM parts
+), meant AS (
+  SELECT id, unnest(['date', 'date', 'date', 'time', 'datetime', 'datePeriod', 'timePeriod', 'datePeriod', 'timePeriod']) AS kind,
+    unnest(['next ' || wd, wd, day, hour, 'next ' || wd || ' at ' || hour, period, part, 'from ' || wd || ' to ' || ['sunday', 'monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday'][id % 7 + 1], 'after ' || hour]) AS value,
+    unnest([next_wd, bare_wd, of_month, of_hour, next_wd + to_hours(hh::INT), NULL, NULL, NULL, NULL]) AS moment,
+    unnest(['Day', 'Day', 'Day', 'Hour', 'Hour', NULL, NULL, NULL, NULL]) AS grain,
+    unnest([NULL, NULL, NULL, NULL, NULL, starts, today + to_hours(from_h::INT) + skip, bare_wd, of_hour]) AS a, unnest([NULL, NULL, NULL, NULL, NULL, starts + size, today + to_hours(to_h::INT) + skip, bare_wd + INTERVAL 6 DAY, NULL]) AS b
+  FROM (SELECT *, CASE WHEN today + to_hours(to_h::INT) <= ref THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS skip FROM days))"""
+
+
+@query(
+    f"""WITH {CALENDAR.partition(chr(10) + "), said AS")[0]}), {_MEANING}
+SELECT id, kind, value, CASE WHEN a IS NULL AND b IS NULL THEN 'InstantTime' ELSE 'TimeInterval' END AS means, strftime(moment, '%Y-%m-%d %H:%M:%S +00:00') AS instant, grain, strftime(a, '%Y-%m-%d %H:%M:%S +00:00') AS begins, strftime(b, '%Y-%m-%d %H:%M:%S +00:00') AS ends FROM meant"""
+)
+def builtin_resolved(spark, sf_dir):
+    """What dates, times and periods mean at instants that differ from customer to customer."""
+    k = F.col("c_custkey")
+    pick = lambda words, n: F.get(F.array(*[F.lit(w) for w in words]), n.cast("int"))
+    hour, wd = F.concat((k % 12 + 1).cast("string"), F.when(k % 2 == 0, " am").otherwise(" pm")), pick(_DAYS, k % 7)
+    said = {
+        0: ("date", F.concat(F.lit("next "), wd)), 1: ("date", wd), 2: ("date", F.concat_ws(" ", pick(_MONTHS, k % 12), (k % 28 + 1).cast("string"))), 3: ("time", hour), 4: ("datetime", F.concat(F.lit("next "), wd, F.lit(" at "), hour)),
+        5: ("datePeriod", F.concat_ws(" ", pick(("this", "next", "last"), k % 3), pick(("week", "month", "year"), k % 3))), 6: ("timePeriod", pick(("morning", "afternoon", "evening", "night"), k % 4)),
+        7: ("datePeriod", F.concat(F.lit("from "), wd, F.lit(" to "), pick((_DAYS[-1], *_DAYS[:-1]), k % 7))), 8: ("timePeriod", F.concat(F.lit("after "), hour)),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in said.values()])).alias("x")
+    reference = F.expr("timestamp'1995-11-03 10:30:00' + make_dt_interval(cast(c_custkey * 37 % 3000 as int), cast(c_custkey % 13 as int))")
+    rows = table(spark, sf_dir, "customer").select(k.cast("long").alias("id"), reference.alias("ref"), each).select("id", "ref", "x.*")
+    meant = calendar.with_meaning(rows, "kind", "value", F.col("ref"))
+    return meant.select("id", "kind", "value", F.col("meant.kind").alias("means"), F.col("meant.value").alias("instant"), "meant.grain", F.col("meant.from").alias("begins"), F.col("meant.to").alias("ends"))
+
+
 @query(
     f"""WITH {gen.DICTIONARY}, loose AS (SELECT *, string_split(norm, ' ') AS w, len(string_split(norm, ' ')) AS n FROM entries WHERE kind = 'product'
 ), sized AS (SELECT *, unnest(range(greatest(1, ceil(0.5 * n))::BIGINT, n::BIGINT)) AS k FROM loose), placed AS (SELECT *, unnest(range(1, n - k + 2)) AS a FROM sized

@@ -95,7 +95,7 @@ SELECT conv_id, turn, i, n, array_to_string(a[i + 1 : i + n], ' ') AS ngram FROM
 )
 def all_ngrams(spark, sf_dir):
     grams = text.ngrams(text.tokenize_light(F.col("text")), 4)
-    out = table(spark, sf_dir, "conversations").select(*TURN_KEYS, F.explode(grams).alias("g"))
+    out = text.each(table(spark, sf_dir, "conversations"), TURN_KEYS, grams, "g")
     return out.select(*TURN_KEYS, F.col("g.i").cast("long").alias("i"), F.col("g.n").cast("long").alias("n"), "g.ngram")
 
 
@@ -125,7 +125,7 @@ SELECT conv_id, turn, i, shift FROM shifted"""
 def char_shifts(spark, sf_dir):
     """How far each token lies from where it would lie were tokens joined by single spaces."""
     turns = table(spark, sf_dir, "conversations").select(*TURN_KEYS, text.token_array(F.col("text")).alias("toks"))
-    return turns.select(*TURN_KEYS, F.explode(text.join_shifts(F.col("toks"))).alias("x")).select(*TURN_KEYS, "x.i", "x.shift")
+    return text.each(turns, TURN_KEYS, text.join_shifts(F.col("toks")), "x").select(*TURN_KEYS, "x.i", "x.shift")
 
 
 @query(

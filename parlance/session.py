@@ -28,6 +28,18 @@ def build_session(app: str = "parlance", cpus: int | None = None, **conf: str) -
     return spark
 
 
+#: Bytes of a table below which dealing its rows out costs next to nothing.
+SMALL_TABLE = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data folder, by any path that Spark's readers open."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the Parquet tables of a data folder, by any path that Spark's readers open.
+
+    A scan splits files by row groups, so a small table of one file is one task however many cores there are. A table of fewer files than cores and of less than
+    SMALL_TABLE bytes is dealt out to all cores; others, any large one among them, are read where they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and 1 << 16 < df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_TABLE:
+        return df.repartition(2 * cores)
+    return df
