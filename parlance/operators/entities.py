@@ -110,6 +110,60 @@ def partial_matches(texts: DataFrame, keys: list[str], entries: DataFrame, stric
     return found.where(F.col("share") >= F.col("least")).select(*keys, "kind", "resolved", "share")
 
 
+def filed(entries: DataFrame, strictness: DataFrame) -> DataFrame:
+    """kind, norm, resolved, n_tokens, least and word: entries of kinds whose strictness (kind, strictness) is below one, filed under as many of their rarest words as it takes: a match
+    that has `least` of n tokens has one of any n - least + 1. So the index has at most a row for each token of the dictionary, and frequent words fetch few entries."""
+    loose = entries.join(F.broadcast(strictness.where("strictness < 1")), "kind")
+    loose = loose.select("kind", "norm", "resolved", "n_tokens", F.greatest(F.lit(1), F.ceil(F.col("strictness") * F.col("n_tokens") - 1e-9).cast("int")).alias("least"))
+    words = text.each(loose, ["kind", "norm", "n_tokens", "least"], F.array_distinct(F.split("norm", " ")), "word")
+    often = words.groupBy("kind", "word").agg(F.count("*").alias("often"))
+    ranked = words.join(often, ["kind", "word"]).groupBy("kind", "norm").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ranked"))
+    held = loose.join(ranked, ["kind", "norm"])
+    return text.each(held, ["kind", "norm", "resolved", "n_tokens", "least"], F.transform(F.slice("ranked", F.lit(1), F.col("n_tokens") - F.col("least") + 1), lambda w: w["word"]), "word")
+
+
+def gapped_runs(toks: Column, words: Column, least: Column, stops: Column) -> Column:
+    """Structs i, n of the maximal runs of tokens that are words of an entry in its order, with some of the entry's words left out: at least `least` tokens, of which one is no stop word unless
+    the entry is whole. toks: normalised tokens of a text; words: those of the entry."""
+
+    def run(i: Column) -> Column:
+        def step(acc: Column, t: Column) -> Column:
+            found = F.array_position(F.slice(words, acc["at"] + 1, F.size(words)), t).cast("int")
+            on = ~acc["done"] & (found > 0)
+            return F.struct(F.when(on, acc["at"] + found).otherwise(acc["at"]).alias("at"), (acc["n"] + on.cast("int")).alias("n"), (~on).alias("done"))
+
+        return F.aggregate(F.slice(toks, i + 1, F.size(words)), F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(False).alias("done")), step, lambda acc: acc["n"])
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.array_contains(words, F.get(toks, i)))
+    runs = F.transform(starts, lambda i: F.struct(i.alias("i"), run(i).alias("n")))
+    said = lambda r: (r["n"] == F.size(words)) | F.exists(F.slice(toks, r["i"] + 1, r["n"]), lambda t: ~F.array_contains(stops, t))
+    within = lambda rs, r: F.exists(rs, lambda q: (q["i"] <= r["i"]) & (r["i"] + r["n"] <= q["i"] + q["n"]) & (q["n"] > r["n"]))
+    return text.bind(runs, lambda rs: F.filter(rs, lambda r: (r["n"] >= least) & said(r) & ~within(rs, r)))
+
+
+def gapped_matches(texts: DataFrame, keys: list[str], entries: DataFrame, strictness: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
+    """keys, kind, s, e, value, resolved, share of entries of kinds with a strictness below one (kind, strictness): a run of a text's tokens that are words of an entry, in its order, and at least
+    that share of them. Words of an entry may be left out anywhere; words between those of the text may not. Of the entries that a span matches the one of which it is the largest share stands
+    for it, then the first resolved value. texts: keys, which tell texts apart, and text; stop_words: kind, word, of which alone no part of an entry is made.
+
+    Candidates are fetched by an inverted index that grows with the dictionary (`filed`); each is tried against its text's tokens exactly, within the row.
+    """
+    rows = texts.select(*keys, "text", text.token_array(F.col("text")).alias("__toks")).withColumn("__norms", F.transform("__toks", lambda t: text.normalize(t["value"])))
+    offered = text.each(rows, keys, F.array_distinct("__norms"), "word")
+    candidates = offered.join(filed(entries, strictness), "word").select(*keys, "kind", "norm", "resolved", "least").distinct()
+    if stop_words is None:
+        candidates = candidates.withColumn("__stops", F.array().cast("array<string>"))
+    else:
+        held = stop_words.groupBy("kind").agg(F.collect_set("word").alias("__stops"))
+        candidates = candidates.join(F.broadcast(held), "kind", "left").withColumn("__stops", F.coalesce("__stops", F.array().cast("array<string>")))
+    tried = candidates.join(rows, keys).withColumn("__words", F.split("norm", " "))
+    tried = text.each(tried, [*keys, "text", "kind", "resolved", "__toks", "__words"], gapped_runs(F.col("__norms"), F.col("__words"), F.col("least"), F.col("__stops")), "r")
+    start, end = F.get("__toks", F.col("r.i"))["s"], F.get("__toks", F.col("r.i") + F.col("r.n") - 1)["e"]
+    found = tried.select(*keys, "kind", start.alias("s"), end.alias("e"), F.substr("text", (start + 1).cast("int"), (end - start).cast("int")).alias("value"), "resolved", (F.col("r.n") / F.size("__words")).alias("share"))
+    best = found.groupBy(*keys, "kind", "s", "e", "value").agg(F.min(F.struct((-F.col("share")).alias("less"), "resolved")).alias("b"))
+    return best.select(*keys, "kind", "s", "e", "value", "b.resolved", (-F.col("b.less")).alias("share"))
+
+
 def keep_longest(matches: DataFrame, keys: list[str]) -> DataFrame:
     """Matches without overlap: longest first, then builtin before custom, then by start, each kept if it overlaps none kept.
 

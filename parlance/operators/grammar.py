@@ -61,7 +61,7 @@ LANGUAGES = {
     "en": Language(
         _units("second seconds;minute minutes;hour hours;day days;week weeks;month months;year years"), "^[0-9]+(st|nd|rd|th)$", _w("degree degrees"), {"celsius": "celsius", "fahrenheit": "fahrenheit"},
         _w("today tomorrow yesterday"), _w("monday tuesday wednesday thursday friday saturday sunday"), _w("january february march april may june july august september october november december"),
-        _w("noon midnight"), _w("am pm"), _w("this next last"), _w("week weekend month year"), _w("morning afternoon evening night"), _w("tonight"), _w("at"), _w("of"), _money("dollar dollars;euro euros;pound pounds"), _w("percent"), _w("and"), _w("to until till through"), _w("between from"), _w("before until by till"), _w("after since from"),
+        _w("noon midnight"), _w("am pm"), _w("this next last"), _w("week weekend month year"), _w("morning afternoon evening night"), _w("tonight"), _w("at"), _w("of"), _money("dollar dollars;euro euros;pound pounds"), _w("percent"), _w("and"), _w("to until till through"), _w("between from"), _w("before until by till"), _w("after since"),
     ),
     "de": Language(
         _units("sekunde sekunden;minute minuten;stunde stunden;tag tage tagen;woche wochen;monat monate monaten;jahr jahre jahren"), "^[0-9]+(te|ter|ten|tes)$", _w("grad"), {"celsius": "celsius", "fahrenheit": "fahrenheit"},

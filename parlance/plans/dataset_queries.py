@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.operators import entities, rules
+from parlance.operators import entities, ordering, rules
 from parlance.plans import gen
 from parlance.plans.registry import normal_sql, query
 from parlance.session import table
@@ -44,7 +43,7 @@ SELECT grp AS "group", ord, 'product' AS entity, coalesce(text, value) AS text F
 def fill_implicit_values(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     v = p.select(F.col("p_name").alias("value")).distinct()
-    values = v.select(F.lit("product").alias("entity"), "value", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("value")) - 1).cast("long").alias("k"), F.count("*").over(W.partitionBy(F.lit(0))).alias("m"))
+    values = ordering.numbered(v, F.left("value", F.lit(2)), ["value"], name="k").select(F.lit("product").alias("entity"), "value", "k", F.lit(v.count()).cast("long").alias("m"))
     chunks = p.select(F.col("p_brand").alias("group"), F.col("p_partkey").alias("ord"), F.lit("product").alias("entity"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("text"))
     return rules.fill_implicit(chunks, values)
 

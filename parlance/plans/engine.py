@@ -45,8 +45,8 @@ class IntentEngine:
         texts, slots = frames["texts"], frames["slots"]
         surfaces = small(variations.expand_surfaces(variations.synonym_surfaces(frames["surfaces"]), dataset.language))
         full = entities.gazetteer(surfaces.select(F.col("entity").alias("kind"), "surface", "resolved"))
-        strict = frames["entities"].select(F.col("entity").alias("kind"), "strictness")
-        entries = small(entities.with_parts(full, strict).select(*(c.split()[0] for c in SHARED["entries"].split(", "))))
+        entries = small(full.select(*(c.split()[0] for c in SHARED["entries"].split(", "))))
+        loose = {name: e.strictness for name, e in dataset.entities.items() if e.strictness < 1 and not e.builtin}
         trained = small(parsers.training_keys(texts, slots).join(texts.select("id", "intent"), "id"))
         stops = spark.createDataFrame([(w,) for w in STOP_WORDS.get(dataset.language, [])], "word string")
         if "stop_words" in self.resources:
@@ -55,7 +55,7 @@ class IntentEngine:
         each = lexicon.intent_stop_words(texts.select("intent"), stops, lexicon.whitelist(used, stops))
         by_intent = small(each.groupBy("intent").agg(F.array_sort(F.collect_set("word")).alias("words")))
         kinds = tuple(k for k in entities.GRAMMAR_KINDS if k in dataset.entities)
-        return Training(spark, self.config, dataset.language, texts, slots, surfaces, entries, trained, by_intent, self.resources, kinds)
+        return Training(spark, self.config, dataset.language, texts, slots, surfaces, entries, trained, by_intent, self.resources, kinds, loose)
 
 
 class IntentEngineModel:
@@ -63,7 +63,7 @@ class IntentEngineModel:
 
     def __init__(self, spark: SparkSession, config: EngineConfig, language: str, tables: dict[str, DataFrame], units: list[IntentParser], resources: dict[str, dict[str, DataFrame]]) -> None:
         self.spark, self.config, self.language, self.tables, self.units, self.resources = spark, config, language, tables, units, resources
-        self._lengths, self._kinds = None, ()
+        self._lengths, self._kinds, self._loose = None, (), {}
         self._held: list[DataFrame] = []
 
     def _hold(self, df: DataFrame) -> DataFrame:
@@ -84,20 +84,34 @@ class IntentEngineModel:
                     raise UnknownIntentError(name)
         return intents
 
-    def prepare_lengths(self) -> tuple[list[int], tuple[str, ...], str]:
-        """What entities are looked for by: lengths of dictionary entries, builtin kinds, and the language."""
+    def prepare_lengths(self) -> tuple[list[int], tuple[str, ...], str, dict[str, float]]:
+        """What entities are looked for by: lengths of dictionary entries, builtin kinds, the language, and the strictness of kinds that match by parts."""
         if self._lengths is None:
             known = entities.entry_lengths(self.tables["entries"])
             self._lengths = [n for n in known if self.config.longest_value is None or n <= self.config.longest_value] or [1]
-            used = {r["entity"] for r in self.tables["entities"].select("entity").collect()}
+            held = {r["entity"]: r["strictness"] for r in self.tables["entities"].select("entity", "strictness").collect()}
+            used, self._loose = set(held), {kind: s for kind, s in held.items() if s is not None and s < 1 and kind not in entities.BUILTIN_KINDS}
             self._kinds = tuple(k for k in entities.GRAMMAR_KINDS if k in used)
-        return self._lengths, self._kinds, self.language
+        return self._lengths, self._kinds, self.language, self._loose
 
     def prepare(self, texts: DataFrame) -> Prepared:
-        """Texts with the entities found in them; a null text is empty."""
-        texts = texts.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        """The different texts under ids of their own, with the entities found in them; a null text is empty. Texts that many rows have are parsed once, and ids of rows play no part.
+
+        An id is a text's hash. Of texts that share one (of 10 ** 10, some two or three) all but the first get another.
+        """
+        said = F.coalesce("text", F.lit(""))
+        same = texts.groupBy(F.xxhash64(said).alias("h")).agg(F.array_sort(F.collect_set(said)).alias("same"))
+        each = same.select("h", F.posexplode_outer("same").alias("n", "text"))
+        texts = self._hold(each.select(F.when(F.col("n") == 0, F.col("h")).otherwise(F.xxhash64("h", "n")).alias("id"), "text"))
         return Prepared(texts, self._hold(find_entities(texts, self.tables["entries"], *self.prepare_lengths())), self.resources, hold=self._hold)
 
+    @staticmethod
+    def _for_rows(texts: DataFrame, prepared: Prepared, found: DataFrame) -> DataFrame:
+        """What was found for a text, for every row that has it: null and repeated ids are rows like others. Rows of one text are spread by Spark's handling of skewed joins."""
+        rows = texts.select(F.col("id").cast("long").alias("__row"), F.coalesce("text", F.lit("")).alias("input"))
+        by_text = found.join(prepared.texts.withColumnRenamed("text", "input"), "id")
+        return rows.join(by_text, "input").withColumn("id", F.col("__row")).drop("__row")
+
     def _resolved(self, prepared: Prepared, chosen: DataFrame) -> DataFrame:
         """id, intent, probability, slots of the chosen (id, intent, probability, unit: its place in the cascade, null for none)."""
         raw = None
@@ -127,16 +141,17 @@ class IntentEngineModel:
             out, raw = (own, held) if out is None else (out.unionByName(own), raw.unionByName(held))
         none = rest.texts.select("id", F.lit(None).cast("string").alias("intent"), F.lit(1.0).alias("probability"))
         done = self._with_slots(prepared, out.unionByName(none), raw)
-        return done.join(prepared.texts, "id").select("id", F.col("text").alias("input"), "intent", "probability", "slots")
+        return self._for_rows(texts, prepared, done).select("id", "input", "intent", "probability", "slots")
 
     def to_json(self, parsed: DataFrame, reference: Column | None = None) -> DataFrame:
         """id, result: each row of `parse` as one JSON object, with slots that say where they are and what they stand for. reference: the instant that dates and times are
         counted from, a column of parsed or a constant; now, if none is given."""
-        each = parsed.select("id", "input", "intent", "probability", F.posexplode_outer("slots").alias("n", "x")).select("*", F.col("x.entity").alias("__kind"), F.col("x.raw_value").alias("__raw"), F.col("x.resolved").alias("__resolved"))
+        own = ["__row", "id", "input", "intent", "probability"]
+        each = parsed.withColumn("__row", F.monotonically_increasing_id()).select(*own, F.posexplode_outer("slots").alias("n", "x")).select("*", F.col("x.entity").alias("__kind"), F.col("x.raw_value").alias("__raw"), F.col("x.resolved").alias("__resolved"))
         each = entities.resolved_values(each, "__kind", "__raw", "__resolved", self.language, "__value", reference)
         value = F.from_json("__value", VALUE)
         slot = F.struct(F.col("x.raw_value").alias("rawValue"), value.alias("value"), F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end")).alias("range"), F.col("x.entity").alias("entity"), F.col("x.slot_name").alias("slotName"))
-        listed = each.groupBy("id", "input", "intent", "probability").agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("n", slot.alias("slot"))))).alias("slots"))
+        listed = each.groupBy(*own).agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("n", slot.alias("slot"))))).alias("slots"))
         result = F.struct("input", F.struct(F.col("intent").alias("intentName"), "probability").alias("intent"), F.transform("slots", lambda s: s["slot"]).alias("slots"))
         return listed.select("id", F.to_json(result, {"ignoreNullFields": "false"}).alias("result"))
 
@@ -151,12 +166,14 @@ class IntentEngineModel:
             every = own if every is None else every.unionByName(own)
         every = every.groupBy("id", "intent").agg(F.max("probability").alias("probability"), F.max_by("unit", F.struct("probability", -F.col("unit"))).alias("unit"))
         ranked = self._hold(every.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("probability"), "intent"))).where(F.col("rank") <= top_n))
-        return self._resolved(prepared, ranked.drop("rank")).join(ranked.select("id", "intent", "rank"), ["id", "intent"]).select("id", "rank", "intent", "probability", "slots")
+        done = self._resolved(prepared, ranked.drop("rank")).join(ranked.select("id", "intent", "rank"), ["id", "intent"])
+        return self._for_rows(texts, prepared, done).select("id", "rank", "intent", "probability", "slots")
 
     def get_intents(self, texts: DataFrame) -> DataFrame:
         """id, intent, probability of every intent: the best over the parsers."""
         prepared = self.prepare(texts)
-        return parsers.merge_scores(prepared.texts, self.tables["intents"], *[u.candidates(prepared).where("intent IS NOT NULL") for u in self.units])
+        scores = parsers.merge_scores(prepared.texts, self.tables["intents"], *[u.candidates(prepared).where("intent IS NOT NULL") for u in self.units])
+        return self._for_rows(texts, prepared, scores).select("id", "intent", "probability")
 
     def get_slots(self, texts: DataFrame, intent: str) -> DataFrame:
         """id, slots under a given intent: those of the first parser that finds any."""
@@ -168,7 +185,7 @@ class IntentEngineModel:
             own = self._hold(unit.slots(prepared, left))
             left = left.join(own.select("id").distinct(), "id", "left_anti")
             raw = own if raw is None else raw.unionByName(own)
-        return self._with_slots(prepared, chosen, raw).select("id", "slots")
+        return self._for_rows(texts, prepared, self._with_slots(prepared, chosen, raw)).select("id", "slots")
 
     def save(self, path: str) -> None:
         """Write the model as a folder: a manifest, the shared tables, the resources that units need, and a folder for each unit. An existing folder is an error."""

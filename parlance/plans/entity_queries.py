@@ -153,7 +153,32 @@ def gazetteer_strictness(spark, sf_dir):
 
 @query(f"WITH {gen.MATCHES} SELECT id, kind, s, e, value, resolved FROM gaz")
 def gazetteer_match(spark, sf_dir):
-    return entities.gazetteer_matches(gen.utterances(spark, sf_dir), ["id"], gen.entries(spark, sf_dir), 3)
+    return entities.gazetteer_matches(gen.utterances(spark, sf_dir), ["id"], gen.entries(spark, sf_dir))
+
+
+#: Names of up to four words with their type in front and their brand's number behind, and requests in which one of the words is missing.
+GAPS = """named AS (SELECT p_partkey AS id, lower(p_type) || ' ' || p_name || ' ' || regexp_extract(p_brand, '[0-9]+') AS norm FROM part
+), dict AS (SELECT DISTINCT norm, string_split(norm, ' ') AS w FROM named
+), said AS (SELECT id, 'get ' || array_to_string(list_filter(string_split(norm, ' '), lambda x, i: i <> id % 5 + 1), ' ') || ' and ' || string_split(norm, ' ')[1] || ' now' AS text FROM named
+), toks AS (SELECT id, text, string_split(text, ' ') AS t FROM said
+), starts AS (SELECT id, text, t, unnest(range(1, len(t) + 1)) AS a FROM toks
+), runs AS (SELECT id, text, a, k, t[a : a + k - 1] AS r, len(array_to_string(t[1 : a - 1], ' ')) + CASE WHEN a > 1 THEN 1 ELSE 0 END AS s FROM (SELECT *, unnest(range(2, 5)) AS k FROM starts) WHERE a + k - 1 <= len(t)
+), filed AS (SELECT norm, w, unnest(list_distinct(w)) AS word FROM dict
+), fits AS (SELECT id, a, k, s, array_to_string(r, ' ') AS value, norm, len(w) AS n FROM runs JOIN filed ON r[1] = word AND 2 * k >= len(w) AND '  ' || replace(norm, ' ', '  ') || '  ' LIKE '% ' || array_to_string(r, ' % ') || ' %'
+), whole AS (SELECT * FROM fits f WHERE NOT EXISTS (SELECT 1 FROM fits g WHERE g.id = f.id AND g.norm = f.norm AND g.a <= f.a AND f.a + f.k <= g.a + g.k AND g.k > f.k))"""
+
+
+@query(f"WITH {GAPS} SELECT id, s::BIGINT AS s, (s + length(value))::BIGINT AS e, value, arg_min(norm, struct_pack(a := -k / n, b := norm)) AS resolved, max(k / n) AS share FROM whole GROUP BY id, s, value")
+def gazetteer_gaps(spark, sf_dir):
+    """Requests for names of which a word is missing, against the dictionary of whole names, at a strictness of one half."""
+    part = table(spark, sf_dir, "part")
+    norm = F.concat_ws(" ", F.lower("p_type"), "p_name", F.regexp_extract("p_brand", "[0-9]+", 0))
+    named = part.select(F.col("p_partkey").cast("long").alias("id"), norm.alias("norm"))
+    words = F.split("norm", " ")
+    said = F.concat(F.lit("get "), F.array_join(F.filter(words, lambda x, i: i != F.col("id") % 5), " "), F.lit(" and "), F.get(words, F.lit(0)), F.lit(" now"))
+    entries = entities.gazetteer(named.select(F.lit("item").alias("kind"), F.col("norm").alias("surface"), F.col("norm").alias("resolved")).distinct())
+    strict = spark.createDataFrame([("item", 0.5)], "kind string, strictness double")
+    return entities.gapped_matches(named.select("id", said.alias("text")), ["id"], entries, strict).select("id", "s", "e", "value", "resolved", "share")
 
 
 @query(f"WITH {gen.KEPT} SELECT id, kind, s, e, value, resolved FROM kept")
@@ -171,7 +196,7 @@ def placeholder_ranges(spark, sf_dir):
     return gen.rewritten(spark, sf_dir)[1].drop("value")
 
 
-@query(f"WITH {gen.MATCHES} SELECT a.id, a.kind AS left_kind, a.s AS left_s, b.kind AS right_kind, b.s AS right_s FROM matches a JOIN matches b ON a.id = b.id AND a.s < b.e AND b.s < a.e AND (a.s, a.e, a.kind) < (b.s, b.e, b.kind)")
+@query(f"WITH {gen.MATCHES} SELECT id, a.kind AS left_kind, a.s AS left_s, b.kind AS right_kind, b.s AS right_s FROM (SELECT id, ms[i] AS a, unnest(ms[i + 1 :]) AS b FROM (SELECT id, ms, unnest(range(1, len(ms))) AS i FROM (SELECT id, list(struct_pack(s := s, e := e, kind := kind) ORDER BY s, e, kind) AS ms FROM matches GROUP BY id))) WHERE a.s < b.e AND b.s < a.e")
 def range_overlap_pairs(spark, sf_dir):
     m = gen.matches(spark, sf_dir).select("id", "kind", "s", "e")
     a, b = (m.select("id", *[F.col(c).alias(f"{side}_{c}") for c in ("kind", "s", "e")]) for side in ("left", "right"))

@@ -66,7 +66,7 @@ KINDS = ("amountOfMoney", "duration", "number", "ordinal", "temperature", "date"
 def found(texts: DataFrame, known: DataFrame) -> DataFrame:
     """id, kind, s, e, value, resolved of builtin and dictionary matches in texts (id, text)."""
     builtin = entities.builtin_matches(texts, ["id"], KINDS).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
-    return builtin.unionByName(entities.gazetteer_matches(texts, ["id"], known, 3))
+    return builtin.unionByName(entities.gazetteer_matches(texts, ["id"], known))
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +122,11 @@ BUILTIN = f"""{TOKS}, rx AS ({_found}), builtin AS (
 )"""
 DICTIONARY = f"""dict AS (SELECT DISTINCT * FROM (SELECT 'product' AS kind, p_name AS surface, upper(p_name) AS resolved FROM part UNION ALL SELECT 'brand', p_brand, p_brand FROM part UNION ALL SELECT 'priority', o_orderpriority, o_orderpriority FROM orders)),
 entries AS (SELECT kind, array_to_string(regexp_extract_all({normal_sql('surface')}, '[\\p{{L}}\\p{{N}}_]+|[$%!?&]'), ' ') AS norm, min(resolved) AS resolved FROM dict GROUP BY 1, 2)"""
-MATCHES = f"""{BUILTIN}, {DICTIONARY}, ahead AS (
-  SELECT id, s, e, v, lead(v) OVER w AS v1, lead(e) OVER w AS e1, lead(v, 2) OVER w AS v2, lead(e, 2) OVER w AS e2 FROM (SELECT *, {normal_sql('value')} AS v FROM toks) WINDOW w AS (PARTITION BY id ORDER BY i)
-), grams AS (SELECT id, s, e, v AS norm FROM ahead UNION ALL SELECT id, s, e1, v || ' ' || v1 FROM ahead WHERE e1 IS NOT NULL UNION ALL SELECT id, s, e2, v || ' ' || v1 || ' ' || v2 FROM ahead WHERE e2 IS NOT NULL
+MATCHES = f"""{BUILTIN}, {DICTIONARY}, spread AS (
+  SELECT id, list(v ORDER BY i) AS vs, list(s ORDER BY i) AS ss, list(e ORDER BY i) AS es FROM (SELECT *, {normal_sql('value')} AS v FROM toks) GROUP BY id
+), sizes AS (SELECT DISTINCT len(string_split(norm, ' ')) AS k FROM entries
+), grams AS (
+  SELECT id, ss[a] AS s, es[a + k - 1] AS e, array_to_string(vs[a : a + k - 1], ' ') AS norm FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS a FROM spread), sizes WHERE a + k - 1 <= len(vs)
 ), gaz AS (SELECT id, kind, s, e, substr(text, (s + 1)::INT, (e - s)::INT) AS value, resolved FROM grams JOIN entries USING (norm) JOIN gen USING (id)
 ), matches AS MATERIALIZED (SELECT id, kind, s, e, value, value AS resolved FROM builtin UNION ALL SELECT id, kind, s, e, value, resolved FROM gaz)"""
 KEPT = f"""{MATCHES}, folded AS (

@@ -26,12 +26,16 @@ def small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
-def find_entities(texts: DataFrame, entries: DataFrame, lengths: list[int] | int | None = None, kinds: tuple[str, ...] = entities.GRAMMAR_KINDS, language: str = "en") -> DataFrame:
-    """id, kind, s, e, value, resolved of builtin entities of those kinds and of dictionary entries."""
+def find_entities(texts: DataFrame, entries: DataFrame, lengths: list[int] | int | None = None, kinds: tuple[str, ...] = entities.GRAMMAR_KINDS, language: str = "en", loose: dict[str, float] | None = None) -> DataFrame:
+    """id, kind, s, e, value, resolved of builtin entities of those kinds and of dictionary entries. loose: strictness of those kinds of entries that match by parts."""
+    found = entities.gazetteer_matches(texts, ["id"], entries.where(~F.col("kind").isin(*loose)) if loose else entries, lengths)
+    if loose:
+        strict = texts.sparkSession.createDataFrame(list(loose.items()), "kind string, strictness double")
+        found = found.unionByName(entities.gapped_matches(texts, ["id"], entries.where(F.col("kind").isin(*loose)), strict).drop("share"))
     if not kinds:
-        return entities.gazetteer_matches(texts, ["id"], entries, lengths)
+        return found
     builtin = entities.builtin_matches(texts, ["id"], kinds, language).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
-    return builtin.unionByName(entities.gazetteer_matches(texts, ["id"], entries, lengths))
+    return builtin.unionByName(found)
 
 
 @dataclass
@@ -49,9 +53,10 @@ class Training:
     stops: DataFrame  # intent, words
     resources: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
     kinds: tuple[str, ...] = entities.GRAMMAR_KINDS  # the builtin entities that the dataset has
+    loose: dict[str, float] = field(default_factory=dict)  # strictness of the entities that match by parts
 
     def found(self, texts: DataFrame) -> DataFrame:
-        return small(find_entities(texts, self.entries, None, self.kinds, self.language))
+        return small(find_entities(texts, self.entries, None, self.kinds, self.language, self.loose))
 
     def required(self, needed: dict[str, set[str]]) -> dict[str, dict[str, DataFrame]]:
         """The resources that a unit needs; one that was not given raises."""
@@ -130,16 +135,17 @@ def _known(kinds: list[str] | None, held: list[str]) -> list[str]:
 class CustomEntityParser(EntityParser):
     """The entities of a dataset, by its dictionary."""
 
-    schemas = {"entries": "kind string, norm string, n_tokens int, resolved string"}
+    schemas = {"entries": "kind string, norm string, n_tokens int, resolved string", "loose": "kind string, strictness double"}
 
     def fit(self, training: Training) -> CustomEntityParser:
-        self.tables = {"entries": training.entries}
+        self.tables = {"entries": training.entries, "loose": training.spark.createDataFrame(list(training.loose.items()), self.schemas["loose"])}
         return self
 
     def parse(self, texts: DataFrame, kinds: list[str] | None = None) -> DataFrame:
         entries = self.checked().tables["entries"]
         asked = _known(kinds, sorted(r["kind"] for r in entries.select("kind").distinct().collect()))
-        return entities.gazetteer_matches(texts.select("id", "text"), ["id"], entries.where(F.col("kind").isin(*asked)))
+        loose = {r["kind"]: r["strictness"] for r in self.tables["loose"].collect() if r["kind"] in asked}
+        return find_entities(texts.select("id", "text"), entries.where(F.col("kind").isin(*asked)), None, (), loose=loose)
 
 
 @ENTITY_PARSERS.register("builtin_entities")

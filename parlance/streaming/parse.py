@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from parlance.operators import entities
 from parlance.plans.engine import IntentEngineModel
 from parlance.plans.units import find_entities
 
@@ -27,6 +28,9 @@ def parse_stream(texts: DataFrame, model: IntentEngineModel, path: str, checkpoi
 
 def entity_stream(texts: DataFrame, model: IntentEngineModel) -> DataFrame:
     """id, kind, s, e, value, resolved of the entities in a streaming DataFrame (id, text), as a streaming DataFrame: tokens, grammars and
-    n-grams are made within the row, and the dictionary is a static table."""
-    prepared = model.prepare_lengths()
-    return find_entities(texts.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), model.tables["entries"], *prepared)
+    n-grams are made within the row, and the dictionary is a static table. Entities of a strictness below one match by runs of their values' words, without gaps: what has
+    gaps is found by grouping a text's words, which a stream would keep state for."""
+    _, kinds, language, loose = model.prepare_lengths()
+    strict = model.spark.createDataFrame(list(loose.items()), "kind string, strictness double")
+    known = entities.with_parts(model.tables["entries"], strict) if loose else model.tables["entries"]
+    return find_entities(texts.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), known, entities.entry_lengths(known), kinds, language)

@@ -100,6 +100,28 @@ def test_engine(spark, model, dataset, tmp_path):
     assert [r["intent"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["waterBeds"]
 
 
+def test_null_and_repeated_ids_and_texts(spark, model):
+    """Every row comes back with what its own text says, whatever its id, and as often as it is there."""
+    rows = [(None, "the orchard looks dry"), (1, "the orchard looks dry"), (1, "log 3 kilos of plums"), (1, "log 3 kilos of plums"), (2, None), (2, "")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    want = {"the orchard looks dry": ("waterBeds", ["orchard"]), "log 3 kilos of plums": ("logHarvest", ["3", "plums"])}
+    done = model.parse(texts).collect()
+    assert sorted((r["id"] or 0, r["input"], r["intent"], [s["raw_value"] for s in r["slots"]]) for r in done) == sorted((i or 0, t or "", *want.get(t or "", (None, []))) for i, t in rows)
+    said = [json.loads(r["result"]) for r in model.to_json(model.parse(texts)).collect()]
+    assert sorted((s["input"], len(s["slots"])) for s in said) == sorted((t or "", len(want.get(t or "", ("", []))[1])) for _, t in rows)
+    top = model.parse_top(texts, 1).collect()
+    assert sorted((r["id"] or 0, r["intent"]) for r in top) == [(0, "waterBeds"), (1, "logHarvest"), (1, "logHarvest"), (1, "waterBeds")]
+    assert len(model.get_intents(texts).collect()) == 2 * len(rows)
+    assert sorted((r["id"] or 0, len(r["slots"])) for r in model.get_slots(texts, "waterBeds").collect() if r["slots"]) == [(0, 1), (1, 1)]
+    model.release()
+
+
+def test_values_match_with_words_left_out(spark, model):
+    got = parsed(model, texts_of(spark, "sprinkle the old garden behind the barn now", "sprinkle the walled barn now"))
+    assert slots(got[0]) == [("bed", "old garden behind the barn", "old walled garden behind the north barn")]
+    assert got[1]["intent"] != "waterBeds" or ("bed", "walled barn", "old walled garden behind the north barn") not in slots(got[1])
+
+
 def test_top_intents_and_slots_of_an_intent(spark, model):
     texts = texts_of(spark, "log 3 kilos of plums", "the orchard looks dry")
     ranked = model.parse_top(texts, 2).collect()

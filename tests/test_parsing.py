@@ -1,5 +1,6 @@
 """Parsing operators against plain versions and on hard rows."""
 
+import itertools
 import logging
 import random
 import re
@@ -11,6 +12,7 @@ from parlance import logs
 from parlance.functions import text
 from parlance.operators import classifier, crf, entities, features, ordering, parsers, tagging
 from parlance.operators.token_features import FeatureConfig, token_features
+from parlance.plans import gen
 
 LONG = "word1 " * 3000 + "End."
 
@@ -109,6 +111,45 @@ def test_partial_and_loose_matches(spark):
     assert {(r["id"], r["resolved"]) for r in entities.gazetteer_matches(texts, ["id"], loose).collect()} >= {(2, "La La Land"), (3, "Sea")}
 
 
+def plain_gaps(tokens, entries, strictness, stops=()):
+    """All runs of tokens that are a subset of an entry's words in its order, by trying all subsets."""
+    out = {}
+    for norm, resolved in entries:
+        words = norm.split()
+        n, runs = len(words), set()
+        for size in range(max(1, -int(-strictness * n // 1)), n + 1):
+            for chosen in itertools.combinations(words, size):
+                runs |= {(i, size) for i in range(len(tokens) - size + 1) if tuple(tokens[i : i + size]) == chosen and (size == n or not set(chosen) <= set(stops))}
+        for i, size in runs:
+            if not any((j, k) != (i, size) and j <= i and i + size <= j + k for j, k in runs):
+                out[i, size] = min(out.get((i, size), (1, "~")), (-size / n, resolved))
+    return {(i, size, r, -s) for (i, size), (s, r) in out.items()}
+
+
+@pytest.mark.parametrize("strictness", [0.3, 0.5, 0.75])
+@pytest.mark.parametrize("stops", [(), ("the", "of")])
+def test_gapped_matches_equal_all_subsets(spark, strictness, stops):
+    rng = random.Random(int(strictness * 100) + len(stops))
+    words = "the of red blue sea land old north".split()
+    entries = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(25)}
+    entries = [(n, n.upper()) for n in sorted(entries)]
+    texts = [[rng.choice([*words, "x"]) for _ in range(rng.randrange(0, 11))] for _ in range(40)]
+    known = spark.createDataFrame([("k", n, len(n.split()), r) for n, r in entries] + [("strict", "red", 1, "R")], "kind string, norm string, n_tokens int, resolved string")
+    strict = spark.createDataFrame([("k", strictness), ("strict", 1.0)], "kind string, strictness double")
+    stop_words = spark.createDataFrame([("k", w) for w in stops], "kind string, word string") if stops else None
+    frame = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in enumerate(texts)] + [(99, None)], "id long, text string")
+    got = {(r["id"], r["s"], r["value"].lower(), r["resolved"], round(r["share"], 9)) for r in entities.gapped_matches(frame, ["id"], known, strict, stop_words).collect()}
+    place = lambda t, i: len(" ".join(t[:i])) + (i > 0)
+    assert got == {(k, place(t, i), " ".join(t[i : i + n]), r, round(share, 9)) for k, t in enumerate(texts) for i, n, r, share in plain_gaps(t, entries, strictness, stops)}
+    assert entities.filed(known, strict).count() <= sum(len(n.split()) for n, _ in entries)
+
+
+def test_values_of_many_words_are_found(spark):
+    known = entities.gazetteer(spark.createDataFrame([("product", "big red steel bolt with a nut", "B")], "kind string, surface string, resolved string"))
+    found = gen.found(spark.createDataFrame([(1, "i need 3 big red steel bolt with a nut from x")], "id long, text string"), known)
+    assert ("product", "big red steel bolt with a nut") in {(r["kind"], r["value"]) for r in found.collect()}
+
+
 @pytest.mark.parametrize(
     ("language", "said", "want"),
     [
