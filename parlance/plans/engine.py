@@ -15,6 +15,7 @@ from parlance.plans.config import EngineConfig
 from parlance.plans.plugins import PARSERS, IntentParser
 from parlance.plans.units import Prepared, Training, find_entities, small
 from parlance.sources.dataset import Dataset
+from parlance.storage import delete, materialize
 
 #: Stop words of English, for parsers that are told to ignore them and have no resource.
 STOP_WORDS = {"en": "a an the of to in on at for and or is are be it this that with from by as me my you your i we please can could would will do does".split()}
@@ -64,17 +65,18 @@ class IntentEngineModel:
     def __init__(self, spark: SparkSession, config: EngineConfig, language: str, tables: dict[str, DataFrame], units: list[IntentParser], resources: dict[str, dict[str, DataFrame]]) -> None:
         self.spark, self.config, self.language, self.tables, self.units, self.resources = spark, config, language, tables, units, resources
         self._lengths, self._kinds, self._loose = None, (), {}
-        self._held: list[DataFrame] = []
+        self._held: list[str] = []
 
     def _hold(self, df: DataFrame) -> DataFrame:
-        """Cache what several steps of a parse read, in memory or on disk; what is lost is computed again. See `release`."""
-        self._held.append(df.persist())
-        return df
+        """Write what several steps of a parse read to the shared folder: computed once, plans stay short, and an executor may be lost. See `release`."""
+        table, path = materialize(df, "parse")
+        self._held.append(path)
+        return table
 
     def release(self) -> None:
-        """Free what parses have cached, once their results are written."""
+        """Delete the tables that parses have written on the way, once their results are read or written; else they go when the driver ends."""
         while self._held:
-            self._held.pop().unpersist()
+            delete(self._held.pop())
 
     def _scope(self, intents: list[str] | None) -> list[str] | None:
         if intents:
