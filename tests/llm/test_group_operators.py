@@ -1,7 +1,9 @@
 """Operators over pairs, groups and trees, held against brute force."""
 
+import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from parlance import storage
 from parlance.llm import catalogue, chat_format, embedding_dedup, mixing, runtime, simhash, url_filters
 
 from .conftest import prose
@@ -175,12 +178,29 @@ def test_hot_keys_join_and_connect_alike(spark, monkeypatch):
     assert dict(made[0][0]) == {i: r for i, r in enumerate(want) if r != i}
 
 
-def test_left_tables_are_swept(spark):
-    kept, path = runtime.materialize(spark.range(3).toDF("x"), "swept")
-    runtime._written.pop(path)
-    assert runtime.sweep(spark, hours=1) == 0 and kept.count() == 3
-    runtime._written[path] = spark
-    assert runtime.sweep(spark, hours=-1) >= 0 and kept.count() == 3
+def test_tables_of_a_driver_stay_while_its_lease_lives(spark):
+    """Another driver's old table stays as long as it renews its lease, and goes once it is over; one's own always stay."""
+    kept, path = runtime.materialize(spark.range(3).toDF("x"), "own")
+    other = storage.Lease(spark, runtime.shared_dir(spark))
+    spark.range(2).write.parquet(f"{other.path}/table")
+    old = time.time() - 100 * 3600
+    for name in ("table", "lease"):
+        os.utime(f"{other.path}/{name}".removeprefix("file://"), (old, old))
+    other.renew()
+    assert runtime.sweep(spark) == 0 and spark.read.parquet(f"{other.path}/table").count() == 2
+    other.ended.set()
+    os.utime(f"{other.path}/lease".removeprefix("file://"), (old, old))
+    assert runtime.sweep(spark) == 1 and not os.path.exists(other.path.removeprefix("file://"))
+    assert runtime.sweep(spark, hours=-1) == 0 and kept.count() == 3
+    runtime.delete(path)
+
+
+def test_tables_made_on_the_way_are_deleted(spark):
+    with runtime.passing() as keep:
+        kept, path = runtime.materialize(spark.range(3).toDF("x"), "kept")
+        _, gone = runtime.materialize(spark.range(3).toDF("x"), "gone")
+        keep.add(path)
+    assert kept.count() == 3 and not os.path.exists(gone.removeprefix("file://"))
     runtime.delete(path)
 
 
