@@ -141,9 +141,11 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert f(rows.repartition(1)) == f(rows.repartition(7))
 
 
-def test_chain_learns_and_its_probabilities_sum_to_one():
-    rows = [([["w=to"], ["w=paris" if k else "w=rome"], ["w=now"]], ["O", "B-city", "O"]) for k in (0, 1)] * 6
-    tagger = crf.Tagger(*crf.train(rows))
+def test_chain_learns_and_its_probabilities_sum_to_one(spark):
+    said = [([["w=to"], ["w=paris" if k else "w=rome"], ["w=now"]], ["O", "B-city", "O"]) for k in (0, 1)] * 6
+    rows = [("fly", n, [(i, i, i + 1, f) for i, f in enumerate(feats)], tags) for n, (feats, tags) in enumerate(said)]
+    rows = spark.createDataFrame(rows, "intent string, id long, tokens array<struct<i:long,s:long,e:long,features:array<string>>>, tags array<string>")
+    tagger = crf.taggers(crf.fit(rows).collect())["fly"]
     assert tagger.tag([["w=to"], ["w=rome"], ["w=now"]]) == ["O", "B-city", "O"]
     feats = [["w=to"], ["w=rome"]]
     assert sum(tagger.probability(feats, [a, b]) for a in tagger.tags for b in tagger.tags) == pytest.approx(1)
