@@ -234,7 +234,7 @@ class LogRegClassifier(IntentClassifier):
         noise = sampling.noise(spark.range(many).select(F.col("id").alias("i")), training.noise(), 5.0, 2.0, seed)
         noise = noise.select((-1 - F.col("i")).alias("id"), F.col("noise").alias("text"))
         model = classifier.fit(spark, texts, matches, noise, c.noise_reweight_factor, c.featurizer, training.required(c.resources()))
-        self.tables = {"weights": model.weights, "idf": model.idf, "intercepts": model.intercepts}
+        self.tables = {"weights": small(model.weights), "idf": small(model.idf), "intercepts": model.intercepts}
         return self
 
     @property

@@ -152,9 +152,9 @@ def test_chain_learns_and_its_probabilities_sum_to_one(spark):
     assert tagger.tag([]) == [] and tagger.probability([], []) == 1.0
 
 
-def test_one_vs_rest_separates():
-    rows = [[(0, 1.0)], [(1, 1.0)]] * 10
-    w, b = classifier.train_one_vs_rest(rows, np.array([0, 1] * 10), 2, 2, 0.001, np.ones(2))
+def test_one_vs_rest_separates(spark):
+    rows = [(k % 2, 0.05, [k % 2], [1.0]) for k in range(20)]
+    w, b = classifier.train_one_vs_rest(spark.createDataFrame(rows, "label long, weight double, places array<long>, values array<double>"), 2, 2, 0.001)
     assert w[0, 0] + b[0] > 0 > w[0, 1] + b[0]
 
 

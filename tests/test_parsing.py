@@ -223,14 +223,17 @@ def test_frequent_terms_weigh_alike(spark, monkeypatch):
         assert rows(features.weights(counts, idf, "doc")) == every
 
 
-def test_vocabulary_keeps_what_tells_classes_apart():
+def test_vocabulary_keeps_what_tells_classes_apart(spark):
     rows = [(k, t, 1) for k in range(40) for t in (["alpha", "pair:alpha+x"] if k % 2 else ["beta", "pair:beta+x"]) + ["common"]]
-    labels = {k: k % 2 for k in range(40)}
-    kept = classifier.chosen_terms(rows, labels, 2, classifier.Featurizer(added_cooccurrence_feature_ratio=0.5, pvalue_threshold=0.05))
-    assert set(kept) == {"alpha", "beta", "pair:alpha+x"}
-    none = classifier.chosen_terms([(k, "common", 1) for k in range(4)], {k: k % 2 for k in range(4)}, 2, classifier.Featurizer(pvalue_threshold=0.0))
-    assert set(none) == {"common"}
-    assert features.chi2_pvalues([3.841, 0.0], 1)[0] == pytest.approx(0.05, abs=1e-4) and features.chi2_pvalues([9.488], 4)[0] == pytest.approx(0.05, abs=1e-4)
+
+    def kept(rows, **how):
+        counts = spark.createDataFrame(rows, "id long, term string, tf long")
+        stats = features.chi2(counts, counts.select("id", (F.col("id") % 2).cast("string").alias("class")).distinct(), "id")
+        return sorted(r["term"] for r in classifier.chosen_terms(stats, 2, classifier.Featurizer(**how)).collect())
+
+    assert kept(rows, added_cooccurrence_feature_ratio=0.5, pvalue_threshold=0.05) == ["alpha", "beta", "pair:alpha+x"]
+    assert kept([(k, "common", 1) for k in range(4)], pvalue_threshold=0.0) == ["common"]
+    assert features.chi2_critical(spark, 0.05, 1) == pytest.approx(3.841, abs=1e-3) and features.chi2_critical(spark, 0.05, 4) == pytest.approx(9.488, abs=1e-3)
 
 
 def test_logs_are_made_only_when_written(caplog):
