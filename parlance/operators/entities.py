@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text
-from parlance.operators import calendar, grammar
+from parlance.operators import calendar, grammar, lexicon, ordering
 
 #: The kinds of builtin entities and, of those, the ones that a dictionary holds.
 GRAMMAR_KINDS = ("amountOfMoney", "duration", "number", "ordinal", "temperature", "datetime", "date", "time", "datePeriod", "timePeriod", "percentage")
@@ -110,6 +110,52 @@ def partial_matches(texts: DataFrame, keys: list[str], entries: DataFrame, stric
     return found.where(F.col("share") >= F.col("least")).select(*keys, "kind", "resolved", "share")
 
 
+def with_norms(texts: DataFrame, keys: list[str], stems: DataFrame | None = None) -> DataFrame:
+    """keys, text, __toks and __norms: the tokens of each text and what dictionaries know them by, normalised forms or, with stems (form, stem; of a form with several the first), the stems of these.
+    Without stems all is made within the row."""
+    rows = texts.select(*keys, "text", text.token_array(F.col("text")).alias("__toks")).withColumn("__norms", F.transform("__toks", lambda t: text.normalize(t["value"])))
+    if stems is None:
+        return rows
+    each = text.each(rows, keys, F.transform("__norms", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), "t").select(*keys, "t.*")
+    each = lexicon.look_up(each, stems.groupBy("form").agg(F.min("stem").alias("stem")), "w", "form", "stem", "stem", F.col("w"))
+    held = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "stem"))), lambda x: x["stem"]).alias("__stems"))
+    return rows.join(held, keys, "left").select(*keys, "text", "__toks", F.coalesce("__stems", "__norms").alias("__norms"))
+
+
+def stem_entries(entries: DataFrame, stems: DataFrame) -> DataFrame:
+    """kind, norm, n_tokens, resolved: entries with stems (form, stem) in place of words; of those that become equal, the one with the first resolved value stays."""
+    each = text.each(entries, ["kind", "norm", "n_tokens", "resolved"], F.transform(F.split("norm", " "), lambda w, i: F.struct(i.alias("i"), w.alias("w"))), "t").select("kind", "norm", "n_tokens", "resolved", "t.*")
+    each = lexicon.look_up(each, stems.groupBy("form").agg(F.min("stem").alias("stem")), "w", "form", "stem", "stem", F.col("w"))
+    made = each.groupBy("kind", "norm", "n_tokens", "resolved").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "stem"))), lambda x: x["stem"]), " ").alias("stemmed"))
+    return made.groupBy("kind", F.col("stemmed").alias("norm"), "n_tokens").agg(F.min("resolved").alias("resolved"))
+
+
+def stemmed_matches(texts: DataFrame, keys: list[str], entries: DataFrame, stems: DataFrame, longest: list[int] | None = None) -> DataFrame:
+    """keys, kind, s, e, value, resolved of every run of tokens whose stems are an entry of stems (`stem_entries`). Offsets and values are those of the text as it is. texts: keys, which tell texts
+    apart, and text; longest: the lengths of runs that are looked up, those that entries have if none are given."""
+    sizes = (entry_lengths(entries) if longest is None else list(longest)) or [1]
+
+    def cut(toks: Column, norms: Column) -> Column:
+        gram = lambda t, i, k: F.struct(F.array_join(F.slice(norms, i + 1, F.lit(k)), " ").alias("norm"), t["s"].alias("s"), F.get(toks, i + k - 1)["e"].alias("e"))
+        return F.flatten(F.transform(toks, lambda t, i: F.array_compact(F.array(*[F.when(i + k <= F.size(toks), gram(t, i, k)) for k in sizes]))))
+
+    grams = text.bind(F.col("__toks"), lambda toks: text.bind(F.col("__norms"), lambda norms: cut(toks, norms)))
+    found = text.each(with_norms(texts, keys, stems), keys, grams, "g").select(*keys, "g.*").join(entries.select("norm", "kind", "resolved"), "norm")
+    value = F.substr("text", (F.col("s") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int"))
+    return found.join(texts.select(*keys, "text"), keys).select(*keys, "kind", "s", "e", value.alias("value"), "resolved")
+
+
+def frequent_words(entries: DataFrame, share: float = 0.001) -> DataFrame:
+    """kind, word: of each kind's different words so large a share, the most frequent ones, ties by name. They are a dictionary's stop words: a part of an entry that has nothing else is no match."""
+    if not 0 < share < 1:
+        raise ValueError("the share of stop words must lie between 0 and 1")
+    words = text.each(entries, ["kind"], F.split("norm", " "), "word").groupBy("kind", "word").agg(F.count("*").alias("often"))
+    many = words.groupBy("kind").agg(F.floor(F.count("*") * share).alias("many")).where("many > 0")
+    own = words.join(F.broadcast(many), "kind")
+    ranked = ordering.numbered(own, F.struct(-F.col("often"), F.substring("word", 1, 2)), [F.desc("often"), "word"], ["kind"])
+    return ranked.where("n < many").select("kind", "word")
+
+
 def filed(entries: DataFrame, strictness: DataFrame) -> DataFrame:
     """kind, norm, resolved, n_tokens, least and word: entries of kinds whose strictness (kind, strictness) is below one, filed under as many of their rarest words as it takes: a match
     that has `least` of n tokens has one of any n - least + 1. So the index has at most a row for each token of the dictionary, and frequent words fetch few entries."""
@@ -141,14 +187,15 @@ def gapped_runs(toks: Column, words: Column, least: Column, stops: Column) -> Co
     return text.bind(runs, lambda rs: F.filter(rs, lambda r: (r["n"] >= least) & said(r) & ~within(rs, r)))
 
 
-def gapped_matches(texts: DataFrame, keys: list[str], entries: DataFrame, strictness: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
+def gapped_matches(texts: DataFrame, keys: list[str], entries: DataFrame, strictness: DataFrame, stop_words: DataFrame | None = None, stems: DataFrame | None = None) -> DataFrame:
     """keys, kind, s, e, value, resolved, share of entries of kinds with a strictness below one (kind, strictness): a run of a text's tokens that are words of an entry, in its order, and at least
     that share of them. Words of an entry may be left out anywhere; words between those of the text may not. Of the entries that a span matches the one of which it is the largest share stands
-    for it, then the first resolved value. texts: keys, which tell texts apart, and text; stop_words: kind, word, of which alone no part of an entry is made.
+    for it, then the first resolved value. texts: keys, which tell texts apart, and text; stop_words: kind, word, of which alone no part of an entry is made;
+    stems: form, stem, by which the text's words are read if entries are of stems (`stem_entries`).
 
     Candidates are fetched by an inverted index that grows with the dictionary (`filed`); each is tried against its text's tokens exactly, within the row.
     """
-    rows = texts.select(*keys, "text", text.token_array(F.col("text")).alias("__toks")).withColumn("__norms", F.transform("__toks", lambda t: text.normalize(t["value"])))
+    rows = with_norms(texts, keys, stems)
     offered = text.each(rows, keys, F.array_distinct("__norms"), "word")
     candidates = offered.join(filed(entries, strictness), "word").select(*keys, "kind", "norm", "resolved", "least").distinct()
     if stop_words is None:

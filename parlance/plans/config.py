@@ -98,15 +98,26 @@ class ProbabilisticConfig:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """The parsers in the order in which they are asked. longest_value: tokens of the longest dictionary value that is looked for; None: as long as they are."""
+    """The parsers in the order in which they are asked. longest_value: tokens of the longest dictionary value that is looked for; None: as long as they are. entity_matching: what dictionary values
+    are matched by, forms of words ("plain"), their stems ("stemmed") or either ("both"); "auto": what the units read, forms, stems, or some the ones and some the others."""
 
     parsers: tuple = (LookupConfig(), ProbabilisticConfig())
     seed: int = 0
     longest_value: int | None = None
+    entity_matching: str = "auto"
+
+    def matching(self) -> str:
+        if self.entity_matching not in ("auto", "plain", "stemmed", "both"):
+            raise ValueError(f"unknown matching {self.entity_matching!r}")
+        if self.entity_matching != "auto":
+            return self.entity_matching
+        read = [part for p in self.parsers for part in ((p.classifier, p.slot_filler) if isinstance(p, ProbabilisticConfig) else (p,))]
+        by_stems = {bool(part.resources().get("stems")) for part in read}
+        return {(True,): "stemmed", (False, True): "both"}.get(tuple(sorted(by_stems)), "plain")
 
     def resources(self) -> dict[str, set[str]]:
-        """What the units need of a language's resources, by kind and name."""
-        return union(*(p.resources() for p in self.parsers))
+        """What the units and the dictionary need of a language's resources, by kind and name."""
+        return union(*(p.resources() for p in self.parsers), {} if self.matching() == "plain" else {"stems": {"stems"}})
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=2, sort_keys=True)

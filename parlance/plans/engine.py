@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance import __version__
-from parlance.errors import ExistsError, UnknownIntentError, VersionError
+from parlance.errors import ExistsError, MissingResourceError, UnknownIntentError, VersionError
 from parlance.operators import classifier, entities, lexicon, parsers, variations
 from parlance.plans.config import EngineConfig
 from parlance.plans.plugins import PARSERS, IntentParser
@@ -22,7 +22,7 @@ STOP_WORDS = {"en": "a an the of to in on at for and or is are be it this that w
 VALUE = "kind string, value string, unit string, grain string, precision string, `from` string, `to` string"
 SLOT = "struct<start:long,end:long,raw_value:string,resolved:string,entity:string,slot_name:string>"
 #: The tables that all units share, by name.
-SHARED = {"intents": "intent string", "entities": "entity string, extensible boolean, strictness double", "entries": "kind string, norm string, n_tokens int, resolved string"}
+SHARED = {"intents": "intent string", "entities": "entity string, extensible boolean, strictness double", "entries": "kind string, norm string, n_tokens int, resolved string", "stemmed": "kind string, norm string, n_tokens int, resolved string"}
 RESOURCE = {"stop_words": "word string", "noise": "ord long, word string", "stems": "form string, stem string", "gazetteers": "value string", "word_clusters": "word string, cluster string"}
 
 
@@ -37,7 +37,7 @@ class IntentEngine:
         training = self.training(dataset)
         units = [PARSERS.by_name(p.unit)(p).fit(training) for p in self.config.parsers]
         frames = dataset.frames(self.spark)
-        tables = {"intents": small(frames["texts"].select("intent").distinct()), "entities": frames["entities"], "entries": training.entries}
+        tables = {"intents": small(frames["texts"].select("intent").distinct()), "entities": frames["entities"], "entries": training.entries, "stemmed": training.stemmed}
         return IntentEngineModel(self.spark, self.config, dataset.language, tables, units, training.required(self.config.resources()))
 
     def training(self, dataset: Dataset) -> Training:
@@ -48,6 +48,12 @@ class IntentEngine:
         full = entities.gazetteer(surfaces.select(F.col("entity").alias("kind"), "surface", "resolved"))
         entries = small(full.select(*(c.split()[0] for c in SHARED["entries"].split(", "))))
         loose = {name: e.strictness for name, e in dataset.entities.items() if e.strictness < 1 and not e.builtin}
+        matching = self.config.matching()
+        stemmed = spark.createDataFrame([], SHARED["stemmed"])
+        if matching != "plain":
+            if "stems" not in self.resources.get("stems", {}):
+                raise MissingResourceError("stems/stems")
+            stemmed = small(entities.stem_entries(entries, self.resources["stems"]["stems"]).select(*entries.columns))
         trained = small(parsers.training_keys(texts, slots).join(texts.select("id", "intent"), "id"))
         stops = spark.createDataFrame([(w,) for w in STOP_WORDS.get(dataset.language, [])], "word string")
         if "stop_words" in self.resources:
@@ -56,7 +62,7 @@ class IntentEngine:
         each = lexicon.intent_stop_words(texts.select("intent"), stops, lexicon.whitelist(used, stops))
         by_intent = small(each.groupBy("intent").agg(F.array_sort(F.collect_set("word")).alias("words")))
         kinds = tuple(k for k in entities.GRAMMAR_KINDS if k in dataset.entities)
-        return Training(spark, self.config, dataset.language, texts, slots, surfaces, entries, trained, by_intent, self.resources, kinds, loose)
+        return Training(spark, self.config, dataset.language, texts, slots, surfaces, entries, trained, by_intent, self.resources, kinds, loose, matching, stemmed)
 
 
 class IntentEngineModel:
@@ -105,7 +111,10 @@ class IntentEngineModel:
         same = texts.groupBy(F.xxhash64(said).alias("h")).agg(F.array_sort(F.collect_set(said)).alias("same"))
         each = same.select("h", F.posexplode_outer("same").alias("n", "text"))
         texts = self._hold(each.select(F.when(F.col("n") == 0, F.col("h")).otherwise(F.xxhash64("h", "n")).alias("id"), "text"))
-        return Prepared(texts, self._hold(find_entities(texts, self.tables["entries"], *self.prepare_lengths())), self.resources, hold=self._hold)
+        matching = self.config.matching()
+        stems = None if matching == "plain" else self.resources["stems"]["stems"]
+        found = find_entities(texts, self.tables["entries"], *self.prepare_lengths(), matching, self.tables["stemmed"], stems)
+        return Prepared(texts, self._hold(found), self.resources, hold=self._hold)
 
     @staticmethod
     def _for_rows(texts: DataFrame, prepared: Prepared, found: DataFrame) -> DataFrame:

@@ -73,3 +73,27 @@ def engine_top(spark, sf_dir):
     """The two best intents of each utterance; only one has any candidate."""
     top = fitted(spark, sf_dir).parse_top(gen.utterances(spark, sf_dir), 2)
     return top.select("id", F.col("rank").cast("long").alias("rank"), "intent", "probability", F.size("slots").cast("long").alias("n_slots"))
+
+
+MANY = f"""many AS (SELECT 1000000000 + p_partkey AS id, p_size::VARCHAR AS size, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE regexp_replace(p_name, '([a-zA-Z]+)', '\\1s', 'g') END AS said, upper(p_name) AS resolved,
+  p_brand AS brand, (p_partkey % 100)::VARCHAR || '%' AS off FROM part),
+placed AS (SELECT *, 8 + length(size) AS at_said, 14 + length(size) + length(said) AS at_brand, 18 + length(size) + length(said) + length(brand) AS at_off FROM many)"""
+
+
+def _slot(name: str, entity: str, at: str, value: str, resolved: str) -> str:
+    return f"SELECT id::BIGINT AS id, '{name}' AS slot_name, '{entity}' AS entity, ({at})::BIGINT AS s, ({at} + length({value}))::BIGINT AS e, {value} AS raw_value, {resolved} AS resolved FROM placed"
+
+
+@query(
+    f"""WITH {MANY} {_slot('quantity', 'number', '7', 'size', 'size')} UNION ALL {_slot('product', 'product', 'at_said', 'said', 'resolved')}
+UNION ALL {_slot('brand', 'brand', 'at_brand', 'brand', 'brand')} UNION ALL {_slot('discount', 'percentage', 'at_off', 'off', 'off')}"""
+)
+def engine_stemmed(spark, sf_dir):
+    """Requests for every part, half of them with the words of its name in the plural, which the dictionary does not have: these match by their stems, the others by their own forms."""
+    part = table(spark, sf_dir, "part")
+    forms = part.select(F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))).alias("stem")).distinct().select(F.concat("stem", F.lit("s")).alias("form"), "stem")
+    engine = IntentEngine(spark, EngineConfig((LookupConfig(), PatternConfig()), entity_matching="both"), {"stems": {"stems": forms}})
+    said = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.regexp_replace("p_name", "([a-zA-Z]+)", "$1s"))
+    text = F.concat(F.lit("i need "), F.col("p_size").cast("string"), F.lit(" "), said, F.lit(" from "), "p_brand", F.lit(" at "), (F.col("p_partkey") % 100).cast("string"), F.lit("%"))
+    asked = part.select((F.lit(1000000000) + F.col("p_partkey")).cast("long").alias("id"), text.alias("text"))
+    return slot_rows(engine.fit(dataset(spark, sf_dir)).parse(asked), "id")

@@ -26,12 +26,40 @@ def small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
-def find_entities(texts: DataFrame, entries: DataFrame, lengths: list[int] | int | None = None, kinds: tuple[str, ...] = entities.GRAMMAR_KINDS, language: str = "en", loose: dict[str, float] | None = None) -> DataFrame:
-    """id, kind, s, e, value, resolved of builtin entities of those kinds and of dictionary entries. loose: strictness of those kinds of entries that match by parts."""
-    found = entities.gazetteer_matches(texts, ["id"], entries.where(~F.col("kind").isin(*loose)) if loose else entries, lengths)
-    if loose:
-        strict = texts.sparkSession.createDataFrame(list(loose.items()), "kind string, strictness double")
-        found = found.unionByName(entities.gapped_matches(texts, ["id"], entries.where(F.col("kind").isin(*loose)), strict).drop("share"))
+def find_entities(
+    texts: DataFrame,
+    entries: DataFrame,
+    lengths: list[int] | int | None = None,
+    kinds: tuple[str, ...] = entities.GRAMMAR_KINDS,
+    language: str = "en",
+    loose: dict[str, float] | None = None,
+    matching: str = "plain",
+    stemmed: DataFrame | None = None,
+    stems: DataFrame | None = None,
+) -> DataFrame:
+    """id, kind, s, e, value, resolved of builtin entities of those kinds and of dictionary entries. loose: strictness of those kinds of entries that match by parts.
+
+    matching: by the forms of words ("plain"), by their stems ("stemmed": entries `stemmed` of `entities.stem_entries`), or by either ("both"), where a span that matches by its form is not matched
+    by its stems.
+    """
+    spark = texts.sparkSession
+    strict = spark.createDataFrame(list(loose.items()), "kind string, strictness double") if loose else None
+
+    def found_in(own: DataFrame, by: DataFrame | None) -> DataFrame:
+        whole = own.where(~F.col("kind").isin(*loose)) if loose else own
+        found = entities.gazetteer_matches(texts, ["id"], whole, lengths) if by is None else entities.stemmed_matches(texts, ["id"], whole, by, lengths)
+        if not loose:
+            return found
+        parts = own.where(F.col("kind").isin(*loose))
+        return found.unionByName(entities.gapped_matches(texts, ["id"], parts, strict, entities.frequent_words(parts), by).drop("share"))
+
+    if matching == "plain":
+        found = found_in(entries, None)
+    elif matching == "stemmed":
+        found = found_in(stemmed, stems)
+    else:
+        ranked = found_in(entries, None).withColumn("by", F.lit(0)).unionByName(found_in(stemmed, stems).withColumn("by", F.lit(1)))
+        found = ranked.groupBy("id", "kind", "s", "e", "value").agg(F.min(F.struct("by", "resolved")).alias("x")).select("id", "kind", "s", "e", "value", "x.resolved")
     if not kinds:
         return found
     builtin = entities.builtin_matches(texts, ["id"], kinds, language).select("id", "kind", "s", "e", "value", F.col("value").alias("resolved"))
@@ -54,9 +82,12 @@ class Training:
     resources: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
     kinds: tuple[str, ...] = entities.GRAMMAR_KINDS  # the builtin entities that the dataset has
     loose: dict[str, float] = field(default_factory=dict)  # strictness of the entities that match by parts
+    matching: str = "plain"  # what entries are matched by: plain, stemmed or both
+    stemmed: DataFrame | None = None  # entries of stems, where they are matched by these
 
     def found(self, texts: DataFrame) -> DataFrame:
-        return small(find_entities(texts, self.entries, None, self.kinds, self.language, self.loose))
+        stems = None if self.matching == "plain" else self.resources["stems"]["stems"]
+        return small(find_entities(texts, self.entries, None, self.kinds, self.language, self.loose, self.matching, self.stemmed, stems))
 
     def required(self, needed: dict[str, set[str]]) -> dict[str, dict[str, DataFrame]]:
         """The resources that a unit needs; one that was not given raises."""
@@ -133,19 +164,30 @@ def _known(kinds: list[str] | None, held: list[str]) -> list[str]:
 
 @ENTITY_PARSERS.register("custom_entities")
 class CustomEntityParser(EntityParser):
-    """The entities of a dataset, by its dictionary."""
+    """The entities of a dataset, by its dictionary. Its option `matching` says what values are matched by: plain (forms of words), stemmed or both."""
 
-    schemas = {"entries": "kind string, norm string, n_tokens int, resolved string", "loose": "kind string, strictness double"}
+    schemas = {"entries": "kind string, norm string, n_tokens int, resolved string", "loose": "kind string, strictness double", "stemmed": "kind string, norm string, n_tokens int, resolved string", "stems": "form string, stem string"}
+
+    @property
+    def matching(self) -> str:
+        asked = self.config.options.get("matching", "plain")
+        if asked not in ("plain", "stemmed", "both"):
+            raise ValueError(f"unknown matching {asked!r}")
+        return asked
 
     def fit(self, training: Training) -> CustomEntityParser:
-        self.tables = {"entries": training.entries, "loose": training.spark.createDataFrame(list(training.loose.items()), self.schemas["loose"])}
+        make, by_stems = training.spark.createDataFrame, self.matching != "plain"
+        stems = training.required({"stems": {"stems"}})["stems"]["stems"].select("form", "stem") if by_stems else make([], self.schemas["stems"])
+        stemmed = small(entities.stem_entries(training.entries, stems).select("kind", "norm", "n_tokens", "resolved")) if by_stems else make([], self.schemas["stemmed"])
+        self.tables = {"entries": training.entries, "loose": make(list(training.loose.items()), self.schemas["loose"]), "stemmed": stemmed, "stems": stems}
         return self
 
     def parse(self, texts: DataFrame, kinds: list[str] | None = None) -> DataFrame:
         entries = self.checked().tables["entries"]
         asked = _known(kinds, sorted(r["kind"] for r in entries.select("kind").distinct().collect()))
         loose = {r["kind"]: r["strictness"] for r in self.tables["loose"].collect() if r["kind"] in asked}
-        return find_entities(texts.select("id", "text"), entries.where(F.col("kind").isin(*asked)), None, (), loose=loose)
+        own = lambda df: df.where(F.col("kind").isin(*asked))
+        return find_entities(texts.select("id", "text"), own(entries), None, (), loose=loose, matching=self.matching, stemmed=own(self.tables["stemmed"]), stems=self.tables["stems"])
 
 
 @ENTITY_PARSERS.register("builtin_entities")
