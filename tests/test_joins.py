@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import entities, joins, parsers
+from parlance.functions import text
+from parlance.operators import entities, features, joins, parsers, tagging
 
 
 def plan(df) -> str:
@@ -15,7 +16,7 @@ def plan(df) -> str:
 @pytest.fixture(scope="module")
 def made(spark):
     texts = spark.range(50).select("id", F.concat(F.lit("get "), F.col("id").cast("string"), F.lit(" red apples")).alias("text"))
-    known = spark.range(1).selectExpr("'fruit' AS kind", "'red apples' AS norm", "2 AS n_tokens", "'APPLE' AS resolved")
+    known = spark.range(200).where("id = 0").selectExpr("'fruit' AS kind", "concat('red apples', if(id = 0, '', cast(id AS string))) AS norm", "2 AS n_tokens", "'APPLE' AS resolved")
     return texts, known
 
 
@@ -50,3 +51,24 @@ def spark_models(texts):
     rows = [("buy", ["x"], ["get", "%FRUIT%"], ["get", "%fruit%"])]
     spark = texts.sparkSession
     return parsers.indexed(spark.createDataFrame([(r[0], r[1], r[3], []) for r in rows], "intent string, slot_names array<string>, parts array<string>, stops array<string>"))
+
+
+@pytest.mark.parametrize("scheme", ["IO", "BIO", "BILOU"])
+def test_tags_within_the_row_are_those_of_rows(spark, scheme):
+    """Spans of one and of more tokens, side by side and at both ends, a text without spans, a null one and one without tokens."""
+    texts = spark.createDataFrame([(1, "a bb ccc d e"), (2, "no slots"), (3, None), (4, ""), (5, "x y")], "id long, text string")
+    spans = spark.createDataFrame([(1, "p", 0, 1), (1, "q", 2, 8), (1, "q", 9, 12), (5, "p", 0, 3)], "id long, slot_name string, s long, e long")
+    made = tagging.encoded(texts, spans, ["id"], scheme)
+    assert "Window" not in plan(made)
+    by_row = tagging.encode(text.tokens(texts, ["id"]), spans, ["id"], scheme)
+    assert sorted(map(tuple, text.each(made, ["id"], F.col("tags"), "t").select("id", "t.*").collect())) == sorted(map(tuple, by_row.collect()))
+    slots = text.each(made, ["id"], tagging.decoded(F.col("tags"), scheme), "x").select("id", "x.*")
+    assert sorted(map(tuple, slots.collect())) == sorted(map(tuple, tagging.decode(by_row, ["id"], scheme).collect()))
+
+
+def test_word_pairs_of_a_text_are_made_within_its_row(spark):
+    texts = spark.createDataFrame([(1, "A b a c"), (1, "a B"), (2, None), (3, "one"), (None, "a b")], "id long, text string")
+    made = features.text_pairs(texts, ["id"], 2)
+    assert "Window" not in plan(made)
+    assert sorted((r["id"] or 0, r["w1"], r["w2"]) for r in made.collect()) == [(0, "a", "b"), (1, "a", "a"), (1, "a", "b"), (1, "a", "c"), (1, "b", "a"), (1, "b", "c")]
+    assert sorted((r["w1"], r["w2"]) for r in features.text_pairs(texts.where("id = 1"), ["id"], 2, False).collect()) == [("a", "a"), ("a", "b"), ("a", "c"), ("b", "c")]
