@@ -72,3 +72,14 @@ def test_word_pairs_of_a_text_are_made_within_its_row(spark):
     assert "Window" not in plan(made)
     assert sorted((r["id"] or 0, r["w1"], r["w2"]) for r in made.collect()) == [(0, "a", "b"), (1, "a", "a"), (1, "a", "b"), (1, "a", "c"), (1, "b", "a"), (1, "b", "c")]
     assert sorted((r["w1"], r["w2"]) for r in features.text_pairs(texts.where("id = 1"), ["id"], 2, False).collect()) == [("a", "a"), ("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_frequent_words_fetch_no_entries_and_texts_of_the_same_words_are_tried_once(spark):
+    """Of 300 entries that share two words, a text that has these apart and two of one entry side by side fetches that one alone."""
+    known = spark.range(300).selectExpr("'item' AS kind", "concat('old red w', id, ' x', id) AS norm", "4 AS n_tokens", "concat('W', id) AS resolved")
+    strict = spark.createDataFrame([("item", 0.5)], "kind string, strictness double")
+    texts = spark.range(40).select("id", F.concat(F.lit("red or old"), F.when(F.col("id") % 2 == 0, " W7, x7").otherwise(" w7 x7")).alias("text"))
+    said = entities.with_norms(texts, ["id"]).select("id", "__norms").where("id < 2")
+    assert sorted((r["id"], r["norm"]) for r in entities.fetched(said, ["id"], known, strict).collect()) == [(0, "old red w7 x7"), (1, "old red w7 x7")]
+    found = entities.gapped_matches(texts, ["id"], known, strict)
+    assert sorted((r["id"], r["s"], r["value"], r["resolved"], r["share"]) for r in found.collect()) == [(i, 7, "old W7, x7" if i % 2 == 0 else "old w7 x7", "W7", 0.75) for i in range(40)]
