@@ -70,6 +70,7 @@ def intent_stop_words(intents: DataFrame, stops: DataFrame, white: DataFrame) ->
 
 def top_words(tokens: DataFrame, n: int) -> DataFrame:
     """rank (from 1) and word of the n most frequent normalised tokens; ties by word."""
-    counted = tokens.groupBy(text.normalize(F.col("value")).alias("word")).count()
+    forms = tokens.groupBy("value").agg(F.count("*").alias("n"))  # so a form is normalised once, not at every place
+    counted = forms.groupBy(text.normalize(F.col("value")).alias("word")).agg(F.sum("n").alias("count"))
     ranked = counted.orderBy(F.desc("count"), "word").limit(n)
     return ranked.select(F.row_number().over(W.orderBy(F.desc("count"), "word")).cast("long").alias("rank"), "word")

@@ -12,13 +12,13 @@ from parlance.plans import gen
 from parlance.plans.lexicon_queries import DOC_TOP, words
 from parlance.plans.parser_queries import TRAINED, trained
 from parlance.plans.registry import normal_sql, query
-from parlance.plans.text_queries import DOC, SHAPE_SQL, TURN, TURN_KEYS, doc_tokens, turn_tokens
+from parlance.plans.text_queries import DOC, SHAPE_SQL, TURN, TURN_KEYS, doc_words, turn_words
 from parlance.session import table
 from parlance.streaming.windows import counts_by_window
 
 
 def counts(spark, sf_dir):
-    return features.term_counts(doc_tokens(spark, sf_dir), "doc_id", text.normalize(F.col("value")))
+    return features.term_counts(doc_words(spark, sf_dir), "doc_id", text.normalize(F.col("value")))
 
 
 COUNTS = f"{DOC}, counts AS (SELECT doc_id, {normal_sql('value')} AS term, count(*) AS tf FROM toks GROUP BY 1, 2)"
@@ -39,7 +39,7 @@ def tfidf_transform(spark, sf_dir):
 @query(f"WITH {IDF}, kept AS (SELECT DISTINCT {normal_sql('unnest(regexp_extract_all(text, $$[\\p{L}\\p{N}_]+|[$%!?&]$$))')} AS term FROM conversations) SELECT row_number() OVER (ORDER BY term) - 1 AS idx, term, round(idf, 6) AS idf FROM idf SEMI JOIN kept USING (term)")
 def vocab_restrict(spark, sf_dir):
     """The documents' vocabulary restricted to what conversations say."""
-    said = turn_tokens(spark, sf_dir).select(text.normalize(F.col("value")).alias("term"))
+    said = turn_words(spark, sf_dir).select(text.normalize(F.col("value")).alias("term"))
     return features.restrict(features.document_frequencies(counts(spark, sf_dir), "doc_id"), said).withColumn("idf", F.round("idf", 6))
 
 
@@ -107,7 +107,7 @@ def reg_factor(spark, sf_dir):
 
 @query(f"WITH {TURN}, n AS (SELECT conv_id, turn, count(*) AS n FROM toks GROUP BY 1, 2) SELECT role, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std FROM n JOIN conversations USING (conv_id, turn) GROUP BY role")
 def utt_length_stats(spark, sf_dir):
-    n = turn_tokens(spark, sf_dir).groupBy(*TURN_KEYS).agg(F.count("*").alias("n"))
+    n = turn_words(spark, sf_dir).groupBy(*TURN_KEYS).agg(F.count("*").alias("n"))
     joined = n.join(table(spark, sf_dir, "conversations").select(*TURN_KEYS, "role"), TURN_KEYS)
     return joined.groupBy("role").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("std"))
 
@@ -270,7 +270,7 @@ s AS (SELECT conv_id, turn, string_agg(CASE WHEN word IS NULL THEN 'unknownword'
 SELECT conv_id, turn, regexp_replace(smart, '\\bunknownword( unknownword)+\\b', 'unknownword', 'g') AS smart FROM s"""
 )
 def smart_noise(spark, sf_dir):
-    return sampling.replace_unknown(turn_tokens(spark, sf_dir), words(spark, sf_dir, 500), TURN_KEYS)
+    return sampling.replace_unknown(turn_words(spark, sf_dir), words(spark, sf_dir, 500), TURN_KEYS)
 
 
 @query(f"SELECT p_partkey, CASE WHEN {_draw(21, 'p_partkey::VARCHAR')} < 0.3 THEN p_name || repeat(' unknownword', (1 + floor({_draw(22, 'p_partkey::VARCHAR')} * 3))::INT) ELSE p_name END AS p_name FROM part")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import lexicon
 from parlance.plans.registry import normal_sql, query
-from parlance.plans.text_queries import DOC, TURN, TURN_KEYS, doc_tokens, turn_tokens
+from parlance.plans.text_queries import DOC, TURN, TURN_KEYS, doc_words, turn_words
 from parlance.session import table
 
 STOPS, COMMON, CLUSTERED, STEMMED = 30, 500, 200, 2000
@@ -17,7 +17,7 @@ TURN_TOP = TURN.replace("pieces", "tpieces").replace("ends", "tends").replace("t
 
 
 def words(spark, sf_dir, n):
-    return lexicon.top_words(doc_tokens(spark, sf_dir), n)
+    return lexicon.top_words(doc_words(spark, sf_dir), n)
 
 
 def stems(spark, sf_dir):
@@ -36,7 +36,7 @@ def top_words(spark, sf_dir):
 
 @query(f"WITH {DOC_TOP}, {STEM_SQL} SELECT doc_id, i, coalesce(stem, {normal_sql('value')}) AS stem FROM toks LEFT JOIN stems ON form = {normal_sql('value')}")
 def stem_lookup(spark, sf_dir):
-    return lexicon.stem(doc_tokens(spark, sf_dir), stems(spark, sf_dir)).select("doc_id", "i", "stem")
+    return lexicon.stem(doc_words(spark, sf_dir), stems(spark, sf_dir)).select("doc_id", "i", "stem")
 
 
 @query(f"WITH {DOC_TOP}, {STEM_SQL} SELECT stem, string_agg(DISTINCT form, ',' ORDER BY form) AS forms FROM stems GROUP BY stem")
@@ -46,20 +46,20 @@ def stem_inverse(spark, sf_dir):
 
 @query(f"WITH {DOC_TOP}, {STEM_SQL}, s AS (SELECT doc_id, i, coalesce(stem, {normal_sql('value')}) AS stem FROM toks LEFT JOIN stems ON form = {normal_sql('value')}) SELECT doc_id, string_agg(stem, ' ' ORDER BY i) AS stemmed FROM s GROUP BY doc_id")
 def stem_text(spark, sf_dir):
-    stemmed = lexicon.stem(doc_tokens(spark, sf_dir), stems(spark, sf_dir))
+    stemmed = lexicon.stem(doc_words(spark, sf_dir), stems(spark, sf_dir))
     held = F.array_sort(F.collect_list(F.struct("i", "stem")))
     return stemmed.groupBy("doc_id").agg(F.array_join(F.transform(held, lambda x: x["stem"]), " ").alias("stemmed"))
 
 
 @query(f"WITH {DOC_TOP} SELECT doc_id, i, CASE WHEN rank <= {COMMON} THEN word ELSE 'rare_word' END AS gated FROM toks JOIN top ON word = {normal_sql('value')}")
 def rare_word_gate(spark, sf_dir):
-    return lexicon.gate_rare(doc_tokens(spark, sf_dir), words(spark, sf_dir, COMMON)).select("doc_id", "i", "gated")
+    return lexicon.gate_rare(doc_words(spark, sf_dir), words(spark, sf_dir, COMMON)).select("doc_id", "i", "gated")
 
 
 @query(f"WITH {DOC_TOP} SELECT doc_id, i, CASE WHEN rank <= {CLUSTERED} THEN 'c' || (rank % 20)::VARCHAR END AS cluster FROM toks JOIN top ON word = {normal_sql('value')}")
 def word_cluster(spark, sf_dir):
     clusters = words(spark, sf_dir, CLUSTERED).select("word", F.concat(F.lit("c"), (F.col("rank") % 20).cast("string")).alias("cluster"))
-    tokens = doc_tokens(spark, sf_dir)
+    tokens = doc_words(spark, sf_dir)
     from parlance.functions.text import normalize
 
     return lexicon.look_up(tokens, clusters, normalize(F.col("value")), "word", "cluster", "cluster").select("doc_id", "i", "cluster")
@@ -73,7 +73,7 @@ STOP_SQL = f"stops AS (SELECT word FROM top WHERE rank <= {STOPS})"
 FROM ttoks LEFT JOIN stops ON word = {normal_sql('value')} GROUP BY conv_id, turn"""
 )
 def stopword_filter(spark, sf_dir):
-    return lexicon.drop_stop_words(turn_tokens(spark, sf_dir), TURN_KEYS, words(spark, sf_dir, STOPS))
+    return lexicon.drop_stop_words(turn_words(spark, sf_dir), TURN_KEYS, words(spark, sf_dir, STOPS))
 
 
 @query(
@@ -91,7 +91,7 @@ _values = f"vals AS (SELECT DISTINCT lang AS intent, {normal_sql('value')} AS wo
 def first_words(spark, sf_dir):
     """Values of each class: for each language the words that begin a document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("intent"))
-    return doc_tokens(spark, sf_dir).where("i = 0").join(docs, "doc_id").select("intent", "value").distinct()
+    return doc_words(spark, sf_dir).where("i = 0").join(docs, "doc_id").select("intent", "value").distinct()
 
 
 @query(f"WITH {DOC_TOP}, {STOP_SQL}, {_values} SELECT DISTINCT intent, word FROM vals SEMI JOIN stops USING (word)")

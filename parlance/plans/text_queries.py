@@ -22,6 +22,15 @@ def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.tokens(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), TURN_KEYS)
 
 
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens without their offsets, for what only counts them or looks them up."""
+    return text.words(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.words(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), TURN_KEYS)
+
+
 @query(f"WITH {DOC} SELECT doc_id, i, value, s, e FROM toks")
 def tok_offsets(spark, sf_dir):
     return doc_tokens(spark, sf_dir)
@@ -42,7 +51,7 @@ SHAPE_SQL = "CASE WHEN value = lower(value) THEN 'xxx' WHEN value = upper(value)
 
 @query(f"WITH {TURN} SELECT conv_id, turn, i, {SHAPE_SQL} AS shape FROM toks")
 def token_shape(spark, sf_dir):
-    return turn_tokens(spark, sf_dir).select(*TURN_KEYS, "i", text.shape(F.col("value")).alias("shape"))
+    return turn_words(spark, sf_dir).select(*TURN_KEYS, "i", text.shape(F.col("value")).alias("shape"))
 
 
 _affix = ", ".join(f"CASE WHEN length(v) >= {k} THEN left(v, {k}) END AS prefix_{k}, CASE WHEN length(v) >= {k} THEN right(v, {k}) END AS suffix_{k}" for k in (1, 2, 3))
@@ -52,12 +61,12 @@ _affix = ", ".join(f"CASE WHEN length(v) >= {k} THEN left(v, {k}) END AS prefix_
 def prefix_suffix(spark, sf_dir):
     norm = text.normalize(F.col("value"))
     out = [f(norm, k).alias(f"{name}_{k}") for k in (1, 2, 3) for name, f in (("prefix", text.prefix), ("suffix", text.suffix))]
-    return turn_tokens(spark, sf_dir).select(*TURN_KEYS, "i", *out)
+    return turn_words(spark, sf_dir).select(*TURN_KEYS, "i", *out)
 
 
 @query(f"WITH {DOC} SELECT doc_id, i, length(value)::VARCHAR AS length, CASE WHEN regexp_matches(value, '^\\p{{Nd}}+$') THEN '1' END AS is_digit FROM toks")
 def token_length_digit(spark, sf_dir):
-    return doc_tokens(spark, sf_dir).select("doc_id", "i", F.length("value").cast("string").alias("length"), text.is_digit(F.col("value")).alias("is_digit"))
+    return doc_words(spark, sf_dir).select("doc_id", "i", F.length("value").cast("string").alias("length"), text.is_digit(F.col("value")).alias("is_digit"))
 
 
 def turn_features(spark, sf_dir, f):

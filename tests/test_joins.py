@@ -83,3 +83,14 @@ def test_frequent_words_fetch_no_entries_and_texts_of_the_same_words_are_tried_o
     assert sorted((r["id"], r["norm"]) for r in entities.fetched(said, ["id"], known, strict).collect()) == [(0, "old red w7 x7"), (1, "old red w7 x7")]
     found = entities.gapped_matches(texts, ["id"], known, strict)
     assert sorted((r["id"], r["s"], r["value"], r["resolved"], r["share"]) for r in found.collect()) == [(i, 7, "old W7, x7" if i % 2 == 0 else "old w7 x7", "W7", 0.75) for i in range(40)]
+
+
+def test_words_are_tokens_without_their_places(spark):
+    from parlance.plans import feature_queries, lexicon_queries
+
+    texts = spark.createDataFrame([(1, "Ça va, $5 a_b!\n\u2003x"), (1, "A a"), (2, None), (3, " -- "), (None, "z")], "id long, text string")
+    assert sorted(map(str, text.words(texts, ["id"]).collect())) == sorted(map(str, text.tokens(texts, ["id"]).select("id", "i", "value").collect()))
+    sf = "/root/testdata/sf0.001"
+    made = [lexicon_queries.word_cluster(spark, sf), lexicon_queries.stem_text(spark, sf), lexicon_queries.rare_word_gate(spark, sf), feature_queries.tfidf_transform(spark, sf), feature_queries.vocab_restrict(spark, sf), feature_queries.chi2_scores(spark, sf)]
+    for df in made:  # offsets are running sums, which append to an array
+        assert "array_append" not in df._jdf.queryExecution().optimizedPlan().toString()
