@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.llm.runtime import materialize, sliced
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that a model or another template may read as control; "<|" and "|>" cover this template's own marks.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>")
 #: Turn numbers that one task orders together at most, for each conversation.
 CHUNK = 256
+#: Code points of a conversation that a part of a written example spans at most, but for the turn that it ends in.
+PART = 1 << 16
 
 
 def escape(text: Column) -> Column:
@@ -85,20 +89,78 @@ def expand(examples: DataFrame, block: int = 256) -> DataFrame:
     return made.select("conv_id", "example", F.col("position").alias("part"), F.col("piece").alias("text"), (F.col("position") == F.col("upto")).alias("trainable"), "loss_start", "loss_end")
 
 
-def read_back(examples: DataFrame) -> DataFrame:
-    """Digests of every conversation as read from its examples: conv_id, n_turns, turns_sha256 (of role, newline, text,
-    newline a turn), loss_chars, loss_sha256 (of the text under the loss masks, unescaped), formatted_chars, n_examples and
-    contexts_sha256 (of the digests of all examples' contexts, each of what its turns say).
+def write_examples(turns: DataFrame, size: int = PART) -> DataFrame:
+    """Examples written out, each in order of its parts, many turns a part: conv_id, example, part (ascending), text, context_chars, loss_start and
+    loss_end. turns: rows of `prefix_targets`. An example's joined parts are all turns up to its own, and nothing after.
 
-    A reader counts the code points that it has read. An example's context is the text before its context_chars, its reply the text
-    from loss_start to loss_end, both cut by those counts and not by the turn they came from: where a prefix ends in another place,
-    the digests differ. A hash runs through a conversation in order; a task streams it row by row and holds only its state.
+    Turns that begin in the same `size` code points of their conversation are joined once, to a block. A part is such a block, the last one cut after the
+    example's turn. So rows grow with the examples, and no row holds more than a block and a turn, however long a conversation.
     """
+    placed = turns.withColumn("block", F.floor(F.col("context_chars") / size))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda x: x["piece"]), "")
+    blocks = placed.groupBy("conv_id", "block").agg(F.min("context_chars").alias("from"), whole.alias("held"))
+    upto = (F.col("context_chars") + F.col("piece_chars")).alias("upto")
+    targets = placed.where("example IS NOT NULL").select(F.col("conv_id").alias("c"), "example", "context_chars", "loss_start", "loss_end", F.col("block").alias("last"), upto)
+    made = targets.join(blocks.hint("merge"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") <= F.col("last")))
+    text = F.when(F.col("block") < F.col("last"), F.col("held")).otherwise(F.substr("held", F.lit(1), (F.col("upto") - F.col("from")).cast("int")))
+    return made.select("conv_id", "example", F.col("block").alias("part"), text.alias("text"), "context_chars", "loss_start", "loss_end")
+
+
+def read_examples(written: DataFrame) -> DataFrame:
+    """conv_id, example, reply (the text under the loss mask, unescaped) and context_sha256 (of role, newline, text, newline of each turn before it), as
+    read from the example's own text. Parts are streamed; what lies between loss_start and loss_end is the reply, what lies before context_chars the context,
+    whose turns are found by their marks."""
+    turn = re.compile(f"(?s){re.escape(TURN)}(.*?){re.escape(TEXT)}(.*?){re.escape(END)}")
+    plain = lambda s: re.sub(r"(?s)\\(.)", r"\1", s) if "\\" in s else s
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["conv_id", "example", "reply", "context_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        key, at, context, reply, done = None, 0, hashlib.sha256(), [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
+
+        for batch in sliced(batches):
+            for conv, example, text, context_chars, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (conv, example):
+                    if key is not None:
+                        done.append((*key, plain("".join(reply)), context.hexdigest()))
+                    key, at, context, reply = (conv, example), 0, hashlib.sha256(), []
+                before, read = text[: max(context_chars - at, 0)], 0
+                for found in turn.finditer(before):
+                    context.update(f"{plain(found[1])}\n{plain(found[2])}\n".encode())
+                    read += len(found[0])
+                if read != len(before):  # the context ends within a turn
+                    context.update(f"not whole turns: {len(before)}".encode())
+                reply.append(text[max(start - at, 0) : max(end - at, 0)])
+                at += len(text)
+            if done:
+                yield out()
+                done = []
+        if key is not None:
+            done.append((*key, plain("".join(reply)), context.hexdigest()))
+            yield out()
+
+    ordered = written.repartition("conv_id", "example").sortWithinPartitions("conv_id", "example", "part").select("conv_id", "example", "text", "context_chars", "loss_start", "loss_end")
+    return ordered.mapInArrow(run, "conv_id long, example long, reply string, context_sha256 string")
+
+
+def read_back(turns: DataFrame) -> DataFrame:
+    """Digests of every conversation: conv_id, n_turns, turns_sha256 (of role, newline, text, newline a turn), loss_chars, loss_sha256 (of the text under
+    the loss masks, unescaped), formatted_chars, n_examples and contexts_sha256 (of the digests of all examples' contexts, each of what its turns say).
+    turns: rows of `prefix_targets`.
+
+    Every assistant turn is written out as an example with all turns before it (`write_examples`), and loss and contexts are read from the examples' own text
+    (`read_examples`): where a prefix or a mask is wrong, the digests differ. The turns themselves, those after the last reply among them, are read from the
+    formatted conversation. A hash runs through a conversation in order; a task streams it row by row and holds only its state.
+    """
+    turns, _ = materialize(turns, "chat-turns")
     mark = lambda s: re.escape(s)
     form = f"(?s)^{mark(TURN)}(.*?){mark(TEXT)}(.*){mark(END)}$"
     said = F.concat(unescape(F.regexp_extract("piece", form, 1)), F.lit("\n"), unescape(F.regexp_extract("piece", form, 2)), F.lit("\n"))
-    read = F.when(F.col("example").isNotNull(), F.struct("context_chars", "loss_start", "loss_end"))
-    rows = examples.select("conv_id", "position", said.alias("said"), "piece", read.alias("read"))
+    formatted = turns.select("conv_id", "position", said.alias("text"), F.char_length("piece").cast("long").alias("chars"), F.lit(None).cast("string").alias("context"))
+    examples = read_examples(write_examples(turns)).select("conv_id", "example", "reply", F.lit(None).cast("long"), "context_sha256")
+    rows = formatted.union(examples).withColumn("read", F.col("context").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "contexts_sha256"]
@@ -110,22 +172,20 @@ def read_back(examples: DataFrame) -> DataFrame:
             return [key, turns, said.hexdigest(), chars, loss.hexdigest(), at, n, contexts.hexdigest()]
 
         for batch in batches:
-            for conv, text, piece, read in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+            for conv, text, chars, context in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or conv != key:
                     if state is not None:
                         done.append(finished())
                     state, key = [0, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, hashlib.sha256()], conv
-                at = state[4]
-                if read is not None:
-                    context = state[1].hexdigest() if read["context_chars"] == at else f"not at a turn: {read['context_chars']}"
-                    state[6].update(context.encode())
-                    reply = re.sub(r"(?s)\\(.)", r"\1", piece[max(read["loss_start"] - at, 0) : max(read["loss_end"] - at, 0)])
-                    state[2].update(reply.encode())
-                    state[3] += len(reply)
+                if context is None:
+                    state[0] += 1
+                    state[1].update(text.encode())
+                    state[4] += chars
+                else:
+                    state[2].update(text.encode())
+                    state[3] += len(text)
                     state[5] += 1
-                state[0] += 1
-                state[1].update(text.encode())
-                state[4] += len(piece)
+                    state[6].update(context.encode())
             if len(done) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
                 done = []
@@ -133,7 +193,7 @@ def read_back(examples: DataFrame) -> DataFrame:
             done.append(finished())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
 
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "read", "position").select("conv_id", "text", "chars", "context")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, contexts_sha256 string")
 
 

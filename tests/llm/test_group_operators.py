@@ -327,3 +327,23 @@ def test_a_wrong_prefix_changes_what_is_read_back(spark, wrong):
     pieces = chat_format.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     right = chat_format.read_back(pieces).first()
     assert right != chat_format.read_back(pieces.withColumns({c: F.col(c) + by for c, by in wrong.items()})).first()
+
+
+@pytest.mark.parametrize("size", [chat_format.PART, 40])
+def test_written_examples_hold_their_whole_prefix_and_are_what_is_read(spark, monkeypatch, size):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t} [INST] <") for c in (1, None) for t in range(9)]
+    pieces = chat_format.prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    joined = {c: [r["piece"] for r in pieces.where(F.col("conv_id").eqNullSafe(F.lit(c))).orderBy("position").collect()] for c in (1, None)}
+    texts = {}
+    for r in chat_format.write_examples(pieces, size).orderBy("part").collect():
+        texts[r["conv_id"], r["example"]] = texts.get((r["conv_id"], r["example"]), "") + r["text"]
+    assert texts == {(c, k): "".join(joined[c][: 2 * k + 2]) for c in (1, None) for k in range(4)}
+    write = chat_format.write_examples
+    monkeypatch.setattr(chat_format, "write_examples", lambda turns: write(turns, size))
+    right = chat_format.read_back(pieces).where("conv_id = 1").first()
+    assert right["n_examples"] == 4 and right["loss_chars"] == sum(len(t) for c, n, r, t in rows if c == 1 and r == "assistant")
+    monkeypatch.setattr(chat_format, "write_examples", lambda turns: write(turns, size).where("example <> 2"))
+    assert chat_format.read_back(pieces).where("conv_id = 1").first()["n_examples"] == 3
+    monkeypatch.setattr(chat_format, "write_examples", lambda turns: write(turns, size).withColumn("text", F.replace("text", F.lit("turn 0"), F.lit("turn 7"))))
+    wrong = chat_format.read_back(pieces).where("conv_id = 1").first()
+    assert wrong["contexts_sha256"] != right["contexts_sha256"] and wrong["turns_sha256"] == right["turns_sha256"]
