@@ -1,8 +1,8 @@
-"""Near-duplicate texts by Jaccard similarity of their word shingles: MinHash bands find the pairs, the sets themselves decide."""
+"""Near-duplicate texts by Jaccard similarity of their word shingles: fingerprints find the near pairs and MinHash bands the others, the sets themselves decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.runtime import connected_components, materialize, sliced
+from parlance.llm.runtime import connected_components, join_unique, materialize, sliced
 
 SEED = 42
 #: Bands of rows of MinHash values. A pair at Jaccard 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6, at 0.9 4e-13.
@@ -30,6 +30,14 @@ def shingle_set(text: bytes, n: int = 5) -> np.ndarray:
     return np.unique(np.array([hashing(s, SEED) for s in shingles], np.uint64))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashes (little-endian uint64): a bit is set if over half of them have it."""
+    set_in = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 16):  # a very long text in slices
+        set_in += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(set_in * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A key for each band; sets of equal minima in a band share its key. None for the empty set."""
     if not len(hashes):
@@ -64,10 +72,11 @@ def reachable(held: np.ndarray, one: np.ndarray, size_held: np.ndarray, size_one
     return common >= similarity * (size_held + size_one - common) - 1e-9
 
 
-def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between distinct shingle sets of at least that similarity which connect all such pairs that share a band.
+def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, near: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between distinct shingle sets of at least that similarity which connect all such pairs that share a band, and those that `near` gives.
 
-    vertices: vertex, n_shingles, bands, __row0, __row1 (a row of docs that has the set). Members of a bucket meet its smallest one, its largest
+    vertices: vertex, n_shingles, fingerprint, bands, __row0, __row1 (a row of docs that has the set). near gives pairs (u, v) of vertices by their fingerprints (vertex,
+    fingerprint); they are decided first. A band's bucket makes pairs only where that leaves it in several components, and only of members of different ones: these meet its smallest one, its largest
     one and its hub (whose buckets hold most members: the text that a crowd was copied from, if it is there) first. Only where that leaves a bucket
     in several components, its members of different ones meet pair by pair, and of these pairs only those are made whose counts of
     shared shingles allow the similarity (see `reachable`): texts edited each in its own way lack each its own of the shingles that they were copied
@@ -75,11 +84,11 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block
     dealt to several tasks by pairs of parts, and every pair made is decided by the sets.
     """
     keyed = vertices.select("vertex", "n_shingles", F.explode("bands").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("vertex").alias("lo"), F.max("vertex").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    members, _ = materialize(keyed.join(ends, "key"), "band-members")
-    degree = members.groupBy("vertex").agg(F.sum("n").alias("degree"))
-    hubs = members.select("key", "vertex").join(degree, "vertex").groupBy("key").agg(F.max(F.struct("degree", "vertex")).alias("x")).select("key", F.col("x.vertex").alias("hub"))
-    met = members.select("vertex").distinct().join(vertices.select("vertex", "__row0", "__row1"), "vertex")
+    shared = keyed.groupBy("key").agg(F.min("vertex").alias("lo"), F.max("vertex").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    members, _ = materialize(keyed.join(shared, "key"), "band-members")
+    close, _ = materialize(near(vertices.select("vertex", "fingerprint")), "fingerprint-pairs")
+    asked = members.select("vertex").unionByName(close.select(F.explode(F.array("u", "v")).alias("vertex"))).distinct()
+    met = asked.join(vertices.select("vertex", "__row0", "__row1"), "vertex")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -104,23 +113,33 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block
         near = common >= similarity * (F.size("of_u") + F.size("of_v") - common) - 1e-9
         return materialize(both.where(near).select("u", "v"), "shingle-links")[0]
 
-    star = members.join(hubs, "key").select(F.col("vertex").alias("u"), F.explode(F.array("lo", "hi", "hub")).alias("v")).where("u <> v")
+    def apart(members: DataFrame, edges: DataFrame, name: str, least: int) -> DataFrame:
+        """Members, and their roots, of the buckets that the edges leave in several components and that have so many members at least."""
+        roots, _ = connected_components(edges, "shingle-components")
+        rooted = members.select("key", "n", "vertex", "n_shingles").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").select("key", "n", "vertex", "n_shingles", F.coalesce("root", "vertex").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("many")).where((F.col("a") != F.col("b")) & (F.col("many") >= least))
+        return materialize(rooted.join(mixed.select("key"), "key"), name)[0]
+
+    closest = decided(close)
+    members = apart(members, closest, "open-members", 2)
+    degree = members.groupBy("vertex").agg(F.sum("n").alias("degree"))
+    own = F.struct("vertex", "root")
+    ends = members.join(degree, "vertex").groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max(F.struct("degree", "vertex", "root")).alias("x"))
+    ends = ends.select("key", F.array("lo", "hi", F.struct("x.vertex", "x.root")).alias("ends"))
+    star = members.join(ends, "key").select(F.col("vertex").alias("u"), "root", F.explode("ends").alias("v")).where("root <> v.root").select("u", F.col("v.vertex").alias("v"))
     star, _ = materialize(star.groupBy(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).agg(F.min(F.struct("u", "v")).alias("x")).select("x.*"), "band-pairs")
-    first = decided(star)
-    roots, _ = connected_components(first, "shingle-components")
-    rooted = members.join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").select("key", "vertex", "n_shingles", F.coalesce("root", "vertex").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b AND n > 2").select("key")
-    left, _ = materialize(rooted.join(mixed, "key"), "mixed-members")
+    first = closest.unionByName(decided(star))
+    left = apart(members, first, "mixed-members", 3)
 
     crowd = left.select("vertex").distinct().join(sets, "vertex").select("vertex", F.explode("shingles").alias("shingle"))
-    shared = crowd.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    common = crowd.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             own = [np.array(s, np.int64) for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([bin_counts(s).astype("<u4").tobytes() for s in own], pa.binary())], ["vertex", "shared", "bins"])
 
-    held = crowd.join(shared, "shingle").groupBy("vertex").agg(F.collect_list("shingle").alias("shingles")).mapInArrow(counted, "vertex long, shared long, bins binary")
+    held = crowd.join(common, "shingle").groupBy("vertex").agg(F.collect_list("shingle").alias("shingles")).mapInArrow(counted, "vertex long, shared long, bins binary")
     held, _ = materialize(held, "shared-counts")
     able = left.join(held, "vertex").where(F.col("shared") >= similarity * F.col("n_shingles") - 1e-9)
     parts = able.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
@@ -166,21 +185,28 @@ def links(vertices: DataFrame, docs: DataFrame, similarity: float, n: int, block
     return first.unionByName(decided(rest))
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, n: int = 5, block: int = BLOCK) -> DataFrame:
+def same_print(prints: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each vertex with the smallest one of its fingerprint."""
+    least = prints.groupBy("fingerprint").agg(F.min("vertex").alias("v"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "v")
+    return join_unique(prints, least, "fingerprint", prints.count()).where("vertex <> v").select(F.col("vertex").alias("u"), "v")
+
+
+def classes(docs: DataFrame, similarity: float = 0.8, n: int = 5, block: int = BLOCK, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, __row0, __row1 (see `row_keys`) and root of every row: one root for all rows that are connected by texts whose
-    sets of n-word shingles have at least that Jaccard similarity. Texts without words are one class."""
+    sets of n-word shingles have at least that Jaccard similarity. Texts without words are one class. near: see `links`; without it equal fingerprints are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = [shingle_set(t or b"", n) for t in batch.column(3).to_pylist()]
             vertex = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(vertex), pa.array([len(s) for s in sets], pa.int64()), keys], ["doc_id", "__row0", "__row1", "vertex", "n_shingles", "bands"])
+            prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(vertex), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), keys], ["doc_id", "__row0", "__row1", "vertex", "n_shingles", "fingerprint", "bands"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *row_keys(docs), docs["text"].cast("string").cast("binary").alias("text"))
-    sketched, _ = materialize(rows.mapInArrow(run, "doc_id long, __row0 long, __row1 long, vertex long, n_shingles long, bands array<long>"), "shingle-sketches")
-    one = sketched.groupBy("vertex").agg(F.min(F.struct("__row0", "__row1", "n_shingles", "bands")).alias("x")).select("vertex", "x.*")
+    sketched, _ = materialize(rows.mapInArrow(run, "doc_id long, __row0 long, __row1 long, vertex long, n_shingles long, fingerprint long, bands array<long>"), "shingle-sketches")
+    one = sketched.groupBy("vertex").agg(F.min(F.struct("__row0", "__row1", "n_shingles", "fingerprint", "bands")).alias("x")).select("vertex", "x.*")
     vertices, _ = materialize(one, "shingle-vertices")
-    roots, _ = connected_components(links(vertices, docs, similarity, n, block), "near-texts")
+    roots, _ = connected_components(links(vertices, docs, similarity, n, near or same_print, block), "near-texts")
     joined = sketched.select("doc_id", "__row0", "__row1", "vertex").join(roots.withColumnRenamed("v", "vertex"), "vertex", "left")
     return joined.select("doc_id", "__row0", "__row1", F.coalesce("root", "vertex").alias("root"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import shingles
 from parlance.llm.runtime import connected_components, join_unique, key_runs, materialize, sliced
+from parlance.llm.shingles import majority
 
 BITS = 64
 SEED = 42
@@ -28,10 +29,7 @@ def fingerprint(text: bytes, n: int = 3) -> int:
     hashing = xxhash.xxh64_intdigest
     shingles = map(b" ".join, zip(*(words[i:] for i in range(n)))) if len(words) > n else [b" ".join(words)]
     hashes = np.array([hashing(s, SEED) for s in shingles], "<u8")
-    set_in = np.zeros(BITS, np.int64)
-    for a in range(0, len(hashes), 1 << 16):  # a very long text in slices
-        set_in += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(set_in * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,17 +177,27 @@ def near_duplicates(docs: DataFrame, budget: int = 2, n: int = 3, id_col: str =
     return join_unique(prints, classes, "fingerprint", prints.count()).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, n: int = 5) -> DataFrame:
+def near_vertices(prints: DataFrame, budget: int = 2) -> DataFrame:
+    """Pairs (u, v) of vertices that connect those whose fingerprints differ in at most `budget` bits. prints: vertex, fingerprint."""
+    least, _ = materialize(prints.groupBy("fingerprint").agg(F.min("vertex").alias("least")), "least-vertices")
+    of = lambda c: least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"of_{c}"))
+    edges, _ = materialize(links(least.select("fingerprint"), budget), "near-prints")
+    near = join_unique(edges.join(of("u"), "u"), of("v"), "v", edges.count()).select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+    return near.unionByName(shingles.same_print(prints)).distinct()
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, n: int = 5, budget: int = 2) -> DataFrame:
     """The rows, with all their columns, of one document of each group of near-duplicates: the one with the smallest
     doc_id (null last), of several texts with that id the one with the smallest hash. Of equal rows, by id and text, one stays.
     So each group keeps one row, whether its ids are null, shared with other groups or neither.
 
-    Near-duplicates are texts whose sets of n-word shingles have at least that Jaccard similarity, directly or over others. Fingerprints
-    can't find those: at 0.8 they differ in about ten of 64 bits, and an index for so many has no bits left that must agree.
+    Near-duplicates are texts whose sets of n-word shingles have at least that Jaccard similarity, directly or over others. Fingerprints of the sets find the near ones
+    (`links`, at most `budget` bits apart), and the sets decide each pair. Texts at 0.8 differ in about ten of 64 bits, and an index for so many has no bits left that must agree:
+    what fingerprints leave apart is looked for by MinHash bands too (`shingles.links`).
 
     Rows are dealt once, by two hashes of id and text, for the join and for the equal rows.
     """
     keys = ["__row0", "__row1"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("x")
-    kept, _ = materialize(shingles.classes(docs, similarity, n).groupBy("root").agg(first).select(*[f"x.{k}" for k in keys]), "kept")
+    kept, _ = materialize(shingles.classes(docs, similarity, n, near=lambda prints: near_vertices(prints, budget)).groupBy("root").agg(first).select(*[f"x.{k}" for k in keys]), "kept")
     return docs.select("*", *shingles.row_keys(docs)).join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from parlance.llm import quality_classifier, secrets, shingles
+from parlance.llm import quality_classifier, secrets, shingles, simhash
 
 from .conftest import prose
 from .test_group_operators import components, plain_print
@@ -39,6 +39,25 @@ def test_near_dedup_catches_copies_with_some_words_changed(spark):
     assert kept == set(texts) | set(half)
 
 
+def test_near_copies_are_found_by_fingerprints_first(spark, monkeypatch):
+    """Pairs within two bits are linked by fingerprints, and only pairs of what these leave apart are made by bands."""
+    rng = random.Random(11)
+    texts = {i: " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)) for i in range(12)}
+    copies = {100 + i: f"{texts[i]} end" for i in range(12)}
+    docs = spark.createDataFrame(list((texts | copies).items()), "doc_id long, text string")
+    made, write = {}, shingles.materialize
+
+    def kept(df, name):
+        made[name] = write(df, name)
+        return made[name]
+
+    monkeypatch.setattr(shingles, "materialize", kept)
+    prints = {i: shingles.majority(shingles.shingle_set(t.encode())) for i, t in (texts | copies).items()}
+    close = [i for i in texts if (prints[i] ^ prints[100 + i]).bit_count() <= 2]
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(texts) and len(close) > 6
+    assert made["fingerprint-pairs"][0].count() == len(close) and made["band-pairs"][0].count() == 12 - len(close)
+
+
 @pytest.mark.parametrize("block", [shingles.BLOCK, 16])
 def test_crowds_below_and_above_the_similarity_equal_brute_force(spark, block):
     """Texts edited more or less from texts that are not there themselves, and chains of small edits: the same groups as all pairs give."""
