@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance import __version__
 from parlance.errors import ExistsError, MissingResourceError, UnknownIntentError, VersionError
-from parlance.operators import classifier, entities, lexicon, parsers, variations
+from parlance.operators import classifier, entities, joins, lexicon, parsers, variations
 from parlance.plans.config import EngineConfig
 from parlance.plans.plugins import PARSERS, IntentParser
 from parlance.plans.units import Prepared, Training, find_entities, small
@@ -120,8 +120,8 @@ class IntentEngineModel:
     def _for_rows(texts: DataFrame, prepared: Prepared, found: DataFrame) -> DataFrame:
         """What was found for a text, for every row that has it: null and repeated ids are rows like others. Rows of one text are spread by Spark's handling of skewed joins."""
         rows = texts.select(F.col("id").cast("long").alias("__row"), F.coalesce("text", F.lit("")).alias("input"))
-        by_text = found.join(prepared.texts.withColumnRenamed("text", "input"), "id")
-        return rows.join(by_text, "input").withColumn("id", F.col("__row")).drop("__row")
+        by_text = joins.by_key(found, prepared.texts.withColumnRenamed("text", "input"), "id")
+        return joins.by_key(rows, by_text, "input").withColumn("id", F.col("__row")).drop("__row")
 
     def _resolved(self, prepared: Prepared, chosen: DataFrame) -> DataFrame:
         """id, intent, probability, slots of the chosen (id, intent, probability, unit: its place in the cascade, null for none)."""
@@ -135,7 +135,7 @@ class IntentEngineModel:
         extensible = self.tables["entities"].select("entity", F.col("extensible").alias("yes"))
         found = parsers.resolve_slots(raw, prepared.matches, self.tables["entries"], extensible)
         listed = found.groupBy("id", "intent").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), "raw_value", "resolved", "entity", "slot_name"))).alias("slots"))
-        joined = chosen.join(listed, ["id", "intent"], "left")
+        joined = joins.by_key(chosen, listed, ["id", "intent"], "left")
         return joined.select("id", "intent", "probability", F.coalesce("slots", F.array().cast(f"array<{SLOT}>")).alias("slots"))
 
     def parse(self, texts: DataFrame, intents: list[str] | None = None) -> DataFrame:
@@ -148,7 +148,7 @@ class IntentEngineModel:
             best = classifier.best(unit.candidates(rest, intents)).where(F.col("intent").isNotNull() & (F.col("probability") > unit.threshold))
             own = self._hold(best.select("id", "intent", "probability"))
             held = unit.slots(rest, own)
-            rest = rest.only(self._hold(rest.texts.join(own, "id", "left_anti").select("id")))
+            rest = rest.only(self._hold(joins.by_key(rest.texts, own, "id", "left_anti").select("id")))
             out, raw = (own, held) if out is None else (out.unionByName(own), raw.unionByName(held))
         none = rest.texts.select("id", F.lit(None).cast("string").alias("intent"), F.lit(1.0).alias("probability"))
         done = self._with_slots(prepared, out.unionByName(none), raw)
@@ -177,7 +177,7 @@ class IntentEngineModel:
             every = own if every is None else every.unionByName(own)
         every = every.groupBy("id", "intent").agg(F.max("probability").alias("probability"), F.max_by("unit", F.struct("probability", -F.col("unit"))).alias("unit"))
         ranked = self._hold(every.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("probability"), "intent"))).where(F.col("rank") <= top_n))
-        done = self._resolved(prepared, ranked.drop("rank")).join(ranked.select("id", "intent", "rank"), ["id", "intent"])
+        done = joins.by_key(self._resolved(prepared, ranked.drop("rank")), ranked.select("id", "intent", "rank"), ["id", "intent"])
         return self._for_rows(texts, prepared, done).select("id", "rank", "intent", "probability", "slots")
 
     def get_intents(self, texts: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ class IntentEngineModel:
         raw, left = None, chosen
         for unit in self.units:
             own = self._hold(unit.slots(prepared, left))
-            left = left.join(own.select("id").distinct(), "id", "left_anti")
+            left = joins.by_key(left, own.select("id").distinct(), "id", "left_anti")
             raw = own if raw is None else raw.unionByName(own)
         return self._for_rows(texts, prepared, self._with_slots(prepared, chosen, raw)).select("id", "slots")
 

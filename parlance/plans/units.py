@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance.errors import MissingResourceError, RegistryError
 from parlance.functions import text
-from parlance.operators import classifier, crf, entities, grammar, parsers, sampling, tagging
+from parlance.operators import classifier, crf, entities, grammar, joins, parsers, sampling, tagging
 from parlance.operators.token_features import token_features
 from parlance.plans.config import ClassifierConfig, EngineConfig, KeywordConfig, LookupConfig, PatternConfig, ProbabilisticConfig, SlotFillerConfig, unit_config
 from parlance.plans.plugins import CLASSIFIERS, ENTITY_PARSERS, PARSERS, SLOT_FILLERS, EntityParser, IntentClassifier, IntentParser, SlotFiller, Unit
@@ -144,7 +144,7 @@ class Prepared:
 
     def only(self, ids: DataFrame) -> Prepared:
         """The same for some of the texts."""
-        return Prepared(self.texts.join(ids.select("id"), "id", "left_semi"), self.matches.join(ids.select("id"), "id", "left_semi"), self.resources, hold=self.hold)
+        return Prepared(joins.by_key(self.texts, ids.select("id"), "id", "left_semi"), joins.by_key(self.matches, ids.select("id"), "id", "left_semi"), self.resources, hold=self.hold)
 
 
 def load_unit(spark: SparkSession, path: str) -> Unit:
@@ -226,7 +226,7 @@ class _Walker(IntentParser):
         return parsers.reweight(_scoped(self.hits(prepared), intents).select("id", "intent", "n_slots"))
 
     def slots(self, prepared: Prepared, chosen: DataFrame) -> DataFrame:
-        own = self.hits(prepared).join(chosen.select("id", "intent"), ["id", "intent"], "left_semi")
+        own = joins.by_key(self.hits(prepared), chosen.select("id", "intent"), ["id", "intent"], "left_semi")
         rows = parsers.slot_rows(own, ["id"]).where("slot_name IS NOT NULL")
         return rows.select("id", "intent", "slot_name", F.col("kind").alias("entity"), "s", "e", F.col("value").alias("raw_value"))
 
