@@ -94,3 +94,36 @@ def test_words_are_tokens_without_their_places(spark):
     made = [lexicon_queries.word_cluster(spark, sf), lexicon_queries.stem_text(spark, sf), lexicon_queries.rare_word_gate(spark, sf), feature_queries.tfidf_transform(spark, sf), feature_queries.vocab_restrict(spark, sf), feature_queries.chi2_scores(spark, sf)]
     for df in made:  # offsets are running sums, which append to an array
         assert "array_append" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_what_may_match_is_exploded(made, monkeypatch):
+    """Rows that go into the joins with the dictionary and the models: one for a text here, not one for each of its tokens, and the same is found either way."""
+    texts, known = made
+    rows, few = [], joins.with_few
+    monkeypatch.setattr(joins, "with_few", lambda left, *a, **k: (rows.append(left.count()), few(left, *a, **k))[1])
+    models = parsers.indexed(texts.limit(1).selectExpr("'i' AS intent", "1L AS n_slots", "array('s') AS slot_names", "array('get', '%number%', '%fruit%') AS parts", "cast(array() AS array<string>) AS stops"))
+
+    def found():
+        spans = entities.gazetteer_matches(texts, ["id"], known).drop("resolved")
+        numbers = entities.builtin_matches(texts, ["id"], ("number",)).select(*spans.columns)
+        hits = parsers.find(texts, numbers.unionByName(spans), models, ["id"])
+        return {(r["id"], tuple((x["kind"], x["s"], x["e"]) for x in r["found"])) for r in hits.collect()}
+
+    cut = found()
+    assert len(cut) == 50 and rows == [50, 50]
+    monkeypatch.setattr(joins, "LITERALS", 0)
+    assert found() == cut and min(rows[2:]) > 50
+
+
+def test_a_bound_value_is_not_taken_from_an_array(made):
+    """An element taken from an array has the type of all that makes it worked out for each row."""
+    bound = made[0].select(text.bind(F.col("id") + 1, lambda x: x * x).alias("x"))
+    assert "transform(" not in plan(bound) and [r["x"] for r in bound.orderBy("x").limit(3).collect()] == [1, 4, 9]
+
+
+def test_the_tables_of_a_parse_are_not_broadcast(made):
+    from parlance.plans.units import Prepared
+
+    texts, ids = made[0], made[0].sparkSession.range(50)
+    only = Prepared(texts, texts.selectExpr("id", "'k' AS kind")).only(ids)
+    assert "Broadcast" not in plan(only.texts) + plan(only.matches) and only.texts.count() == 50
