@@ -12,7 +12,7 @@ from parlance import logs
 from parlance.functions import text
 from parlance.operators import classifier, crf, entities, features, ordering, parsers, tagging
 from parlance.operators.token_features import FeatureConfig, token_features
-from parlance.plans import gen
+from parlance.plans import gen, parser_queries, registry
 
 LONG = "word1 " * 3000 + "End."
 
@@ -257,3 +257,15 @@ def test_titles_and_separators(spark):
     assert df.select(text.title_but(F.col("t"), ["of", "the"])).first()[0] == "the Lord of THE Rings, Part_2"
     assert df.select(text.title_but(F.col("t"), [])).first()[0] == "The Lord Of The Rings, Part_2"
     assert text.separator("ja") == "" and text.separator("en") == " "
+
+
+def test_both_parsers_read_entities_found_once(spark, monkeypatch):
+    import duckdb
+
+    asked, kept, sf = [], gen.kept, "/root/testdata/sf0.001"
+    monkeypatch.setattr(gen, "kept", lambda *a: asked.append(1) or kept(*a))
+    got = sorted(tuple(r) for r in parser_queries.get_intents_union_max(spark, sf).collect())
+    con = duckdb.connect()
+    for name in ("orders", "part", "customer"):
+        con.sql(f"CREATE VIEW {name} AS FROM '{sf}/{name}.parquet'")
+    assert len(asked) == 1 and got == sorted(con.sql(registry.ORACLES["get_intents_union_max"]).fetchall())
